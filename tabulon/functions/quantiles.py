@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import col, melt_aggregates
+from .columns import col, long_form, melt_aggregates
 from .sizes import ROWS_PER_TASK, broadcast_if_small, is_small, largest_group
 
 # Half width, in rank fractions, of the slice cut around each wanted rank. The sketch's own error is 1 / 10000.
@@ -68,10 +68,7 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     else:
         cut = df.crossJoin(F.broadcast(sketch.select(*[f"_c{i}" for i in range(len(cols))])))  # exactly one row
     cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"), col(c).cast("double").alias("value"),
-            F.size(F.filter(F.col(f"_c{i}"), lambda s, c=c: s < col(c).cast("double"))).alias("slice"),
-        )
+        F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value"), slot(F.col(f"_c{i}"), col(c).cast("double")).alias("slice"))
         for i, c in enumerate(cols)
     ])
     values = (
@@ -123,6 +120,11 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     )
 
 
+def slot(cuts: Column, value: Column) -> Column:
+    """Number of cut points below the value, which numbers right-closed bins from 0. For short arrays of cuts."""
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, list[float] | None]:
     """Quantiles of whole columns as Python numbers: one row per column reaches the driver."""
     if not cols:
@@ -133,8 +135,6 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 def value_counts(df: DataFrame, cols: Sequence[str], as_type: str = "string", by: Sequence[str] = ()) -> DataFrame:
     """(by…, column, value, n): counts are combined map-side, so a value that fills a third of a column is cheap."""
-    from .columns import long_form
-
     return long_form(df, by, cols, as_type).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

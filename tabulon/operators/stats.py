@@ -12,10 +12,10 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import ordered
-from ..functions.columns import col, long_form, melt_aggregates, nan_to_null, numeric_columns, replace_columns, require
+from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, replace_columns, require
 from ..functions.distributions import f_p_value, t_p_value
-from ..functions.quantiles import mode_values, quantile_values, quantiles, use_sketch
-from ..functions.sizes import broadcast_if_small
+from ..functions.quantiles import mode_values, quantile_values, quantiles, slot, use_sketch, value_counts
+from ..functions.sizes import BROADCAST_ROWS
 from .impute import fill_mean
 
 TARGET_HINTS = ("attrition", "left", "churn")
@@ -135,12 +135,13 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
     whole = [c for c in names if c not in holes]
     parts = []
     if len(whole) > 1:
-        ranks = rank_table(long_form(df, [], whole, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), chunks)
         ranked = df.select(*[col(c).cast("double").alias(c) for c in whole])
+        sizes = ranked.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(whole)]).first()
         for i, c in enumerate(whole):
-            side = ranks.filter(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
-            # one row per distinct value: broadcast after a count, else a join whose hot values AQE splits
-            ranked = ranked.join(broadcast_if_small(side), col(c) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+            side = rank_table(value_counts(df, [c], "double"), chunks).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+            # one row per distinct value: broadcast if the count allows, else a join whose hot values AQE splits
+            side = F.broadcast(side) if sizes[i] <= BROADCAST_ROWS else side
+            ranked = ranked.join(side, col(c) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
         parts.append(pearson(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(whole)]), whole))
     pairs = [(a, b) for a, b in combinations(names, 2) if a in holes or b in holes]
     if pairs:
@@ -261,8 +262,7 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str] | None
     df = fill_mean(df, names)
     cuts = {c: sorted(set(q)) if q else [] for c, q in quantile_values(df, names, [i / bins for i in range(1, bins)]).items()}
     cells = F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.size(F.filter(F.array(*[F.lit(float(v)) for v in cuts[c]]).cast("array<double>"),
-                 lambda e, c=c: e < col(c).cast("double"))).alias("bin"))
+        F.struct(F.lit(c).alias("variable"), slot(F.array(*[F.lit(float(v)) for v in cuts[c]]).cast("array<double>"), col(c).cast("double")).alias("bin"))
         for c in names
     ])
     joint = df.select(col(target).alias("_y"), F.explode(cells).alias("_e")).groupBy("_e.variable", "_e.bin", "_y").agg(F.count(F.lit(1)).alias("n"))

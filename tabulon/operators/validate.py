@@ -45,6 +45,21 @@ def range_findings(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) ->
     return rows.filter((F.col("lowest") < F.col("lower_bound")) | (F.col("highest") > F.col("upper_bound")))
 
 
+def schema_report(df: DataFrame, required: Sequence[str] = presets.REQUIRED_COLUMNS, numeric: Sequence[str] = presets.NUMERIC_COLUMNS,
+                  allowed: Mapping[str, Sequence] | None = None, ranges: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """VAL-01 … VAL-03 as one report (rule, column, detail); empty if the table is valid."""
+    out = schema_findings(df, required, numeric)
+    for c, values in (allowed or {}).items():
+        if c in df.columns:
+            bad = set_findings(df, c, values)
+            out = out.unionByName(bad.select("rule", "column", F.format_string("%s in %d rows", F.coalesce("value", F.lit("null")), "rows").alias("detail")))
+    if ranges:
+        bad = range_findings(df, ranges)
+        out = out.unionByName(bad.select(F.lit("range").alias("rule"), "column", F.format_string(
+            "%.1f to %.1f, allowed %.1f to %.1f", "lowest", "highest", "lower_bound", "upper_bound").alias("detail")))
+    return out
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

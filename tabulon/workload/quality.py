@@ -81,10 +81,13 @@ def _(spark, sf):
 
 # --- validation -----------------------------------------------------------------------------------------------------
 
-@query("VAL-01", """SELECT 'required' AS rule, 'salary' AS "column", 'column is missing' AS detail
-  UNION ALL SELECT 'numeric', 'department', 'column has type string'""")
+@query("VAL-01", WF + """ SELECT 'required' AS rule, 'salary' AS "column", 'column is missing' AS detail
+  UNION ALL SELECT 'numeric', 'department', 'column has type string'
+  UNION ALL SELECT 'allowed', 'gender', gender || ' in ' || COUNT(*) || ' rows' FROM workforce WHERE gender NOT IN ('Male','Female','M','F') GROUP BY gender
+  UNION ALL SELECT 'range', 'age', printf('%.1f to %.1f, allowed 18.0 to 100.0', MIN(age)::DOUBLE, MAX(age)::DOUBLE) FROM workforce HAVING MIN(age) < 18 OR MAX(age) > 100""")
 def _(spark, sf):
-    return V.schema_findings(workforce(spark, sf), ["attrition", "salary"], ["age", "monthly_income", "department"])
+    return V.schema_report(workforce(spark, sf), ["attrition", "salary"], ["age", "monthly_income", "department"],
+                           {"gender": ["Male", "Female", "M", "F"]}, {"age": (18, 100)})
 
 
 @query("VAL-02", WF + """ SELECT 'allowed' AS rule, 'gender' AS "column", gender AS value, COUNT(*) AS rows FROM workforce
