@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import col, require
 
@@ -185,21 +186,20 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, *, metric: str = "l
 def _scan(side: DataFrame, rows: list, k: int, metric: str, schema: T.StructType) -> DataFrame:
     q_ids = [r["query_id"] for r in rows]
     q = np.array([r["v"] for r in rows], dtype=np.float64)
+    arrow = to_arrow_schema(schema)
 
     def top(batches):
         best: list[list[tuple]] = [[] for _ in q_ids]
-        target = None
         for b in batches:
             if not b.num_rows:
                 continue
-            target = b.schema.field(0).type
             ids = np.array(b.column(0).to_pylist(), dtype=object)
             d = _distances(_matrix(b.column(1), q.shape[1]), q, metric)
             for j in range(len(q_ids)):
                 best[j] = sorted(best[j] + _best(ids, d[:, j], k))[:k]
-        if target is not None:
-            flat = [(q_ids[j], i, d) for j, hits in enumerate(best) for d, i in hits]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(flat, columns=["query_id", "id", "distance"]), preserve_index=False)
+        flat = [(q_ids[j], i, d) for j, hits in enumerate(best) for d, i in hits]
+        columns = zip(*flat) if flat else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return side.mapInArrow(top, schema)
 
