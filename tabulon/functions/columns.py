@@ -9,7 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 def col(name: str) -> Column:
     """Column by its literal name, so that dots and blanks in names are safe."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(q(name))
+
+
+def q(name: str) -> str:
+    """A column name as it is written in SQL. One SQL text per expression spares a driver call per node."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def s(text: str) -> str:
+    """A text literal as it is written in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -37,47 +47,31 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = set(float_columns(df))
     if not floats:
         return df
-    return df.select(
-        *[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns]
-    )
+    return df.selectExpr(*[f"CASE WHEN NOT isnan({q(c)}) THEN {q(c)} END AS {q(c)}" if c in floats else q(c) for c in df.columns])
 
 
 def replace_columns(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
     """One projection that swaps or appends all of `new`; keeps the plan flat."""
-    old = [new[c].alias(c) if c in new else col(c) for c in df.columns]
-    extra = [e.alias(c) for c, e in new.items() if c not in df.columns]
-    return df.select(*old, *extra)
-
-
-def melt_aggregates(
-    row: DataFrame,
-    by: Sequence[str],
-    names: Sequence[str],
-    fields: Mapping[str, Callable[[int], Column]],
-    key: str = "column",
-) -> DataFrame:
+    return df.withColumns(dict(new)) if new else df
+
+
+def melt_aggregates(row: DataFrame, by: Sequence[str], names: Sequence[str], fields: Mapping[str, Callable[[int], str]],
+                    key: str = "column") -> DataFrame:
     """Turn one wide aggregate row per group into one row per (group, column).
 
-    `fields[name](i)` is the expression, over the wide row, of field `name` for the i-th column.
+    `fields[name](i)` is the SQL, over the wide row, of field `name` for the i-th column.
     """
-    entries = [
-        F.struct(F.lit(n).alias(key), *[make(i).alias(f) for f, make in fields.items()])
+    structs = [
+        "named_struct(" + ", ".join([f"{s(key)}, {s(n)}"] + [f"{s(f)}, {make(i)}" for f, make in fields.items()]) + ")"
         for i, n in enumerate(names)
     ]
-    return row.select(*[col(b) for b in by], F.explode(F.array(*entries)).alias("_e")).select(
-        *[col(b) for b in by], "_e.*"
-    )
+    return row.selectExpr(*[q(b) for b in by], f"inline(array({', '.join(structs)}))")
 
 
 def long_form(df: DataFrame, by: Sequence[str], names: Sequence[str], as_type: str, key: str = "column") -> DataFrame:
     """(by…, column, value) with one row per non-null cell."""
-    cells = F.array(
-        *[F.struct(F.lit(n).alias(key), col(n).cast(as_type).alias("value")) for n in names]
-    )
-    return (
-        df.select(*[col(b) for b in by], F.explode(F.filter(cells, lambda s: s["value"].isNotNull())).alias("_e"))
-        .select(*[col(b) for b in by], "_e.*")
-    )
+    cells = ", ".join(f"named_struct({s(key)}, {s(n)}, 'value', CAST({q(n)} AS {as_type}))" for n in names)
+    return df.selectExpr(*[q(b) for b in by], f"inline(array({cells}))").filter("value IS NOT NULL")
 
 
 def right_closed_bin(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:

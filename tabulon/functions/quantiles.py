@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import col, long_form, melt_aggregates
+from .columns import col, long_form, melt_aggregates, q
 from .sizes import ROWS_PER_TASK, broadcast_if_small, is_small, largest_group
 
 # Half width, in rank fractions, of the slice cut around each wanted rank. The sketch's own error is 1 / 10000.
@@ -32,21 +32,19 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     if sliced is None:
         sliced = use_sketch(df, cols, by)
     if not sliced:
-        wide = df.groupBy(*by).agg(
-            *[F.count(col(c)).alias(f"_n{i}") for i, c in enumerate(cols)],
-            *[F.percentile(col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"_q{i}") for i, c in enumerate(cols)],
-        )
-        return melt_aggregates(wide, by, cols, {"n": lambda i: F.col(f"_n{i}"), "q": lambda i: F.col(f"_q{i}")})
+        wide = df.groupBy(*by).agg(*[F.expr(e) for i, c in enumerate(cols) for e in (
+            f"count({q(c)}) AS _n{i}", f"percentile(CAST({q(c)} AS DOUBLE), array({', '.join(f'{p!r}D' for p in probs)})) AS _q{i}")])
+        return melt_aggregates(wide, by, cols, {"n": lambda i: f"_n{i}", "q": lambda i: f"_q{i}"})
     ranks = []
     for p in probs:
         ranks += [lambda n, p=p: F.floor(F.lit(p) * (n - 1)), lambda n, p=p: F.ceil(F.lit(p) * (n - 1))]
     found = order_statistics(df, cols, ranks, probs, by)
-    q = []
+    between = []
     for j, p in enumerate(probs):
         lo, hi = F.col("v")[2 * j], F.col("v")[2 * j + 1]
         at = F.lit(p) * (F.col("n") - 1)
-        q.append(lo + (hi - lo) * (at - F.floor(at)))
-    return found.select(*by, "column", "n", F.array(*q).alias("q"))
+        between.append(lo + (hi - lo) * (at - F.floor(at)))
+    return found.select(*by, "column", "n", F.array(*between).alias("q"))
 
 
 def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callable[[Column], Column]],
@@ -58,7 +56,6 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     cols, by = list(cols), list(by)
     wanted = sorted({min(1.0, max(0.0, p + d)) for p in near for d in (-_MARGIN, _MARGIN)})
     sketch = df.groupBy(*by).agg(
-        *[F.count(col(c)).alias(f"_n{i}") for i, c in enumerate(cols)],
         *[F.array_distinct(F.percentile_approx(col(c).cast("double"), wanted, 10_000)).alias(f"_c{i}") for i, c in enumerate(cols)],
     )
     # One row per group. Without keys it is a single row; with keys its size is counted before a broadcast.

@@ -75,5 +75,5 @@ def outlier_report(df: DataFrame, method: str = "iqr", *, columns: Sequence[str]
     wide = df.agg(F.count(F.lit(1)).alias("_rows"),
                   *[F.count_if(~new[c].eqNullSafe(col(c).cast("double"))).alias(f"o{i}") for i, c in enumerate(names)])
     return melt_aggregates(wide, [], names, {
-        "outliers": lambda i: F.col(f"o{i}"), "outlier_pct": lambda i: F.try_divide(F.col(f"o{i}") * 100.0, F.col("_rows")),
+        "outliers": lambda i: f"o{i}", "outlier_pct": lambda i: f"try_divide(o{i} * 100.0D, _rows)",
     })

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, text_columns
+from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, q, s, text_columns
 from ..functions.quantiles import modes, quantiles, use_sketch
 
 
@@ -14,15 +14,15 @@ def missing_report(df: DataFrame) -> DataFrame:
     """QLT-01: missing cells per column, with the table's totals on every row."""
     df = nan_to_null(df)
     names = df.columns
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(names)])
-    total = sum((F.col(f"m{i}") for i in range(len(names))), F.lit(0).cast("long"))
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.expr(f"count_if({q(c)} IS NULL) AS m{i}") for i, c in enumerate(names)])
+    total = " + ".join(f"m{i}" for i in range(len(names)))
     return melt_aggregates(wide, [], names, {
-        "missing": lambda i: F.col(f"m{i}"),
-        "rows": lambda i: F.col("_rows"),
-        "missing_pct": lambda i: F.try_divide(F.col(f"m{i}") * 100.0, F.col("_rows")),
+        "missing": lambda i: f"m{i}",
+        "rows": lambda i: "_rows",
+        "missing_pct": lambda i: f"try_divide(m{i} * 100.0D, _rows)",
         "total_missing": lambda i: total,
-        "total_missing_pct": lambda i: F.try_divide(total * 100.0, F.col("_rows") * len(names)),
-        "has_missing": lambda i: F.col(f"m{i}") > 0,
+        "total_missing_pct": lambda i: f"try_divide(({total}) * 100.0D, _rows * {len(names)})",
+        "has_missing": lambda i: f"m{i} > 0",
     })
 
 
@@ -101,27 +101,24 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     inline = bool(nums) and not use_sketch(df, nums, [])
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(names):
-        x = col(c)
-        aggs.append(F.count_if(x.isNull()).alias(f"m{i}"))
+        x = q(c)
+        aggs.append(F.expr(f"count_if({x} IS NULL) AS m{i}"))
         if c in nums:
-            aggs += [F.min(x).cast("double").alias(f"min{i}"), F.max(x).cast("double").alias(f"max{i}"),
-                     F.avg(x).cast("double").alias(f"avg{i}"), F.stddev_samp(x).alias(f"std{i}")]
-            if inline:
-                aggs.append(F.median(x).alias(f"med{i}"))
+            aggs += [F.expr(f"CAST({f}({x}) AS DOUBLE) AS {f}{i}") for f in ("min", "max", "avg", "stddev_samp", *(["median"] if inline else []))]
         elif approximate and c in texts:
-            aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
+            aggs.append(F.expr(f"approx_count_distinct({x}) AS d{i}"))
     wide = df.agg(*aggs)
 
     def pick(prefix, among, kind="double"):
-        return lambda i: (F.col(f"{prefix}{i}") if names[i] in among else F.lit(None)).cast(kind)
+        return lambda i: f"CAST({prefix + str(i) if names[i] in among else 'NULL'} AS {kind})"
 
     out = melt_aggregates(wide, [], names, {
-        "type": lambda i: F.lit(kinds[names[i]]),
-        "missing": lambda i: F.col(f"m{i}"),
-        "missing_pct": lambda i: F.try_divide(F.col(f"m{i}") * 100.0, F.col("_rows")),
+        "type": lambda i: s(kinds[names[i]]),
+        "missing": lambda i: f"m{i}",
+        "missing_pct": lambda i: f"try_divide(m{i} * 100.0D, _rows)",
         "min": pick("min", nums), "max": pick("max", nums), "mean": pick("avg", nums),
-        "median": pick("med", nums if inline else []), "std": pick("std", nums),
-        "n_distinct": pick("d", texts if approximate else [], "long"),
+        "median": pick("median", nums if inline else []), "std": pick("stddev_samp", nums),
+        "n_distinct": pick("d", texts if approximate else [], "bigint"),
     })
     if nums and not inline:
         med = quantiles(df, nums, [0.5], sliced=True).select("column", F.col("q")[0].alias("_med"))

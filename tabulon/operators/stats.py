@@ -8,16 +8,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import ordered
-from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, replace_columns, require
+from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, q, replace_columns, require, s
 from ..functions.distributions import f_p_value, t_p_value
 from ..functions.quantiles import mode_values, quantile_values, quantiles, slot, use_sketch, value_counts
-from ..functions.sizes import BROADCAST_ROWS
+from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, largest_group
 from .impute import fill_mean
 
+# Above this number of pairs one aggregate over all of them no longer compiles well.
+WIDE_PAIRS = 40
 TARGET_HINTS = ("attrition", "left", "churn")
 LEVELS = {
     "basic": ("descriptive", "correlation"),
@@ -48,29 +52,26 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     names = list(columns or numeric_columns(df, exclude=by))
     if sliced is None:
         sliced = use_sketch(df, names, by)
+    functions = {"count": "count", "avg": "mean", "stddev_samp": "std", "min": "min", "max": "max"}
+    if shape:
+        functions |= {"skewness": "skewness", "kurtosis": "kurtosis"}
     aggs: list[Column] = []
     for i, c in enumerate(names):
-        x = col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if shape:
-            aggs += [F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}")]
+        x = f"CAST({q(c)} AS DOUBLE)"
+        aggs += [F.expr(f"{f}({x}) AS {f}{i}") for f in functions]
         if not sliced:
-            aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"))
-    fields = {"count": lambda i: F.col(f"n{i}"), "mean": lambda i: F.col(f"a{i}"), "std": lambda i: F.col(f"s{i}"),
-              "min": lambda i: F.col(f"lo{i}"), "max": lambda i: F.col(f"hi{i}")}
-    if shape:
-        clean = lambda c: F.when(~F.isnan(c), c)  # noqa: E731  zero variance gives NaN
-        fields |= {"skewness": lambda i: clean(F.col(f"sk{i}")), "kurtosis": lambda i: clean(F.col(f"ku{i}"))}
+            aggs.append(F.expr(f"percentile({x}, array(0.25D, 0.5D, 0.75D)) AS _q{i}"))
+    # zero variance gives NaN where pandas gives none
+    fields = {n: (lambda i, f=f: f"nullif({f}{i}, double('NaN'))" if f in ("skewness", "kurtosis") else f"{f}{i}") for f, n in functions.items()}
     if not sliced:
-        fields["_q"] = lambda i: F.col(f"q{i}")
+        fields["_q"] = lambda i: f"_q{i}"
     out = melt_aggregates(df.groupBy(*by).agg(*aggs), by, names, fields, key="variable").filter(F.col("count") > 0)
     if sliced:
-        q = quantiles(df, names, [0.25, 0.5, 0.75], by, sliced=True).select(
+        cuts = quantiles(df, names, [0.25, 0.5, 0.75], by, sliced=True).select(
             *[col(b).alias(f"_b_{b}") for b in by], F.col("column").alias("_v"), F.col("q").alias("_q"))
-        q = q if by else F.broadcast(q)  # without segments: one row per column
+        cuts = cuts if by else F.broadcast(cuts)  # without segments: one row per column
         on = [col(b).eqNullSafe(col(f"_b_{b}")) for b in by] + [F.col("variable") == F.col("_v")]
-        out = out.join(q, on, "left")
+        out = out.join(cuts, on, "left")
     keep = ["count", "mean", "std", "min", "max", *(["skewness", "kurtosis"] if shape else [])]
     return out.select(*by, "variable", *keep, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
 
@@ -102,20 +103,65 @@ def _square(pairs: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFr
 
 
 def pearson(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), *, full: bool = False) -> DataFrame:
-    """ST-03: pairwise-complete Pearson r, all pairs in one aggregate; (variable1, variable2, correlation) with i < j."""
+    """ST-03: pairwise-complete Pearson r, all pairs in one pass; (variable1, variable2, correlation) with i < j.
+
+    Few pairs are one aggregate. Many pairs would make that aggregate too wide to compile: each task then adds up
+    co-moment matrices of its Arrow batches, and only those matrices are shuffled.
+    """
     df = nan_to_null(df)
     by = list(by)
     names = list(columns or numeric_columns(df, exclude=by))
     pairs = list(combinations(names, 2))
-    wide = df.groupBy(*by).agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    out = wide.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2"), F.col(f"r{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ])).alias("_e")).select(*by, "_e.*")
-    out = out.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
+    if len(pairs) > WIDE_PAIRS and not by:
+        out = _pearson_matrices(df, names)
+    else:
+        wide = df.groupBy(*by).agg(*[F.expr(f"corr(CAST({q(a)} AS DOUBLE), CAST({q(b)} AS DOUBLE)) AS r{i}") for i, (a, b) in enumerate(pairs)])
+        rows = ", ".join(f"named_struct('variable1', {s(a)}, 'variable2', {s(b)}, 'correlation', nullif(r{i}, double('NaN')))" for i, (a, b) in enumerate(pairs))
+        out = wide.selectExpr(*[q(b) for b in by], f"inline(array({rows}))")
     return _square(out, names, by) if full else out
 
 
+def _pearson_matrices(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    k = len(names)
+    upper = np.triu_indices(k, 1)
+
+    def moments(batches):
+        """Per task and pair: rows, means and centred co-moments over the rows where both values are known."""
+        total = products = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(np.float64)
+            known = ~np.isnan(x)
+            if total is None:
+                with np.errstate(all="ignore"):
+                    shift = np.where(known.any(0), np.nansum(x, 0) / np.maximum(known.sum(0), 1), 0.0)
+                total = np.zeros((5, k, k))
+            x = np.where(known, x - shift, 0.0)
+            m = known.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x)])
+            cross = x.T @ x
+            products = cross if products is None else products + cross
+        if total is None:
+            return
+        n, sx, sy, sxx, syy = (t[upper] for t in total)
+        sxy = products[upper]
+        ok = n > 0
+        d = np.maximum(n, 1)
+        out = [n, shift[upper[0]] + sx / d, shift[upper[1]] + sy / d, sxx - sx * sx / d, syy - sy * sy / d, sxy - sx * sy / d]
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(ok), pa.int32()), *[pa.array(v[ok]) for v in out]], names=["pair", "n", "mx", "my", "xx", "yy", "xy"])
+
+    parts = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(
+        moments, "pair int, n double, mx double, my double, xx double, yy double, xy double")
+    # sums within tasks plus the spread of the task means
+    pooled = parts.groupBy("pair").agg(*[F.expr(e) for e in (
+        "sum(n) AS n", "sum(xx) AS xx", "sum(yy) AS yy", "sum(xy) AS xy", "sum(n * mx) / sum(n) AS mx", "sum(n * my) / sum(n) AS my",
+        "sum(n * mx * mx) AS bxx", "sum(n * my * my) AS byy", "sum(n * mx * my) AS bxy")])
+    label = ", ".join(f"named_struct('variable1', {s(names[i])}, 'variable2', {s(names[j])})" for i, j in zip(*upper))
+    r = pooled.selectExpr(f"array({label})[pair] AS l", "xy + bxy - n * mx * my AS c", "xx + bxx - n * mx * mx AS a", "yy + byy - n * my * my AS b")
+    return r.selectExpr("l.variable1", "l.variable2", "CASE WHEN a > 0 AND b > 0 THEN greatest(-1D, least(1D, c / sqrt(a * b))) END AS correlation")
+
+
 def rank_table(counts: DataFrame, chunks: int | None = None) -> DataFrame:
     """(column, value, rank): average ranks of tied values, from value counts."""
     total = ordered.running_total(counts, ["column"], "value", "n", "_upto", chunks)
@@ -138,7 +184,8 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
         ranked = df.select(*[col(c).cast("double").alias(c) for c in whole])
         sizes = ranked.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(whole)]).first()
         for i, c in enumerate(whole):
-            side = rank_table(value_counts(df, [c], "double"), chunks).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+            cut = chunks or (1 if sizes[i] <= ROWS_PER_TASK else None)  # the ranking sorts distinct values
+            side = rank_table(value_counts(df, [c], "double"), cut).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
             # one row per distinct value: broadcast if the count allows, else a join whose hot values AQE splits
             side = F.broadcast(side) if sizes[i] <= BROADCAST_ROWS else side
             ranked = ranked.join(side, col(c) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
@@ -151,9 +198,10 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
         ])
         kept = F.filter(cells, lambda s: s["x"].isNotNull() & s["y"].isNotNull())
         joint = df.select(F.explode(kept).alias("_e")).select("_e.*").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+        cut = chunks or (1 if largest_group(joint, ["pair"]) <= ROWS_PER_TASK else None)
         for side in ("x", "y"):
             counts = joint.groupBy(F.col("pair").alias("column"), F.col(side).alias("value")).agg(F.sum("n").alias("n"))
-            r = rank_table(counts, chunks).select(F.col("column").alias(f"_p{side}"), F.col("value").alias(f"_v{side}"), F.col("rank").alias(f"r{side}"))
+            r = rank_table(counts, cut).select(F.col("column").alias(f"_p{side}"), F.col("value").alias(f"_v{side}"), F.col("rank").alias(f"r{side}"))
             joint = joint.join(r, (F.col("pair") == F.col(f"_p{side}")) & (F.col(side) == F.col(f"_v{side}")), "left").drop(f"_p{side}", f"_v{side}")
         # weighted r over distinct value pairs; centred ranks keep the sums small
         stats = joint.groupBy("pair").agg(F.sum("n").alias("m"), *[F.sum(F.col("n") * e).alias(a) for a, e in {
@@ -195,10 +243,10 @@ def t_tests(df: DataFrame, target: str, columns: Sequence[str] | None = None, by
     aggs = []
     for i, c in enumerate(names):
         for g in (1, 0):
-            x = F.when(col(target) == g, col(c).cast("double"))
-            aggs += [F.count(x).alias(f"n{g}_{i}"), F.avg(x).alias(f"m{g}_{i}"), F.var_samp(x).alias(f"v{g}_{i}")]
+            x = f"CASE WHEN {q(target)} = {g} THEN CAST({q(c)} AS DOUBLE) END"
+            aggs += [F.expr(f"{f}({x}) AS {k}{g}_{i}") for k, f in (("n", "count"), ("m", "avg"), ("v", "var_samp"))]
     rows = melt_aggregates(df.groupBy(*by).agg(*aggs), by, names, {
-        f"{k}{g}": (lambda i, k=k, g=g: F.col(f"{k}{g}_{i}")) for k in "nmv" for g in (1, 0)}, key="variable")
+        f"{k}{g}": (lambda i, k=k, g=g: f"{k}{g}_{i}") for k in "nmv" for g in (1, 0)}, key="variable")
     n1, n0 = F.col("n1"), F.col("n0")
     dof = n1 + n0 - 2
     ss = lambda n, v: (n - 1) * F.coalesce(v, F.lit(0.0))  # noqa: E731  one value has no variance
@@ -232,12 +280,11 @@ def anova(df: DataFrame, target: str, columns: Sequence[str] | None = None, by:
     df = _known_target(df, target)
     aggs = [F.count(F.lit(1)).alias("_all")]
     for i, c in enumerate(names):
-        x = col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+        x = f"CAST({q(c)} AS DOUBLE)"
+        aggs += [F.expr(f"{f}({x}) AS {k}{i}") for k, f in (("n", "count"), ("m", "avg"), ("v", "var_pop"))]
     per_class = df.groupBy(*by, col(target).alias("_y")).agg(*aggs)
     rows = melt_aggregates(per_class, [*by, "_y"], names, {
-        "all": lambda i: F.col("_all"), "n": lambda i: F.col(f"n{i}"),
-        "m": lambda i: F.coalesce(F.col(f"m{i}"), F.lit(0.0)), "v": lambda i: F.coalesce(F.col(f"v{i}"), F.lit(0.0))}, key="variable")
+        "all": lambda i: "_all", "n": lambda i: f"n{i}", "m": lambda i: f"coalesce(m{i}, 0D)", "v": lambda i: f"coalesce(v{i}, 0D)"}, key="variable")
     seg = W.partitionBy(*by, "variable")  # one row per class
     rows = rows.withColumn("_mean", F.try_divide(F.sum(F.col("n") * F.col("m")).over(seg), F.sum("n").over(seg)))
     rows = rows.withColumn("_cm", (F.col("n") * F.col("m") + (F.col("all") - F.col("n")) * F.col("_mean")) / F.col("all"))
@@ -279,8 +326,8 @@ def target_correlations(df: DataFrame, target: str, columns: Sequence[str] | Non
     df = nan_to_null(df)
     by = list(by)
     names = list(columns or numeric_columns(df, exclude=[target, *by]))
-    wide = df.groupBy(*by).agg(*[F.corr(col(c).cast("double"), col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(names)])
-    return melt_aggregates(wide, by, names, {"correlation": lambda i: F.when(~F.isnan(f"r{i}"), F.col(f"r{i}"))}, key="variable")
+    wide = df.groupBy(*by).agg(*[F.expr(f"corr(CAST({q(c)} AS DOUBLE), CAST({q(target)} AS DOUBLE)) AS r{i}") for i, c in enumerate(names)])
+    return melt_aggregates(wide, by, names, {"correlation": lambda i: f"nullif(r{i}, double('NaN'))"}, key="variable")
 
 
 def strongest(df: DataFrame, target: str, columns: Sequence[str] | None = None, top: int = 3) -> DataFrame:

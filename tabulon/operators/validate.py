@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import presets
-from ..functions.columns import col, melt_aggregates, require
+from ..functions.columns import col, melt_aggregates, q, require
 from .clean import to_category, to_number
 
 _FINDING = "rule string, column string, detail string"
@@ -37,10 +37,10 @@ def set_findings(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:
 def range_findings(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """VAL-03: columns whose minimum or maximum lies outside the closed bounds."""
     names = [c for c in ranges if c in df.columns]
-    wide = df.agg(*[f(col(c)).cast("double").alias(f"{p}{i}") for i, c in enumerate(names) for p, f in (("lo", F.min), ("hi", F.max))])
+    wide = df.agg(*[F.expr(f"CAST({f}({q(c)}) AS DOUBLE) AS {f}{i}") for i, c in enumerate(names) for f in ("min", "max")])
     rows = melt_aggregates(wide, [], names, {
-        "lowest": lambda i: F.col(f"lo{i}"), "highest": lambda i: F.col(f"hi{i}"),
-        "lower_bound": lambda i: F.lit(float(ranges[names[i]][0])), "upper_bound": lambda i: F.lit(float(ranges[names[i]][1])),
+        "lowest": lambda i: f"min{i}", "highest": lambda i: f"max{i}",
+        "lower_bound": lambda i: f"{float(ranges[names[i]][0])!r}D", "upper_bound": lambda i: f"{float(ranges[names[i]][1])!r}D",
     })
     return rows.filter((F.col("lowest") < F.col("lower_bound")) | (F.col("highest") > F.col("upper_bound")))
 
@@ -100,4 +100,4 @@ def validation_report(df: DataFrame, required: Sequence[str] = presets.REQUIRED_
     names = ["rows_in", *rules, "rows_kept"]
     checks = [F.lit(True), *[~p for p in passed.values()], _all(list(passed.values()))]
     wide = typed.agg(*[F.count_if(c).alias(f"r{i}") for i, c in enumerate(checks)])
-    return melt_aggregates(wide, [], names, {"rows": lambda i: F.col(f"r{i}")}, key="rule")
+    return melt_aggregates(wide, [], names, {"rows": lambda i: f"r{i}"}, key="rule")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from .. import presets
 from ..functions.columns import col, numeric_columns
 from ..operators import clean as C, features as FE, impute as I, insights as N, ml as M, outliers as O, stats as S, validate as V
-from ..sources.readers import keep, release
+from ..session import staged
 
 LEVELS = ("basic", "predictive", "comprehensive")
 
@@ -24,16 +24,16 @@ class Analysis:
     model: PipelineModel | None = None
     predictions: DataFrame | None = None
 
-    def close(self) -> None:
-        release(self.table)
-
 
 def preprocess(df: DataFrame, target: str, order_by: str, *, identifiers: Sequence[str] = (), outliers: str = "iqr",
                ranges=presets.RANGES, allowed=presets.ALLOWED) -> DataFrame:
-    """Clean, impute, treat outliers, validate. Identifiers and the target are left alone by the numeric steps."""
+    """Clean, impute, treat outliers, validate. Identifiers and the target are left alone by the numeric steps.
+
+    The imputed table is staged: the outlier step scans it twice, and imputing is the one step that shuffles.
+    """
     out = C.clean(df, target)
     keep_out = [target, *identifiers]
-    out = I.fill_auto(out, order_by, exclude=keep_out)
+    out = staged(I.fill_auto(out, order_by, exclude=keep_out), "imputed")
     out = O.treat_outliers(out, outliers, exclude=keep_out)
     return V.filter_sets(V.filter_ranges(out, ranges), allowed)
 
@@ -42,7 +42,7 @@ def run(df: DataFrame, target: str, order_by: str, level: str = "comprehensive",
         search: bool = False, **options) -> Analysis:
     """basic: preprocess, statistics, insights. predictive: preprocess, features, model, insights. comprehensive: all.
 
-    The preprocessed table is persisted because every later step reads it; call `close()` when done.
+    The preprocessed table is staged in the shared scratch folder, because every later step reads it.
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
@@ -50,7 +50,7 @@ def run(df: DataFrame, target: str, order_by: str, level: str = "comprehensive",
     table = preprocess(df, target, order_by, identifiers=ids, **options)
     if level != "basic":
         table = FE.interaction_features(FE.temporal_features(table))
-    done = Analysis(keep(table))
+    done = Analysis(staged(table, "preprocessed"))
     numeric = numeric_columns(done.table, exclude=[target, *ids])
     if level != "predictive":
         done.results = S.analyse(done.table, target, "basic" if level == "basic" else "comprehensive", numeric)

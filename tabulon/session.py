@@ -5,14 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", name: str = "tabulon", **conf) -> SparkSession:
     """A session for tests and single-node runs; on a cluster the session comes from the submitter."""
     settings = {
         "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC",
-        "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.sql.dataFrameQueryContext.enabled": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1", **conf,
     }
     b = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -29,3 +29,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="tabulon-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a frame to the shared scratch folder and read it back.
+
+    Later steps then start from columnar files instead of repeating the work, with a plan that is short, a size that
+    Catalyst knows, and nothing to recompute when an executor is lost.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
