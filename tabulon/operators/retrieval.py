@@ -209,7 +209,7 @@ def _block_join(side: DataFrame, asked: DataFrame, k: int, metric: str, schema:
     n_doc = max(1, -(-side.count() // DOCUMENT_BLOCK))
     n_ask = max(1, -(-asked.count() // QUERY_BLOCK))
     left = side.select(F.pmod(F.xxhash64("id"), F.lit(n_doc)).alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))).alias("_q"), "id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_doc - 1))).cast("long").alias("_d"), F.pmod(F.xxhash64("query_id"), F.lit(n_ask)).cast("int").alias("_q"), "query_id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_doc - 1).cast("long"))).alias("_d"), F.pmod(F.xxhash64("query_id"), F.lit(n_ask)).cast("int").alias("_q"), "query_id", "v")
 
     def block(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or qs.empty:

@@ -21,7 +21,7 @@ from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, largest_group
 from .impute import fill_mean
 
 # Above this number of pairs one aggregate over all of them no longer compiles well.
-WIDE_PAIRS = 40
+WIDE_PAIRS = 20
 TARGET_HINTS = ("attrition", "left", "churn")
 LEVELS = {
     "basic": ("descriptive", "correlation"),
@@ -102,6 +102,12 @@ def _square(pairs: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFr
     return flipped.unionByName(unit.select(*by, "variable1", F.col("variable1").alias("variable2"), F.lit(1.0).alias("correlation")))
 
 
+def corr_sql(a: str, b: str) -> str:
+    """Pearson r over complete pairs; null for a constant column, where `corr` itself fails under ANSI rules."""
+    x, y = (f"CAST({q(c)} AS DOUBLE)" for c in (a, b))
+    return f"try_divide(regr_sxy({x}, {y}), sqrt(regr_sxx({x}, {y}) * regr_syy({x}, {y})))"
+
+
 def pearson(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), *, full: bool = False) -> DataFrame:
     """ST-03: pairwise-complete Pearson r, all pairs in one pass; (variable1, variable2, correlation) with i < j.
 
@@ -115,8 +121,8 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[st
     if len(pairs) > WIDE_PAIRS and not by:
         out = _pearson_matrices(df, names)
     else:
-        wide = df.groupBy(*by).agg(*[F.expr(f"corr(CAST({q(a)} AS DOUBLE), CAST({q(b)} AS DOUBLE)) AS r{i}") for i, (a, b) in enumerate(pairs)])
-        rows = ", ".join(f"named_struct('variable1', {s(a)}, 'variable2', {s(b)}, 'correlation', nullif(r{i}, double('NaN')))" for i, (a, b) in enumerate(pairs))
+        wide = df.groupBy(*by).agg(*[F.expr(f"{corr_sql(a, b)} AS r{i}") for i, (a, b) in enumerate(pairs)])
+        rows = ", ".join(f"named_struct('variable1', {s(a)}, 'variable2', {s(b)}, 'correlation', r{i})" for i, (a, b) in enumerate(pairs))
         out = wide.selectExpr(*[q(b) for b in by], f"inline(array({rows}))")
     return _square(out, names, by) if full else out
 
@@ -153,12 +159,13 @@ def _pearson_matrices(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
     parts = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(
         moments, "pair int, n double, mx double, my double, xx double, yy double, xy double")
-    # sums within tasks plus the spread of the task means
-    pooled = parts.groupBy("pair").agg(*[F.expr(e) for e in (
-        "sum(n) AS n", "sum(xx) AS xx", "sum(yy) AS yy", "sum(xy) AS xy", "sum(n * mx) / sum(n) AS mx", "sum(n * my) / sum(n) AS my",
-        "sum(n * mx * mx) AS bxx", "sum(n * my * my) AS byy", "sum(n * mx * my) AS bxy")])
+    # sums within tasks plus the spread of the task means around the common mean; one row per task and pair
+    pooled = parts.selectExpr(
+        "*", "mx - sum(n * mx) OVER (PARTITION BY pair) / sum(n) OVER (PARTITION BY pair) AS dx",
+        "my - sum(n * my) OVER (PARTITION BY pair) / sum(n) OVER (PARTITION BY pair) AS dy",
+    ).groupBy("pair").agg(F.expr("sum(xx + n * dx * dx) AS a"), F.expr("sum(yy + n * dy * dy) AS b"), F.expr("sum(xy + n * dx * dy) AS c"))
     label = ", ".join(f"named_struct('variable1', {s(names[i])}, 'variable2', {s(names[j])})" for i, j in zip(*upper))
-    r = pooled.selectExpr(f"array({label})[pair] AS l", "xy + bxy - n * mx * my AS c", "xx + bxx - n * mx * mx AS a", "yy + byy - n * my * my AS b")
+    r = pooled.selectExpr(f"array({label})[pair] AS l", "a", "b", "c")
     return r.selectExpr("l.variable1", "l.variable2", "CASE WHEN a > 0 AND b > 0 THEN greatest(-1D, least(1D, c / sqrt(a * b))) END AS correlation")
 
 
@@ -326,8 +333,8 @@ def target_correlations(df: DataFrame, target: str, columns: Sequence[str] | Non
     df = nan_to_null(df)
     by = list(by)
     names = list(columns or numeric_columns(df, exclude=[target, *by]))
-    wide = df.groupBy(*by).agg(*[F.expr(f"corr(CAST({q(c)} AS DOUBLE), CAST({q(target)} AS DOUBLE)) AS r{i}") for i, c in enumerate(names)])
-    return melt_aggregates(wide, by, names, {"correlation": lambda i: f"nullif(r{i}, double('NaN'))"}, key="variable")
+    wide = df.groupBy(*by).agg(*[F.expr(f"{corr_sql(c, target)} AS r{i}") for i, c in enumerate(names)])
+    return melt_aggregates(wide, by, names, {"correlation": lambda i: f"r{i}"}, key="variable")
 
 
 def strongest(df: DataFrame, target: str, columns: Sequence[str] | None = None, top: int = 3) -> DataFrame:

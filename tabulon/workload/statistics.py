@@ -133,7 +133,7 @@ def ttest_sql(rel, target, cols, by=""):
     parts = [f"""SELECT {b}'{c}' AS variable, COUNT({c}) FILTER ({target} = 1) AS n1, COUNT({c}) FILTER ({target} = 0) AS n0, AVG({c}) FILTER ({target} = 1) AS m1, AVG({c}) FILTER ({target} = 0) AS m0,
       VAR_SAMP({c}) FILTER ({target} = 1) AS v1, VAR_SAMP({c}) FILTER ({target} = 0) AS v0 FROM {rel} {g}""" for c in cols]
     return f"""s AS ({' UNION ALL '.join(parts)}),
-     tt AS (SELECT *, n1 + n0 - 2 AS v, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t FROM s),
+     tt AS (SELECT *, n1 + n0 - 2 AS v, (m1 - m0) / sqrt(((n1 - 1) * COALESCE(v1, 0) + (n0 - 1) * COALESCE(v0, 0)) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t FROM s),
      pp AS (SELECT *, (SELECT SUM(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 4000, 2) / v, -(v + 1) / 2.0)) FROM range(4001) r(i)) * abs(t) / 4000 / 3
          * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(pi() * v) AS area FROM tt),
      test AS (SELECT {b}variable, t, greatest(1 - 2 * area, 0) AS p FROM pp)"""
