@@ -1,7 +1,8 @@
 """Exact quantiles and order statistics whose state stays bounded.
 
-Spark's `percentile` keeps every distinct value of a group in one hash map. That is the fastest plan while the
-input is small. Beyond that a sketch proposes cut points around each wanted rank, exact counts per slice decide
+Spark's `percentile` keeps every distinct value of a group in one hash map, outside compiled code. Here values are
+counted first, which combines copies before the shuffle; while a group is small, running counts over its sorted
+distinct values give the ranks. Beyond that a sketch proposes cut points around each wanted rank, exact counts per slice decide
 which slice holds the rank, and only the values of those slices are sorted. The sketch steers the work but never
 the answer: a slice that turns out wide costs time, not exactness.
 """
@@ -12,8 +13,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import col, long_form, melt_aggregates, q
-from .sizes import ROWS_PER_TASK, broadcast_if_small, is_small, largest_group
+from .columns import col, long_form, q, s as text
+from .sizes import ROWS_PER_TASK, broadcast_if_small, is_small, largest_group, spread
 
 # Half width, in rank fractions, of the slice cut around each wanted rank. The sketch's own error is 1 / 10000.
 _MARGIN = 3e-4
@@ -27,14 +28,12 @@ def use_sketch(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> bool:
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), *,
               sliced: bool | None = None) -> DataFrame:
-    """(by…, column, n, q) with `q` the linearly interpolated quantiles at `probs`."""
+    """(by…, column, n, q) with `q` the linearly interpolated quantiles at `probs`; columns without values have no row."""
     cols, by, probs = list(cols), list(by), list(probs)
     if sliced is None:
         sliced = use_sketch(df, cols, by)
     if not sliced:
-        wide = df.groupBy(*by).agg(*[F.expr(e) for i, c in enumerate(cols) for e in (
-            f"count({q(c)}) AS _n{i}", f"percentile(CAST({q(c)} AS DOUBLE), array({', '.join(f'{p!r}D' for p in probs)})) AS _q{i}")])
-        return melt_aggregates(wide, by, cols, {"n": lambda i: f"_n{i}", "q": lambda i: f"_q{i}"})
+        return _counted(df, cols, probs, by)
     ranks = []
     for p in probs:
         ranks += [lambda n, p=p: F.floor(F.lit(p) * (n - 1)), lambda n, p=p: F.ceil(F.lit(p) * (n - 1))]
@@ -47,6 +46,25 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     return found.select(*by, "column", "n", F.array(*between).alias("q"))
 
 
+def _counted(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Running counts over the sorted distinct values of each group and column."""
+    cells = ", ".join(f"named_struct('_i', {i}, 'value', CAST({q(c)} AS DOUBLE))" for i, c in enumerate(cols))
+    key = [*by, "_i"]
+    counts = (
+        spread(df.select(*[col(c) for c in dict.fromkeys([*by, *cols])]))
+        .selectExpr(*[q(b) for b in by], f"inline(array({cells}))").filter("value IS NOT NULL")
+        .groupBy(*key, "value").agg(F.expr("count(1) AS _m"))
+    )
+    w = W.partitionBy(*key)
+    ranked = counts.withColumns({"_end": F.sum("_m").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("_m").over(w)})
+    at = [f"{p!r}D * (n - 1)" for p in probs]
+    held = lambda r: f"max(CASE WHEN {r} >= _end - _m AND {r} < _end THEN value END)"
+    found = ranked.groupBy(*key, "n").agg(*[F.expr(f"{held(f'{f}({a})')} AS {f}{j}") for j, a in enumerate(at) for f in ("floor", "ceil")])
+    between = ", ".join(f"floor{j} + (ceil{j} - floor{j}) * ({a} - floor({a}))" for j, a in enumerate(at))
+    names = ", ".join(text(c) for c in cols)
+    return found.selectExpr(*[q(b) for b in by], f"array({names})[_i] AS column", "n", f"array({between}) AS q")
+
+
 def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callable[[Column], Column]],
                      near: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by…, column, n, v): `v[j]` is the value of 0-based rank `ranks[j](n)` among the non-null values.
@@ -56,7 +74,7 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     cols, by = list(cols), list(by)
     wanted = sorted({min(1.0, max(0.0, p + d)) for p in near for d in (-_MARGIN, _MARGIN)})
     sketch = df.groupBy(*by).agg(
-        *[F.array_distinct(F.percentile_approx(col(c).cast("double"), wanted, 10_000)).alias(f"_c{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(col(c).cast("double"), wanted, 10_000).alias(f"_c{i}") for i, c in enumerate(cols)],
     )
     # One row per group. Without keys it is a single row; with keys its size is counted before a broadcast.
     if by:
@@ -64,14 +82,9 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
         cut = df.join(side, [col(b).eqNullSafe(col(f"_b_{b}")) for b in by], "inner")
     else:
         cut = df.crossJoin(F.broadcast(sketch.select(*[f"_c{i}" for i in range(len(cols))])))  # exactly one row
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value"), slot(F.col(f"_c{i}"), col(c).cast("double")).alias("slice"))
-        for i, c in enumerate(cols)
-    ])
-    values = (
-        cut.select(*by, F.explode(F.filter(cells, lambda s: s["value"].isNotNull())).alias("_e"))
-        .select(*by, "_e.*")
-    )
+    cells = ", ".join(f"named_struct('column', {text(c)}, 'value', CAST({q(c)} AS DOUBLE), 'slice', {slot_sql([f'_c{i}[{j}]' for j in range(len(wanted))], c)})"
+                      for i, c in enumerate(cols))
+    values = cut.selectExpr(*[q(b) for b in by], f"inline(array({cells}))").filter("value IS NOT NULL")
     # Exact counts per slice: at most 2 * len(near) + 1 slices per group and column.
     key = [*by, "column"]
     before = W.partitionBy(*key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -117,9 +130,10 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     )
 
 
-def slot(cuts: Column, value: Column) -> Column:
-    """Number of cut points below the value, which numbers right-closed bins from 0. For short arrays of cuts."""
-    return F.size(F.filter(cuts, lambda c: c < value))
+def slot_sql(cuts: Sequence[str], column: str) -> str:
+    """Number of cut points below the value, which numbers right-closed bins from 0. A sum of comparisons compiles; a
+    higher-order function over an array would not."""
+    return " + ".join(f"int({c} < CAST({q(column)} AS DOUBLE))" for c in cuts) or "0"
 
 
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, list[float] | None]:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Below this plan estimate one hash aggregate or one window per key is fine.
 SMALL_PLAN_BYTES = 8 * 1024 * 1024
+# Inputs up to this estimate may be redistributed over the cores before costly work.
+SPREAD_BYTES = 64 * 1024 * 1024
 # Largest group that one task sorts or hashes.
 ROWS_PER_TASK = 2_000_000
 # Largest table we hint as a broadcast, in rows of a few narrow columns.
@@ -27,6 +29,18 @@ def is_small(df: DataFrame) -> bool:
     return size is not None and size <= SMALL_PLAN_BYTES
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of an input that has fewer splits than the cluster has cores.
+
+    For work that is costly per row. A large input has more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = plan_bytes(df)
+    if size is None or size > SPREAD_BYTES or cores < 2:
+        return df
+    return df.repartition(cores)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether `df` holds no more than `rows` rows; reads no more than rows + 1."""
     return df.limit(rows + 1).count() <= rows

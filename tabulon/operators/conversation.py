@@ -29,8 +29,8 @@ def intent(text: Column, rules: Mapping[str, Sequence[str]] = presets.INTENTS, d
 
 
 def _found(text: Column, groups: Mapping[str, Sequence[str]]) -> Column:
-    hits = F.array(*[F.when(_any(text, terms), F.lit(name)) for name, terms in groups.items()])
-    return F.filter(hits, lambda x: x.isNotNull())
+    # not a higher-order function, so that the matching is compiled and the lower-cased text is shared
+    return F.array_remove(F.array(*[F.when(_any(text, terms), F.lit(name)).otherwise(F.lit("")) for name, terms in groups.items()]), "")
 
 
 def _terms(text: Column, terms: Sequence[str]) -> Column:
@@ -106,7 +106,10 @@ def session_history(df: DataFrame, session, conversation: str = "conv_id", turn:
 
 def concise(text: Column, lines: int = 15) -> Column:
     """CNV-08: blank lines and the first `lines` others."""
-    rows = F.split(text, "\n", -1)
-    filled = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    last = F.try_element_at(filled, F.lit(lines))
-    return F.array_join(F.filter(rows, lambda x, i: last.isNull() | (i <= last) | ~x.rlike(r"\S")), "\n")
+    filled = lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")) != ""
+    places = lambda rows: F.array_compact(F.transform(rows, lambda x, i: F.when(filled(x), i)))
+    cut = lambda rows, last: F.filter(rows, lambda x, i: last.isNull() | (i <= last) | ~filled(x))
+    # each transform over one element binds a value once; inside a lambda an outer expression would be redone per line
+    bound = F.transform(F.array(F.split(text, "\n", -1)), lambda rows: F.transform(
+        F.array(F.try_element_at(places(rows), F.lit(lines))), lambda last: F.array_join(cut(rows, last), "\n"))[0])
+    return bound[0]

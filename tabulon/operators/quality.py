@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, q, s, text_columns
-from ..functions.quantiles import modes, quantiles, use_sketch
+from ..functions.quantiles import modes, quantiles
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -98,13 +98,12 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     nums, texts = numeric_columns(df), text_columns(df)
     names = df.columns
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    inline = bool(nums) and not use_sketch(df, nums, [])
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(names):
         x = q(c)
         aggs.append(F.expr(f"count_if({x} IS NULL) AS m{i}"))
         if c in nums:
-            aggs += [F.expr(f"CAST({f}({x}) AS DOUBLE) AS {f}{i}") for f in ("min", "max", "avg", "stddev_samp", *(["median"] if inline else []))]
+            aggs += [F.expr(f"CAST({f}({x}) AS DOUBLE) AS {f}{i}") for f in ("min", "max", "avg", "stddev_samp")]
         elif approximate and c in texts:
             aggs.append(F.expr(f"approx_count_distinct({x}) AS d{i}"))
     wide = df.agg(*aggs)
@@ -117,11 +116,11 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         "missing": lambda i: f"m{i}",
         "missing_pct": lambda i: f"try_divide(m{i} * 100.0D, _rows)",
         "min": pick("min", nums), "max": pick("max", nums), "mean": pick("avg", nums),
-        "median": pick("median", nums if inline else []), "std": pick("stddev_samp", nums),
+        "median": pick("", []), "std": pick("stddev_samp", nums),
         "n_distinct": pick("d", texts if approximate else [], "bigint"),
     })
-    if nums and not inline:
-        med = quantiles(df, nums, [0.5], sliced=True).select("column", F.col("q")[0].alias("_med"))
+    if nums:
+        med = quantiles(df, nums, [0.5]).select("column", F.col("q")[0].alias("_med"))
         out = out.join(F.broadcast(med), "column", "left").withColumn("median", F.col("_med")).drop("_med")  # one row per column
     if not texts:
         return out.withColumn("most_common", F.lit(None).cast("string"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import col, require
+from ..functions.sizes import spread
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 # Query vectors that travel to every task; more than these take the block join.
@@ -90,7 +91,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "id", text: str = "content",
         chunks = F.when(n > 0, F.transform(starts, lambda s: F.substr(col(text), s, F.lit(size))))
     extra = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]) if metadata else F.create_map().cast("map<string,string>")
     return (
-        docs.select(col(id_col), F.posexplode(chunks).alias("chunk_index", "content"))
+        spread(docs.select(id_col, text)).select(col(id_col), F.posexplode(chunks).alias("chunk_index", "content"))
         .select(F.concat_ws("_", F.lit("chunk"), col(id_col).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
                 col(id_col), "chunk_index", "content", F.length("content").alias("chunk_size"), extra.alias("metadata"))
     )
@@ -99,7 +100,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "id", text: str = "content",
 # --- vectors --------------------------------------------------------------------------------------------------------
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def text_vectors(df: DataFrame, text: str, dims: int = 256, out: str = "embedding", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -109,10 +110,10 @@ def text_vectors(df: DataFrame, text: str, dims: int = 256, out: str = "embeddin
     document counts of the IDF, which are `dims` numbers.
     """
     if bucket is None:
-        held = df.withColumn("_w", words(F.coalesce(col(text), F.lit(""))))
+        held = spread(df).withColumn("_w", words(F.coalesce(col(text), F.lit(""))))
         counted = HashingTF(numFeatures=dims, inputCol="_w", outputCol="_tf").transform(held)
     else:
-        held = df.withColumn("_w", F.transform(words(F.coalesce(col(text), F.lit(""))), lambda w: bucket(w).cast("string")))
+        held = spread(df).withColumn("_w", F.transform(words(F.coalesce(col(text), F.lit(""))), lambda w: bucket(w).cast("string")))
         places = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], inputCol="_w", outputCol="_tf")
         counted = places.transform(held)
     weighted = IDF(inputCol="_tf", outputCol="_ti").fit(counted).transform(counted)
@@ -201,7 +202,7 @@ def _scan(side: DataFrame, rows: list, k: int, metric: str, schema: T.StructType
         columns = zip(*flat) if flat else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return side.mapInArrow(top, schema)
+    return spread(side).mapInArrow(top, schema)
 
 
 def _block_join(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
@@ -270,9 +271,10 @@ def keyword_search(docs: DataFrame, queries: Sequence[str], k: int = 3, *, id_co
         for w in dict.fromkeys(q.lower().split()):
             any_word = any_word | low.contains(w)
         hit[q] = any_word
-    found = F.filter(F.array(*[F.when(m, F.lit(q)) for q, m in hit.items()]), lambda q: q.isNotNull())
+    # not a higher-order function, so that the matching is compiled
+    found = F.array_remove(F.array(*[F.when(m, F.lit(q)).otherwise(F.lit("")) for q, m in hit.items()]), "")
     order = W.partitionBy("query").orderBy(id_col)
-    return docs.select(F.explode(found).alias("query"), col(id_col)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", col(id_col))
+    return spread(docs.select(id_col, text)).select(F.explode(found).alias("query"), col(id_col)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", col(id_col))
 
 
 # --- collection upkeep ----------------------------------------------------------------------------------------------

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..functions import ordered
 from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, q, replace_columns, require, s
 from ..functions.distributions import f_p_value, t_p_value
-from ..functions.quantiles import mode_values, quantile_values, quantiles, slot, use_sketch, value_counts
-from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, largest_group
+from ..functions.quantiles import mode_values, quantile_values, quantiles, slot_sql, value_counts
+from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, largest_group, spread
 from .impute import fill_mean
 
 # Above this number of pairs one aggregate over all of them no longer compiles well.
@@ -50,8 +50,6 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     df = nan_to_null(df)
     by = list(by)
     names = list(columns or numeric_columns(df, exclude=by))
-    if sliced is None:
-        sliced = use_sketch(df, names, by)
     functions = {"count": "count", "avg": "mean", "stddev_samp": "std", "min": "min", "max": "max"}
     if shape:
         functions |= {"skewness": "skewness", "kurtosis": "kurtosis"}
@@ -59,19 +57,14 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     for i, c in enumerate(names):
         x = f"CAST({q(c)} AS DOUBLE)"
         aggs += [F.expr(f"{f}({x}) AS {f}{i}") for f in functions]
-        if not sliced:
-            aggs.append(F.expr(f"percentile({x}, array(0.25D, 0.5D, 0.75D)) AS _q{i}"))
     # zero variance gives NaN where pandas gives none
     fields = {n: (lambda i, f=f: f"nullif({f}{i}, double('NaN'))" if f in ("skewness", "kurtosis") else f"{f}{i}") for f, n in functions.items()}
-    if not sliced:
-        fields["_q"] = lambda i: f"_q{i}"
     out = melt_aggregates(df.groupBy(*by).agg(*aggs), by, names, fields, key="variable").filter(F.col("count") > 0)
-    if sliced:
-        cuts = quantiles(df, names, [0.25, 0.5, 0.75], by, sliced=True).select(
-            *[col(b).alias(f"_b_{b}") for b in by], F.col("column").alias("_v"), F.col("q").alias("_q"))
-        cuts = cuts if by else F.broadcast(cuts)  # without segments: one row per column
-        on = [col(b).eqNullSafe(col(f"_b_{b}")) for b in by] + [F.col("variable") == F.col("_v")]
-        out = out.join(cuts, on, "left")
+    cuts = quantiles(df, names, [0.25, 0.5, 0.75], by, sliced=sliced).select(
+        *[col(b).alias(f"_b_{b}") for b in by], F.col("column").alias("_v"), F.col("q").alias("_q"))
+    cuts = cuts if by else F.broadcast(cuts)  # without segments: one row per column
+    on = [col(b).eqNullSafe(col(f"_b_{b}")) for b in by] + [F.col("variable") == F.col("_v")]
+    out = out.join(cuts, on, "left")
     keep = ["count", "mean", "std", "min", "max", *(["skewness", "kurtosis"] if shape else [])]
     return out.select(*by, "variable", *keep, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
 
@@ -188,7 +181,7 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
     whole = [c for c in names if c not in holes]
     parts = []
     if len(whole) > 1:
-        ranked = df.select(*[col(c).cast("double").alias(c) for c in whole])
+        ranked = spread(df.select(*[col(c).cast("double").alias(c) for c in whole]))
         sizes = ranked.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(whole)]).first()
         for i, c in enumerate(whole):
             cut = chunks or (1 if sizes[i] <= ROWS_PER_TASK else None)  # the ranking sorts distinct values
@@ -316,7 +309,7 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str] | None
     df = fill_mean(df, names)
     cuts = {c: sorted(set(q)) if q else [] for c, q in quantile_values(df, names, [i / bins for i in range(1, bins)]).items()}
     cells = F.array(*[
-        F.struct(F.lit(c).alias("variable"), slot(F.array(*[F.lit(float(v)) for v in cuts[c]]).cast("array<double>"), col(c).cast("double")).alias("bin"))
+        F.expr(f"named_struct('variable', {s(c)}, 'bin', {slot_sql([f'{v!r}D' for v in cuts[c]], c)})")
         for c in names
     ])
     joint = df.select(col(target).alias("_y"), F.explode(cells).alias("_e")).groupBy("_e.variable", "_e.bin", "_y").agg(F.count(F.lit(1)).alias("n"))
