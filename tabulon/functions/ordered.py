@@ -12,7 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .columns import col, replace_columns
-from .sizes import ROWS_PER_TASK, is_small, largest_group
+from .sizes import ROWS_PER_TASK, group_sizes, is_small
 
 MAX_CHUNKS = 4096
 MIN_GLOBAL_CHUNKS = 8
@@ -35,15 +35,17 @@ def as_number(df: DataFrame, order_by: str) -> Column:
 def with_chunks(df: DataFrame, order_by: str, by: Sequence[str], chunks: int | None, least: int = 1) -> tuple[DataFrame, int]:
     """Append the chunk number of each row as `_chunk`; returns the frame and the number of chunks.
 
-    With `chunks=None` the number follows from the size of the largest group, and is at least `least`. One chunk
-    means "not needed". The order column must not hold nulls.
+    With `chunks=None` a table without a big group keeps one chunk per key, "not needed". With one, there are so many
+    that a chunk of all keys together, and so of any key, is one task's work; at least `least`. The order column must
+    not hold nulls.
     """
     name = "_chunk"
     if chunks is None:
         if is_small(df.select(order_by, *by)):
             chunks = 1
         else:
-            chunks = min(MAX_CHUNKS, -(-largest_group(df, by) // ROWS_PER_TASK))
+            biggest, rows = group_sizes(df, by)
+            chunks = min(MAX_CHUNKS, -(-rows // ROWS_PER_TASK)) if biggest > ROWS_PER_TASK else 1
         chunks = max(chunks, least)
     if chunks <= 1:
         return df.withColumn(name, F.lit(0)), 1

@@ -76,13 +76,15 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     sketch = df.groupBy(*by).agg(
         *[F.percentile_approx(col(c).cast("double"), wanted, 10_000).alias(f"_c{i}") for i, c in enumerate(cols)],
     )
-    # One row per group. Without keys it is a single row; with keys its size is counted before a broadcast.
+    # Without keys the sketch is one row, whose cut points become literals. With keys its rows are counted before a broadcast.
+    names = [[f"_c{i}[{j}]" for j in range(len(wanted))] for i in range(len(cols))]
     if by:
         side = broadcast_if_small(sketch.select(*[col(b).alias(f"_b_{b}") for b in by], *[f"_c{i}" for i in range(len(cols))]))
         cut = df.join(side, [col(b).eqNullSafe(col(f"_b_{b}")) for b in by], "inner")
     else:
-        cut = df.crossJoin(F.broadcast(sketch.select(*[f"_c{i}" for i in range(len(cols))])))  # exactly one row
-    cells = ", ".join(f"named_struct('column', {text(c)}, 'value', CAST({q(c)} AS DOUBLE), 'slice', {slot_sql([f'_c{i}[{j}]' for j in range(len(wanted))], c)})"
+        cut, row = df, sketch.first()
+        names = [[f"{v!r}D" for v in sorted(set(row[i] or []))] for i in range(len(cols))]
+    cells = ", ".join(f"named_struct('column', {text(c)}, 'value', CAST({q(c)} AS DOUBLE), 'slice', {slot_sql(names[i], c)})"
                       for i, c in enumerate(cols))
     values = cut.selectExpr(*[q(b) for b in by], f"inline(array({cells}))").filter("value IS NOT NULL")
     # Exact counts per slice: at most 2 * len(near) + 1 slices per group and column.

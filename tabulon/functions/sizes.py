@@ -51,8 +51,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the biggest group. Counts are combined map-side, so a hot key costs nothing extra."""
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows of the biggest group, and of all. Counts are combined map-side, so a hot key costs nothing extra."""
     if not by:
-        return df.count()
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        n = df.count()
+        return n, n
+    row = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    return group_sizes(df, by)[0]

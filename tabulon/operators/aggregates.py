@@ -45,9 +45,12 @@ def key_figures(df: DataFrame, target: str, means: Sequence[str], by: Sequence[s
 
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """AGG-05: counts, descending; nulls are left out. Share of the (segment's) counted rows."""
-    counts = df.filter(col(column).isNotNull()).groupBy(*by, col(column)).agg(F.count(F.lit(1)).alias("rows"))
-    totals = df.filter(col(column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    joined = counts.join(totals, list(by)) if by else counts.join(F.broadcast(totals))  # one row
+    known = df.filter(col(column).isNotNull())
+    counts = known.groupBy(*by, col(column)).agg(F.count(F.lit(1)).alias("rows"))
+    if by:
+        joined = counts.join(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")), list(by))
+    else:
+        joined = counts.withColumn("_total", known.agg(F.count(F.lit(1))).scalar())
     return joined.select(*by, col(column), "rows", (F.col("rows") / F.col("_total")).alias("share")).orderBy(F.desc("rows"), col(column))
 
 

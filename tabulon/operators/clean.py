@@ -76,10 +76,9 @@ def clean(df: DataFrame, target: str | None = "attrition", numeric: Sequence[str
 
 def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """Shape before and after, as one row."""
-    b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    a = after.agg(F.count(F.lit(1)).alias("rows_after"))
     n_b, n_a = len(before.columns), len(after.columns)
-    return b.join(F.broadcast(a)).select(  # one row each
+    kept = after.agg(F.count(F.lit(1))).scalar()
+    return before.agg(F.count(F.lit(1)).alias("rows_before")).withColumn("rows_after", kept).select(
         "rows_before", "rows_after",
         (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
         F.lit(n_b).cast("long").alias("columns_before"), F.lit(n_a).cast("long").alias("columns_after"),

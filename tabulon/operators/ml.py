@@ -192,7 +192,7 @@ def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction"
                    rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
     if probability is None:
         return out.withColumn("roc_auc", F.lit(None).cast("double"))
-    return out.join(F.broadcast(roc_auc(df, label, probability)))  # one row each
+    return out.withColumn("roc_auc", roc_auc(df, label, probability).scalar())
 
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

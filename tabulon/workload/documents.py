@@ -33,15 +33,16 @@ def _(spark, sf):
     return R.chunk_documents(docs(spark, sf), metadata={"kind": "document"}).select("id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("digest"), "chunk_size")
 
 
-# The collection: documents with an even id. Offered: every third document, shortened where 5 divides the id.
-_OFFER = "o AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 6) ELSE text END AS content, lang, source FROM documents WHERE doc_id % 3 = 0)"
-_COLL = "c AS (SELECT doc_id AS id, text AS content, lang, source FROM documents WHERE doc_id % 2 = 0)"
+# The collection: the labelled documents. Offered: all documents, cut to a few characters where the source ends in 5.
+_OFFER = "o AS (SELECT doc_id AS id, CASE WHEN source LIKE '%5' THEN substr(text, 1, 6) ELSE text END AS content, lang, source FROM documents)"
+_COLL = "c AS (SELECT doc_id AS id, text AS content, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
 def _grown(spark, sf):
     d = docs(spark, sf)
-    offered = d.filter(F.col("id") % 3 == 0).withColumn("content", F.when(F.col("id") % 5 == 0, F.substring("content", 1, 6)).otherwise(F.col("content")))
-    return R.add_documents(d.filter(F.col("id") % 2 == 0), offered)
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    offered = d.withColumn("content", F.when(F.col("source").endswith("5"), F.substring("content", 1, 6)).otherwise(F.col("content")))
+    return R.add_documents(d.join(labelled, "id", "left_semi"), offered)
 
 
 @query("RAG-02", f"""WITH {_COLL}, {_OFFER}, a AS (SELECT * FROM c UNION ALL SELECT * FROM o WHERE length(trim(content)) >= 10 AND id NOT IN (SELECT id FROM c)) SELECT id, lang, md5(content) AS digest FROM a""")
@@ -160,12 +161,12 @@ def _(spark, sf):
     return R.keyword_search(docs(spark, sf), _ASK)
 
 
-@query("RAG-09", """SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 40) || '!' ELSE md5(text) END AS content, CASE WHEN doc_id % 8 = 0 THEN 'edited' ELSE source END AS source FROM documents""")
+@query("RAG-09", """SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN substr(text, 1, 40) || '!' ELSE md5(text) END AS content, CASE WHEN lang = 'fr' AND source LIKE 'src1%' THEN 'edited' ELSE source END AS source FROM documents""")
 def _(spark, sf):
     base = docs(spark, sf).select("id", F.md5(F.col("content").cast("binary")).alias("content"), "source")
     text = docs(spark, sf)
-    changed = text.filter(F.col("id") % 4 == 0).select("id", F.concat(F.substring("content", 1, 40), F.lit("!")).alias("content"), F.when(F.col("id") % 8 == 0, F.lit("edited")).alias("source"))
-    unknown = changed.limit(1).withColumn("id", F.lit(-5).cast("long"))
+    changed = text.filter("lang = 'fr'").select("id", F.concat(F.substring("content", 1, 40), F.lit("!")).alias("content"), F.when(F.col("source").startswith("src1"), F.lit("edited")).alias("source"))
+    unknown = changed.withColumn("id", -1 - F.col("id"))
     return R.update_documents(base, changed.unionByName(unknown), metadata="source")
 
 

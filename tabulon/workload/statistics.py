@@ -196,6 +196,19 @@ def _(spark, sf):
     return rounded(S.pca(table(spark, sf, "lineitem"), _L)[0])
 
 
+def _trace_sql(cols):
+    squares = " + ".join(f"2 * corr({a}, {b}) ** 2" for a, b in combinations(cols, 2))
+    return f"SELECT CAST({len(cols)} AS BIGINT) AS components, 1.0::DOUBLE AS total, round({len(cols)} + {squares}, 6) AS squares FROM lineitem"
+
+
+@query("ST-11-invariants", _trace_sql(_L))
+def _(spark, sf):
+    # the eigenvalues of a correlation matrix sum to its size, their squares to its squared entries
+    comp = S.pca(table(spark, sf, "lineitem"), _L)[0]
+    value = F.col("explained_ratio") * len(_L)
+    return rounded(comp.agg(F.count(F.lit(1)).alias("components"), F.sum("explained_ratio").alias("total"), F.sum(value * value).alias("squares")))
+
+
 @query("ST-11-loadings")
 def _(spark, sf):
     loadings = S.pca(table(spark, sf, "lineitem"), _L)[1]

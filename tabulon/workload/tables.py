@@ -43,10 +43,6 @@ WF = f"WITH workforce AS ({WORKFORCE})"
 WFT = f"""{WF}, wf AS (SELECT * EXCLUDE (attrition), CASE WHEN attrition IN ('Yes','True','Left') THEN 1
   WHEN attrition IN ('No','False','Stayed') THEN 0 END AS attrition FROM workforce)"""
 
-WF_NUMERIC = ["age", "monthly_income", "performance_rating", "satisfaction_score", "years_at_company", "years_in_current_role",
-              "years_since_last_promotion", "training_times_last_year", "n_orders"]
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
