@@ -1,8 +1,8 @@
 """Exact quantiles and order statistics whose state stays bounded.
 
 Spark's `percentile` keeps every distinct value of a group in one hash map, outside compiled code. Here values are
-counted first, which combines copies before the shuffle; while a group is small, running counts over its sorted
-distinct values give the ranks. Beyond that a sketch proposes cut points around each wanted rank, exact counts per slice decide
+counted first, which combines copies before the shuffle; while a group is small, slices of a fixed rule are totalled
+and the values of the few slices that hold a wanted rank are sorted. Beyond that a sketch proposes cut points around each wanted rank, exact counts per slice decide
 which slice holds the rank, and only the values of those slices are sorted. The sketch steers the work but never
 the answer: a slice that turns out wide costs time, not exactness.
 """
@@ -46,20 +46,34 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     return found.select(*by, "column", "n", F.array(*between).alias("q"))
 
 
+# Eight slices per power of two: rises with the value and needs no knowledge of the data.
+_LOG_SLICE = """CASE WHEN value >= 1e300D THEN 100000 WHEN value <= -1e300D THEN -100000 WHEN value > 0 THEN 20000 + int(floor(8 * log2(value)))
+  WHEN value < 0 THEN -20000 - int(floor(8 * log2(-value))) ELSE 0 END"""
+
+
 def _counted(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Running counts over the sorted distinct values of each group and column."""
+    """Counts per distinct value; slice totals tell which slices hold a wanted rank, and only their values are sorted."""
     cells = ", ".join(f"named_struct('_i', {i}, 'value', CAST({q(c)} AS DOUBLE))" for i, c in enumerate(cols))
     key = [*by, "_i"]
     counts = (
         spread(df.select(*[col(c) for c in dict.fromkeys([*by, *cols])]))
         .selectExpr(*[q(b) for b in by], f"inline(array({cells}))").filter("value IS NOT NULL")
-        .groupBy(*key, "value").agg(F.expr("count(1) AS _m"))
+        .groupBy(*key, "value").agg(F.expr("count(1) AS _m")).withColumn("_s", F.expr(_LOG_SLICE))
     )
-    w = W.partitionBy(*key)
-    ranked = counts.withColumns({"_end": F.sum("_m").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("_m").over(w)})
     at = [f"{p!r}D * (n - 1)" for p in probs]
-    held = lambda r: f"max(CASE WHEN {r} >= _end - _m AND {r} < _end THEN value END)"
-    found = ranked.groupBy(*key, "n").agg(*[F.expr(f"{held(f'{f}({a})')} AS {f}{j}") for j, a in enumerate(at) for f in ("floor", "ceil")])
+    ranks = [f"{f}({a})" for a in at for f in ("floor", "ceil")]
+    w = W.partitionBy(*key)  # a few hundred slices
+    slices = counts.groupBy(*key, "_s").agg(F.sum("_m").alias("_sm")).withColumns({
+        "_start": F.coalesce(F.sum("_sm").over(w.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_sm").over(w)})
+    held = slices.filter(" OR ".join(f"({r} >= _start AND {r} < _start + _sm)" for r in ranks))
+    side = held.select(*[col(k).alias(f"_k_{k}") for k in [*key, "_s"]], "_start", "n")
+    if not by:
+        side = F.broadcast(side)  # at most len(cols) * len(ranks) rows
+    joined = counts.join(side, [col(k).eqNullSafe(col(f"_k_{k}")) for k in [*key, "_s"]], "inner")
+    inside = W.partitionBy(*key, "_s").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = joined.withColumn("_end", F.col("_start") + F.sum("_m").over(inside))
+    hit = lambda r: f"max(CASE WHEN {r} >= _end - _m AND {r} < _end THEN value END)"
+    found = ranked.groupBy(*key, "n").agg(*[F.expr(f"{hit(f'{f}({a})')} AS {f}{j}") for j, a in enumerate(at) for f in ("floor", "ceil")])
     between = ", ".join(f"floor{j} + (ceil{j} - floor{j}) * ({a} - floor({a}))" for j, a in enumerate(at))
     names = ", ".join(text(c) for c in cols)
     return found.selectExpr(*[q(b) for b in by], f"array({names})[_i] AS column", "n", f"array({between}) AS q")

@@ -21,11 +21,12 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
 
 
+@pytest.mark.parametrize("sliced", [False, True])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_sliced_quantiles_equal_numpy(skewed, by):
+def test_quantiles_equal_numpy(skewed, by, sliced):
     pdf, df = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.993, 1.0]
-    got = {tuple(r[b] for b in by) + (r["column"],): r for r in QU.quantiles(df, ["x", "y", "z"], probs, by, sliced=True).collect()}
+    got = {tuple(r[b] for b in by) + (r["column"],): r for r in QU.quantiles(df, ["x", "y", "z"], probs, by, sliced=sliced).collect()}
     groups = pdf.groupby(by) if by else [((), pdf)]
     for key, part in groups:
         for c in ("x", "y", "z"):
