@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, numeric_columns
 from .impute import fill_constant
-from .stats import anova, mutual_information, target_correlations
+from .stats import anova, by_score, mutual_information, target_correlations
 
 METHODS = ("correlation", "mutual_info", "f_statistic")
 
@@ -26,7 +26,7 @@ def feature_scores(df: DataFrame, target: str, method: str, k: int, columns: Seq
             scores = mutual_information(filled, target, names).select("variable", F.col("mutual_information").alias("score"))
         else:
             scores = anova(filled, target, names).select("variable", F.col("f_statistic").alias("score"))
-    return scores.orderBy(F.desc_nulls_last("score"), "variable").limit(k)
+    return scores.orderBy(*by_score("score")).limit(k)
 
 
 def select_features(df: DataFrame, target: str, k: int, method: str = "correlation", columns: Sequence[str] | None = None) -> DataFrame:

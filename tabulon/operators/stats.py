@@ -330,10 +330,15 @@ def target_correlations(df: DataFrame, target: str, columns: Sequence[str] | Non
     return melt_aggregates(wide, by, names, {"correlation": lambda i: f"r{i}"}, key="variable")
 
 
+def by_score(score: str) -> list[Column]:
+    """Best first. Scores that agree to nine digits differ by the order of summation only: they tie and go by name."""
+    return [F.desc_nulls_last(F.round(score, 9)), F.col("variable").asc()]
+
+
 def strongest(df: DataFrame, target: str, columns: Sequence[str] | None = None, top: int = 3) -> DataFrame:
     """ST-13: the columns with the highest |r| with the target."""
     r = target_correlations(df, target, columns).withColumn("importance", F.abs("correlation"))
-    return r.orderBy(F.desc_nulls_last("importance"), "variable").limit(top)
+    return r.orderBy(*by_score("importance")).limit(top)
 
 
 def feature_importance(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -345,7 +350,7 @@ def feature_importance(df: DataFrame, target: str, columns: Sequence[str] | None
 
 def top_features(importance: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """ST-10: union of the k best of every method, with the best rank reached."""
-    order = W.partitionBy(*by, "method").orderBy(F.desc_nulls_last("score"), "variable")
+    order = W.partitionBy(*by, "method").orderBy(*by_score("score"))
     return (
         importance.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
         .groupBy(*by, "variable").agg(F.min("_r").alias("best_rank"))

@@ -152,7 +152,7 @@ def _(spark, sf):
 _CAND = ["age", "monthly_income", "performance_rating", "satisfaction_score", "years_at_company", "training_times_last_year"]
 
 
-@query("SEL-01", WFT + ", c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, abs(corr({c}, attrition)) AS score FROM wf" for c in _CAND) + ") SELECT variable, round(score, 6) AS score FROM c ORDER BY score DESC, variable LIMIT 3")
+@query("SEL-01", WFT + ", c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, abs(corr({c}, attrition)) AS score FROM wf" for c in _CAND) + ") SELECT variable, round(score, 6) AS score FROM c ORDER BY round(c.score, 9) DESC, variable LIMIT 3")
 def _(spark, sf):
     return rounded(SEL.feature_scores(target01(spark, sf), "attrition", "correlation", 3, _CAND))
 
@@ -168,7 +168,7 @@ def mi_sql(rel, target, cols, fill):
      mi AS (SELECT variable, greatest(SUM(n / tot * ln(n * tot / (pb * py))), 0) AS mutual_information FROM t GROUP BY variable)"""
 
 
-@query("SEL-02", WFT + ", " + mi_sql("wf", "attrition", _CAND, lambda c: f"COALESCE({c}, 0)::DOUBLE") + " SELECT variable, round(mutual_information, 6) AS score FROM mi ORDER BY mutual_information DESC, variable LIMIT 3")
+@query("SEL-02", WFT + ", " + mi_sql("wf", "attrition", _CAND, lambda c: f"COALESCE({c}, 0)::DOUBLE") + " SELECT variable, round(mutual_information, 6) AS score FROM mi ORDER BY round(mutual_information, 9) DESC, variable LIMIT 3")
 def _(spark, sf):
     return rounded(SEL.feature_scores(target01(spark, sf), "attrition", "mutual_info", 3, _CAND))
 
@@ -180,6 +180,6 @@ def anova_sql(rel, target, cols, fill):
      an AS (SELECT g.variable, SUM(cn * (cm - m) ** 2) / (COUNT(*) - 1) / (SUM(ss) / (MAX(n) - COUNT(*))) AS f, COUNT(*) - 1 AS d1, MAX(n) - COUNT(*) AS d2 FROM g JOIN gm USING (variable) GROUP BY g.variable)"""
 
 
-@query("SEL-03", WFT + ", " + anova_sql("wf", "attrition", _CAND, lambda c: f"COALESCE({c}, 0)") + " SELECT variable, round(f, 6) AS score FROM an ORDER BY f DESC, variable LIMIT 3")
+@query("SEL-03", WFT + ", " + anova_sql("wf", "attrition", _CAND, lambda c: f"COALESCE({c}, 0)") + " SELECT variable, round(f, 6) AS score FROM an ORDER BY round(f, 9) DESC, variable LIMIT 3")
 def _(spark, sf):
     return rounded(SEL.feature_scores(target01(spark, sf), "attrition", "f_statistic", 3, _CAND))

@@ -182,7 +182,7 @@ def _(spark, sf):
 
 _TOP = WFT + ", " + anova_sql("wf", "attrition", _W, _FILL("wf")) + ", " + mi_sql("wf", "attrition", _W, _FILL("wf")) + """, imp AS (
    SELECT 'f_score' AS method, variable, f AS score FROM an UNION ALL SELECT 'mutual_information', variable, mutual_information FROM mi),
-   rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY method ORDER BY score DESC, variable) AS r FROM imp),
+   rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY method ORDER BY round(score, 9) DESC, variable) AS r FROM imp),
    top AS (SELECT variable, CAST(MIN(r) AS INTEGER) AS best_rank FROM rk WHERE r <= 3 GROUP BY variable)"""
 
 
@@ -215,7 +215,7 @@ def _(spark, sf):
     return rounded(loadings.withColumn("loading", F.abs("loading")))
 
 
-@query("ST-13", WFT + ", c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, corr({c}, attrition) AS r FROM wf" for c in _W) + ") SELECT variable, round(r, 6) AS correlation, round(abs(r), 6) AS importance FROM c ORDER BY abs(r) DESC, variable LIMIT 3")
+@query("ST-13", WFT + ", c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, corr({c}, attrition) AS r FROM wf" for c in _W) + ") SELECT variable, round(r, 6) AS correlation, round(abs(r), 6) AS importance FROM c ORDER BY round(abs(r), 9) DESC, variable LIMIT 3")
 def _(spark, sf):
     return rounded(S.strongest(target01(spark, sf), "attrition", _W, 3))
 
