@@ -24,10 +24,16 @@ def local_session(cores: str | int = "*", name: str = "tabulon", **conf) -> Spar
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of `spark.checkpoint.dir`; a local temporary one only where that is unset."""
+    """A new path in the folder of `spark.checkpoint.dir`, which driver and executors share.
+
+    Only a session that runs in this one process may do without that setting; it then gets a temporary folder, once.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tabulon-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
