@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..workload.tables import table
-from . import exact, mixing
+from . import exact, jaccard, mixing, substring
 from .common import normalised
 
 QUERIES, ORACLE = {}, {}
@@ -27,6 +27,25 @@ def _(spark, sf):
     return exact.exact_groups(table(spark, sf, "documents"), carry=digest).withColumnRenamed("carried", "text_sha256")
 
 
+@query("op3_substring_dedup", r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+  g AS (SELECT doc_id, pos, word, md5(string_agg(word, ' ') OVER win) AS run, count(*) OVER win AS n FROM w
+    WINDOW win AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+  r AS (SELECT run FROM g WHERE n = 35 GROUP BY run HAVING count(*) > 1),
+  h AS (SELECT g.*, CASE WHEN n = 35 AND r.run IS NOT NULL THEN 1 ELSE 0 END AS hit FROM g LEFT JOIN r ON g.run = r.run),
+  c AS (SELECT doc_id, pos, word, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM h),
+  k AS (SELECT doc_id, sum(gone) AS gone, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""")
+def _(spark, sf):
+    out = substring.remove_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op5_ngram_jaccard")
+def _(spark, sf):
+    return jaccard.similar_documents(table(spark, sf, "documents"))
+
+
 @query("op8_mixing", r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     (CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
   s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
