@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..workload.tables import table
-from . import exact, jaccard, mixing, substring
+from . import exact, jaccard, licences, mixing, secrets, substring
 from .common import normalised
 
 QUERIES, ORACLE = {}, {}
@@ -46,6 +46,44 @@ def _(spark, sf):
     return jaccard.similar_documents(table(spark, sf, "documents"))
 
 
+def _canonical_sql(text):
+    text = f"replace(replace(lower(coalesce({text}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for a, b in licences.SPELLINGS:
+        text = f"replace({text}, '{a}', '{b}')"
+    text = f"regexp_replace({text}, '[^\\p{{L}}\\p{{N}}+\\n]+', ' ', 'g')"
+    text = f"regexp_replace({text}, '(?m)^ | $', '', 'g')"
+    return f"regexp_replace({text}, '(?m)^copyright (copyright )?([0-9]|by )[^\\n]*(\\n|\\z)', '', 'g')"
+
+
+def _licence_sql():
+    known = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in licences.LICENCES)
+    flat = "trim(regexp_replace(%s, '\\n+', ' ', 'g'))"
+    units = f"""SELECT id, c, list_filter(regexp_split_to_array(c, '\\n\\n+'), lambda p: length({flat % 'p'}) > 0) AS ps FROM %s"""
+    return f"""WITH kt AS (SELECT i AS id, {_canonical_sql('t')} AS c FROM (VALUES {known}) AS v(i, t)), kp AS ({units % 'kt'}),
+  kd AS (SELECT id, sha256({flat % 'c'}) AS digest FROM kp UNION ALL SELECT id, unnest(list_transform(ps, lambda p: sha256({flat % 'p'}))) FROM kp),
+  k AS (SELECT digest, min(id) AS license_id FROM kd GROUP BY digest HAVING count(DISTINCT id) = 1),
+  dt AS (SELECT doc_id AS id, {_canonical_sql('text')} AS c FROM documents), d AS ({units % 'dt'}),
+  l AS (SELECT id, list_filter(flatten(list_transform(list_filter(ps, lambda p: contains(trim(p, chr(10)), chr(10))), lambda p: regexp_split_to_array(p, '\\n'))), lambda x: length(x) > 0) AS ls FROM d),
+  u AS (SELECT id, 'text' AS unit, CAST(1 AS BIGINT) AS unit_no, {flat % 'c'} AS words FROM d
+    UNION ALL SELECT id, 'paragraph', unnest(range(1, len(ps) + 1)), {flat % 'unnest(ps)'} FROM d WHERE len(ps) > 1
+    UNION ALL SELECT id, 'line', unnest(range(1, len(ls) + 1)), unnest(ls) FROM l)
+  SELECT id AS doc_id, unit, unit_no, license_id, digest FROM (SELECT id, unit, unit_no, sha256(words) AS digest FROM u WHERE words <> '') JOIN k USING (digest)"""
+
+
+@query("op6_license_scan", _licence_sql())
+def _(spark, sf):
+    return licences.scan_licences(table(spark, sf, "documents"))
+
+
+@query("op7_secret_scan")
+def _(spark, sf):
+    out = secrets.find_secrets(table(spark, sf, "documents"))
+    found = F.col("found")
+    counts = [secrets.count_of(found, k).alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    base = F.sha2(secrets.joined_spans(found, secrets.BASE_KINDS).cast("binary"), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), secrets.joined_spans(found).alias("spans"))
+
+
 @query("op8_mixing", r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     (CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
   s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
