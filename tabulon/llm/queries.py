@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..workload.tables import table
-from . import exact, jaccard, licences, mixing, secrets, substring
+from . import exact, jaccard, language, licences, mixing, secrets, substring
 from .common import normalised
 
 QUERIES, ORACLE = {}, {}
@@ -41,6 +41,11 @@ def _(spark, sf):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op4_language_id")
+def _(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
+
+
 @query("op5_ngram_jaccard")
 def _(spark, sf):
     return jaccard.similar_documents(table(spark, sf, "documents"))
