@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..workload.tables import table
-from . import exact, jaccard, language, licences, mixing, secrets, substring
+from . import exact, html_text, jaccard, language, licences, mixing, pieces, secrets, substring
 from .common import normalised
 
 QUERIES, ORACLE = {}, {}
@@ -27,6 +27,12 @@ def _(spark, sf):
     return exact.exact_groups(table(spark, sf, "documents"), carry=digest).withColumnRenamed("carried", "text_sha256")
 
 
+@query("op2_html_extraction")
+def _(spark, sf):
+    out = html_text.extract_text(table(spark, sf, "pages"), kept=[F.col("page_id"), F.col("url")])
+    return out.select("_kept.page_id", "_kept.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_substring_dedup", r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
   w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
   g AS (SELECT doc_id, pos, word, md5(string_agg(word, ' ') OVER win) AS run, count(*) OVER win AS n FROM w
@@ -102,3 +108,13 @@ def _(spark, sf):
   SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN p > 0 AND upto - size / 2.0 <= quota THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o""")
 def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_sentencepiece")
+def _(spark, sf):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.sha2(text.cast("binary"), 256)
+    coded = pieces.encode(table(spark, sf, "documents"), kept=[F.col("doc_id"), digest.alias("digest")])
+    coded = coded.select(F.col("_kept.doc_id").alias("doc_id"), F.col("_kept.digest").alias("digest"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "ids")
+    back = F.sha2(F.col("text").cast("binary"), 256)
+    return pieces.decode(coded).select("doc_id", "n_pieces", "ids_hash", back.alias("text_sha256"), (back == F.col("digest")).alias("lossless"))
