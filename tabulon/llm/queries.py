@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..workload.tables import table
-from . import exact, html_text, jaccard, language, licences, mixing, pieces, secrets, substring
+from . import exact, html_text, jaccard, language, licences, mixing, neighbours, pieces, secrets, substring
 from .common import normalised
 
 QUERIES, ORACLE = {}, {}
@@ -110,6 +110,11 @@ def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_ann")
+def _(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
 @query("op10_sentencepiece")
 def _(spark, sf):
     text = F.coalesce(F.col("text"), F.lit(""))
