@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .licence_texts import LICENCES
 
-# Spellings that count as one, the first written as the second.
+# Signs for copyright, and spellings that count as one. Each is a single word, so wrapped lines don't matter.
+SIGNS = (("(c)", "copyright"), ("©", "copyright"))
 SPELLINGS = (
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorisation", "authorization"), ("authorised", "authorized"),
     ("merchantibility", "merchantability"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("analyse", "analyze"), ("initialise", "initialize"), ("judgement", "judgment"),
-    ("labour", "labor"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("non-commercial", "noncommercial"),
-    ("per cent", "percent"), ("sub-license", "sublicense"), ("copyright holder", "copyright owner"), ("https://", "http://"), ("(c)", "copyright"), ("©", "copyright"),
+    ("labour", "labor"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"),
+    ("percent", "per cent"), ("sublicense", "sub license"), ("holder", "owner"), ("https", "http"),
 )
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, one spelling, a space for anything but letters, digits and +, line by line; copyright lines are gone."""
+    """Lower case, a space for anything but letters, digits and +, one spelling, line by line; copyright lines are gone."""
     t = F.replace(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    for a, b in SPELLINGS:
+    for a, b in SIGNS:
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, r"[^\p{L}\p{N}+\n]+", " ")
+    for a, b in SPELLINGS:
+        t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, r"(?m)^ | $", "")
     return F.regexp_replace(t, r"(?m)^copyright (copyright )?([0-9]|by )[^\n]*(\n|\z)", "")
 
@@ -54,8 +57,8 @@ def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per match: id, `unit` (text, paragraph, line), `unit_no`, `license_id`, `digest`.
 
     The whole text, each paragraph and each line of a longer paragraph are brought to canonical form and their SHA-256
-    is joined to the known ones; a match is a unit that is entirely a known text or notice. Only the largest of equal
-    units counts: a text of one paragraph is a text. Null and empty texts match nothing; each row stands for itself, so
+    is joined to the known ones; a match is a unit that is entirely a known text or notice, or a paragraph of one.
+    Only the largest of equal units counts: a text of one paragraph is a text. Null and empty texts match nothing; each row stands for itself, so
     repeated rows and null ids give their own matches; other columns are ignored.
 
     The known digests are a fixed list of `LICENCES`, so they are broadcast; a caller's own table is joined as Spark

@@ -122,7 +122,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
 
     Equal vectors are one class, of which the k + 1 smallest ids are kept, so no group of copies meets in a task. All
     classes are hashed into TABLES tables of buckets. A query visits buckets in the order of their estimated success
-    until it has gathered the share that finds SHARE of the neighbours in a sample of SAMPLE classes (their own
+    until it has met k + 1 classes and gathered the share that finds SHARE of the neighbours in a sample of SAMPLE classes (their own
     neighbours are farther apart than those in all the data, so the share found in all the data is larger). Buckets are
     cut into parts, parts dealt to shards of bounded size, queries to blocks; a task scores the candidates of a block
     in a shard exactly and hands on k + 1 classes for each query. The list of buckets has at most
@@ -157,7 +157,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     tables = []
     for t in range(TABLES):
         own = [(r["bucket"], r["count"]) for r in listed if r["table"] == t]
-        tables.append((np.array([b for b, _ in own]), np.array([-(-c // PART) for _, c in own])))
+        tables.append((np.array([b for b, _ in own]), np.array([-(-c // PART) for _, c in own]), np.array([c for _, c in own])))
     sent = spark.sparkContext.broadcast((probing, tables))
     blocks = -(-ask.count() // BLOCK)
 
@@ -170,7 +170,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
         for p in pdfs:
             t, b, c = (p[x].to_numpy() for x in ("table", "bucket", "cls"))
             parts = np.ones(len(p), np.int64)
-            for k_, (buckets, n) in enumerate(where):
+            for k_, (buckets, n, _) in enumerate(where):
                 parts[t == k_] = n[np.searchsorted(buckets, b[t == k_])]
             part = ((c.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.int64) % parts
             shard = shard_of(t, b, part)
@@ -184,9 +184,9 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
                 p = whole.iloc[at:at + 64].reset_index(drop=True)
                 vec = _stacked(p["vec"])
                 query, slot, shard = [], [], []
-                for t, (buckets, parts) in enumerate(where):
+                for t, (buckets, parts, counts) in enumerate(where):
                     order, before = probing.shares(vec, t, buckets)
-                    q, place = np.nonzero(before <= probing.depth)
+                    q, place = np.nonzero((before <= probing.depth) | (np.cumsum(counts[order], axis=1) - counts[order] <= k))
                     hit = order[q, place]
                     n = parts[hit]
                     part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

@@ -59,9 +59,11 @@ def _(spark, sf):
 
 def _canonical_sql(text):
     text = f"replace(replace(lower(coalesce({text}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    for a, b in licences.SPELLINGS:
+    for a, b in licences.SIGNS:
         text = f"replace({text}, '{a}', '{b}')"
     text = f"regexp_replace({text}, '[^\\p{{L}}\\p{{N}}+\\n]+', ' ', 'g')"
+    for a, b in licences.SPELLINGS:
+        text = f"replace({text}, '{a}', '{b}')"
     text = f"regexp_replace({text}, '(?m)^ | $', '', 'g')"
     return f"regexp_replace({text}, '(?m)^copyright (copyright )?([0-9]|by )[^\\n]*(\\n|\\z)', '', 'g')"
 
