@@ -23,6 +23,8 @@ HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 16, 1e-7
 # Documents of a bucket, and of a component, that one task compares with as many others.
 BUCKET_BLOCK, BLOCK = 512, 256
+# Pairs that a task holds at a time.
+PAIRS = 1 << 18
 _RNG = np.random.default_rng(777)
 _TIMES = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))
 _PLUS = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -68,26 +70,18 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
     return need
 
 
-def surviving_pairs(a: np.ndarray, b: np.ndarray, same: bool, need: list[int], band: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Places in `a` and `b` of the pairs that stay; pairs that share a band before `band` are left to that one."""
-    equal = np.zeros((len(a), len(b)), np.int16)
-    for k in range(STEP):
-        equal += a[:, k, None] == b[None, :, k]
-    keep = equal >= need[0]
-    if same:
-        keep &= np.triu(np.ones_like(keep), 1)
-    i, j = np.nonzero(keep)
-    m = equal[i, j].astype(np.int64)
-    for step, least in enumerate(need[1:], 1):
+def surviving_pairs(sig: np.ndarray, i: np.ndarray, j: np.ndarray, need: list[int], band: np.ndarray | None = None) -> np.ndarray:
+    """Which of the pairs (i, j) of rows stay; a pair that shares a band before its `band` is left to that one."""
+    left, m = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for step, least in enumerate(need):
         part = slice(step * STEP, (step + 1) * STEP)
-        m = m + (a[i, part] == b[j, part]).sum(1)
+        m = m + (sig[i[left], part] == sig[j[left], part]).sum(1)
         stay = m >= least
-        i, j, m = i[stay], j[stay], m[stay]
-    for k in range(band):
+        left, m = left[stay], m[stay]
+    for k in range(int(band.max()) if band is not None and len(band) else 0):
         part = slice(k * BAND_ROWS, (k + 1) * BAND_ROWS)
-        stay = ~(a[i, part] == b[j, part]).all(1)
-        i, j = i[stay], j[stay]
-    return i, j
+        left = left[(band[left] <= k) | ~(sig[i[left], part] == sig[j[left], part]).all(1)]
+    return left
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -133,67 +127,95 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, HASHES)
 
 
-def _sides(pdf: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    pdf = pdf.sort_values("rep", ignore_index=True)
-    if i == j:
-        return pdf, pdf, True
-    return pdf[pdf["block"] == i].reset_index(drop=True), pdf[pdf["block"] == j].reset_index(drop=True), False
-
-
-def _labels(a: pd.DataFrame, b: pd.DataFrame, same: bool, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All documents of both sides and, for each, the smallest one that it is connected with here."""
-    nodes = a["rep"].to_numpy() if same else np.concatenate((a["rep"].to_numpy(), b["rep"].to_numpy()))
-    return nodes, nodes[forest(len(nodes), i, j if same else j + len(a))]
+def _whole_groups(pdfs: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows, cut only between groups, and where groups begin. A group has two blocks at most, so little waits."""
+    rest = None
+    for p in pdfs:
+        p = p if rest is None else pd.concat([rest, p], ignore_index=True)
+        if len(p):
+            new = np.ones(len(p), bool)
+            new[1:] = np.any([p[k].to_numpy()[1:] != p[k].to_numpy()[:-1] for k in keys], axis=0)
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield p.iloc[:starts[-1]].reset_index(drop=True), starts[:-1]
+            rest = p.iloc[starts[-1]:]
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True), np.zeros(1, np.int64)
+
+
+def _pairs(p: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs to compare: within a block, or between the group's two blocks (the first comes first)."""
+    first = np.repeat(starts, np.diff(np.append(starts, len(p))))
+    here = p["block"].to_numpy() == p["i"].to_numpy()
+    ahead = np.repeat(np.add.reduceat(here.astype(np.int64), starts), np.diff(np.append(starts, len(p))))
+    same = p["i"].to_numpy() == p["j"].to_numpy()
+    n = np.where(same, np.arange(len(p)) - first, np.where(here, 0, ahead))
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(p):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        c = n[at:end]
+        a = np.repeat(np.arange(at, end), c)
+        yield a, np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c) + first[a]
+        at = end
+
+
+def _trees(rep: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Each document and the smallest one that it is connected with here."""
+    low = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, rep)
+    return pd.DataFrame({"a": rep, "b": low[label]})
+
+
+def _compare_buckets(need: list[int]):
+    def compare(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, starts in _whole_groups(pdfs, ["band", "value", "i", "j"]):
+            sig, band, rep = _matrix(p["sig"]), p["band"].to_numpy(), p["rep"].to_numpy()
+            found = []
+            for i, j in _pairs(p, starts):
+                stay = surviving_pairs(sig, i, j, need, band[i])
+                found.append((i[stay], j[stay]))
+            trees = _trees(rep, forest(len(p), *map(np.concatenate, zip(*found))))
+            yield trees[trees["a"] != trees["b"]]
 
+    return compare
 
-def _compare_bucket(need: list[int]):
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        band, _, i, j = key
-        a, b, same = _sides(pdf, i, j)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        nodes, labels = _labels(a, b, same, *surviving_pairs(_matrix(a["sig"]), _matrix(b["sig"]), same, need, int(band)))
-        return pd.DataFrame({"a": nodes, "b": labels})[nodes != labels]
 
-    return compare
+def _in_common(shingles: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Shingles that the pairs of one group's documents have in common."""
+    low, high = int(min(i.min(), j.min())), int(max(i.max(), j.max())) + 1
+    _, place = np.unique(shingles[offsets[low]:offsets[high]], return_inverse=True)
+    own = offsets[low:high + 1] - offsets[low]
+    has, out = np.zeros(int(place.max()) + 1, np.int64), np.empty(len(i), np.int64)
+    bounds = np.flatnonzero(np.diff(i, prepend=-1))
+    for s, e in zip(bounds, np.append(bounds[1:], len(i))):
+        mine = place[own[i[s] - low]:own[i[s] - low + 1]]
+        has[mine] = 1
+        out[s:e] = np.add.reduceat(has[place], own[:-1])[j[s:e] - low]
+        has[mine] = 0
+    return out
 
 
-def _verify_block(n: int, threshold: float, need: list[int]):
-    def intersections(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Shingles that the pairs have in common; a and b are shingles and offsets."""
-        _, place = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
-        pa_, pb = place[: len(a[0])], place[len(a[0]):]
-        has = np.zeros(int(place.max()) + 1, np.int64)
-        out = np.empty(len(i), np.int64)
-        order = np.argsort(i, kind="stable")
-        bounds = np.flatnonzero(np.diff(i[order], prepend=-1))
-        for s, e in zip(bounds, np.append(bounds[1:], len(order))):
-            own = pa_[a[1][i[order[s]]]: a[1][i[order[s]] + 1]]
-            has[own] = 1
-            out[order[s:e]] = np.add.reduceat(has[pb], b[1][:-1])[j[order[s:e]]]
-            has[own] = 0
-        return out
-
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, bi, bj = key
-        a, b, same = _sides(pdf, bi, bj)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
-        sets = [shingle_sets([t.encode() for t in x["text"]], n) for x in ((a,) if same else (a, b))]
-        left, right = sets[0], sets[-1]
-        i, j = surviving_pairs(signatures(*left), signatures(*right), same, need)
-        if len(i):
-            common = intersections(left, right, i, j)
-            union = np.diff(left[1])[i] + np.diff(right[1])[j] - common
-            near = common / union >= threshold
-            i, j = i[near], j[near]
-        nodes, labels = _labels(a, b, same, i, j)
-        links = np.zeros(len(nodes), np.int64)
-        m = np.concatenate((a["m"], [] if same else b["m"])).astype(np.int64)
-        j = j if same else j + len(a)
-        np.add.at(links, i, m[j])
-        np.add.at(links, j, m[i])
-        return pd.DataFrame({"a": nodes, "b": labels, "links": links})
+def _verify_blocks(n: int, threshold: float, need: list[int]):
+    def verify(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, starts in _whole_groups(pdfs, ["label", "i", "j"]):
+            shingles, offsets = shingle_sets([t.encode() for t in p["text"]], n)
+            sig, sizes, rep, m = signatures(shingles, offsets), np.diff(offsets), p["rep"].to_numpy(), p["m"].to_numpy()
+            links, found = np.zeros(len(p), np.int64), [(np.zeros(0, np.int64),) * 2]
+            for i, j in _pairs(p, starts):
+                stay = surviving_pairs(sig, i, j, need)
+                i, j = i[stay], j[stay]
+                group = np.searchsorted(starts, i, "right")
+                cuts = np.flatnonzero(np.diff(group, prepend=-1))
+                for s, e in zip(cuts, np.append(cuts[1:], len(i))):
+                    a, b = i[s:e], j[s:e]
+                    common = _in_common(shingles, offsets, a, b)
+                    near = common / (sizes[a] + sizes[b] - common) >= threshold
+                    found.append((a[near], b[near]))
+            i, j = map(np.concatenate, zip(*found))
+            np.add.at(links, i, m[j])
+            np.add.at(links, j, m[i])
+            yield _trees(rep, forest(len(p), i, j)).assign(links=links)
 
     return verify
 
@@ -252,7 +274,8 @@ def _described_and_classed(docs: DataFrame, id_column: str, text_column: str, wo
     value = F.xxhash64("band", "value")
     near = with_filter(bands, value, key_filter(buckets, value), "_hit").where("_hit").drop("_hit").join(buckets, ["band", "value"])
     near = _block_pairs(near, F.col("_c"), BUCKET_BLOCK).select("band", "value", "i", "j", "block", "rep", "sig")
-    likely = components(near.groupBy("band", "value", "i", "j").applyInPandas(_compare_bucket(need), "a long, b long"))
+    near = near.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j", "block", "rep")
+    likely = components(near.mapInPandas(_compare_buckets(need), "a long, b long"))
 
     sizes = likely.groupBy("label").agg(F.count("*").alias("_c"))
     found = likely.join(sizes, "label").withColumnRenamed("node", "rep").join(reps.select("rep", F.col("_first.key").alias("_key"), "m"), "rep")
@@ -260,7 +283,8 @@ def _described_and_classed(docs: DataFrame, id_column: str, text_column: str, wo
     texts = with_filter(rows.drop("_row"), F.col("_key"), key_filter(found, F.col("_key")), "_hit").where("_hit").select("_key", "_text")
     texts = texts.join(found, "_key").dropDuplicates(["rep"]).select("label", "_c", "rep", "m", F.col("_text").alias("text"))
     blocks = _block_pairs(texts, F.col("_c"), BLOCK).select("label", "i", "j", "block", "rep", "m", "text")
-    links = staged(blocks.groupBy("label", "i", "j").applyInPandas(_verify_block(words, threshold, need), "a long, b long, links long"), "similar-links")
+    blocks = blocks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "block", "rep")
+    links = staged(blocks.mapInPandas(_verify_blocks(words, threshold, need), "a long, b long, links long"), "similar-links")
 
     classes = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_links"))
