@@ -12,9 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .columns import col, replace_columns
-from .sizes import ROWS_PER_TASK, group_sizes, is_small
+from .sizes import BROADCAST_ROWS, ROWS_PER_TASK, group_sizes, is_small
 
-MAX_CHUNKS = 4096
 MIN_GLOBAL_CHUNKS = 8
 
 
@@ -36,8 +35,8 @@ def with_chunks(df: DataFrame, order_by: str, by: Sequence[str], chunks: int | N
     """Append the chunk number of each row as `_chunk`; returns the frame and the number of chunks.
 
     With `chunks=None` a table without a big group keeps one chunk per key, "not needed". With one, there are so many
-    that a chunk of all keys together, and so of any key, is one task's work; at least `least`. The order column must
-    not hold nulls.
+    that a chunk of all keys together, and so of any key, is one task's work; at least `least`. Rows without an order
+    value come first, as in a plain window, and so belong to the first chunk; NaN comes last.
     """
     name = "_chunk"
     if chunks is None:
@@ -45,7 +44,7 @@ def with_chunks(df: DataFrame, order_by: str, by: Sequence[str], chunks: int | N
             chunks = 1
         else:
             biggest, rows = group_sizes(df, by)
-            chunks = min(MAX_CHUNKS, -(-rows // ROWS_PER_TASK)) if biggest > ROWS_PER_TASK else 1
+            chunks = -(-rows // ROWS_PER_TASK) if biggest > ROWS_PER_TASK else 1
         chunks = max(chunks, least)
     if chunks <= 1:
         return df.withColumn(name, F.lit(0)), 1
@@ -59,7 +58,7 @@ def with_chunks(df: DataFrame, order_by: str, by: Sequence[str], chunks: int | N
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep"
     )
     cut = cutter.transform(df.withColumn("_at", at))
-    return cut.withColumn(name, F.col("_cut").cast("int")).drop("_at", "_cut"), len(cuts) + 1
+    return cut.withColumn(name, F.coalesce(F.col("_cut").cast("int"), F.lit(0))).drop("_at", "_cut"), len(cuts) + 1
 
 
 def running_total(df: DataFrame, by: Sequence[str], order_by: str, amount: str, out: str,
@@ -82,8 +81,10 @@ def running_total(df: DataFrame, by: Sequence[str], order_by: str, amount: str,
 
 
 def _join_chunks(detail: DataFrame, offsets: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """Without a key there are at most MAX_CHUNKS offset rows, so they may be broadcast."""
+    """Without a key there is one offset row for each chunk, few enough to broadcast unless the table is huge."""
     keys = [*by, "_chunk"]
+    if not by and n > BROADCAST_ROWS:
+        return detail.join(offsets, keys, "left")
     if not by:
         return detail.join(F.broadcast(offsets), keys, "left")
     # keys may be null: match them null-safely
@@ -130,11 +131,12 @@ def carry_forward(df: DataFrame, values: Sequence[str], order_by: str, by: Seque
 
 
 def _last(v: str, order_by: str) -> Column:
-    return F.max_by(col(v), F.when(col(v).isNotNull(), col(order_by)))
+    # A struct, so that a null order value is the smallest one and not ignored.
+    return F.max_by(col(v), F.when(col(v).isNotNull(), F.struct(col(order_by))))
 
 
 def _first(v: str, order_by: str) -> Column:
-    return F.min_by(col(v), F.when(col(v).isNotNull(), col(order_by)))
+    return F.min_by(col(v), F.when(col(v).isNotNull(), F.struct(col(order_by))))
 
 
 def interpolate(df: DataFrame, values: Sequence[str], order_by: str, by: Sequence[str] = (), *,
@@ -143,9 +145,10 @@ def interpolate(df: DataFrame, values: Sequence[str], order_by: str, by: Sequenc
     cut, n = with_chunks(df, order_by, by, chunks, 1 if by else MIN_GLOBAL_CHUNKS)
     key = [*by, "_chunk"]
     asc = W.partitionBy(*key).orderBy(order_by)
-    up = asc.rowsBetween(W.unboundedPreceding, 0)
-    # A descending running frame: an unbounded-following frame would be evaluated anew for every row.
-    down = W.partitionBy(*key).orderBy(F.desc(order_by)).rowsBetween(W.unboundedPreceding, 0)
+    # Both ways by position, so that rows of one order value keep one order. A descending running frame: an
+    # unbounded-following frame would be evaluated anew for every row.
+    up = W.partitionBy(*key).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*key).orderBy(F.desc("_pos")).rowsBetween(W.unboundedPreceding, 0)
     placed = cut.withColumn("_pos", F.row_number().over(asc).cast("long"))
     if n > 1:
         before = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)

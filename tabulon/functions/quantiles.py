@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .columns import col, long_form, q, s as text
+from ..session import staged
 from .sizes import ROWS_PER_TASK, broadcast_if_small, is_small, largest_group, spread
 
 # Half width, in rank fractions, of the slice cut around each wanted rank. The sketch's own error is 1 / 10000.
@@ -90,10 +91,10 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     sketch = df.groupBy(*by).agg(
         *[F.percentile_approx(col(c).cast("double"), wanted, 10_000).alias(f"_c{i}") for i, c in enumerate(cols)],
     )
-    # Without keys the sketch is one row, whose cut points become literals. With keys its rows are counted before a broadcast.
+    # Without keys the sketch is one row, whose cut points become literals. With keys its rows are written, then counted before a broadcast.
     names = [[f"_c{i}[{j}]" for j in range(len(wanted))] for i in range(len(cols))]
     if by:
-        side = broadcast_if_small(sketch.select(*[col(b).alias(f"_b_{b}") for b in by], *[f"_c{i}" for i in range(len(cols))]))
+        side = broadcast_if_small(staged(sketch.select(*[col(b).alias(f"_b_{b}") for b in by], *[f"_c{i}" for i in range(len(cols))]), "cuts"))
         cut = df.join(side, [col(b).eqNullSafe(col(f"_b_{b}")) for b in by], "inner")
     else:
         cut, row = df, sketch.first()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.columns import col, nan_to_null, right_closed_bin
 from ..functions.quantiles import quantiles
 from ..functions.sizes import broadcast_if_small
+from ..session import staged
 
 
 def group_means(df: DataFrame, group: str | Sequence[str], columns: Sequence[str], digits: int = 3) -> DataFrame:
@@ -76,8 +77,8 @@ def box_numbers(df: DataFrame, value: str, group: str | Sequence[str], whisker:
     df = nan_to_null(df)
     q = quantiles(df, [value], [0.25, 0.5, 0.75], keys, sliced=sliced).filter(F.col("n") > 0).select(
         *[col(k).alias(f"_k_{k}") for k in keys], "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
-    # one row per class: broadcast after a count, else a join on the class that AQE can split
-    joined = df.join(broadcast_if_small(q), [col(k).eqNullSafe(col(f"_k_{k}")) for k in keys], "inner")
+    # One row per class, written once: broadcast after a count of what was written, else a join that AQE can split.
+    joined = df.join(broadcast_if_small(staged(q, "box")), [col(k).eqNullSafe(col(f"_k_{k}")) for k in keys], "inner")
     reach = (F.col("q75") - F.col("q25")) * whisker
     x = col(value).cast("double")
     inside = x.between(F.col("q25") - reach, F.col("q75") + reach)

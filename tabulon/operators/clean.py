@@ -17,17 +17,24 @@ def drop_internal_columns(df: DataFrame, prefix: str = "_") -> DataFrame:
 
 
 def clean_names(names: Iterable[str]) -> list[str]:
-    seen: dict[str, int] = {}
+    bases = [re.sub(r"[^a-zA-Z0-9_]", "", name.strip().replace(" ", "_").lower()) or f"column_{k}" for k, name in enumerate(names, 1)]
+    given: set[str] = set()
     out = []
-    for name in names:
-        base = re.sub(r"[^a-zA-Z0-9_]", "", name.strip().replace(" ", "_").lower())
-        seen[base] = seen.get(base, 0) + 1
-        out.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
+    for base in bases:
+        name, n = base, 1
+        while name in given or n > 1 and name in bases:
+            n += 1
+            name = f"{base}_{n}"
+        given.add(name)
+        out.append(name)
     return out
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:
-    """CLN-02: trimmed, lower-case, [a-z0-9_] names; a name met again gets _2, _3, …"""
+    """CLN-02: trimmed, lower-case, [a-z0-9_] names; a name met again gets the first free of _2, _3, …
+
+    A name of which nothing is left becomes `column_` and its place.
+    """
     return df.toDF(*clean_names(df.columns))
 
 

@@ -22,14 +22,15 @@ from .stats import find_target
 
 MODEL_TYPES = ("random_forest", "gradient_boosting", "logistic_regression", "svm")
 
-# The full search grids. `None` depth means as deep as Spark allows (30).
+# The search grids, without the one axis that Spark's forest doesn't have. `None` depth means as deep as
+# Spark allows (30).
 GRIDS = {
     "random_forest": {"n_estimators": [100, 200, 300], "max_depth": [10, 20, None], "min_samples_leaf": [1, 2, 4]},
     "gradient_boosting": {"n_estimators": [100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
     "logistic_regression": {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
     "svm": {"C": [0.1, 1.0, 10.0]},
 }
-# The default search: one setting of the expensive ensembles, the whole grid of the linear models.
+# A cheaper search to pass as `grid`: few settings of the expensive ensembles, the whole grid of the linear models.
 SMALL_GRIDS = {
     "random_forest": {"n_estimators": [100], "max_depth": [10], "min_samples_leaf": [1, 4]},
     "gradient_boosting": {"n_estimators": [100], "learning_rate": [0.1], "max_depth": [3, 5]},
@@ -56,8 +57,8 @@ def with_split(df: DataFrame, label: str, unique: Sequence[str], test_size: floa
     """ML-02: append `is_test`, true for the first `test_size` of every label in the order of a hash of `unique`.
 
     A label may hold most of the rows, so nothing is sorted per label: the hash value at the border rank is found
-    by counting and the split is a comparison with it. `key` replaces the hash by an order of the caller's (unique
-    and exact as a double).
+    by counting and the split is a comparison with it. `key` replaces the hash by an order of the caller's (exact as a
+    double). Rows whose keys tie stay together: they are test rows only if all of them fit.
     """
     if not 0.1 <= test_size <= 0.5:
         raise ValueError("test_size must be 0.1 to 0.5")
@@ -68,7 +69,7 @@ def with_split(df: DataFrame, label: str, unique: Sequence[str], test_size: floa
         sliced = use_sketch(keyed, ["_key"], [label])
     if not sliced:
         w = W.partitionBy(label)
-        place = F.row_number().over(w.orderBy("_key"))
+        place = F.count(F.lit(1)).over(w.orderBy("_key").rangeBetween(W.unboundedPreceding, W.currentRow))
         return keyed.withColumn("is_test", place <= border(F.count(F.lit(1)).over(w))).drop("_key")
     cut = order_statistics(keyed, ["_key"], [border], [test_size], [label]).select(col(label).alias("_l"), F.col("v")[0].alias("_cut"))
     # one row per label
@@ -125,7 +126,7 @@ def tune(df: DataFrame, model_type: str, features: Sequence[str], unique: Sequen
     """
     if not 3 <= folds <= 10:
         raise ValueError("folds must be 3 to 10")
-    tried = settings(grid or SMALL_GRIDS[model_type])
+    tried = settings(grid or GRIDS[model_type])
     prep = Pipeline(stages=preparation(features)).fit(df)
     fold = F.pmod(F.xxhash64(*[col(u) for u in unique], F.lit(seed)), F.lit(folds)).cast("int")
     ready = prep.transform(df).select("scaled", "label", fold.alias("fold")).persist()

@@ -22,7 +22,8 @@ from ..functions.sizes import spread
 SEPARATORS = ("\n\n", "\n", " ", "")
 # Query vectors that travel to every task; more than these take the block join.
 QUERY_BLOCK = 2_000
-DOCUMENT_BLOCK = 100_000
+# Numbers in a block of documents (32 MB), and queries that are compared with it at a time.
+BLOCK_NUMBERS, STRIP = 1 << 22, 64
 METRICS = ("l2sq", "cosine")
 
 
@@ -135,9 +136,12 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.round(d, 12)
 
 
-def _matrix(column, dims: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dims)
+def _matrix(vectors: Sequence, ids: Sequence, dims: int) -> np.ndarray:
+    """Vectors as rows; one of another length than the first query's is an error that names its id."""
+    for i, v in zip(ids, vectors):
+        if len(v) != dims:
+            raise ValueError(f"the vector of {i!r} has {len(v)} numbers, not {dims}")
+    return np.array(vectors, dtype=np.float64).reshape(-1, dims)
 
 
 def _best(ids: np.ndarray, d: np.ndarray, k: int) -> list[tuple]:
@@ -173,7 +177,7 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, *, metric: str = "l
     elif len(rows) <= QUERY_BLOCK:
         found = _scan(side, rows, k, metric, schema)
     else:
-        found = _block_join(side, asked, k, metric, schema)
+        found = _block_join(side, asked, k, metric, schema, len(rows[0]["v"]))
     order = W.partitionBy("query_id").orderBy("distance", "id")
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     top = top.withColumn("score", 1.0 - F.col("distance"))
@@ -186,7 +190,7 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, *, metric: str = "l
 
 def _scan(side: DataFrame, rows: list, k: int, metric: str, schema: T.StructType) -> DataFrame:
     q_ids = [r["query_id"] for r in rows]
-    q = np.array([r["v"] for r in rows], dtype=np.float64)
+    q = _matrix([r["v"] for r in rows], q_ids, len(rows[0]["v"]))
     arrow = to_arrow_schema(schema)
 
     def top(batches):
@@ -195,7 +199,11 @@ def _scan(side: DataFrame, rows: list, k: int, metric: str, schema: T.StructType
             if not b.num_rows:
                 continue
             ids = np.array(b.column(0).to_pylist(), dtype=object)
-            d = _distances(_matrix(b.column(1), q.shape[1]), q, metric)
+            lengths = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            if (lengths != q.shape[1]).any():
+                at = int(np.flatnonzero(lengths != q.shape[1])[0])
+                raise ValueError(f"the vector of {ids[at]!r} has {lengths[at]} numbers, not {q.shape[1]}")
+            d = _distances(np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, q.shape[1]), q, metric)
             for j in range(len(q_ids)):
                 best[j] = sorted(best[j] + _best(ids, d[:, j], k))[:k]
         flat = [(q_ids[j], i, d) for j, hits in enumerate(best) for d, i in hits]
@@ -205,9 +213,12 @@ def _scan(side: DataFrame, rows: list, k: int, metric: str, schema: T.StructType
     return spread(side).mapInArrow(top, schema)
 
 
-def _block_join(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
-    """Blocks of documents against blocks of queries: a group holds one block of each, so its size is bounded."""
-    n_doc = max(1, -(-side.count() // DOCUMENT_BLOCK))
+def _block_join(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, dims: int) -> DataFrame:
+    """Blocks of documents against blocks of queries: a group holds one block of each, so its size is bounded.
+
+    The size of a block of documents follows from the vectors' length, and queries are compared a strip at a time.
+    """
+    n_doc = max(1, -(-side.count() // max(1, BLOCK_NUMBERS // max(dims, 1))))
     n_ask = max(1, -(-asked.count() // QUERY_BLOCK))
     left = side.select(F.pmod(F.xxhash64("id"), F.lit(n_doc)).alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))).alias("_q"), "id", "v")
     right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_doc - 1).cast("long"))).alias("_d"), F.pmod(F.xxhash64("query_id"), F.lit(n_ask)).cast("int").alias("_q"), "query_id", "v")
@@ -216,8 +227,11 @@ def _block_join(side: DataFrame, asked: DataFrame, k: int, metric: str, schema:
         if docs.empty or qs.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         ids = docs["id"].to_numpy(dtype=object)
-        d = _distances(np.stack(docs["v"].to_numpy()), np.stack(qs["v"].to_numpy()), metric)
-        flat = [(qid, i, x) for j, qid in enumerate(qs["query_id"]) for x, i in _best(ids, d[:, j], k)]
+        x, q = _matrix(docs["v"].tolist(), ids, dims), _matrix(qs["v"].tolist(), qs["query_id"], dims)
+        flat = []
+        for at in range(0, len(q), STRIP):
+            d = _distances(x, q[at:at + STRIP], metric)
+            flat += [(qid, i, x_) for j, qid in enumerate(qs["query_id"].iloc[at:at + STRIP]) for x_, i in _best(ids, d[:, j], k)]
         return pd.DataFrame(flat, columns=["query_id", "id", "distance"])
 
     return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInPandas(block, schema)
@@ -280,8 +294,12 @@ def keyword_search(docs: DataFrame, queries: Sequence[str], k: int = 3, *, id_co
 # --- collection upkeep ----------------------------------------------------------------------------------------------
 
 def add_documents(collection: DataFrame, new: DataFrame, *, id_col: str = "id", text: str = "content", least: int = 10) -> DataFrame:
-    """RAG-02: append documents with at least `least` characters whose id is new."""
-    fresh = new.filter(F.length(F.trim(col(text))) >= least).dropDuplicates([id_col])
+    """RAG-02: append documents whose id is new and whose text has at least `least` characters between white space.
+
+    Of new documents with one id, the one whose text comes first in order is added.
+    """
+    long = new.filter(F.length(F.btrim(col(text), F.lit(" \t\n\r\f\v"))) >= least)
+    fresh = long.groupBy(col(id_col).alias("_id")).agg(F.min_by(F.struct(*[col(c) for c in new.columns]), col(text)).alias("_first")).select("_first.*")
     fresh = fresh.join(collection.select(col(id_col)), id_col, "left_anti")
     return collection.unionByName(fresh.select(*[col(c) for c in fresh.columns]), allowMissingColumns=True)
 
@@ -329,9 +347,10 @@ def query_statistics(log: DataFrame, seconds: str = "seconds", by: Sequence[str]
     return log.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), F.sum(col(seconds)).alias("total_seconds"), F.avg(col(seconds)).alias("mean_seconds"))
 
 
-def last_queries(log: DataFrame, at: str, n: int = 10) -> DataFrame:
-    """RAG-13"""
-    return log.orderBy(F.desc(at)).limit(n)
+def last_queries(log: DataFrame, at: str, n: int = 10, then: Sequence[str] | None = None) -> DataFrame:
+    """RAG-13: the last n rows; rows of the same time in the order of `then`, by default of all columns that have one."""
+    plain = [f.name for f in log.schema if f.name != at and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return log.orderBy(F.desc(at), *[col(c) for c in (plain if then is None else then)]).limit(n)
 
 
 def context_strings(results: DataFrame, n: int = 3, *, query_id: str = "query_id", text: str = "content") -> DataFrame:

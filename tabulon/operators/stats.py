@@ -96,9 +96,11 @@ def _square(pairs: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFr
 
 
 def corr_sql(a: str, b: str) -> str:
-    """Pearson r over complete pairs; null for a constant column, where `corr` itself fails under ANSI rules."""
+    """Pearson r over complete pairs; null for a column that is constant there, whatever rounding makes of its spread."""
     x, y = (f"CAST({q(c)} AS DOUBLE)" for c in (a, b))
-    return f"try_divide(regr_sxy({x}, {y}), sqrt(regr_sxx({x}, {y}) * regr_syy({x}, {y})))"
+    known = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+    varies = " AND ".join(f"min({v}) {known} < max({v}) {known}" for v in (x, y))
+    return f"CASE WHEN {varies} THEN try_divide(regr_sxy({x}, {y}), sqrt(regr_sxx({x}, {y}) * regr_syy({x}, {y}))) END"
 
 
 def pearson(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), *, full: bool = False) -> DataFrame:
@@ -126,7 +128,7 @@ def _pearson_matrices(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
     def moments(batches):
         """Per task and pair: rows, means and centred co-moments over the rows where both values are known."""
-        total = products = None
+        total = products = ends = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -136,6 +138,10 @@ def _pearson_matrices(df: DataFrame, names: Sequence[str]) -> DataFrame:
                 with np.errstate(all="ignore"):
                     shift = np.where(known.any(0), np.nansum(x, 0) / np.maximum(known.sum(0), 1), 0.0)
                 total = np.zeros((5, k, k))
+            # Smallest and largest value of each pair's complete rows: a constant is told by them, not by its spread.
+            low, high = (np.stack([np.where(known & known[:, j:j + 1], y, -np.inf).max(0) for j in range(k)], 1) for y in (-x, x))
+            new = np.stack([low, low.T, high, high.T])
+            ends = new if ends is None else np.maximum(ends, new)
             x = np.where(known, x - shift, 0.0)
             m = known.astype(np.float64)
             total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x)])
@@ -147,19 +153,19 @@ def _pearson_matrices(df: DataFrame, names: Sequence[str]) -> DataFrame:
         sxy = products[upper]
         ok = n > 0
         d = np.maximum(n, 1)
-        out = [n, shift[upper[0]] + sx / d, shift[upper[1]] + sy / d, sxx - sx * sx / d, syy - sy * sy / d, sxy - sx * sy / d]
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(ok), pa.int32()), *[pa.array(v[ok]) for v in out]], names=["pair", "n", "mx", "my", "xx", "yy", "xy"])
+        out = [n, shift[upper[0]] + sx / d, shift[upper[1]] + sy / d, sxx - sx * sx / d, syy - sy * sy / d, sxy - sx * sy / d, *(e[upper] for e in ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(ok), pa.int32()), *[pa.array(v[ok]) for v in out]], names=["pair", "n", "mx", "my", "xx", "yy", "xy", "lx", "ly", "hx", "hy"])
 
     parts = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(
-        moments, "pair int, n double, mx double, my double, xx double, yy double, xy double")
+        moments, "pair int, n double, mx double, my double, xx double, yy double, xy double, lx double, ly double, hx double, hy double")
     # sums within tasks plus the spread of the task means around the common mean; one row per task and pair
     pooled = parts.selectExpr(
         "*", "mx - sum(n * mx) OVER (PARTITION BY pair) / sum(n) OVER (PARTITION BY pair) AS dx",
         "my - sum(n * my) OVER (PARTITION BY pair) / sum(n) OVER (PARTITION BY pair) AS dy",
-    ).groupBy("pair").agg(F.expr("sum(xx + n * dx * dx) AS a"), F.expr("sum(yy + n * dy * dy) AS b"), F.expr("sum(xy + n * dx * dy) AS c"))
+    ).groupBy("pair").agg(F.expr("sum(xx + n * dx * dx) AS a"), F.expr("sum(yy + n * dy * dy) AS b"), F.expr("sum(xy + n * dx * dy) AS c"), F.expr("max(hx) > -max(lx) AND max(hy) > -max(ly) AS varies"))
     label = ", ".join(f"named_struct('variable1', {s(names[i])}, 'variable2', {s(names[j])})" for i, j in zip(*upper))
-    r = pooled.selectExpr(f"array({label})[pair] AS l", "a", "b", "c")
-    return r.selectExpr("l.variable1", "l.variable2", "CASE WHEN a > 0 AND b > 0 THEN greatest(-1D, least(1D, c / sqrt(a * b))) END AS correlation")
+    r = pooled.selectExpr(f"array({label})[pair] AS l", "a", "b", "c", "varies")
+    return r.selectExpr("l.variable1", "l.variable2", "CASE WHEN varies AND a > 0 AND b > 0 THEN greatest(-1D, least(1D, c / sqrt(a * b))) END AS correlation")
 
 
 def rank_table(counts: DataFrame, chunks: int | None = None) -> DataFrame:

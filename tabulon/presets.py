@@ -12,7 +12,7 @@ CATEGORY_COLUMNS = ["gender", "education", "marital_status", "job_role", "depart
 REQUIRED_COLUMNS = ["attrition"]
 TARGET_VALUES = ["Yes", "No", "True", "False", "Left", "Stayed"]
 AGE_BOUNDS = (18, 100)
-RANGES = {"age": (18, 100), "performance_rating": (1, 5), "satisfaction_score": (1, 5)}
+RANGES = {"age": (18, 100), "performance_rating": (1, 5), "satisfaction_score": (1, 5), "relationship_satisfaction": (1, 5)}
 ALLOWED = {"attrition": [0, 1], "gender": ["Male", "Female", "M", "F"]}
 
 # Right-closed bins.

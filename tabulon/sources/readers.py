@@ -106,11 +106,12 @@ def read_json(spark: SparkSession, paths: Sequence[str], *, schema: T.StructType
     return flatten(lined)
 
 
-def normalise_payloads(df: DataFrame, endpoint: str, body: str, schema: T.DataType | str | None = None, max_columns: int = 500) -> DataFrame:
+def normalise_payloads(df: DataFrame, endpoint: str, body: str, schema: T.DataType | str | None = None, max_columns: int | None = None) -> DataFrame:
     """SRC-03: JSON payloads, list or object, to columns, with `_source_endpoint` and `_collection_timestamp`.
 
     With `schema` (of one element) the payloads are parsed in one pass. Without it the keys are collected over all
-    rows, level by level, and a column whose values all parse as numbers becomes double.
+    rows, level by level, and a column whose values all parse as numbers becomes double. A key that is an object in some
+    rows and a plain value in others gives columns for both. `max_columns` is an error beyond it, if set.
     """
     text = F.trim(col(body))
     element = F.explode_outer(
@@ -125,23 +126,35 @@ def normalise_payloads(df: DataFrame, endpoint: str, body: str, schema: T.DataTy
     while level:
         at = {p: _json_at("_item", p) for p in level}
         found = items.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.json_object_keys(e).alias("k")) for i, e in enumerate(at.values())
-        ])).alias("e")).select("e.i", F.explode("e.k").alias("k")).distinct().limit(max_columns + 1).collect()
-        if len(found) > max_columns:
+            # a plain value counts as the key null
+            F.struct(F.lit(i).alias("i"), F.coalesce(F.json_object_keys(e), F.when(e.isNotNull(), F.array(F.lit(None).cast("string")))).alias("k")) for i, e in enumerate(at.values())
+        ])).alias("e")).select("e.i", F.explode("e.k").alias("k")).distinct()
+        if max_columns is not None and len(found.limit(max_columns + 1).collect()) > max_columns:
             raise ValueError(f"payloads have more than {max_columns} keys; pass schema=")
-        inner = {r["i"] for r in found}
-        leaves += [p for i, p in enumerate(level) if i not in inner and p]
-        level = sorted((*level[r["i"]], r["k"]) for r in found)
+        found = found.collect()
+        inner = {r["i"] for r in found if r["k"] is not None}
+        plain = {r["i"] for r in found if r["k"] is None}
+        leaves += [p for i, p in enumerate(level) if p and (i in plain or i not in inner)]
+        level = sorted((*level[r["i"]], r["k"]) for r in found if r["k"] is not None)
     leaves.sort()
     if not leaves:
         raise ValueError("payloads hold no keys")
-    checks = items.agg(*[F.bool_and(_json_at("_item", p).isNull() | _json_at("_item", p).try_cast("double").isNotNull()).alias(f"c{i}") for i, p in enumerate(leaves)]).first()
-    cols = [(_json_at("_item", p).try_cast("double") if checks[i] else _json_at("_item", p)).alias(".".join(p)) for i, p in enumerate(leaves)]
+    value = {p: F.when(F.json_object_keys(_json_at("_item", p)).isNull(), _json_at("_item", p)) for p in leaves}
+    checks = items.agg(*[F.bool_and(value[p].isNull() | value[p].try_cast("double").isNotNull()).alias(f"c{i}") for i, p in enumerate(leaves)]).first()
+    cols = [(value[p].try_cast("double") if checks[i] else value[p]).alias(".".join(p)) for i, p in enumerate(leaves)]
     return items.select(*cols, "_source_endpoint", stamp)
 
 
 def _json_at(column: str, path: tuple[str, ...]):
-    return F.get_json_object(column, "$" + "".join(f"['{p}']" for p in path)) if path else F.col(column)
+    """Text of the value at a path. A key that JSON paths can't name (a quote in it) is looked up in a map."""
+    if not path:
+        return F.col(column)
+    if not any("'" in p or "\\" in p for p in path):
+        return F.get_json_object(column, "$" + "".join(f"['{p}']" for p in path))
+    at = F.col(column)
+    for p in path:
+        at = F.from_json(at, "map<string,string>").getItem(p)
+    return at
 
 
 def collection_statistics(df: DataFrame, source: str = SOURCE, collected: str = COLLECTED) -> DataFrame:

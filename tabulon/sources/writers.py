@@ -37,8 +37,9 @@ def export_collection(collection: DataFrame, path: str, fmt: str = "parquet", mo
 
 
 def transcript_lines(df: DataFrame, conversation: str = "conv_id", stamp: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """SNK-05: `[stamp] Role: text`"""
-    line = F.format_string("[%s] %s: %s", col(stamp).cast("string"), F.initcap(col(role)), col(text))
+    """SNK-05: `[stamp] Role: text`, one line a message: a line break inside the text is written as \\n."""
+    flat = F.regexp_replace(col(text), r"\r\n|\r|\n", r"\\n")
+    line = F.format_string("[%s] %s: %s", col(stamp).cast("string"), F.initcap(col(role)), flat)
     return df.select(col(conversation), col(stamp), line.alias("value"))
 
 

@@ -129,7 +129,7 @@ def _(spark, sf):
 
 
 @query("RAG-12", f"""WITH h AS (SELECT MIN(conv_id * 100 + turn) AS id, text FROM conversations WHERE role = 'user' GROUP BY text), h0 AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, text FROM conversations WHERE role = 'user'),
-  {tfidf_sql('h0', 'id', 'text')}, q AS (SELECT id AS query_id, text FROM h0 WHERE id = (SELECT MAX(id) FROM h0)),
+  {tfidf_sql('h0', 'id', 'text')}, q AS (SELECT id AS query_id, text FROM h0),
   qn AS (SELECT q.query_id, q.text AS qt, p, v FROM q JOIN vec ON vec.k = q.query_id), dot AS (SELECT query_id, any_value(qt) AS qt, vec.k AS id, SUM(qn.v * vec.v) AS dot FROM qn JOIN vec USING (p) GROUP BY 1, 3),
   allp AS (SELECT q.query_id, q.text AS qt, h.id, h.text, COALESCE(dot, 0) AS sim FROM q CROSS JOIN h LEFT JOIN dot ON dot.query_id = q.query_id AND dot.id = h.id WHERE h.text <> q.text),
   r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(1 - sim, 12), id) AS INTEGER) AS rank FROM allp)
@@ -137,7 +137,7 @@ def _(spark, sf):
 def _(spark, sf):
     asked = talk(spark, sf).filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
     history = R.text_vectors(asked, "text", DIMS, bucket=place)
-    # the latest question against all earlier ones
-    latest = history.agg(F.max_by(F.struct(F.col("id").alias("query_id"), "text", F.col("embedding").alias("query_vector")), "id").alias("q")).select("q.*")
-    out = R.similar_questions(history.select("id", "text", "embedding"), latest, 3)
+    # every question against all others
+    questions = history.select(F.col("id").alias("query_id"), "text", F.col("embedding").alias("query_vector"))
+    out = R.similar_questions(history.select("id", "text", "embedding"), questions, 3)
     return rounded(out.select("query_id", "rank", "id", F.md5(F.col("text").cast("binary")).alias("digest"), "similarity"))

@@ -45,12 +45,12 @@ def _grown(spark, sf):
     return R.add_documents(d.join(labelled, "id", "left_semi"), offered)
 
 
-@query("RAG-02", f"""WITH {_COLL}, {_OFFER}, a AS (SELECT * FROM c UNION ALL SELECT * FROM o WHERE length(trim(content)) >= 10 AND id NOT IN (SELECT id FROM c)) SELECT id, lang, md5(content) AS digest FROM a""")
+@query("RAG-02", f"""WITH {_COLL}, {_OFFER}, a AS (SELECT * FROM c UNION ALL SELECT * FROM o WHERE length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) >= 10 AND id NOT IN (SELECT id FROM c)) SELECT id, lang, md5(content) AS digest FROM a""")
 def _(spark, sf):
     return _grown(spark, sf).select("id", "lang", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query("RAG-02-totals", f"""WITH {_COLL}, {_OFFER}, a AS (SELECT * FROM c UNION ALL SELECT * FROM o WHERE length(trim(content)) >= 10 AND id NOT IN (SELECT id FROM c))
+@query("RAG-02-totals", f"""WITH {_COLL}, {_OFFER}, a AS (SELECT * FROM c UNION ALL SELECT * FROM o WHERE length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) >= 10 AND id NOT IN (SELECT id FROM c))
   SELECT COUNT(*) AS documents, CAST(SUM(length(content)) AS BIGINT) AS characters, array_to_string(list_sort(list(DISTINCT lang)), ',') AS types FROM a""")
 def _(spark, sf):
     return R.collection_totals(_grown(spark, sf), F.col("lang"))
@@ -73,12 +73,12 @@ def tfidf_sql(rel, key, text):
      vec AS (SELECT k, p, CASE WHEN n > 0 THEN v / n ELSE 0 END AS v FROM wt JOIN nn USING (k))"""
 
 
-@query("RAG-03", f"WITH {tfidf_sql('documents', 'doc_id', 'text')} SELECT k AS id, COUNT(*) FILTER (v <> 0) AS filled, round(MAX(v), 6) AS largest, round(SUM(v * (p + 1)), 4) AS moment FROM vec GROUP BY k")
+@query("RAG-03", f"WITH {tfidf_sql('documents', 'doc_id', 'text')} SELECT doc_id AS id, COUNT(*) FILTER (v <> 0) AS filled, round(COALESCE(MAX(v), 0), 6) AS largest, round(COALESCE(SUM(v * (p + 1)), 0), 4) AS moment FROM documents LEFT JOIN vec ON k = doc_id GROUP BY doc_id")
 def _(spark, sf):
     v = R.text_vectors(docs(spark, sf), "content", DIMS, bucket=place).select("id", "embedding")
     weighted = F.zip_with("embedding", F.sequence(F.lit(1), F.lit(DIMS)), lambda a, i: a * i)
     return v.select("id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("filled"), F.round(F.array_max("embedding"), 6).alias("largest"),
-                    F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("moment")).filter("filled > 0")
+                    F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("moment"))
 
 
 @query("RAG-03-hashing")
@@ -176,9 +176,11 @@ def _(spark, sf):
     return R.delete_documents(docs(spark, sf).select("id", "lang"), toxic)
 
 
-@query("RAG-10-clear", "SELECT doc_id AS id, lang FROM documents WHERE FALSE")
+@query("RAG-10-clear", "SELECT COUNT(*) AS before, CAST(0 AS BIGINT) AS after FROM documents")
 def _(spark, sf):
-    return R.clear(docs(spark, sf).select("id", "lang"))
+    held = docs(spark, sf).select("id", "lang")
+    counts = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))  # noqa: E731  one row each
+    return counts(held, "before").join(counts(R.clear(held), "after"), F.lit(True))
 
 
 @query("RAG-11", "SELECT COUNT(*) AS documents, MAX(doc_id) AS last_updated, array_to_string(list_sort(list(DISTINCT lang)), ',') AS types FROM documents")
@@ -192,7 +194,7 @@ def _(spark, sf):
     return out.select("event_type", "queries", F.round("total_seconds", 4).alias("total_seconds"), F.round("mean_seconds", 6).alias("mean_seconds"))
 
 
-@query("RAG-13-last", "SELECT event_id, user_id, value FROM events ORDER BY ts DESC LIMIT 10")
+@query("RAG-13-last", "SELECT event_id, user_id, value FROM events ORDER BY ts DESC, event_id LIMIT 10")
 def _(spark, sf):
     return R.last_queries(table(spark, sf, "events"), "ts").select("event_id", "user_id", "value")
 

@@ -130,10 +130,9 @@ def _(spark, sf):
     return back.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("embedding").alias("width"))
 
 
-@query("SNK-05", """SELECT '[' || turn || '] ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END || ': ' || replace(text, chr(10), ' ') AS line FROM conversations""")
+@query("SNK-05", """SELECT '[' || turn || '] ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END || ': ' || replace(text, chr(10), chr(92) || 'n') AS line FROM conversations""")
 def _(spark, sf):
-    df = table(spark, sf, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
-    return spark.read.text(Wr.export_transcripts(df, scratch(spark, "chat"))).withColumnRenamed("value", "line")
+    return spark.read.text(Wr.export_transcripts(table(spark, sf, "conversations"), scratch(spark, "chat"))).withColumnRenamed("value", "line")
 
 
 @query("SNK-05-history", "SELECT COUNT(*) AS queries, round(SUM(value), 4) AS total_seconds, round(AVG(value), 6) AS mean_seconds FROM events")

@@ -65,12 +65,12 @@ def fit_and_score(spark, sf, kind, **setting):
 
 @query("ML-03")
 def _(spark, sf):
-    return fit_and_score(spark, sf, "random_forest", n_estimators=20, max_depth=6)
+    return fit_and_score(spark, sf, "random_forest", n_estimators=100, max_depth=10)
 
 
 @query("ML-04")
 def _(spark, sf):
-    return fit_and_score(spark, sf, "gradient_boosting", n_estimators=10, max_depth=3)
+    return fit_and_score(spark, sf, "gradient_boosting", n_estimators=100, max_depth=3)
 
 
 @query("ML-05")
@@ -85,8 +85,7 @@ def _(spark, sf):
 
 @query("ML-07")
 def _(spark, sf):
-    grid = {"C": [0.1, 10.0], "penalty": ["l1", "l2"]}
-    return rounded(M.tune(training(spark, sf), "logistic_regression", FEATURES, ["employee_id"], folds=3, grid=grid)[2])
+    return rounded(M.tune(training(spark, sf), "logistic_regression", FEATURES, ["employee_id"])[2])
 
 
 # Rule-made predictions: a class and a probability per employee.
@@ -151,8 +150,7 @@ def _(spark, sf):
 @query("ML-12")
 def _(spark, sf):
     root = registered(spark, sf)
-    newer = training(spark, sf).filter("years_at_company > 0")
-    out = M.retrain(newer, root, "first", "second", target="label", unique=["employee_id"])
+    out = M.retrain(training(spark, sf), root, "first", "second", target="label", unique=["employee_id"])
     return rounded(out.select("model_id", "model_type", "training_rows", "test_rows", *M.METRICS))
 
 
@@ -165,13 +163,13 @@ def _(spark, sf):
 @query("ML-13-models")
 def _(spark, sf):
     df = training(spark, sf)
-    models = [M.train(df, "logistic_regression", FEATURES), M.train(df, "svm", FEATURES), M.train(df, "random_forest", FEATURES, n_estimators=10, max_depth=5)]
+    models = [M.train(df, "logistic_regression", FEATURES), M.train(df, "svm", FEATURES), M.train(df, "random_forest", FEATURES, n_estimators=100, max_depth=10)]
     return rounded(M.ensemble_score(models, df, ["employee_id"]))
 
 
 @query("ML-14")
 def _(spark, sf):
-    model = M.train(training(spark, sf), "random_forest", FEATURES, n_estimators=20, max_depth=6)
+    model = M.train(training(spark, sf), "random_forest", FEATURES, n_estimators=100, max_depth=10)
     return rounded(M.importances(model, FEATURES, spark))
 
 
@@ -194,11 +192,17 @@ def _(spark, sf):
 
 @query("PRE-basic")
 def _(spark, sf):
-    done = chains.run(workforce(spark, sf).drop("hire_date"), "attrition", "employee_id", "basic")
+    done = chains.run(workforce(spark, sf), "attrition", "employee_id", "basic")
     return done.insights.select("insight_id", "insight_type", "title", "severity", "confidence", "impact_score")
 
 
 @query("PRE-comprehensive")
 def _(spark, sf):
-    done = chains.run(workforce(spark, sf).drop("hire_date"), "attrition", "employee_id", "comprehensive")
+    done = chains.run(workforce(spark, sf), "attrition", "employee_id", "comprehensive")
+    return done.insights.select("insight_id", "insight_type", "title", "severity", "confidence", "impact_score")
+
+
+@query("PRE-predictive")
+def _(spark, sf):
+    done = chains.run(workforce(spark, sf), "attrition", "employee_id", "predictive")
     return done.insights.select("insight_id", "insight_type", "title", "severity", "confidence", "impact_score")

@@ -234,11 +234,11 @@ def _(spark, sf):
     return A.group_means(target01(spark, sf), "department", ["attrition", "monthly_income", "satisfaction_score"])
 
 
-@query("AGG-02", WFT + """, e AS (SELECT * FROM (VALUES (0, '20-30', 20, 30), (1, '31-40', 30, 40), (2, '41-50', 40, 50), (3, '51+', 50, 70), (5, 'ancient', 200, 300)) v(bin_order, bin, lo, hi))
+@query("AGG-02", WFT + """, e AS (SELECT * FROM (VALUES (0, '20-30', 20, 30), (1, '31-40', 30, 40), (2, '41-50', 40, 50), (3, '51+', 50, 70), (4, 'gap', 70, 200), (5, 'ancient', 200, 300)) v(bin_order, bin, lo, hi))
   SELECT CAST(bin_order AS INTEGER) AS bin_order, bin, round(AVG(attrition), 6) AS rate, COUNT(employee_id) AS rows FROM e LEFT JOIN wf ON age > lo AND age <= hi GROUP BY bin_order, bin""")
 def _(spark, sf):
     edges, labels = [*presets.AGE_EDGES, 200, 300], [*presets.AGE_LABELS, "gap", "ancient"]
-    return rounded(A.rate_by_bin(target01(spark, sf), "age", "attrition", edges, labels).filter("bin <> 'gap'"))
+    return rounded(A.rate_by_bin(target01(spark, sf), "age", "attrition", edges, labels))
 
 
 @query("AGG-03", WFT + " SELECT satisfaction_score, round(AVG(attrition), 6) AS rate FROM wf GROUP BY 1")

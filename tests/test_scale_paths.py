@@ -119,7 +119,8 @@ def test_nearest_equals_brute_force(spark, monkeypatch, metric, blocks):
     queries = [(f"q{i}", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(7)] + [("copy", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])]
     if blocks:
         monkeypatch.setattr(R, "QUERY_BLOCK", 3)
-        monkeypatch.setattr(R, "DOCUMENT_BLOCK", 100)
+        monkeypatch.setattr(R, "BLOCK_NUMBERS", 600)
+        monkeypatch.setattr(R, "STRIP", 2)
     d = spark.createDataFrame(docs, "id long, embedding array<double>").repartition(6)
     q = spark.createDataFrame(queries, "query_id string, query_vector array<double>")
     got = {(r["query_id"], r["rank"], r["id"]) for r in R.nearest(d, q, 4, metric=metric).collect()}
