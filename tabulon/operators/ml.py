@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import ordered
 from ..functions.columns import col, nan_to_null, numeric_columns, replace_columns
 from ..functions.quantiles import order_statistics, use_sketch
+from ..session import staged
 from .clean import encode_target
 from .impute import fill_for_model
 from .stats import find_target
@@ -77,7 +78,7 @@ def with_split(df: DataFrame, label: str, unique: Sequence[str], test_size: floa
 
 
 def stratified_split(df: DataFrame, label: str, unique: Sequence[str], test_size: float = 0.2, seed: int = 42, **kw) -> tuple[DataFrame, DataFrame]:
-    marked = with_split(df, label, unique, test_size, seed, **kw)
+    marked = staged(with_split(df, label, unique, test_size, seed, **kw), "split")  # both parts, and every pass of a fit, read it
     return marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
 
 

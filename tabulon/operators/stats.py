@@ -18,6 +18,7 @@ from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_colum
 from ..functions.distributions import f_p_value, t_p_value
 from ..functions.quantiles import mode_values, quantile_values, quantiles, slot_sql, value_counts
 from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, largest_group, spread
+from ..session import staged
 from .impute import fill_mean
 
 # Above this number of pairs one aggregate over all of them no longer compiles well.
@@ -188,12 +189,15 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
     parts = []
     if len(whole) > 1:
         ranked = spread(df.select(*[col(c).cast("double").alias(c) for c in whole]))
-        sizes = ranked.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(whole)]).first()
+        # Values of all columns are counted in one pass and written; sizes and ranks come from that table.
+        counts = staged(value_counts(ranked, whole, "double"), "ranks")
+        sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+        cut = chunks or (1 if max(sizes.values(), default=0) <= ROWS_PER_TASK else None)  # the ranking sorts distinct values
+        ranks = staged(rank_table(counts, cut), "ranks")
         for i, c in enumerate(whole):
-            cut = chunks or (1 if sizes[i] <= ROWS_PER_TASK else None)  # the ranking sorts distinct values
-            side = rank_table(value_counts(df, [c], "double"), cut).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+            side = ranks.filter(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
             # one row per distinct value: broadcast if the count allows, else a join whose hot values AQE splits
-            side = F.broadcast(side) if sizes[i] <= BROADCAST_ROWS else side
+            side = F.broadcast(side) if sizes.get(c, 0) <= BROADCAST_ROWS else side
             ranked = ranked.join(side, col(c) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
         parts.append(pearson(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(whole)]), whole))
     pairs = [(a, b) for a, b in combinations(names, 2) if a in holes or b in holes]

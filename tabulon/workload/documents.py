@@ -81,7 +81,7 @@ def _(spark, sf):
                     F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("moment"))
 
 
-@query("RAG-03-hashing")
+@query("RAG-03-hashing", "SELECT doc_id AS id, CASE WHEN regexp_matches(text, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS squared_norm FROM documents")
 def _(spark, sf):
     v = R.text_vectors(docs(spark, sf), "content", 256).select("id", "embedding")
     return v.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_norm"))

@@ -206,3 +206,80 @@ def _(spark, sf):
 def _(spark, sf):
     done = chains.run(workforce(spark, sf), "attrition", "employee_id", "predictive")
     return done.insights.select("insight_id", "insight_type", "title", "severity", "confidence", "impact_score")
+
+
+# A label that one column decides up to a share, so that the smallest model of each kind has a closed form.
+_PLANTED = WF + """, pl AS (SELECT employee_id, CASE WHEN overtime = 'Yes' THEN 1 ELSE 0 END AS o,
+   CAST(CASE WHEN overtime = 'Yes' THEN employee_id % 3 <> 0 ELSE employee_id % 7 = 0 END AS INTEGER) AS y FROM workforce),
+  g AS (SELECT employee_id, o, y, AVG(y) OVER (PARTITION BY o) AS r FROM pl)"""
+
+
+def planted(spark, sf):
+    y = F.when(F.col("overtime_yes") == 1, F.col("employee_id") % 3 != 0).otherwise(F.col("employee_id") % 7 == 0)
+    return training(spark, sf).withColumn("label", y.cast("double"))
+
+
+def stump(df):
+    return M.train(df, "random_forest", FEATURES, n_estimators=1, max_depth=1)
+
+
+# A forest draws its rows with replacement, so its probability is only near the share.
+@query("ML-03-stump", _PLANTED + " SELECT employee_id, CAST(r > 0.5 AS INTEGER) AS prediction FROM g")
+def _(spark, sf):
+    df = planted(spark, sf)
+    return M.score(stump(df), df, ["employee_id"]).drop("probability")
+
+
+@query("ML-04-stump", _PLANTED + " SELECT employee_id, CAST(r > 0.5 AS INTEGER) AS prediction, round(1 / (1 + exp(-2 * (2 * r - 1))), 6) AS probability FROM g")
+def _(spark, sf):
+    df = planted(spark, sf)
+    return rounded(M.score(M.train(df, "gradient_boosting", FEATURES, n_estimators=1, max_depth=1), df, ["employee_id"]))
+
+
+@query("ML-05-saturated", _PLANTED + " SELECT employee_id, CAST(r > 0.5 AS INTEGER) AS prediction, round(r, 3) AS probability FROM g")
+def _(spark, sf):
+    df = planted(spark, sf)
+    out = M.score(M.train(df, "logistic_regression", ["overtime_yes"], C=1e9), df, ["employee_id"])
+    return out.withColumn("probability", F.round("probability", 3))
+
+
+@query("ML-06-majority", _PLANTED + " SELECT employee_id, CAST(r > 0.5 AS INTEGER) AS prediction FROM g")
+def _(spark, sf):
+    df = planted(spark, sf)
+    return M.score(M.train(df, "svm", ["overtime_yes"]), df, ["employee_id"])
+
+
+@query("ML-09-labelled", _PLANTED + " SELECT employee_id, CAST(o AS DOUBLE) AS overtime_yes, CAST(y AS DOUBLE) AS label, CAST(r > 0.5 AS INTEGER) AS prediction, round(r, 3) AS probability FROM g")
+def _(spark, sf):
+    df = planted(spark, sf)
+    out = M.score(M.train(df, "logistic_regression", ["overtime_yes"], C=1e9), df, ["employee_id", "overtime_yes", "label"])
+    return out.withColumn("probability", F.round("probability", 3))
+
+
+@query("ML-10-stump", _PLANTED + ", pr AS (SELECT y AS label, CAST(r > 0.5 AS INTEGER) AS a, r AS p FROM g)" + _EVAL + """ SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy,
+  round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(roc_auc, 6)::DOUBLE AS roc_auc FROM q, auc""")
+def _(spark, sf):
+    df, root = planted(spark, sf), scratch(spark, "models")
+    M.save_model(stump(df), root, "stump", "random_forest", FEATURES)
+    return rounded(M.evaluate_stored(root, "stump", df, "label"))
+
+
+_ROWS = WFT + """, t AS (SELECT attrition, floor(COUNT(*) * 0.2 + 0.5) AS test, COUNT(*) AS rows FROM wf GROUP BY 1)
+  SELECT '<id>' AS model_id, 'logistic_regression' AS model_type, CAST(SUM(rows - test) AS BIGINT) AS training_rows, CAST(SUM(test) AS BIGINT) AS test_rows FROM t"""
+
+
+@query("ML-11-rows", _ROWS.replace("<id>", "first"))
+def _(spark, sf):
+    return M.registry(spark, registered(spark, sf)).select("model_id", "model_type", "training_rows", "test_rows")
+
+
+@query("ML-12-rows", _ROWS.replace("<id>", "second"))
+def _(spark, sf):
+    out = M.retrain(training(spark, sf), registered(spark, sf), "first", "second", target="label", unique=["employee_id"])
+    return out.select("model_id", "model_type", "training_rows", "test_rows")
+
+
+@query("ML-14-planted", _PLANTED + """, b AS (SELECT MAX(r) > MIN(r) AS splits FROM g), f AS (SELECT unnest(['age', 'monthly_income', 'performance_rating', 'satisfaction_score', 'years_at_company', 'overtime_yes']) AS feature)
+  SELECT feature, CASE WHEN feature = 'overtime_yes' AND splits THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM f, b""")
+def _(spark, sf):
+    return rounded(M.importances(stump(planted(spark, sf)), FEATURES, spark))
