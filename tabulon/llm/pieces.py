@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +14,15 @@ from .shingles import mixed, pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 1
-# A place in a text draws one of so many keys; a chunk of text is merged once for each key.
+# A place in a text draws one of so many keys; within a batch, equal chunks with one key are merged once.
 KEYS = 16
-# Merged chunks that a task remembers: those of the last so many different ones, and the round before.
-REMEMBERED = 250_000
-# Entries of the table in which the keyed hash looks up whether a merge is skipped.
+# Characters of a batch.
+TOGETHER = 1 << 22
+# Entries of the table in which the keyed hash looks up whether a merge is skipped; also the rank of no merge.
 TABLE = 1 << 20
-# Longer chunks keep their agenda in a heap, shorter ones in a list.
-SHORT = 40
-# A chunk: spaces, then other characters; no merge of the model crosses such a border (`Pieces` checks that).
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+# Chunks of more characters keep their agenda in a heap, one by one; the others go in step.
+SHORT = 48
+_SPACE, _SIGN = 0x20, ord(SPACE)
 
 
 class Pieces:
@@ -36,7 +33,7 @@ class Pieces:
 
         own = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.keys = KEYS if dropout > 0 else 1
-        self.skip = (np.random.default_rng(seed).random(TABLE) < dropout).tobytes()
+        self.skip = np.random.default_rng(seed).random(TABLE) < dropout
         self.id, score, self.byte, self.plain = {}, {}, [0] * 256, []
         for k in range(own.get_piece_size()):
             piece = own.id_to_piece(k)
@@ -53,8 +50,33 @@ class Pieces:
                 score[piece] = own.get_score(k)
                 self.plain.append(piece.replace(SPACE, " ").encode())
         self.rank = {p: r for r, p in enumerate(sorted(score, key=lambda p: (-score[p], self.id[p])))}
-        self.known: dict[tuple[str, int], bytes] = {}
-        self.older: dict[tuple[str, int], bytes] = {}
+        # For many chunks at once: letters and merges by number; the last number stands for any letter that is no piece.
+        self.base = len(self.plain) + 1
+        self.letter = np.full(0x20001, self.base - 1, np.int32)
+        for p, k in self.id.items():
+            if len(p) == 1 and ord(p) < 0x20000:
+                self.letter[ord(p)] = k
+        self.letter[_SPACE], self.letter[_SIGN] = self.id[SPACE], self.base - 1
+        self.made = np.zeros(len(self.rank), np.int32)
+        ways = {}
+        for p, r in self.rank.items():
+            self.made[r] = self.id[p]
+            for k in range(1, len(p)):
+                if p[:k] in self.id and p[k:] in self.id:
+                    ways[self.id[p[:k]] * self.base + self.id[p[k:]]] = r
+        # Ranks of pairs in a table with open addressing.
+        self.slots = 1 << max(4, (8 * len(ways)).bit_length())
+        self.pair, self.pair_rank = np.full(self.slots, -1, np.int64), np.full(self.slots, TABLE, np.int32)
+        left = np.fromiter(ways, np.int64, len(ways))
+        ranks, at = np.fromiter(ways.values(), np.int32, len(ways)), self._slot(left)
+        while len(left):
+            free = self.pair[at] < 0
+            self.pair[at[free]], self.pair_rank[at[free]] = left[free], ranks[free]  # of several, the last one gets it
+            out = self.pair[at] != left
+            left, ranks, at = left[out], ranks[out], (at[out] + 1) & (self.slots - 1)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (self.slots - 1)
 
     def _offer(self, both: str, place: int, key: int) -> int:
         """Rank of the merge to `both` at a place; none (the largest) if there is no such piece or the keyed hash skips it."""
@@ -65,27 +87,81 @@ class Pieces:
 
     def merge(self, chunk: str, key: int) -> list[int]:
         """Pieces of a chunk: the best merge of the agenda comes first, leftmost first; a keyed hash skips some."""
-        part = self._merge_short(chunk, key) if len(chunk) <= SHORT else self._merge_long(chunk, key)
         out: list[int] = []
-        for p in part:
+        for p in self._merge_long(chunk, key):
             out += [self.id[p]] if p in self.id else [self.byte[x] for x in p.encode()]
         return out
 
-    def _merge_short(self, chunk: str, key: int) -> list[str]:
-        part, place = list(chunk), list(range(len(chunk)))
-        agenda = [self._offer(chunk[k:k + 2], k, key) for k in range(len(chunk) - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == TABLE:
-                break
-            k = agenda.index(best)
-            part[k] += part.pop(k + 1)
-            del place[k + 1], agenda[k]
-            if k < len(agenda):
-                agenda[k] = self._offer(part[k] + part[k + 1], place[k], key)
-            if k:
-                agenda[k - 1] = self._offer(part[k - 1] + part[k], place[k - 1], key)
-        return part
+    def _ranks(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each two neighbours; none (TABLE) if there is no such piece or the keyed hash skips it."""
+        pair = left.astype(np.int64) * self.base + right
+        at = self._slot(pair)
+        held = self.pair[at]
+        rank = np.where(held == pair, self.pair_rank[at], np.int32(TABLE))
+        more = np.flatnonzero((held != pair) & (held >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & (self.slots - 1)
+            held = self.pair[at[more]]
+            same = held == pair[more]
+            rank[more[same]] = self.pair_rank[at[more[same]]]
+            more = more[~same & (held >= 0)]
+        hit = np.flatnonzero(rank < TABLE)
+        x = rank[hit].astype(np.uint64) * np.uint64(0x9E3779B1) + place[hit].astype(np.uint64) * np.uint64(0x85EBCA77) + key[hit].astype(np.uint64) * np.uint64(0xC2B2AE3D)
+        rank[hit[self.skip[(x >> np.uint64(5)) & np.uint64(TABLE - 1)]]] = TABLE
+        return rank
+
+    def merge_many(self, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`merge` of chunks that lie one after another in `points`: all ids, and where each chunk's begin.
+
+        In each round every chunk's agenda yields its next merge; chunks without one leave.
+        """
+        chunk = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        place = (np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        sym = self.letter[np.minimum(points, len(self.letter) - 1)]
+        start = np.arange(len(points), dtype=np.int32)
+        rank = np.full(len(sym), TABLE, np.int32)
+        at = np.flatnonzero(chunk[1:] == chunk[:-1])
+        rank[at] = self._ranks(sym[at], sym[at + 1], place[at], keys[chunk[at]])
+        done = [(start[:0], sym[:0], chunk[:0])]
+        while len(sym):
+            firsts = np.flatnonzero(np.diff(chunk, prepend=np.int32(-1)))
+            best = np.minimum.reduceat(rank, firsts)
+            sizes = np.diff(np.append(firsts, len(chunk)))
+            alive = best < TABLE
+            if not alive.all():
+                stay = np.repeat(alive, sizes)
+                over = ~stay
+                done.append((start[over], sym[over], chunk[over]))
+                chunk, sym, place, rank, start = chunk[stay], sym[stay], place[stay], rank[stay], start[stay]
+                sizes, best = sizes[alive], best[alive]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, sizes))
+            hit = hit[np.diff(chunk[hit], prepend=np.int32(-1)) != 0]
+            sym[hit] = self.made[best]
+            stay = np.ones(len(sym), bool)
+            stay[hit + 1] = False
+            chunk, sym, place, rank, start = chunk[stay], sym[stay], place[stay], rank[stay], start[stay]
+            hit -= np.arange(len(hit))
+            rank[hit] = TABLE
+            for at in (hit[(hit + 1 < len(sym))], hit[hit > 0] - 1):
+                at = at[chunk[at + 1] == chunk[at]]
+                rank[at] = self._ranks(sym[at], sym[at + 1], place[at], keys[chunk[at]])
+        start, sym, chunk = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(start)
+        sym, start, chunk = sym[order], start[order], chunk[order]
+        # A character that is no piece is spelled by its bytes.
+        unknown = np.flatnonzero(sym == self.base - 1)
+        size = np.ones(len(sym), np.int64)
+        spelled, which = np.unique(points[start[unknown]], return_inverse=True)
+        bytes_of = [[self.byte[x] for x in chr(c).encode("utf-8", "surrogatepass")] for c in spelled.tolist()]
+        size[unknown] = np.array([len(x) for x in bytes_of], np.int64)[which] if len(unknown) else 0
+        ends = np.cumsum(size)
+        out = np.repeat(sym, size).astype(np.int32)
+        for n, ids in enumerate(bytes_of):
+            for k, x in enumerate(ids):
+                out[ends[unknown[which == n]] - len(ids) + k] = x
+        return out, np.concatenate(([0], ends))[np.searchsorted(chunk, np.arange(len(lengths) + 1))]
 
     def _merge_long(self, chunk: str, key: int) -> list[str]:
         part: list[str | None] = list(chunk)
@@ -113,26 +189,60 @@ class Pieces:
             offer(a, after[a])
         return [p for p in part if p is not None]
 
-    def encode(self, text: str, name: int) -> bytes:
-        """Ids as 32-bit integers; `name` is the document's hash. A space sign in the text itself is spelled by its bytes."""
-        if not text:
-            return b""
-        sign = np.array([self.byte[x] for x in SPACE.encode()], np.int32).tobytes()
-        out, at = [], 0
-        for k, own in enumerate((" " + text).split(SPACE)):
-            chunks = CHUNK.findall(own.replace(" ", SPACE))
-            draws = mixed(np.arange(at, at + len(chunks), dtype=np.uint64) + np.uint64(name & 0xFFFFFFFFFFFFFFFF)) % np.uint64(self.keys)
-            at += len(chunks)
-            if k:
-                out.append(sign)
-            for x in zip(chunks, draws.tolist()):
-                ids = self.known.get(x)
-                if ids is None:
-                    if len(self.known) >= REMEMBERED:
-                        self.known, self.older = {}, self.known
-                    ids = self.known[x] = self.older.get(x) or array("i", self.merge(*x)).tobytes()
-                out.append(ids)
-        return b"".join(out)
+    def encode(self, texts: list[str], names: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin. A name is the document's hash.
+
+        A chunk is a run of spaces with the other characters that follow; no merge crosses its border. The space sign
+        itself, where a text has it, is a chunk of its own and is spelled by its bytes.
+        """
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        ends = np.cumsum(lengths)
+        space, sign = points == _SPACE, points == _SIGN
+        new = sign.copy()
+        new[1:] |= sign[:-1] | (space[1:] & ~space[:-1])
+        new[(ends - lengths)[lengths > 0]] = True
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(points)))
+        first = np.searchsorted(begin, ends - lengths)  # of each text
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(begin))))
+        key = (mixed((np.arange(len(begin)) - first[owner]).astype(np.uint64) + np.array(names, np.int64).view(np.uint64)[owner]) % np.uint64(self.keys)).astype(np.int64)
+        same, salt = None, 0
+        while same is None:
+            same, salt = self._equal_chunks(points, begin, size, key, salt), salt + 1
+        rep, inverse = same
+        ids, at = self._merged(points, begin[rep], size[rep], key[rep])
+        count = np.diff(at)[inverse]
+        upto = np.cumsum(count)
+        out = ids[np.arange(upto[-1]) + np.repeat(at[:-1][inverse] - (upto - count), count)]
+        return out, np.concatenate(([0], upto))[np.append(first, len(begin))]
+
+    def _equal_chunks(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """One chunk for each different chunk and key, and which one each is; None if two that differ share a hash."""
+        place = np.arange(len(points)) - np.repeat(begin, size)
+        power = np.full(int(size.max()), 0xD6E8FEB86659FD93 + 2 * salt, np.uint64)
+        power[0] = 1
+        h = np.add.reduceat(mixed(points.astype(np.uint64) + np.uint64(salt << 40)) * np.cumprod(power, dtype=np.uint64)[place], begin)
+        h = mixed(h + key.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + size.astype(np.uint64))
+        _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if (size[rep][inverse] != size).any() or (key[rep][inverse] != key).any() or (points[np.repeat(begin[rep][inverse], size) + place] != points).any():
+            return None
+        return rep, inverse
+
+    def _merged(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        short = np.flatnonzero(size <= SHORT)
+        n = size[short]
+        where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[short], n)
+        ids, at = self.merge_many(points[where], n, key[short])
+        if len(short) == len(size):
+            return ids, at
+        parts = dict(zip(short.tolist(), (ids[a:b] for a, b in zip(at, at[1:]))))
+        for k in np.flatnonzero(size > SHORT).tolist():
+            text = points[begin[k]:begin[k] + size[k]].tobytes().decode("utf-32-le", "surrogatepass")
+            parts[k] = np.array(self.merge(text.replace(" ", SPACE), int(key[k])), np.int32)
+        return np.concatenate([parts[k] for k in range(len(size))]), np.cumsum([0] + [len(parts[k]) for k in range(len(size))])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.plain.__getitem__, ids)).decode(errors="replace")[1:]
@@ -164,7 +274,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """`_kept` (a struct of the `kept` columns, by default all) and `ids` (array of int), one row per document.
 
     Candidate merges wait in an agenda ordered by rank, then place; each is skipped with probability `dropout`, decided
-    by a hash of the seed, one of KEYS keys, the place and the piece. The key is drawn from the document's id and the
+    by a hash of the seed, one of KEYS keys, the place in a chunk and the piece. The key is drawn from the document's id and the
     place in the text. So reruns agree, a word is cut in up to KEYS ways, and dropout 0 gives the model's own encoding.
     Null and empty texts have no ids. Characters that the model lacks, and the model's own space sign, are spelled in
     bytes, so `decode` gives the text back, whatever it is. Rows with the same id and text get the same ids; a null id
@@ -175,13 +285,12 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _ready(sent.value, dropout, seed)
         for whole in batches:
-            for batch, _ in pieces(iter([whole]), "_text"):
+            for batch, _ in pieces(iter([whole]), "_text", TOGETHER):
                 texts, names = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_text", "_name"))
-                ids = [own.encode(t or "", n) for t, n in zip(texts, names)]
-                offsets = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+                ids, offsets = own.encode([t or "" for t in texts], names)
                 columns, labels = _kept(batch, "_text")
                 at = labels.index("_name")
-                columns[at], labels[at] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32))), "ids"
+                columns[at], labels[at] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), "ids"
                 yield pa.RecordBatch.from_arrays(columns, names=labels)
 
     name = F.xxhash64(F.col(id_column))

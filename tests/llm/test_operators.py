@@ -466,7 +466,7 @@ def processor():
 def test_without_dropout_as_the_library(processor):
     own = pieces.Pieces(pieces._model_bytes(pieces.MODEL), 0.0, 1)
     for text in ["", " ", "Hello  world\n\tx", " a ", "<s>x</s>", "日本\x00é", prose(5, 300), "a" * 500, "internationalisation " * 9]:
-        assert np.frombuffer(own.encode([text], [3])[0], np.int32).tolist() == processor.encode(text)
+        assert own.encode([text], [3])[0].tolist() == processor.encode(text)
 
 
 def test_dropout_varies_and_decodes(spark, odd, none):
@@ -484,6 +484,17 @@ def test_agendas_agree_and_words_vary():
     own = pieces.Pieces(pieces._model_bytes(pieces.MODEL), 0.2, 1)
     chunks = [pieces.SPACE + w for w in ("internationalisation", "thereafter", "aaaaaaaa", "日本語x", "é\né\U0001F600x", "x", "")] + ["x" * 30]
     items = [(c, key) for c in chunks for key in range(pieces.KEYS)]
-    assert [np.frombuffer(x, np.int32).tolist() for x in own.merge_many(items)] == [own.merge(*x) for x in items]
+    points = np.frombuffer("".join(c.replace(pieces.SPACE, " ") for c, _ in items).encode("utf-32-le"), np.uint32)
+    ids, at = own.merge_many(points, np.array([len(c) for c, _ in items]), np.array([k for _, k in items]))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [own.merge(*x) for x in items]
     ways = {tuple(own.merge(chunks[0], key)) for key in range(pieces.KEYS)}
     assert len(ways) > 4 and {own.decode(list(w)) for w in ways} == {"internationalisation"}
+
+
+def test_batches_do_not_matter():
+    own = pieces.Pieces(pieces._model_bytes(pieces.MODEL), 0.2, 1)
+    texts = ["", "  a  b ", "▁a ▁ ▁▁", prose(1, 40), "", "y" * 200 + " y", "日本 \U0001F600\x00", prose(1, 40), " "]
+    ids, at = own.encode(texts, list(range(-4, 5)))
+    for k, t in enumerate(texts):
+        one = ids[at[k]:at[k + 1]].tolist()
+        assert own.encode([t], [k - 4])[0].tolist() == one and own.decode(one) == t
