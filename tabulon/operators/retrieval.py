@@ -6,7 +6,7 @@ caller's write.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -156,17 +156,22 @@ def _best(ids: np.ndarray, d: np.ndarray, k: int) -> list[tuple]:
 
 
 def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, *, metric: str = "l2sq", id_col: str = "id", vector: str = "embedding",
-            query_id: str = "query_id", query_vector: str = "query_vector", keep: Sequence[str] = ()) -> DataFrame:
+            query_id: str = "query_id", query_vector: str = "query_vector", keep: Sequence[str] = (), filters: Mapping[str, object] | None = None,
+            metadata: str = "metadata") -> DataFrame:
     """RAG-04: (query_id, rank, id, distance, score, keep…), the k nearest documents of every query, ties by id.
 
     Exact. A task holds a block of query vectors and k rows per query, whatever the number of documents; it hands on
-    those rows only, never the pairs. Filter `docs` first to search within metadata values.
+    those rows only, never the pairs. `filters` keeps documents whose metadata (a map or struct column, or plain
+    columns where there is no such column) has these values; it is applied to the scan.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
     require(docs, [id_col, vector, *keep])
+    for name, value in (filters or {}).items():
+        held = col(metadata)[name] if metadata in docs.columns else col(name)
+        docs = docs.filter(held == F.lit(value))
     side = docs.select(col(id_col).alias("id"), col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     asked = queries.select(col(query_id).alias("query_id"), col(query_vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", side.schema["id"].dataType),

@@ -8,8 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Scratch folder of local sessions; it goes when the process ends.
+_FOLDER: tempfile.TemporaryDirectory | None = None
+
+
 def local_session(cores: str | int = "*", name: str = "tabulon", **conf) -> SparkSession:
     """A session for tests and single-node runs; on a cluster the session comes from the submitter."""
+    global _FOLDER
+    if "spark.checkpoint.dir" not in conf:
+        _FOLDER = _FOLDER or tempfile.TemporaryDirectory(prefix="tabulon-", ignore_cleanup_errors=True)
+        conf["spark.checkpoint.dir"] = _FOLDER.name
     settings = {
         "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.sql.dataFrameQueryContext.enabled": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",

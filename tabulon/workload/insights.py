@@ -94,7 +94,7 @@ _REC = _TOP + f""", o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY best_rank, varia
 
 
 def recs(spark, sf):
-    return N.recommendations(S.top_features(S.feature_importance(target01(spark, sf), "attrition", _W), 3))
+    return N.recommendations(S.top_features(S.feature_importance(target01(spark, sf), "attrition", _W)))
 
 
 @query("INS-04", f"{_REC} SELECT * FROM rec")

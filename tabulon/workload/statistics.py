@@ -183,12 +183,12 @@ def _(spark, sf):
 _TOP = WFT + ", " + anova_sql("wf", "attrition", _W, _FILL("wf")) + ", " + mi_sql("wf", "attrition", _W, _FILL("wf")) + """, imp AS (
    SELECT 'f_score' AS method, variable, f AS score FROM an UNION ALL SELECT 'mutual_information', variable, mutual_information FROM mi),
    rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY method ORDER BY round(score, 9) DESC, variable) AS r FROM imp),
-   top AS (SELECT variable, CAST(MIN(r) AS INTEGER) AS best_rank FROM rk WHERE r <= 3 GROUP BY variable)"""
+   top AS (SELECT variable, CAST(MIN(r) AS INTEGER) AS best_rank FROM rk WHERE r <= 5 GROUP BY variable)"""
 
 
 @query("ST-10", _TOP + " SELECT * FROM top")
 def _(spark, sf):
-    return S.top_features(S.feature_importance(target01(spark, sf), "attrition", _W), 3)
+    return S.top_features(S.feature_importance(target01(spark, sf), "attrition", _W))
 
 
 @query("ST-11")
@@ -209,6 +209,15 @@ def _(spark, sf):
     return rounded(comp.agg(F.count(F.lit(1)).alias("components"), F.sum("explained_ratio").alias("total"), F.sum(value * value).alias("squares")))
 
 
+# Two columns have a closed form: shares (1 ± |r|) / 2, all loadings 1 / √2 in size.
+@query("ST-11-two", f"""WITH c AS (SELECT abs(corr({_L[0]}, {_L[1]})) AS r FROM lineitem), k AS (SELECT unnest([1, 2]) AS component), v AS (SELECT unnest(['{_L[0]}', '{_L[1]}']) AS variable)
+  SELECT CAST(component AS INTEGER) AS component, round((1 + CASE component WHEN 1 THEN r ELSE -r END) / 2, 6) AS explained_ratio, variable, round(sqrt(0.5), 6) AS loading FROM c, k, v""")
+def _(spark, sf):
+    components, loadings = S.pca(table(spark, sf, "lineitem"), _L[:2])
+    out = components.select("component", "explained_ratio").join(loadings, "component")
+    return rounded(out.withColumn("loading", F.abs("loading")))
+
+
 @query("ST-11-loadings")
 def _(spark, sf):
     loadings = S.pca(table(spark, sf, "lineitem"), _L)[1]

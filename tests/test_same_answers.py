@@ -76,3 +76,11 @@ def test_last_rows_and_transcripts(spark):
     assert [r["id"] for r in retrieval.last_queries(log, "at", 3).collect()] == [0, 1, 2]
     talk = spark.createDataFrame([(1, 0, "user", "one\r\ntwo\nthree")], "conv_id long, turn int, role string, text string")
     assert writers.transcript_lines(talk).first()["value"] == "[0] User: one\\ntwo\\nthree"
+
+
+def test_search_within_metadata(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0], {"lang": "en"}), (2, [1.0, 0.1], {"lang": "fr"}), (3, [0.0, 1.0], {"lang": "fr"}), (4, [1.0, 0.0], None)], "id long, embedding array<double>, metadata map<string,string>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    hits = lambda **kw: [r["id"] for r in retrieval.nearest(docs, asked, 5, **kw).orderBy("rank").collect()]
+    assert hits() == [1, 4, 2, 3] and hits(filters={"lang": "fr"}) == [2, 3] and hits(filters={"lang": "xx"}) == []
+    assert hits(filters={"id": 3}, metadata="none") == [3]
