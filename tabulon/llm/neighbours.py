@@ -137,7 +137,10 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     ask = wanted.select("cls").distinct().join(classes.select("cls", "vec"), "cls")
 
     total, norm = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()
-    sample = _stacked(pd.Series([r["vec"] for r in classes.orderBy(F.xxhash64("cls"), "cls").select("vec").limit(SAMPLE).collect()], dtype=object))
+    # Rows of the lowest hashes; the first condition leaves about two samples, so that tasks send no more to the driver.
+    low = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 2 * SAMPLE / max(total, 1))))
+    low = low.orderBy(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)), "cls").select("vec").limit(SAMPLE)
+    sample = _stacked(pd.Series([r["vec"] for r in low.collect()], dtype=object))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not total:
         return empty
