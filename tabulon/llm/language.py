@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Bounds of the labelled sample: documents per language, and characters from the beginning of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 600
+SAMPLE_DOCS, SAMPLE_CHARS = 96, 400
 # Letters with a class of their own; 0 is anything but a letter, 1 any other letter.
 LETTERS = 62
 # A text is parsed in stretches of this many characters, all of them side by side; each starts a new phrase.
@@ -158,7 +158,9 @@ def labelled_sample(docs: DataFrame, text_column: str, lang_column: str, docs_pe
     start = F.substring(F.col(text_column), 1, chars)
     rows = docs.select(F.col(lang_column).alias("lang"), start.alias("start")).where("lang IS NOT NULL AND start <> ''").withColumn("h", F.xxhash64("start"))
     pairs = rows.select("lang", "h").distinct()
-    chosen = pairs.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= docs_per_language).drop("n")
+    chosen = pairs
+    for parts in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a frequent language in parts first
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*parts).orderBy("h"))).where(F.col("n") <= docs_per_language).drop("n")
     found = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("start").alias("start")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["h"])):
