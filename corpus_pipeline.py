@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -35,8 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of the documents with `ids`, their pieces; a column of that name is replaced."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "ids"]
-    return pieces.encode(docs, kept=kept).select("_kept.*", "ids")
+    return pieces.encode(docs.drop("ids")).select("_kept.*", "ids")
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("mixing to target weights", mix_sources), ("SentencePiece encoding", encode)]

@@ -22,9 +22,9 @@ HASHES = BANDS * BAND_ROWS
 # Values compared at a time; a pair is dropped when its chance of reaching the threshold falls below the tolerance.
 STEP, TOLERANCE = 16, 1e-7
 # Documents of a bucket, and of a component, that one task compares with as many others.
-BUCKET_BLOCK, BLOCK = 512, 256
-# Pairs that a task holds at a time.
-PAIRS = 1 << 18
+BUCKET_BLOCK, BLOCK = 512, 128
+# Rows, but whole groups, and pairs that a task holds at a time.
+ROWS, PAIRS = 1024, 1 << 16
 _RNG = np.random.default_rng(777)
 _TIMES = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))
 _PLUS = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -136,8 +136,11 @@ def _whole_groups(pdfs: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tup
             new = np.ones(len(p), bool)
             new[1:] = np.any([p[k].to_numpy()[1:] != p[k].to_numpy()[:-1] for k in keys], axis=0)
             starts = np.flatnonzero(new)
-            if len(starts) > 1:
-                yield p.iloc[:starts[-1]].reset_index(drop=True), starts[:-1]
+            at = 0
+            while at < len(starts) - 1:  # the last group may go on in the next batch
+                end = max(at + 1, int(np.searchsorted(starts[:-1], starts[at] + ROWS, "right")) - 1)
+                yield p.iloc[starts[at]:starts[end]].reset_index(drop=True), starts[at:end] - starts[at]
+                at = end
             rest = p.iloc[starts[-1]:]
     if rest is not None and len(rest):
         yield rest.reset_index(drop=True), np.zeros(1, np.int64)

@@ -18,7 +18,7 @@ LETTERS = 62
 # A text is parsed in stretches of this many characters, all of them side by side; each starts a new phrase.
 STRETCH = 256
 # Characters of text that one step of a task parses.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 
 @functools.lru_cache(1)
@@ -182,8 +182,8 @@ def predict_language(docs: DataFrame, samples: dict[str, str], text_column: str
         model = None
         for batch in batches:
             model = model or _model(fixed.value)
-            place = batch.schema.get_field_index("_text")
-            texts = batch.column(place).to_pylist()
+            column = batch.column(0).flatten()[at_text] if batch.num_columns == 1 else batch.column(1)
+            texts = column.to_pylist()
             langs, scores, at = [], [], 0
             while at < len(texts):
                 end, size = at, 0
@@ -192,11 +192,11 @@ def predict_language(docs: DataFrame, samples: dict[str, str], text_column: str
                     end += 1
                 a, b = model.predict(texts[at:end])
                 langs, scores, at = langs + a, scores + b, end
-            stay = [k for k in range(batch.num_columns) if k != place]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*(batch.schema.names[k] for k in stay), "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_kept", "_lang_pred", "_score"])
 
-    packed = docs.select(F.struct(*(kept or [F.col(f"`{c}`") for c in docs.columns])).alias("_kept"), F.col(text_column).alias("_text"))
+    # The text travels once: inside the struct if that holds all columns.
+    at_text = docs.columns.index(text_column)
+    packed = docs.select(F.struct(*(kept or [F.col(f"`{c}`") for c in docs.columns])).alias("_kept"), *([F.col(text_column).alias("_text")] if kept else []))
     schema = T.StructType([packed.schema["_kept"], T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
     return packed.mapInArrow(rows, schema)
 

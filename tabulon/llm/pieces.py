@@ -17,7 +17,7 @@ DROPOUT, SEED = 0.1, 1
 # A place in a text draws one of so many keys; within a batch, equal chunks with one key are merged once.
 KEYS = 16
 # Characters of a batch.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 # Entries of the table in which the keyed hash looks up whether a merge is skipped; also the rank of no merge.
 TABLE = 1 << 20
 # Chunks of more characters keep their agenda in a heap, one by one; the others go in step.
@@ -195,10 +195,26 @@ class Pieces:
         A chunk is a run of spaces with the other characters that follow; no merge crosses its border. The space sign
         itself, where a text has it, is a chunk of its own and is spelled by its bytes.
         """
-        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
-        points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self._encode([" " + t if t else "" for t in texts], names, 0)[:2]
+
+    def encode_long(self, text: str, name: int) -> np.ndarray:
+        """The same for one text, in parts of about TOGETHER characters that end where chunks do."""
+        text, parts, at, chunks = " " + text if text else "", [np.zeros(0, np.int32)], 0, 0
+        while at < len(text):
+            end = at + TOGETHER
+            while end < len(text) and not (text[end] == " " and text[end - 1] != " "):
+                end += 1
+            ids, _, n = self._encode([text[at:end]], [name], chunks)
+            parts.append(ids)
+            at, chunks = end, chunks + n
+        return np.concatenate(parts)
+
+    def _encode(self, texts: list[str], names: list[int], before: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids, where each text's begin, and how many chunks there are; `before` counts those of earlier parts."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(points):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), 0
         ends = np.cumsum(lengths)
         space, sign = points == _SPACE, points == _SIGN
         new = sign.copy()
@@ -208,7 +224,7 @@ class Pieces:
         size = np.diff(np.append(begin, len(points)))
         first = np.searchsorted(begin, ends - lengths)  # of each text
         owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(begin))))
-        key = (mixed((np.arange(len(begin)) - first[owner]).astype(np.uint64) + np.array(names, np.int64).view(np.uint64)[owner]) % np.uint64(self.keys)).astype(np.int64)
+        key = (mixed((np.arange(len(begin)) - first[owner] + before).astype(np.uint64) + np.array(names, np.int64).view(np.uint64)[owner]) % np.uint64(self.keys)).astype(np.int64)
         same, salt = None, 0
         while same is None:
             same, salt = self._equal_chunks(points, begin, size, key, salt), salt + 1
@@ -217,7 +233,7 @@ class Pieces:
         count = np.diff(at)[inverse]
         upto = np.cumsum(count)
         out = ids[np.arange(upto[-1]) + np.repeat(at[:-1][inverse] - (upto - count), count)]
-        return out, np.concatenate(([0], upto))[np.append(first, len(begin))]
+        return out, np.concatenate(([0], upto))[np.append(first, len(begin))], len(begin)
 
     def _equal_chunks(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray] | None:
         """One chunk for each different chunk and key, and which one each is; None if two that differ share a hash."""
@@ -285,16 +301,19 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _ready(sent.value, dropout, seed)
         for whole in batches:
-            for batch, _ in pieces(iter([whole]), "_text", TOGETHER):
-                texts, names = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_text", "_name"))
-                ids, offsets = own.encode([t or "" for t in texts], names)
-                columns, labels = _kept(batch, "_text")
-                at = labels.index("_name")
-                columns[at], labels[at] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), "ids"
-                yield pa.RecordBatch.from_arrays(columns, names=labels)
-
-    name = F.xxhash64(F.col(id_column))
-    packed = docs.select(F.struct(*(kept or [F.col(f"`{c}`") for c in docs.columns])).alias("_kept"), name.alias("_name"), F.col(text_column).alias("_text"))
+            for batch, raw in pieces(iter([whole]), None if at_text is not None else "_text", TOGETHER, at_text):
+                texts, names = [t.decode() for t in raw], batch.column(1).to_pylist()
+                if batch.num_rows == 1 and len(texts[0] or "") > TOGETHER:
+                    ids = own.encode_long(texts[0], names[0])
+                    offsets = np.array([0, len(ids)])
+                else:
+                    ids, offsets = own.encode([t or "" for t in texts], names)
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["_kept", "ids"])
+
+    # The text travels once: inside the struct if that holds all columns.
+    name, at_text = F.xxhash64(F.col(id_column)), None if kept else docs.columns.index(text_column)
+    packed = docs.select(F.struct(*(kept or [F.col(f"`{c}`") for c in docs.columns])).alias("_kept"), name.alias("_name"), *([F.col(text_column).alias("_text")] if kept else []))
     return packed.mapInArrow(rows, T.StructType([packed.schema["_kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are hashed together; a longer text is hashed in parts of about this size.
-PIECE = 1 << 22
+PIECE = 1 << 20
 _SEEDS = np.random.default_rng(20240917)
 _BYTE = _SEEDS.integers(1, 1 << 63, 256, dtype=np.uint64)
 _FACTORS = _SEEDS.integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
@@ -100,10 +100,11 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batches cut so that each holds about `limit` bytes of text, or one row."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str | None, limit: int = PIECE, field: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batches cut so that each holds about `limit` bytes of text, or one row. The text is a column, or a field of
+    the first column, which is a struct."""
     for batch in batches:
-        texts = raw_texts(batch.column(batch.schema.get_field_index(column)))
+        texts = raw_texts(batch.column(batch.schema.get_field_index(column)) if column else batch.column(0).flatten()[field])
         at = size = 0
         for i, t in enumerate(texts):
             if i > at and size + len(t) > limit:

@@ -491,10 +491,13 @@ def test_agendas_agree_and_words_vary():
     assert len(ways) > 4 and {own.decode(list(w)) for w in ways} == {"internationalisation"}
 
 
-def test_batches_do_not_matter():
+def test_batches_do_not_matter(monkeypatch):
     own = pieces.Pieces(pieces._model_bytes(pieces.MODEL), 0.2, 1)
     texts = ["", "  a  b ", "▁a ▁ ▁▁", prose(1, 40), "", "y" * 200 + " y", "日本 \U0001F600\x00", prose(1, 40), " "]
     ids, at = own.encode(texts, list(range(-4, 5)))
     for k, t in enumerate(texts):
         one = ids[at[k]:at[k + 1]].tolist()
         assert own.encode([t], [k - 4])[0].tolist() == one and own.decode(one) == t
+    monkeypatch.setattr(pieces, "TOGETHER", 7)
+    for k, t in enumerate(texts):
+        assert own.encode_long(t, k - 4).tolist() == ids[at[k]:at[k + 1]].tolist()
