@@ -17,6 +17,9 @@ SAMPLE_DOCS, SAMPLE_CHARS = 96, 400
 LETTERS = 62
 # A text is parsed in stretches of this many characters, all of them side by side; each starts a new phrase.
 STRETCH = 256
+# Bits for the length of a phrase, and for a character that the labelled text lacks (a code point).
+LENGTH_BITS, LITERAL_BITS = 3, 21
+LOW = (1 << 32) - 1
 # Characters of text that one step of a task parses.
 TOGETHER = 1 << 20
 
@@ -33,8 +36,9 @@ def _points(text: str) -> np.ndarray:
 class Model:
     """A table of next states per language, made from suffix automata of its labelled text.
 
-    An entry holds the next state's row and, in the lowest bit, whether a phrase ends before this character: where the
-    automaton has no way on, the parse goes to the state that the character leads to from the beginning.
+    An entry holds the next state's row and two bits, whether a phrase ends before this character and whether the labelled
+    text lacks the character: where the automaton has no way on, the parse goes to the state that the character leads to
+    from the beginning; a character that is lacking stands for itself, after which nothing is open.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -54,15 +58,17 @@ class Model:
             table = np.full((len(steps), self.width), -1, np.int64)
             for s, ways in enumerate(steps):
                 table[s, list(ways)] = list(ways.values())
-            root = np.where(table[0] < 0, 0, table[0])
-            ends = table < 0
-            table = np.where(ends, root, table)
-            tables.append(((table + rows) * self.width << 1 | ends).astype(np.int32))
+            lacks = table[0] < 0
+            root = np.where(lacks, 0, table[0])
+            done = (table < 0) * (1 + 2 * lacks)
+            done[0] = 2 * lacks  # nothing is open there
+            table = np.where(table < 0, root, table)
+            tables.append(((table + rows) * self.width << 2 | done).astype(np.int32 if (rows + len(steps)) * self.width < 1 << 29 else np.int64))
             self.roots.append(rows * self.width)
             rows += len(steps)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        # Bits that a phrase costs: its place in the labelled text.
-        self.bits = np.array([math.log2(len(self.codes(samples[x])) + 2) for x in self.languages])
+        # Bits that a phrase costs: its place in the labelled text, and its length.
+        self.bits = np.array([math.log2(len(self.codes(samples[x])) + 2) + LENGTH_BITS for x in self.languages])
 
     def codes(self, text: str) -> np.ndarray:
         """Classes of the characters; a run of other characters than letters is one."""
@@ -70,7 +76,17 @@ class Model:
         return c[(c > 0) | (np.concatenate(([1], c[:-1])) > 0)]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases per language and text."""
+        """Phrases per language and text; a character that is lacking counts as one."""
+        found = self.parse(texts)
+        return (found & LOW) + (found >> 32)
+
+    def cost(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Bits per language and text."""
+        found = self.parse(texts)
+        return (found & LOW) * self.bits[:, None] + (found >> 32) * LITERAL_BITS
+
+    def parse(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases that occur, plus 2 ** 32 for each character that is lacking, per language and text."""
         out = np.zeros((len(self.languages), len(texts)), np.int64)
         lengths = np.array([len(t) for t in texts])
         pieces = -(-lengths // STRETCH)
@@ -89,19 +105,18 @@ class Model:
         for t in range(int(size[0])):
             k = active[t]
             v = self.table[state[:, :k] + codes[begin[:k] + t]]
-            count[:, :k] += v & 1
-            state[:, :k] = v >> 1
-        count += 1  # the phrase that is open at the end
+            count[:, :k] += (v & 1) + ((v & 2).astype(np.int64) << 31)
+            state[:, :k] = v >> 2
+        count += state != np.array(self.roots)[:, None]  # the phrase that is open at the end
         np.add.at(out.T, owner, count.T)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        codes = [self.codes(t or "") for t in texts]
-        letters = np.array([(c > 0).sum() for c in codes])
+    def predict(self, texts: list[str | None], letters: list[bool] | None = None) -> tuple[list[str], list[float]]:
+        letters = [any(map(str.isalpha, t or "")) for t in texts] if letters is None else letters
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return langs, scores
-        cost = self.phrases(codes) * self.bits[:, None]
+        cost = self.cost([self.codes(t or "") for t in texts])
         for k in np.flatnonzero(letters).tolist():
             best = int(np.argmin(cost[:, k]))
             rest = np.delete(cost[:, k], best)
@@ -169,12 +184,14 @@ def labelled_sample(docs: DataFrame, text_column: str, lang_column: str, docs_pe
 
 
 def predict_language(docs: DataFrame, samples: dict[str, str], text_column: str = "text", kept: list[Column] | None = None) -> DataFrame:
-    """`kept` columns (by default all of `docs`), `lang_pred` and `score` of each row; nothing but the text is looked at.
+    """`_kept` columns (by default all of `docs`), `_lang_pred`, `_score` and `_letters` (whether there is a letter) of each row.
 
     The text is cut greedily into the longest phrases that occur in the labelled text of a language, for each language.
-    A phrase costs log2 of that text's length; the language with the smallest cost wins, ties go to the first name. The
-    score is 1 − best / second best cost (1 if there is one language). `und` with score 0: null, no letter, or no
-    labelled text. Case and anything but letters don't count. Each row is on its own; no shuffle.
+    A phrase costs its place (log2 of that text's length) and its length (LENGTH_BITS), a character that the labelled text
+    lacks costs LITERAL_BITS: much text means long phrases, little text short ones that cost more than they save. The
+    language with the smallest cost wins, ties go to the first name. The score is 1 − best / second best cost (1 if there
+    is one language). `und` with score 0: null, no letter, or no labelled text. Case and anything but letters don't count.
+    Nothing but the text is looked at; each row is on its own; no shuffle.
     """
     fixed = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
 
@@ -184,20 +201,21 @@ def predict_language(docs: DataFrame, samples: dict[str, str], text_column: str
             model = model or _model(fixed.value)
             column = batch.column(0).flatten()[at_text] if batch.num_columns == 1 else batch.column(1)
             texts = column.to_pylist()
+            letters = [any(map(str.isalpha, t or "")) for t in texts]
             langs, scores, at = [], [], 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end] or "") <= TOGETHER):
                     size += len(texts[end] or "")
                     end += 1
-                a, b = model.predict(texts[at:end])
+                a, b = model.predict(texts[at:end], letters[at:end])
                 langs, scores, at = langs + a, scores + b, end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_kept", "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())], names=["_kept", "_lang_pred", "_score", "_letters"])
 
     # The text travels once: inside the struct if that holds all columns.
     at_text = docs.columns.index(text_column)
     packed = docs.select(F.struct(*(kept or [F.col(f"`{c}`") for c in docs.columns])).alias("_kept"), *([F.col(text_column).alias("_text")] if kept else []))
-    schema = T.StructType([packed.schema["_kept"], T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([packed.schema["_kept"], T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_letters", T.BooleanType())])
     return packed.mapInArrow(rows, schema)
 
 
@@ -214,6 +232,6 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def drop_unidentified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language."""
+    """The rows of `docs`, all columns, whose text has a letter and so a language, whether or not there is labelled text."""
     samples = labelled_sample(docs.where(~held_out(id_column)), text_column, lang_column)
-    return predict_language(docs, samples, text_column).where("_lang_pred <> 'und'").select("_kept.*")
+    return predict_language(docs, samples, text_column).where("_letters").select("_kept.*")

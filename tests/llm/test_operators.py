@@ -206,6 +206,34 @@ def test_phrases_match_greedy_parsing(monkeypatch):
             assert got[k, n] == brute_phrases(char(model.codes(t).tolist()), char(decoded[lang])), (lang, t)
 
 
+@pytest.mark.parametrize("tiny", ["ok", "hello", "12 34", "word of it"])
+def test_a_short_sample_wins_nothing(tiny):
+    r = random.Random(12)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    model = language.Model({"aa": tiny, "full": text(5000), "zz": tiny})
+    texts = [text(n) for n in (3, 40, 200)]
+    assert model.predict(texts)[0] == ["full"] * 3
+
+
+def test_letters_that_a_sample_lacks_are_phrases():
+    model = language.Model({"x": "abc", "y": "abcd"})
+    assert model.phrases([model.codes(t) for t in ("abdab", "dd", "abc", "abd")]).T.tolist() == [[3, 3], [2, 2], [1, 1], [2, 2]]
+
+
+def test_a_short_sample_keeps_its_own_language():
+    r = random.Random(13)
+    voice = {x: ["".join(r.choice(y) for _ in range(r.randrange(2, 9))) for _ in range(60)] for x, y in (("long", "etaoinshrdlu"), ("short", "etaoinshrkmz"))}
+    text = lambda x, n: " ".join(r.choice(voice[x]) for _ in range(n))
+    model = language.Model({"long": text("long", 5000), "short": text("short", 70)})
+    assert model.predict([text(x, 60) for x in ("long", "short")])[0] == ["long", "short"]
+
+
+def test_letters_decide_what_stays(spark):
+    rows = [(1, "some words", None, None), (2, "12 34", None, None), (3, None, None, None), (4, "", None, None)]
+    assert [r["doc_id"] for r in language.drop_unidentified(docs_frame(spark, rows)).collect()] == [1]  # no label anywhere
+
+
 def test_languages_of_nothing(none, spark):
     assert language.identify(none).count() == 0
     assert [r["lang_pred"] for r in language.identify(docs_frame(spark, [(1, "words", None, None)])).collect()] == ["und"]
