@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Bounds of the labelled sample: documents per language, and characters from the beginning of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 400
-# Letters with a class of their own; 0 is anything but a letter, 1 any other letter.
+# Each letter of the samples has a class; the most frequent ones are columns of a table, the others are looked up by key.
+# Class 0 is anything but a letter, 1 a letter of no sample.
 LETTERS = 62
 # A text is parsed in stretches of this many characters, all of them side by side; each starts a new phrase.
 STRETCH = 256
@@ -25,8 +27,9 @@ TOGETHER = 1 << 20
 
 
 @functools.lru_cache(1)
-def _is_letter() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+def _spells() -> np.ndarray:
+    """Whether a code point is a letter or a mark on one, such as a vowel sign."""
+    return np.fromiter((chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
 
 
 def _points(text: str) -> np.ndarray:
@@ -43,21 +46,31 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        counts = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.classes = _is_letter().astype(np.uint8)
-        for k, c in enumerate(letters, 2):
-            self.classes[ord(c)] = k
-            if len(c.upper()) == 1:
-                self.classes[ord(c.upper())] = k
-        self.width = len(letters) + 2
+        spells = _spells()
+        counts = Counter(c for t in samples.values() for c in t.lower() if spells[ord(c)])
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        self.classes = spells.astype(np.int32)
+        for k, c in reversed(list(enumerate(letters, 2))):
+            for form in (c.upper(), c.title(), c):
+                if len(form) == 1:
+                    self.classes[ord(form)] = k
+        self.n_classes = len(letters) + 2
+        self.width = min(len(letters), LETTERS) + 2
         tables, self.roots, rows = [], [], 0
+        keys, values, self.starts = [], [], np.full((len(self.languages), max(self.n_classes - self.width, 0)), -1, np.int64)
         for lang in self.languages:
             codes = self.codes(samples[lang])
             steps = suffix_automaton(codes.tolist())
             table = np.full((len(steps), self.width), -1, np.int64)
             for s, ways in enumerate(steps):
-                table[s, list(ways)] = list(ways.values())
+                for c, to in ways.items():
+                    if c < self.width:
+                        table[s, c] = to
+                    else:
+                        keys.append((rows + s) * self.width * self.n_classes + c)
+                        values.append((rows + to) * self.width)
+                        if s == 0:
+                            self.starts[len(self.roots), c - self.width] = values[-1]
             lacks = table[0] < 0
             root = np.where(lacks, 0, table[0])
             done = (table < 0) * (1 + 2 * lacks)
@@ -67,6 +80,8 @@ class Model:
             self.roots.append(rows * self.width)
             rows += len(steps)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         # Bits that a phrase costs: its place in the labelled text, and its length.
         self.bits = np.array([math.log2(len(self.codes(samples[x])) + 2) + LENGTH_BITS for x in self.languages])
 
@@ -75,6 +90,22 @@ class Model:
         c = self.classes[_points(text)]
         return c[(c > 0) | (np.concatenate(([1], c[:-1])) > 0)]
 
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Entries for a state per language and text and the next class of each text."""
+        if not len(self.keys):
+            return self.table[state + codes]
+        keyed = np.flatnonzero(codes >= self.width)
+        if not len(keyed):
+            return self.table[state + codes]
+        v = self.table[state + np.minimum(codes, self.width - 1)].astype(np.int64)
+        at, c, roots = state[:, keyed], codes[keyed], np.array(self.roots)[:, None]
+        key = at * self.n_classes + c
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        start = self.starts[:, c - self.width]
+        other = np.where(start < 0, roots << 2 | 2 | (at != roots), start << 2 | 1)
+        v[:, keyed] = np.where(self.keys[k] == key, self.values[k] << 2, other)
+        return v
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases per language and text; a character that is lacking counts as one."""
         found = self.parse(texts)
@@ -104,7 +135,7 @@ class Model:
         count = np.zeros(state.shape, np.int64)
         for t in range(int(size[0])):
             k = active[t]
-            v = self.table[state[:, :k] + codes[begin[:k] + t]]
+            v = self.step(state[:, :k], codes[begin[:k] + t])
             count[:, :k] += (v & 1) + ((v & 2).astype(np.int64) << 31)
             state[:, :k] = v >> 2
         count += state != np.array(self.roots)[:, None]  # the phrase that is open at the end

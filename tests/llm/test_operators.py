@@ -221,6 +221,26 @@ def test_letters_that_a_sample_lacks_are_phrases():
     assert model.phrases([model.codes(t) for t in ("abdab", "dd", "abc", "abd")]).T.tolist() == [[3, 3], [2, 2], [1, 1], [2, 2]]
 
 
+@pytest.mark.parametrize("first,size", [(0x4E00, 1500), (0xAC00, 900), (0x0904, 50)])
+def test_languages_of_one_script(first, size):
+    """Words of both are equally long; their letters are the same, paired in another way."""
+    r = random.Random(14)
+    letters = [chr(first + k) for k in range(size)]
+    halves = {"x": letters, "y": letters[::-1]}
+    words = {x: [a + b for a, b in zip(y, y[7:])] for x, y in halves.items()}
+    text = lambda x, n: " ".join(r.choice(words[x]) for _ in range(n))
+    model = language.Model({x: text(x, 9000) for x in words})
+    texts = [text(x, 40) for x in "xyxyxyxyxy"]
+    assert model.predict(texts)[0] == list("xyxyxyxyxy")
+    small = language.Model({"x": "".join(words["x"][:150]), "y": "".join(words["y"][:150])})
+    char = lambda codes: "".join(chr(65 + c) for c in codes)
+    odd = ["".join(r.choice(letters[:160]) for _ in range(60)), *texts[:2]]
+    got = small.phrases([small.codes(t) for t in odd])
+    for k, x in enumerate("xy"):
+        for n, t in enumerate(odd):
+            assert got[k, n] == brute_phrases(char(small.codes(t)), char(small.codes("".join(words[x][:150]))))
+
+
 def test_a_short_sample_keeps_its_own_language():
     r = random.Random(13)
     voice = {x: ["".join(r.choice(y) for _ in range(r.randrange(2, 9))) for _ in range(60)] for x, y in (("long", "etaoinshrdlu"), ("short", "etaoinshrkmz"))}
