@@ -20,9 +20,18 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"e[yw][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1PRIVATE KEY-----")
-HEX_CANDIDATE = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
-BASE64_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,.-]|\\+[nrt/])*?)-----END \1PRIVATE KEY-----")
+# The shortest secret in a text is 'token=' and 8 characters: 14 bytes, 28 digits or, without padding, 19 base64 characters.
+HEX_CANDIDATE = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){14,}(?![0-9A-Fa-f])")
+BASE64_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+SHORTEST = 19
+# What wraps a candidate: a line end, also written as backslash and letter, and the indentation after it.
+BREAK = re.compile(r"(?:\r?\n|\r)[\x20\t]*|(?:\\+r)?\\+n[\x20\t]*")
+BASE64_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
+PIECE_AFTER = re.compile(r"[A-Za-z0-9+/_-]+")
+PADDING = re.compile(r"={0,2}")
+ESCAPES = re.compile(r"\\+([nrt/])")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -142,7 +151,7 @@ def _decoded_kind(data: bytes) -> int | None:
     if is_openssh(data):
         return 6
     try:
-        inner = data.decode("ascii")
+        inner = data.decode()
     except UnicodeDecodeError:
         return None
     if ("AKIA" in inner and any(len(m[0]) >= 16 for m in ACCESS.finditer(inner))) or next(_assigned(inner), None) or PEM.search(inner):
@@ -150,6 +159,69 @@ def _decoded_kind(data: bytes) -> int | None:
     return None
 
 
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans of the pieces of candidates that are wrapped, the pieces of one candidate together."""
+    run: list[tuple[int, int]] = []
+    for m in BREAK.finditer(text):
+        a, b = m.span()
+        after = PIECE_AFTER.match(text, b)
+        if run and run[-1][1] == a:
+            if after:
+                run.append(after.span())
+            continue
+        if len(run) > 1:
+            yield run
+        run = []
+        if not after:
+            continue
+        start = a
+        while start and text[start - 1] in BASE64_LETTERS:
+            start -= 1
+        if start < a:
+            run = [(start, a), after.span()]
+    if len(run) > 1:
+        yield run
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, int]]:
+    """Kind, start and end of confirmed candidates that go on over line ends.
+
+    Wrapped lines are equally long, except for the first (after other words) and the last; the longest of the possible
+    candidates that holds is taken, each block of equal lines with and without the shorter line before and after it.
+    """
+    for run in _runs(text):
+        sizes = [b - a for a, b in run]
+        if sum(sizes) < SHORTEST:
+            continue
+        tried, at, n = {(0, len(run))}, 0, len(run)
+        while at < n:
+            end = at + 1
+            while end < n and sizes[end] == sizes[at]:
+                end += 1
+            before = at - 1 if at and sizes[at - 1] < sizes[at] else at
+            after = end + 1 if end < n and sizes[end] < sizes[at] else end
+            tried |= {(x, y) for x in (before, at) for y in (after, end)}
+            at = end
+        done = 0
+        for x, y in sorted(tried, key=lambda p: (p[0], -p[1])):
+            size = sum(sizes[x:y])
+            if x < done or y - x < 2 or size < SHORTEST:
+                continue
+            joined = "".join(text[a:b] for a, b in run[x:y])
+            end = PADDING.match(text, run[y - 1][1]).end()
+            is_hex = size % 2 == 0 and HEX_DIGITS.fullmatch(joined)
+            for data, stop in ((bytes.fromhex(joined) if is_hex else None, run[y - 1][1]), (_unbase64(joined + text[run[y - 1][1]:end]), end)):
+                kind = _decoded_kind(data) if data else None
+                if kind is not None and (kind != KINDS.index("encoded") or _is_text(data)):
+                    yield kind, run[x][0], stop
+                    done = y
+                    break
+
+
+def _is_text(data: bytes) -> bool:
+    return all(c.isprintable() or c in "\t\r\n" for c in data.decode())
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end), sorted. Confirmed spans of one kind don't overlap."""
     found = _plain(text)
@@ -157,15 +229,20 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
             inside.append(m.span())
-            body = re.sub(r"^[A-Za-z0-9-]+:.*$", "", m[2], flags=re.M)
+            body = ESCAPES.sub(lambda e: "/" if e[1] == "/" else "\n", m[2])
+            body = re.sub(r"^[A-Za-z0-9-]+:.*$", "", body, flags=re.M)
             data = _unbase64("".join(body.split()))
             if data and (is_private_der(data) or is_openssh(data) or "ENCRYPTED" in m[2][:80]):
                 found.append((m.start(), 4, m.end()))
     tokens = []
-    if "eyJ" in text or "ewo" in text or "eyA" in text:
+    if "ey" in text or "ew" in text:
         tokens = [m.span() for m in JWT.finditer(text) if is_jwt(m[0])]
         found += [(a, 3, b) for a, b in tokens]
     taken = inside + tokens
+    for kind, a, b in _wrapped(text):
+        if not any(s < b and a < e for s, e in taken):
+            taken.append((a, b))
+            found.append((a, kind, b))
     for pattern, decode in ((HEX_CANDIDATE, bytes.fromhex), (BASE64_CANDIDATE, _unbase64)):
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -195,7 +272,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     `assign`, `access` and `hex` are plain patterns, leftmost and without overlap within a kind. The others are added
     only when the candidate decodes and its structure holds: `jwt`, a signed token whose header names an algorithm;
     `pem`, `der` and `openssh`, private keys whose nested lengths add up; `encoded`, base64 or hex of text that itself
-    holds a secret. Null and empty texts have no spans; each row is on its own, so repeated rows and null ids are kept
+    holds a secret. Candidates and key bodies may go on over line ends, also escaped ones. Null and empty texts have no spans; each row is on its own, so repeated rows and null ids are kept
     as they are; other columns are ignored. No shuffle.
     """
     rows = docs.select(F.col(id_column), *([carry.alias("carried")] if carry is not None else []), F.col(text_column).alias("_text"))
