@@ -96,15 +96,27 @@ def _(spark, sf):
     return out.select("conv_id", "turn", F.when(e.isNotNull(), text).alias("entities_before"))
 
 
-@query("CNV-05", """WITH e AS (SELECT u.conv_id, u.turn, u.text AS ut, a.text AS reply FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+_LAST = """WITH e AS (SELECT u.conv_id, u.turn, u.text AS ut, a.text AS reply FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
   r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS recency FROM e)
-  SELECT conv_id, turn, recency, md5(ut) AS asked, md5(reply) AS answered FROM r WHERE recency <= 2""")
-def _(spark, sf):
-    out = V.last_exchanges(V.exchanges(talk(spark, sf)), 2)
+  SELECT conv_id, turn, recency, md5(ut) AS asked, md5(reply) AS answered FROM r WHERE recency <= %d"""
+
+
+def _last(spark, sf, *n):
+    out = V.last_exchanges(V.exchanges(talk(spark, sf)), *n)
     md5 = lambda c: F.md5(F.col(c).cast("binary"))
     return out.select("conv_id", "turn", "recency", md5("user_text").alias("asked"), md5("assistant_text").alias("answered"))
 
 
+@query("CNV-05", _LAST % 2)
+def _(spark, sf):
+    return _last(spark, sf, 2)
+
+
+@query("CNV-05-default", _LAST % 10)
+def _(spark, sf):
+    return _last(spark, sf)
+
+
 @query("CNV-06", "SELECT conv_id, COUNT(*) AS messages, COUNT(*) FILTER (role = 'user') AS user_messages, COUNT(*) FILTER (role = 'assistant') AS assistant_messages FROM conversations GROUP BY conv_id")
 def _(spark, sf):
     return V.message_counts(talk(spark, sf))
@@ -121,13 +133,21 @@ def _(spark, sf):
     return V.session_history(talk(spark, sf), latest).select("conv_id", "turn", "role", "text")
 
 
-@query("CNV-08", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+_CONCISE = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
   c AS (SELECT *, regexp_matches(line, '\\S') AS filled, SUM(CASE WHEN regexp_matches(line, '\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM l)
-  SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM c WHERE NOT filled OR n <= 5 GROUP BY doc_id""")
+  SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM c WHERE NOT filled OR n <= %d GROUP BY doc_id"""
+
+
+@query("CNV-08", _CONCISE % 5)
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(V.concise(F.col("text"), 5).cast("binary")).alias("digest"))
 
 
+@query("CNV-08-default", _CONCISE % 15)
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(V.concise(F.col("text")).cast("binary")).alias("digest"))
+
+
 @query("RAG-12", f"""WITH h AS (SELECT MIN(conv_id * 100 + turn) AS id, text FROM conversations WHERE role = 'user' GROUP BY text), h0 AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, text FROM conversations WHERE role = 'user'),
   {tfidf_sql('h0', 'id', 'text')}, q AS (SELECT id AS query_id, text FROM h0),
   qn AS (SELECT q.query_id, q.text AS qt, p, v FROM q JOIN vec ON vec.k = q.query_id), dot AS (SELECT query_id, any_value(qt) AS qt, vec.k AS id, SUM(qn.v * vec.v) AS dot FROM qn JOIN vec USING (p) GROUP BY 1, 3),
