@@ -1,5 +1,12 @@
 """Licence texts without their copyright lines, and the notices by which works name a licence."""
 
+import itertools
+import re
+from importlib import resources
+
+# Paragraphs of a whole text with fewer words, such as headings, don't tell a licence.
+PARAGRAPH_WORDS = 8
+
 _MIT_TERMS = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -48,6 +55,43 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 
+# How works are put under a licence of the GNU project: licence, its name, what is said of versions.
+_OR_LATER = "as published by the Free Software Foundation; either version %s, or (at your option) any later version."
+_ONLY = ("as published by the Free Software Foundation; version %s of the License.", "as published by the Free Software Foundation; version %s.", "version %s as published by the Free Software Foundation.")
+_GNU = (
+    ("GPL-1.0-or-later", "General", _OR_LATER % "1"),
+    *((f"{kind}-{v}-or-later", name, _OR_LATER % f"{n} of the License") for kind, name, v, n in (
+        ("GPL", "General", "2.0", "2"), ("GPL", "General", "3.0", "3"), ("LGPL", "Library General", "2.0", "2"), ("LGPL", "Lesser General", "2.1", "2.1"), ("LGPL", "Lesser General", "3.0", "3"))),
+    *((f"{kind}-{v}-only", name, form % n) for kind, name, v, n in (
+        ("GPL", "General", "2.0", "2"), ("GPL", "General", "3.0", "3"), ("LGPL", "Library General", "2.0", "2"), ("LGPL", "Lesser General", "2.1", "2.1"), ("LGPL", "Lesser General", "3.0", "3")) for form in _ONLY),
+)
+_GNU_ENDS = (
+    "see <https://www.gnu.org/licenses/>.", "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA.", "write to the Free Software Foundation, Inc., 675 Mass Ave, Cambridge, MA 02139, USA.",
+)
+
+
+def _gnu_notices() -> list[tuple[str, str]]:
+    return [(licence, f"""This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public License {versions}
+
+This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details.
+
+You should have received a copy of the GNU {name} Public License along with this {work}; if not, {end}""") for (licence, name, versions), work, end in itertools.product(_GNU, ("program", "library"), _GNU_ENDS)]
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """Each text of `licence_files` as one block, the same without what follows its terms, and the paragraphs of the terms."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("licence_files").iterdir(), key=lambda f: f.name):
+        licence, lines = file.name.removesuffix(".txt"), file.read_text("utf-8").splitlines()
+        end = next((k + 1 for k, x in enumerate(lines) if x.strip() == "END OF TERMS AND CONDITIONS"), len(lines))
+        paragraphs = "\n".join(x if re.search(r"\w", x) else "" for x in lines[:end])
+        blocks = ["\n".join(x for x in part if re.search(r"\w", x)) for part in (lines, lines[:end])]
+        out += [(licence, x) for x in dict.fromkeys(blocks)]
+        out += [(licence, x) for x in re.split(r"\n\n+", paragraphs) if len(re.findall(r"\w+", x)) >= PARAGRAPH_WORDS]
+    return out
+
+
 LICENCES: tuple[tuple[str, str], ...] = (
     ("MIT", "MIT License\n\n" + _MIT_TERMS),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_TERMS),
@@ -97,4 +141,6 @@ LICENCES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
+    *_gnu_notices(),
+    *_whole_texts(),
 )

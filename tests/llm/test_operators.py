@@ -6,12 +6,13 @@ import json
 import random
 import re
 from collections import Counter, defaultdict
+from importlib import resources
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import common, components, exact, html_text, jaccard, language, licences, mixing, neighbours, pieces, secrets, shingles, substring
+from tabulon.llm import common, components, exact, html_text, jaccard, language, licence_texts, licences, mixing, neighbours, pieces, secrets, shingles, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row long, kept string, ids string, h string, size int, _text string, label int"
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -345,6 +346,20 @@ def test_licences_in_canonical_form(spark):
     assert licences.scan_licences(docs_frame(spark, [])).count() == 0
 
 
+def test_whole_licences_and_shared_paragraphs(spark):
+    texts = dict(licence_texts._whole_texts()[::-1])  # the whole text comes first
+    rows, want = [], set()
+    for k, (licence, _) in enumerate(sorted(texts.items())):
+        text = resources.files("tabulon.llm").joinpath(f"licence_files/{licence}.txt").read_text()
+        rows.append((k, "  " + text.upper().replace("\n", "\r\n"), "", ""))
+        want.add((k, licence))
+    gpl = licence_texts._GPL_NOTICE.split("\n\n")
+    rows += [(100, "words\n\n" + gpl[1] + "\n\n" + gpl[2], "", ""), (101, "words\n\n" + gpl[0], "", ""), (102, "1. Definitions\n\nTERMS AND CONDITIONS\n\nPreamble", "", "")]
+    out = licences.scan_licences(docs_frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["license_id"]) for r in out if r["unit"] == "text"} == want
+    assert [(r["doc_id"], r["license_id"]) for r in out if r["doc_id"] >= 100] == [(101, "GPL-3.0-or-later")]
+
+
 def test_licence_scan_is_native(spark, odd):
     plan = licences.scan_licences(odd)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and not re.search("Python|Arrow|Pandas", plan)
