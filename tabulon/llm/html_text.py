@@ -34,6 +34,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RIGHTS = re.compile(r"\s*(?:©|\(c\)\s|copyright\b).{0,200}\Z", re.I | re.S)
+# The same inside an article, where a line may also speak of copyright: a year follows.
+DATED_RIGHTS = re.compile(r"\s*(?:(?:©|\(c\)|copyright\b)[\s,:]*)+(?:19|20)[0-9]{2}\b.{0,200}\Z", re.I | re.S)
 
 
 class Line(NamedTuple):
@@ -141,16 +143,16 @@ def page_lines(page: str) -> list[Line]:
 def main_text(page: str) -> str:
     """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
     lines = page_lines(page)
-    size = np.array([0 if x.skipped or RIGHTS.match(x.text) else len(x.text) for x in lines], np.int64)
+    size = np.array([0 if x.skipped or (DATED_RIGHTS if x.article else RIGHTS).match(x.text) else len(x.text) for x in lines], np.int64)
     inside = np.array([x.article for x in lines], bool)
     if not size.any():
         return ""
     if size[inside].sum() * 4 >= size.sum():
-        size[~inside] = 0
-    else:
-        for k, x in enumerate(lines):
-            if x.linked >= LINKED * len(x.text.replace(" ", "")):
-                size[k] = 0
+        # What is left of an article is text throughout; where lines without weight part it, it doesn't end.
+        return "\n\n".join(x.text for x, n in zip(lines, size) if n and x.article)
+    for k, x in enumerate(lines):
+        if x.linked >= LINKED * len(x.text.replace(" ", "")):
+            size[k] = 0
     sums = np.convolve(size, np.ones(WIDTH, np.int64))[WIDTH - 1:]  # of each line and those that follow
     surge = min(SURGE, sums.max() / 2)
     kept = np.zeros(len(lines), bool)
@@ -173,8 +175,8 @@ def extract_text(pages: DataFrame, html_column: str = "html", kept: list[Column]
 
     Markup goes, a block becomes a line, character references are decoded, white space is one space. Lines of menus,
     headers, footers, sidebars, notices, adverts, forms and comments have no weight, and if an article holds a quarter
-    of the rest, neither do the lines outside it; else lines of links have none. The weights of WIDTH lines are added up
-    along the page: text begins where the sum surges (or with the lines of text right before) and ends where it dives to
+    of the rest, all its lines with weight are the text. Else lines of links have no weight either, and the weights of WIDTH
+    lines are added up along the page: text begins where the sum surges (or with the lines of text right before) and ends where it dives to
     nothing, and what lies between is kept.
     Null and empty pages have empty text. Each row is on its own; repeated rows and nulls elsewhere stay as they are.
     """

@@ -104,6 +104,13 @@ def test_main_text_without_an_article():
     assert html_text.main_text(PAGE % body).split("\n\n") == ["Title", long, long + " Again."]
 
 
+def test_articles_go_on_after_lines_without_weight():
+    long, advert = "long text of words " * 25, "".join(f"<div class=related>read more {k}</div>" for k in range(4))
+    first, last = "Copyright reform passed the house on Tuesday by a wide margin.", ["Closing paragraph of thirty.", "And one more at the end of this page."]
+    page = f"<nav>menu</nav><article><h1>Title</h1><p>{first}</p><p>{long}</p>{advert}<p>{last[0]}</p><p>{last[1]}</p><p>© 2024 Some Body</p></article><p>Copyright Some Body</p>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", first, long.strip(), *last]
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<!-- x", "<script>var x", "<nav>only a menu</nav>", "<div></div>"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) in ("", "<")
