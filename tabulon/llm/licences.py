@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
+from collections import Counter
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import staged
 from .licence_texts import LICENCES
 
 # Signs for copyright, and spellings that count as one. Each is a single word, so wrapped lines don't matter.
@@ -15,6 +22,9 @@ SPELLINGS = (
     ("percent", "per cent"), ("sublicense", "sub license"), ("holder", "owner"), ("https", "http"),
 )
 
+# Fixed value: what all raw forms of a word that spellings make have in common.
+STEMS = {"license": "licen"}
+
 
 def canonical(text: Column) -> Column:
     """Lower case, a space for anything but letters, digits and +, one spelling, line by line; copyright lines are gone."""
@@ -45,12 +55,38 @@ def _units(text: Column) -> Column:
     )
 
 
+def _known_units(spark: SparkSession, licences: Sequence[tuple[str, str]]) -> DataFrame:
+    """`license_id`, `words`: the given texts as a whole and their paragraphs."""
+    listed = F.lit(json.dumps([{"license_id": i, "text": t} for i, t in licences]))
+    rows = spark.range(1).select(F.explode(F.from_json(listed, "array<struct<license_id:string,text:string>>")).alias("x"))
+    return rows.select("x.license_id", F.explode(_units(canonical(F.col("x.text")))).alias("u")).where("u.unit <> 'line'").select("license_id", "u.words")
+
+
+def _digests(units: DataFrame) -> DataFrame:
+    rows = units.select("license_id", F.sha2(F.col("words").cast("binary"), 256).alias("digest"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.countDistinct("license_id").alias("_n")).where("_n = 1").drop("_n")
+
+
 def known_digests(spark: SparkSession, licences: tuple[tuple[str, str], ...] = LICENCES) -> DataFrame:
     """`digest`, `license_id`: of each given text as a whole and of its paragraphs, unless two licences share them."""
-    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in licences])).alias("x"))
-    rows = rows.select("x.license_id", F.explode(_units(canonical(F.col("x.text")))).alias("u")).where("u.unit <> 'line'")
-    rows = rows.select("license_id", F.sha2(F.col("u.words").cast("binary"), 256).alias("digest"))
-    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.countDistinct("license_id").alias("_n")).where("_n = 1").drop("_n")
+    return _digests(_known_units(spark, licences))
+
+
+def telling_words(units: Sequence[str]) -> list[str]:
+    """A few words of which each of the canonical texts has at least one; none if a text has only words that won't do.
+
+    A word does if canonical form leaves it as it is and makes it from nothing else: no sign or spelling puts letters
+    into it. Of the others, those of `STEMS` tell by their stem. So a text without any of these, in any case, holds no unit.
+    """
+    made = [b.split() for _, b in SIGNS + SPELLINGS]
+    touched = lambda w: any(b[0] in w if len(b) == 1 else w.endswith(b[0]) or w.startswith(b[-1]) for b in made)
+    words = [{STEMS.get(w, w) for w in u.split() if w in STEMS or w.isascii() and w.isalpha() and len(w) > 3 and not touched(w)} for u in units]
+    chosen: list[str] = []
+    while words and all(words):
+        counts = Counter(w for own in words for w in own)
+        chosen.append(max(counts, key=lambda w: (counts[w] * len(w) ** 3, w)))
+        words = [own for own in words if chosen[-1] not in own]
+    return [] if words else chosen
 
 
 def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: DataFrame | None = None) -> DataFrame:
@@ -62,10 +98,18 @@ def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     repeated rows and null ids give their own matches; other columns are ignored.
 
     The known digests are a fixed list of `LICENCES`, so they are broadcast; a caller's own table is joined as Spark
-    sees fit. Nothing else moves.
+    sees fit. Nothing else moves. Of the fixed list, a few words are known of which each text and paragraph has one; a
+    document without them can't match and is not brought to canonical form.
     """
     bounded = known is None
-    known = known_digests(docs.sparkSession) if known is None else known.select("digest", "license_id")
+    if bounded:
+        units = staged(_known_units(docs.sparkSession, LICENCES), "licence-units")
+        words = telling_words([r["words"] for r in units.select("words").distinct().collect()])
+        if words:
+            # One lower-case copy, searched for each word.
+            docs = docs.where(F.exists(F.array(F.lower(F.col(text_column))), lambda t: functools.reduce(operator.or_, [t.contains(w) for w in words])))
+        known = _digests(units)
+    known = known.select("digest", "license_id")
     units = docs.select(F.col(id_column), F.explode(_units(canonical(F.col(text_column)))).alias("_u")).where("_u.words <> ''")
     units = units.select(F.col(id_column), "_u.unit", "_u.unit_no", F.sha2(F.col("_u.words").cast("binary"), 256).alias("digest"))
     return units.join(F.broadcast(known) if bounded else known, "digest").select(id_column, "unit", "unit_no", "license_id", "digest")
