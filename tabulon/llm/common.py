@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -39,3 +44,18 @@ def with_filter(df: DataFrame, key: Column, marks: DataFrame, name: str, bits: i
     byte = F.conv(F.hex(F.expr("substring(_marks, cast(bitmap_bit_position(_bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit = F.coalesce(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(bitmap_bit_position(_bit) % 8 as int)) as int)")) != 0, F.lit(False))
     return df.join(F.broadcast(marks), "_slot", "left").withColumn(name, hit).drop("_bit", "_slot", "_marks")
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task of a Python worker, which at its end gives freed memory back: workers live on and serve other tasks."""
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
+
+    return run

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Bytes of text that are hashed together; a longer text is hashed in parts of about this size.
 PIECE = 1 << 20
@@ -102,14 +103,15 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str | None, limit: int = PIECE, field: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The batches cut so that each holds about `limit` bytes of text, or one row. The text is a column, or a field of
-    the first column, which is a struct."""
+    the first column, which is a struct. Texts leave Arrow a cut at a time."""
     for batch in batches:
-        texts = raw_texts(batch.column(batch.schema.get_field_index(column)) if column else batch.column(0).flatten()[field])
+        held = batch.column(batch.schema.get_field_index(column)) if column else batch.column(0).flatten()[field]
+        sizes = pc.fill_null(pc.binary_length(held.cast(pa.binary())), 0).to_pylist()
         at = size = 0
-        for i, t in enumerate(texts):
-            if i > at and size + len(t) > limit:
-                yield batch.slice(at, i - at), texts[at:i]
+        for i, n in enumerate(sizes):
+            if i > at and size + n > limit:
+                yield batch.slice(at, i - at), raw_texts(held.slice(at, i - at))
                 at, size = i, 0
-            size += len(t) + 1
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+            size += n + 1
+        if at < len(sizes):
+            yield batch.slice(at), raw_texts(held.slice(at))
