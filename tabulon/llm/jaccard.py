@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import staged
-from .common import key_filter, with_filter
+from .common import key_filter, tidy, with_filter
 from .components import components
 from .shingles import hash_words, mixed, pieces, runs
 
@@ -120,7 +120,7 @@ def _described(n: int):
                  pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()), listed],
                 names=[x for x in batch.schema.names if x != "_text"] + ["_n", "_d1", "_d2", "_sig", "_bands"])
 
-    return rows
+    return tidy(rows)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -181,7 +181,7 @@ def _compare_buckets(need: list[int]):
             trees = _trees(rep, forest(len(p), *map(np.concatenate, zip(*found))))
             yield trees[trees["a"] != trees["b"]]
 
-    return compare
+    return tidy(compare)
 
 
 def _in_common(shingles: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def _verify_blocks(n: int, threshold: float, need: list[int]):
             np.add.at(links, j, m[i])
             yield _trees(rep, forest(len(p), i, j)).assign(links=links)
 
-    return verify
+    return tidy(verify)
 
 
 def _block_pairs(df: DataFrame, size: Column, limit: int) -> DataFrame:

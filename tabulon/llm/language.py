@@ -12,8 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .common import tidy
+from .shingles import pieces
+
 # Bounds of the labelled sample: documents per language, and characters from the beginning of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 400
+# Languages that are learnt; of more labels, those with the most different texts.
+LABELS = 256
 # Each letter of the samples has a class; the most frequent ones are columns of a table, the others are looked up by key.
 # Class 0 is anything but a letter, 1 a letter of no sample.
 LETTERS = 62
@@ -23,7 +28,7 @@ STRETCH = 256
 LENGTH_BITS, LITERAL_BITS = 3, 21
 LOW = (1 << 32) - 1
 # Characters of text that one step of a task parses.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 @functools.lru_cache(1)
@@ -195,16 +200,18 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return _MODELS[samples]
 
 
-def labelled_sample(docs: DataFrame, text_column: str, lang_column: str, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+def labelled_sample(docs: DataFrame, text_column: str, lang_column: str, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, labels: int = LABELS) -> dict[str, str]:
     """Beginnings of at most `docs_per_language` different texts of each language, those with the smallest hashes.
 
-    Copies count once, however many there are. Only (language, hash) pairs are shuffled; the sample itself, at most
-    docs_per_language × chars characters a language, is what reaches the driver.
+    Copies count once, however many there are. A column may hold any number of labels, mistyped ones too: the `labels`
+    languages with the most different beginnings are learnt, ties by name. Only (language, hash) pairs are shuffled; the
+    sample itself, at most labels × docs_per_language × chars characters, is what reaches the driver.
     """
     start = F.substring(F.col(text_column), 1, chars)
     rows = docs.select(F.col(lang_column).alias("lang"), start.alias("start")).where("lang IS NOT NULL AND start <> ''").withColumn("h", F.xxhash64("start"))
     pairs = rows.select("lang", "h").distinct()
-    chosen = pairs
+    usual = pairs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).select("lang")
+    chosen = pairs.join(F.broadcast(usual), "lang")
     for parts in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a frequent language in parts first
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*parts).orderBy("h"))).where(F.col("n") <= docs_per_language).drop("n")
     found = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("start").alias("start")).collect()
@@ -224,30 +231,23 @@ def predict_language(docs: DataFrame, samples: dict[str, str], text_column: str
     is one language). `und` with score 0: null, no letter, or no labelled text. Case and anything but letters don't count.
     Nothing but the text is looked at; each row is on its own; no shuffle.
     """
+    # The text travels once: inside the struct if that holds all columns.
+    at_text = [c.lower() for c in docs.columns].index(text_column.lower())
+    column = "_text" if kept else None
     fixed = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for batch in batches:
+        for batch, raw in pieces(batches, column, TOGETHER, at_text):
             model = model or _model(fixed.value)
-            column = batch.column(0).flatten()[at_text] if batch.num_columns == 1 else batch.column(1)
-            texts = column.to_pylist()
-            letters = [any(map(str.isalpha, t or "")) for t in texts]
-            langs, scores, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= TOGETHER):
-                    size += len(texts[end] or "")
-                    end += 1
-                a, b = model.predict(texts[at:end], letters[at:end])
-                langs, scores, at = langs + a, scores + b, end
+            texts = [t.decode() for t in raw]
+            letters = [any(map(str.isalpha, t)) for t in texts]
+            langs, scores = model.predict(texts, letters)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())], names=["_kept", "_lang_pred", "_score", "_letters"])
 
-    # The text travels once: inside the struct if that holds all columns.
-    at_text = docs.columns.index(text_column)
     packed = docs.select(F.struct(*(kept or [F.col(f"`{c}`") for c in docs.columns])).alias("_kept"), *([F.col(text_column).alias("_text")] if kept else []))
     schema = T.StructType([packed.schema["_kept"], T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_letters", T.BooleanType())])
-    return packed.mapInArrow(rows, schema)
+    return packed.mapInArrow(tidy(rows), schema)
 
 
 def held_out(id_column: str = "doc_id") -> Column:

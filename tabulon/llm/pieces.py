@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import tidy
 from .shingles import mixed, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -17,7 +18,7 @@ DROPOUT, SEED = 0.1, 1
 # A place in a text draws one of so many keys; within a batch, equal chunks with one key are merged once.
 KEYS = 16
 # Characters of a batch.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 # Entries of the table in which the keyed hash looks up whether a merge is skipped; also the rank of no merge.
 TABLE = 1 << 20
 # Chunks of more characters keep their agenda in a heap, one by one; the others go in step.
@@ -300,21 +301,20 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _ready(sent.value, dropout, seed)
-        for whole in batches:
-            for batch, raw in pieces(iter([whole]), None if at_text is not None else "_text", TOGETHER, at_text):
-                texts, names = [t.decode() for t in raw], batch.column(1).to_pylist()
-                if batch.num_rows == 1 and len(texts[0] or "") > TOGETHER:
-                    ids = own.encode_long(texts[0], names[0])
-                    offsets = np.array([0, len(ids)])
-                else:
-                    ids, offsets = own.encode([t or "" for t in texts], names)
-                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["_kept", "ids"])
+        for batch, raw in pieces(batches, None if at_text is not None else "_text", TOGETHER, at_text):
+            texts, names = [t.decode() for t in raw], batch.column(1).to_pylist()
+            if batch.num_rows == 1 and len(texts[0]) > TOGETHER:
+                ids = own.encode_long(texts[0], names[0])
+                offsets = np.array([0, len(ids)])
+            else:
+                ids, offsets = own.encode(texts, names)
+            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["_kept", "ids"])
 
     # The text travels once: inside the struct if that holds all columns.
     name, at_text = F.xxhash64(F.col(id_column)), None if kept else docs.columns.index(text_column)
     packed = docs.select(F.struct(*(kept or [F.col(f"`{c}`") for c in docs.columns])).alias("_kept"), name.alias("_name"), *([F.col(text_column).alias("_text")] if kept else []))
-    return packed.mapInArrow(rows, T.StructType([packed.schema["_kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return packed.mapInArrow(tidy(rows), T.StructType([packed.schema["_kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ids_column: str = "ids", model: str = MODEL) -> DataFrame:
@@ -331,4 +331,4 @@ def decode(encoded: DataFrame, ids_column: str = "ids", model: str = MODEL) -> D
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([own.decode(x.values.tolist()) if x.is_valid else "" for x in column], pa.string())], names=[*labels, "text"])
 
     stay = [f for f in encoded.schema.fields if f.name != ids_column]
-    return encoded.mapInArrow(rows, T.StructType([*stay, T.StructField("text", T.StringType())]))
+    return encoded.mapInArrow(tidy(rows), T.StructType([*stay, T.StructField("text", T.StringType())]))
