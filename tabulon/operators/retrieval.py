@@ -18,12 +18,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import col, require
 from ..functions.sizes import spread
+from ..session import staged
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 # Query vectors that travel to every task; more than these take the block join.
 QUERY_BLOCK = 2_000
 # Numbers in a block of documents (32 MB), and queries that are compared with it at a time.
 BLOCK_NUMBERS, STRIP = 1 << 22, 64
+# Cells into which documents are sorted by their nearest pivot, and documents of a cell on average at least; pivots whose
+# distances each cell knows the least and the largest of.
+CELLS, CELL_ROWS, MARKS = 1024, 2_048, 16
+# Below so many pairs of a block of documents and a block of queries nothing is gained by skipping some.
+FEW_BLOCKS = 16
 METRICS = ("l2sq", "cosine")
 
 
@@ -182,7 +188,7 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, *, metric: str = "l
     elif len(rows) <= QUERY_BLOCK:
         found = _scan(side, rows, k, metric, schema)
     else:
-        found = _block_join(side, asked, k, metric, schema, len(rows[0]["v"]))
+        found = _many_queries(side, asked, k, metric, schema, len(rows[0]["v"]))
     order = W.partitionBy("query_id").orderBy("distance", "id")
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     top = top.withColumn("score", 1.0 - F.col("distance"))
@@ -218,16 +224,19 @@ def _scan(side: DataFrame, rows: list, k: int, metric: str, schema: T.StructType
     return spread(side).mapInArrow(top, schema)
 
 
-def _block_join(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, dims: int) -> DataFrame:
-    """Blocks of documents against blocks of queries: a group holds one block of each, so its size is bounded.
+def _many_queries(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, dims: int) -> DataFrame:
+    """More queries than every task can hold: blocks against blocks, all of them if they are few."""
+    n_doc, n_ask = side.count(), asked.count()
+    parts, chunks = -(-n_doc // max(1, BLOCK_NUMBERS // max(dims, 1))), -(-n_ask // QUERY_BLOCK)
+    if parts * chunks <= FEW_BLOCKS:
+        left = side.select(F.pmod(F.xxhash64("id"), F.lit(max(parts, 1))).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v")
+        right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(parts, 1) - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "v")
+        return left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInPandas(_compared(k, metric, dims), schema)
+    return search_cells(side, asked, k, metric, schema, dims, min(CELLS, max(1, n_doc // CELL_ROWS)))
 
-    The size of a block of documents follows from the vectors' length, and queries are compared a strip at a time.
-    """
-    n_doc = max(1, -(-side.count() // max(1, BLOCK_NUMBERS // max(dims, 1))))
-    n_ask = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = side.select(F.pmod(F.xxhash64("id"), F.lit(n_doc)).alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))).alias("_q"), "id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_doc - 1).cast("long"))).alias("_d"), F.pmod(F.xxhash64("query_id"), F.lit(n_ask)).cast("int").alias("_q"), "query_id", "v")
 
+def _compared(k: int, metric: str, dims: int):
+    """The k nearest of a block of documents for each of a block of queries."""
     def block(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or qs.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
@@ -239,7 +248,146 @@ def _block_join(side: DataFrame, asked: DataFrame, k: int, metric: str, schema:
             flat += [(qid, i, x_) for j, qid in enumerate(qs["query_id"].iloc[at:at + STRIP]) for x_, i in _best(ids, d[:, j], k)]
         return pd.DataFrame(flat, columns=["query_id", "id", "distance"])
 
-    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInPandas(block, schema)
+    return block
+
+
+def _points(vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as points of a metric space, and which have no place there (of no length, with the cosine).
+
+    Unit vectors at an angle lie √(2 · (1 − cos)) apart, so the triangle inequality serves either measure.
+    """
+    if metric == "l2sq":
+        return vectors, np.zeros(len(vectors), bool)
+    norm = np.sqrt((vectors * vectors).sum(1))
+    return vectors / np.where(norm > 0, norm, 1.0)[:, None], norm == 0
+
+
+def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T), 0.0))
+
+
+class Cells:
+    """What is known of the cells: pivots, and of each cell the number of documents and the range of their distances to
+    its own pivot (the last column) and to the first MARKS ones. The cell after the last holds vectors of no length."""
+
+    def __init__(self, pivots: np.ndarray, metric: str, counts: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.metric, self.counts, self.low, self.high = pivots, metric, counts, low, high
+
+    def bounds(self, vectors: np.ndarray) -> np.ndarray:
+        """For each vector and cell a distance, in the measure, that no document of the cell falls below."""
+        x, lost = _points(vectors, self.metric)
+        d, n = _apart(x, self.pivots), len(self.pivots)
+        least = np.maximum(np.maximum(d - self.high[None, :n, -1], self.low[None, :n, -1] - d), 0.0)
+        for j in range(min(MARKS, n)):
+            least = np.maximum(least, np.maximum(d[:, j:j + 1] - self.high[None, :n, j], self.low[None, :n, j] - d[:, j:j + 1]))
+        least = least * least if self.metric == "l2sq" else least * least / 2.0
+        least = np.hstack((least, np.ones((len(x), 1))))
+        least[lost] = 1.0
+        return np.where(self.counts[None, :] > 0, least, np.inf)
+
+    def first(self, bounds: np.ndarray, k: int) -> np.ndarray:
+        """The cells that a query visits first: in order of their bounds, until they hold k documents."""
+        order = np.argsort(bounds, axis=1, kind="stable")
+        upto = np.cumsum(self.counts[order], axis=1) - self.counts[order]
+        out = np.zeros(bounds.shape, bool)
+        np.put_along_axis(out, order, upto < k, axis=1)
+        return out & np.isfinite(bounds)
+
+
+def _sorted_into_cells(side: DataFrame, pivots: np.ndarray, metric: str, dims: int) -> DataFrame:
+    """`cell`, `id`, `v`, staged: each document goes to the cell of its nearest pivot."""
+    def assign(batches):
+        for b in batches:
+            x, lost = _points(_matrix(b.column(1).to_pylist(), b.column(0).to_pylist(), dims), metric)
+            cell = np.where(lost, len(pivots), _apart(x, pivots).argmin(1)).astype(np.int32) if b.num_rows else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0), b.column(1)], ["cell", "id", "v"])
+
+    return staged(spread(side).mapInArrow(assign, T.StructType([T.StructField("cell", T.IntegerType()), *side.schema.fields])), "cells")
+
+
+def _described_cells(held: DataFrame, pivots: np.ndarray, metric: str, dims: int) -> Cells:
+    """Counts and ranges of all cells, combined per batch; at most CELLS rows reach the driver."""
+    n_marks = min(MARKS, len(pivots))
+
+    def describe(batches):
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            order = np.argsort(cell, kind="stable")
+            x, _ = _points(_matrix(b.column(1).to_pylist(), [None] * b.num_rows, dims), metric)
+            d = _apart(x, pivots)
+            d = np.hstack((d[:, :n_marks], d[np.arange(len(x)), np.minimum(cell, len(pivots) - 1)][:, None]))[order]
+            at = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            if len(at):
+                low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[order][at]), pa.array(np.diff(np.append(at, len(cell))))] + [pa.array(c) for m in (low, high) for c in m.T], names)
+
+    names = ["cell", "n", *[f"{s}{j}" for s in ("low", "high") for j in range(n_marks + 1)]]
+    rows = held.select("cell", "v").mapInArrow(describe, ", ".join(f"{n} {'int' if n == 'cell' else 'long' if n == 'n' else 'double'}" for n in names))
+    found = rows.groupBy("cell").agg(F.sum("n"), *[F.min(c) for c in names if c.startswith("low")], *[F.max(c) for c in names if c.startswith("high")]).collect()
+    counts = np.zeros(len(pivots) + 1, np.int64)
+    low, high = np.zeros((len(pivots) + 1, n_marks + 1)), np.zeros((len(pivots) + 1, n_marks + 1))
+    for cell, n, *ranges in found:
+        counts[cell], low[cell], high[cell] = n, ranges[:n_marks + 1], ranges[n_marks + 1:]
+    return Cells(pivots, metric, counts, low, high)
+
+
+def _visits(asked: DataFrame, cells: Cells, k: int, dims: int) -> DataFrame:
+    """`query_id`, `v`, `cell`: what each query visits. `edge` is the distance of its k-th document so far: null on the
+    first visit, then all cells that may hold a nearer one and weren't visited; infinite if there are fewer than k."""
+    def visit(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(at, QUERY_BLOCK)
+                bounds = cells.bounds(_matrix(part.column(1).to_pylist(), part.column(0).to_pylist(), dims))
+                first = cells.first(bounds, k)
+                edge = part.column(2).to_numpy(zero_copy_only=False).astype(float)[:, None]
+                # A hair more than the edge, for what rounding may have taken from the bounds.
+                go = np.where(np.isnan(edge), first, ~first & np.isfinite(bounds) & (bounds <= edge * (1 + 1e-9) + 1e-9))
+                row, cell = np.nonzero(go)
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(cell.astype(np.int32))], ["query_id", "v", "cell"])
+
+    return asked.mapInArrow(visit, T.StructType([*asked.schema.fields[:2], T.StructField("cell", T.IntegerType())]))
+
+
+def _sides(held: DataFrame, visits: DataFrame, cells: Cells, dims: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet, by `cell`, `part`, `chunk`: a group has one part of a cell and one chunk of its visitors."""
+    rows = max(1, BLOCK_NUMBERS // max(dims, 1))
+    asks = visits.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("chunks"))
+    parts = held.sparkSession.createDataFrame([(c, -(-int(n) // rows)) for c, n in enumerate(cells.counts.tolist()) if n], "cell int, parts int")
+    plan = F.broadcast(staged(asks.join(parts, "cell"), "cell-plan"))  # a row per cell
+    left = held.join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "v")
+    right = visits.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"), "query_id", "v")
+    return left, right
+
+
+def search_cells(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, dims: int, n_cells: int) -> DataFrame:
+    """Exact search that skips: (query_id, id, distance) with each query's k nearest among what it visited.
+
+    Documents are sorted into cells by their nearest pivot, once. Of each cell the least and largest distances to some
+    pivots are kept, a table of fixed size; the triangle inequality turns it into a bound for each query and cell. A query
+    first visits the cells with the smallest bounds that hold k documents, which gives it an edge, and then only those
+    whose bound is within the edge. So a document is sent once for each chunk of queries that visits its cell, not for
+    each chunk of all queries; where vectors have no clusters, few cells are skipped.
+    """
+    drawn = side.select("v").where(F.size("v") == dims).orderBy(F.xxhash64("id"), "id").limit(n_cells).collect()
+    pivots, lost = _points(_matrix([r["v"] for r in drawn], [None] * len(drawn), dims), metric)
+    pivots = np.unique(pivots[~lost], axis=0) if not lost.all() else np.zeros((1, dims))
+    held = _sorted_into_cells(side, pivots, metric, dims)
+    cells = _described_cells(held, pivots, metric, dims)
+    unknown = asked.select("query_id", "v", F.lit(None).cast("double").alias("edge"))
+
+    def compared(visits: DataFrame) -> DataFrame:
+        left, right = _sides(held, visits, cells, dims)
+        by = ["cell", "part", "chunk"]
+        return staged(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compared(k, metric, dims), schema), "cell-hits")
+
+    near = compared(staged(_visits(unknown, cells, k, dims), "cell-visits"))
+    order = W.partitionBy("query_id").orderBy("distance", "id")
+    edges = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == k).select(F.col("query_id").alias("_q"), F.col("distance").alias("edge"))
+    again = asked.join(edges, F.col("query_id") == F.col("_q"), "left").select("query_id", "v", F.coalesce("edge", F.lit(float("inf"))).alias("edge"))
+    far = compared(staged(_visits(again, cells, k, dims), "cell-visits"))
+    return near.unionByName(far)
 
 
 def semantic_search(docs: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7, **kw) -> DataFrame:
