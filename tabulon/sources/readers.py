@@ -109,51 +109,89 @@ def read_json(spark: SparkSession, paths: Sequence[str], *, schema: T.StructType
 def normalise_payloads(df: DataFrame, endpoint: str, body: str, schema: T.DataType | str | None = None, max_columns: int | None = None) -> DataFrame:
     """SRC-03: JSON payloads, list or object, to columns, with `_source_endpoint` and `_collection_timestamp`.
 
-    With `schema` (of one element) the payloads are parsed in one pass. Without it the keys are collected over all
-    rows, level by level, and a column whose values all parse as numbers becomes double. A key that is an object in some
-    rows and a plain value in others gives columns for both. `max_columns` is an error beyond it, if set.
+    With `schema` (of one element) the payloads are parsed in one pass. Without it one aggregate merges the types of all
+    payloads, at any depth; a second one, only where there are text or mixed values, tells which of them all parse as
+    numbers and become double. A key that is an object in some rows and a plain value in others gives columns for both.
+    A payload that is no JSON gives nulls. `max_columns` is an error beyond it, if set.
     """
     text = F.trim(col(body))
-    element = F.explode_outer(
-        F.when(text.startswith("["), F.transform(F.from_json(text, "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array(text)))
-    items = df.select(col(endpoint).alias("_source_endpoint"), element.alias("_item"))
+    whole = F.try_parse_json(text)
     stamp = F.current_timestamp().alias(COLLECTED)
     if schema is not None:
+        element = F.explode_outer(F.when(text.startswith("["), F.transform(F.from_json(text, "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array(text)))
+        items = df.select(col(endpoint).alias("_source_endpoint"), element.alias("_item"))
         parsed = items.select("_source_endpoint", stamp, F.from_json("_item", schema).alias("_r")).select("_r.*", "_source_endpoint", COLLECTED)
         return flatten(parsed)
-    leaves: list[tuple[str, ...]] = []
-    level: list[tuple[str, ...]] = [()]
-    while level:
-        at = {p: _json_at("_item", p) for p in level}
-        found = items.select(F.explode(F.array(*[
-            # a plain value counts as the key null
-            F.struct(F.lit(i).alias("i"), F.coalesce(F.json_object_keys(e), F.when(e.isNotNull(), F.array(F.lit(None).cast("string")))).alias("k")) for i, e in enumerate(at.values())
-        ])).alias("e")).select("e.i", F.explode("e.k").alias("k")).distinct()
-        if max_columns is not None and len(found.limit(max_columns + 1).collect()) > max_columns:
-            raise ValueError(f"payloads have more than {max_columns} keys; pass schema=")
-        found = found.collect()
-        inner = {r["i"] for r in found if r["k"] is not None}
-        plain = {r["i"] for r in found if r["k"] is None}
-        leaves += [p for i, p in enumerate(level) if p and (i in plain or i not in inner)]
-        level = sorted((*level[r["i"]], r["k"]) for r in found if r["k"] is not None)
-    leaves.sort()
-    if not leaves:
+    items = df.select(col(endpoint).alias("_source_endpoint"), F.explode_outer(F.when(text.startswith("["), F.try_variant_get(whole, "$", "array<variant>")).otherwise(F.array(whole))).alias("_item"))
+    merged = items.agg(F.schema_of_variant_agg("_item")).first()[0] or "VOID"
+    leaves = _leaves((), _variant_type(merged))
+    mixed = [p for p, kind in leaves.items() if kind == "VARIANT"]
+    while mixed:  # keys that hold objects in some rows: their inner keys, a round for each depth at which that happens
+        found = items.agg(*[F.schema_of_variant_agg(F.when(_is_object(_at(p)), _at(p))).alias(f"s{i}") for i, p in enumerate(mixed)]).first()
+        inner = {q: k for i, p in enumerate(mixed) for q, k in (_leaves(p, _variant_type(found[i] or "VOID")) if (found[i] or "").startswith("OBJECT") else {}).items()}
+        mixed = [p for p, kind in inner.items() if kind == "VARIANT"]
+        leaves |= inner
+    names = sorted(p for p in leaves if p)
+    if not names:
         raise ValueError("payloads hold no keys")
-    value = {p: F.when(F.json_object_keys(_json_at("_item", p)).isNull(), _json_at("_item", p)) for p in leaves}
-    checks = items.agg(*[F.bool_and(value[p].isNull() | value[p].try_cast("double").isNotNull()).alias(f"c{i}") for i, p in enumerate(leaves)]).first()
-    cols = [(value[p].try_cast("double") if checks[i] else value[p]).alias(".".join(p)) for i, p in enumerate(leaves)]
-    return items.select(*cols, "_source_endpoint", stamp)
-
-
-def _json_at(column: str, path: tuple[str, ...]):
-    """Text of the value at a path. A key that JSON paths can't name (a quote in it) is looked up in a map."""
-    if not path:
-        return F.col(column)
-    if not any("'" in p or "\\" in p for p in path):
-        return F.get_json_object(column, "$" + "".join(f"['{p}']" for p in path))
+    if max_columns is not None and len(names) > max_columns:
+        raise ValueError(f"payloads have more than {max_columns} keys; pass schema=")
+    number = {p: leaves[p] in ("BIGINT", "DOUBLE", "FLOAT") or leaves[p].startswith("DECIMAL") for p in names}
+    value = {p: F.when(~_is_object(_at(p)), F.try_variant_get(_at(p), "$", "string")) for p in names}
+    ask = [p for p in names if leaves[p] in ("STRING", "VARIANT", "VOID")]
+    if ask:
+        checks = items.agg(*[F.bool_and(value[p].isNull() | value[p].try_cast("double").isNotNull()).alias(f"c{i}") for i, p in enumerate(ask)]).first()
+        number |= {p: checks[i] is not False for i, p in enumerate(ask)}
+    cols = [(F.try_variant_get(_at(p), "$", "double") if leaves[p] != "VARIANT" and leaves[p] != "STRING" else value[p].try_cast("double")) if number[p] else value[p] for p in names]
+    return items.select(*[c.alias(".".join(p)) for c, p in zip(cols, names)], "_source_endpoint", stamp)
+
+
+def _variant_type(text: str) -> dict | str:
+    """A merged type as nested dicts of keys; scalars, arrays and mixtures stay text."""
+    text = text.strip()
+    if not text.startswith("OBJECT<"):
+        return text
+    out, at, end = {}, len("OBJECT<"), len(text) - 1
+    while at < end:
+        if text[at] == "`":
+            key, at = "", at + 1
+            while text[at] != "`" or text[at + 1] == "`":
+                step = 2 if text[at] == "`" else 1
+                key, at = key + text[at], at + step
+            at += 1
+        else:
+            stop = text.index(":", at)
+            key, at = text[at:stop], stop
+        at += 1
+        depth, quoted, stop = 0, False, at
+        while stop < end and (depth or quoted or text[stop] != ","):
+            quoted ^= text[stop] == "`"
+            depth += 0 if quoted else (text[stop] in "<(") - (text[stop] in ">)")
+            stop += 1
+        out[key], at = _variant_type(text[at:stop]), stop + 1
+        while at < end and text[at] == " ":
+            at += 1
+    return out
+
+
+def _leaves(path: tuple[str, ...], kind: dict | str) -> dict[tuple[str, ...], str]:
+    if isinstance(kind, str):
+        return {path: kind}
+    return {q: k for name, inner in kind.items() for q, k in _leaves((*path, name), inner).items()}
+
+
+def _is_object(value):
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def _at(path: tuple[str, ...], column: str = "_item"):
+    """The variant at a path. A key that paths can't name (both quotes, a backslash) is looked up in a map."""
     at = F.col(column)
     for p in path:
-        at = F.from_json(at, "map<string,string>").getItem(p)
+        if "\\" in p or ("'" in p and '"' in p):
+            at = F.try_variant_get(at, "$", "map<string,variant>").getItem(p)
+        else:
+            at = F.try_variant_get(at, "$[%s]" % (f'"{p}"' if "'" in p else f"'{p}'"), "variant")
     return at
 
 

@@ -136,6 +136,33 @@ def _(spark, sf):
     return FE.label_encode(df, FE.label_encoder(df, ["p_brand"]))
 
 
+@query("FE-16-ranges", """WITH t AS (SELECT l_orderkey, l_linenumber, md5(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)) AS code, l_returnflag AS flag FROM lineitem)
+  SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY code) - 1 AS INTEGER) AS code_encoded, CAST(dense_rank() OVER (ORDER BY flag) - 1 AS INTEGER) AS flag_encoded FROM t""")
+def _(spark, sf):
+    # a value per row beside a column of three
+    key = F.md5((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").cast("binary"))
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", key.alias("code"), F.col("l_returnflag").alias("flag"))
+    return FE.label_encode(df, FE.label_encoder(df, ["code", "flag"], ranges=True)).drop("code", "flag")
+
+
+@query("FE-13-sparse", """SELECT c_custkey, concat_ws(',', CASE WHEN c_name <> (SELECT MIN(c_name) FROM customer) THEN 'c_name_' || c_name END,
+  CASE WHEN c_mktsegment <> (SELECT MIN(c_mktsegment) FROM customer) THEN 'c_mktsegment_' || c_mktsegment END) AS dummies FROM customer""")
+def _(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return FE.dummy_columns(df, ["c_name", "c_mktsegment"], wide=100).select("c_custkey", F.array_join("dummies", ",").alias("dummies"))
+
+
+@query("FE-18-generated", """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS done, o_orderdate FROM orders)
+  SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2030-01-01') AS BIGINT) AS days_since_o_orderdate,
+    CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority_encoded, round(o_totalprice * o_totalprice, 2) AS o_totalprice_squared, round(o_custkey * o_totalprice, 2) AS o_custkey_x_o_totalprice,
+    round((o_totalprice - AVG(o_totalprice) OVER ()) / STDDEV_POP(o_totalprice) OVER (), 6) AS o_totalprice_scaled FROM o""")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("done"), F.date_trunc("day", "o_orderdate").alias("o_orderdate"))
+    out = FE.generate(df, "done", encode=True, scaled=True, start="o_orderdate", as_of="2030-01-01")
+    return out.select("o_orderkey", "o_orderdate_year", "o_orderdate_month", "days_since_o_orderdate", "o_orderpriority_encoded", F.round("o_totalprice_squared", 2).alias("o_totalprice_squared"),
+                      F.round("o_custkey_x_o_totalprice", 2).alias("o_custkey_x_o_totalprice"), F.round("o_totalprice_scaled", 6).alias("o_totalprice_scaled"))
+
+
 @query("FE-17", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({c} - (SELECT AVG({c}) FROM lineitem)) / (SELECT STDDEV_POP({c}) FROM lineitem), 6) AS {c}_scaled" for c in _L5) + " FROM lineitem")
 def _(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_L5)
