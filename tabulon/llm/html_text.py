@@ -30,7 +30,7 @@ SKIPPED_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising
     related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager widget widgets toolbar skip hidden""".split())
 ARTICLE = frozenset(("article", "main"))
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RIGHTS = re.compile(r"\s*(?:©|\(c\)\s|copyright\b).{0,200}\Z", re.I | re.S)
@@ -42,7 +42,7 @@ class Line(NamedTuple):
     text: str
     linked: int  # characters inside links
     skipped: bool  # inside a menu, footer, advert or the like
-    article: bool
+    article: int  # number of the outermost article, 0 outside
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -68,12 +68,14 @@ def _skips(tag: str, raw: str, in_article: bool) -> bool:
 def page_lines(page: str) -> list[Line]:
     """The page without markup, one line per block that has text."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag; whether inside something skipped, an article, a link
+    stack: list[tuple[str, bool, int, bool]] = []  # tag; whether inside something skipped, in which article, inside a link
+    where: dict[str, list[int]] = {}  # places in the stack by tag
+    endless: set[str] = set()  # raw elements of which no end follows
     parts: list[str] = []
-    linked = at = 0
+    linked = at = articles = 0
 
-    def here() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def here() -> tuple[bool, int, bool]:
+        return stack[-1][1:] if stack else (False, 0, False)
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -91,12 +93,11 @@ def page_lines(page: str) -> list[Line]:
         linked = 0
 
     def close(tag: str, within: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
+        if not where.get(tag) or any(where.get(w) and where[w][-1] > where[tag][-1] for w in within):
+            return
+        for name, *_ in reversed(stack[(k := where[tag][-1]):]):
+            where[name].pop()
+        del stack[k:]
 
     while True:
         m = TOKEN.search(page, at)
@@ -119,7 +120,9 @@ def page_lines(page: str) -> list[Line]:
             close(tag)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
             at = end.end() if end else len(page) if tag in ("script", "style") else at
             continue
         if tag in CLOSES_P:
@@ -135,38 +138,56 @@ def page_lines(page: str) -> list[Line]:
             close("head")
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             skipped, article, link = here()
-            stack.append((tag, skipped or _skips(tag, m[3], article), article or tag in ARTICLE, link or tag == "a"))
+            skipped = skipped or _skips(tag, m[3], bool(article))
+            if tag in ARTICLE and not article:
+                articles += 1
+                article = articles
+            where.setdefault(tag, []).append(len(stack))
+            stack.append((tag, skipped, article, link or tag == "a"))
     flush()
     return lines
 
 
-def main_text(page: str) -> str:
-    """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
-    lines = page_lines(page)
-    size = np.array([0 if x.skipped or (DATED_RIGHTS if x.article else RIGHTS).match(x.text) else len(x.text) for x in lines], np.int64)
-    inside = np.array([x.article for x in lines], bool)
+def surging(size: np.ndarray) -> np.ndarray:
+    """Which lines lie between a surge and the dive that follows, for the weights of consecutive lines.
+
+    The weights of WIDTH lines are added up along the page. Text begins where the sum surges, with the lines of text right
+    before, and ends where it dives to nothing.
+    """
+    kept = np.zeros(len(size), bool)
     if not size.any():
-        return ""
-    if size[inside].sum() * 4 >= size.sum():
-        # What is left of an article is text throughout; where lines without weight part it, it doesn't end.
-        return "\n\n".join(x.text for x, n in zip(lines, size) if n and x.article)
-    for k, x in enumerate(lines):
-        if x.linked >= LINKED * len(x.text.replace(" ", "")):
-            size[k] = 0
+        return kept
     sums = np.convolve(size, np.ones(WIDTH, np.int64))[WIDTH - 1:]  # of each line and those that follow
     surge = min(SURGE, sums.max() / 2)
-    kept = np.zeros(len(lines), bool)
     on = False
-    for k in range(len(lines)):
+    for k in range(len(size)):
         if not on and sums[k] >= surge:
             on, back = True, k
-            while back and size[back - 1]:  # a heading or short lines right before the surge
+            while back and size[back - 1] and not kept[back - 1]:  # a heading or short lines right before the surge
                 back -= 1
             kept[back:k] = True
         elif sums[k] == 0:  # dive: no text here or in the lines that follow
             on = False
         kept[k] |= on
-    kept &= size > 0
+    return kept & (size > 0)
+
+
+def main_text(page: str) -> str:
+    """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
+    lines = page_lines(page)
+    size = np.array([0 if x.skipped or (DATED_RIGHTS if x.article else RIGHTS).match(x.text) else len(x.text) for x in lines], np.int64)
+    article = np.array([x.article for x in lines], np.int64)
+    if size[article > 0].sum() * 4 >= max(1, size.sum()):
+        # Articles: what has no weight in them doesn't end the text, and one doesn't go on in the next.
+        own = np.flatnonzero((article > 0) & (size > 0))
+        place = np.arange(len(own)) + WIDTH * np.cumsum(np.diff(article[own], prepend=article[own[0]]) != 0)
+        weight = np.zeros(place[-1] + 1, np.int64)
+        weight[place] = size[own]
+        kept = np.zeros(len(lines), bool)
+        kept[own] = surging(weight)[place]
+    else:
+        linked = [x.linked >= LINKED * len(x.text.replace(" ", "")) for x in lines]
+        kept = surging(np.where(linked, 0, size) if lines else size)
     return "\n\n".join(x.text for x, stays in zip(lines, kept) if stays)
 
 
@@ -174,10 +195,11 @@ def extract_text(pages: DataFrame, html_column: str = "html", kept: list[Column]
     """`_kept` (a struct of the `kept` columns, by default all) and `text`, the main text of each page.
 
     Markup goes, a block becomes a line, character references are decoded, white space is one space. Lines of menus,
-    headers, footers, sidebars, notices, adverts, forms and comments have no weight, and if an article holds a quarter
-    of the rest, all its lines with weight are the text. Else lines of links have no weight either, and the weights of WIDTH
-    lines are added up along the page: text begins where the sum surges (or with the lines of text right before) and ends where it dives to
-    nothing, and what lies between is kept.
+    headers, footers, sidebars, notices, adverts, forms and comments have no weight. The weights of WIDTH lines are added up
+    along the page: text begins where the sum surges (or with the lines of text right before) and ends where it dives to
+    nothing, and what lies between is kept. If articles hold a quarter of the weight, the page is their lines with weight,
+    one article apart from the next; else lines of links have no weight either. Time is linear in the page, however its
+    tags are nested or left open.
     Null and empty pages have empty text. Each row is on its own; repeated rows and nulls elsewhere stay as they are.
     """
     packed = pages.select(F.struct(*(kept or [F.col(f"`{c}`") for c in pages.columns])).alias("_kept"), F.col(html_column).alias("_html"))
