@@ -6,6 +6,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,19 +20,25 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-JWT = re.compile(r"e[yw][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,.-]|\\+[nrt/])*?)-----END \1PRIVATE KEY-----")
+# Runs of token letters with dots between; a token is three of them.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
+TOKEN_START = re.compile(r"e[yw](?=[A-Za-z0-9_-])")
+PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+PEM_END = re.compile(r"-----END ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+# What can't be in a key's body: all but base64, headers, white space and escaped white space.
+NO_BODY = re.compile(r"(?<!\\)\\++(?![nrt/])|[^A-Za-z0-9+/=\s:,.\\-]")
+ENCRYPTED = re.compile(r"\s*Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,\s*[0-9A-Fa-f]+\s")
 # The shortest secret in a text is 'token=' and 8 characters: 14 bytes, 28 digits or, without padding, 19 base64 characters.
 HEX_CANDIDATE = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){14,}(?![0-9A-Fa-f])")
 BASE64_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 SHORTEST = 19
 # What wraps a candidate: a line end, also written as backslash and letter, and the indentation after it.
-BREAK = re.compile(r"(?:\r?\n|\r)[\x20\t]*|(?:\\+r)?\\+n[\x20\t]*")
+BREAK = re.compile(r"(?:\r?\n|\r)[\x20\t]*|(?<!\\)(?:\\++r)?\\++n[\x20\t]*")
 BASE64_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
 PIECE_AFTER = re.compile(r"[A-Za-z0-9+/_-]+")
 PADDING = re.compile(r"={0,2}")
-ESCAPES = re.compile(r"\\+([nrt/])")
+ESCAPES = re.compile(r"(?<!\\)\\++([nrt/])")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -134,6 +141,64 @@ def _assigned(text: str) -> Iterator[tuple[int, int]]:
     return (m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 8)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost spans of three runs of token letters, dots between, from an `ey` or `ew` in the first; without overlap."""
+    for m in DOTTED.finditer(text):
+        edges, at = [], m.start()
+        for run in m[0].split("."):
+            edges.append((at, at + len(run)))
+            at += len(run) + 1
+        k = 0
+        while k + 2 < len(edges):
+            first = TOKEN_START.search(text, edges[k][0], edges[k][1]) if edges[k + 1][0] < edges[k + 1][1] else None
+            if first:
+                yield first.start(), edges[k + 2][1]
+            k += 3 if first else 1
+
+
+def _keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """Span and body of the blocks from BEGIN to the next END of the same label, if all between can be a key's body."""
+    ends: dict[str, list[int]] = {}
+    after: dict[int, int] = {}
+    for m in PEM_END.finditer(text):
+        ends.setdefault(m[1], []).append(m.start())
+        after[m.start()] = m.end()
+    wrong, done = -1, 0
+    for m in PEM_BEGIN.finditer(text):
+        own = ends.get(m[1], [])
+        k = bisect_left(own, m.end())
+        if m.start() < done or k == len(own):
+            continue
+        if wrong < m.end():
+            bad = NO_BODY.search(text, m.end())
+            wrong = bad.start() if bad else len(text)
+        if own[k] <= wrong:
+            done = after[own[k]]
+            yield m.start(), done, text[m.end():own[k]]
+
+
+class _Taken:
+    """Disjoint spans in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def _plain(text: str) -> list[tuple[int, int, int]]:
     found = []
     low = text.lower()
@@ -154,7 +219,7 @@ def _decoded_kind(data: bytes) -> int | None:
         inner = data.decode()
     except UnicodeDecodeError:
         return None
-    if ("AKIA" in inner and any(len(m[0]) >= 16 for m in ACCESS.finditer(inner))) or next(_assigned(inner), None) or PEM.search(inner):
+    if ("AKIA" in inner and any(len(m[0]) >= 16 for m in ACCESS.finditer(inner))) or next(_assigned(inner), None) or next(_keys(inner), None):
         return 7
     return None
 
@@ -227,31 +292,32 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     found = _plain(text)
     inside = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            inside.append(m.span())
-            body = ESCAPES.sub(lambda e: "/" if e[1] == "/" else "\n", m[2])
-            body = re.sub(r"^[A-Za-z0-9-]+:.*$", "", body, flags=re.M)
-            data = _unbase64("".join(body.split()))
-            if data and (is_private_der(data) or is_openssh(data) or "ENCRYPTED" in m[2][:80]):
-                found.append((m.start(), 4, m.end()))
+        for a, b, body in _keys(text):
+            inside.append((a, b))
+            body = ESCAPES.sub(lambda e: "/" if e[1] == "/" else "\n", body)
+            locked = ENCRYPTED.match(body)
+            data = _unbase64("".join(re.sub(r"^[A-Za-z0-9-]+:.*$", "", body, flags=re.M).split()))
+            # An encrypted body is whole blocks of its cipher, of 8 bytes or twice that.
+            if data and (is_private_der(data) or is_openssh(data) or locked and len(data) % 8 == 0):
+                found.append((a, 4, b))
     tokens = []
     if "ey" in text or "ew" in text:
-        tokens = [m.span() for m in JWT.finditer(text) if is_jwt(m[0])]
+        tokens = [(a, b) for a, b in _tokens(text) if is_jwt(text[a:b])]
         found += [(a, 3, b) for a, b in tokens]
-    taken = inside + tokens
+    taken = _Taken(inside + tokens)
     for kind, a, b in _wrapped(text):
-        if not any(s < b and a < e for s, e in taken):
-            taken.append((a, b))
+        if not taken.meets(a, b):
+            taken.add(a, b)
             found.append((a, kind, b))
     for pattern, decode in ((HEX_CANDIDATE, bytes.fromhex), (BASE64_CANDIDATE, _unbase64)):
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(s < b and a < e for s, e in taken):
+            if taken.meets(a, b):
                 continue
             data = decode(m[0])
             kind = _decoded_kind(data) if data else None
             if kind is not None:
-                taken.append((a, b))
+                taken.add(a, b)
                 found.append((a, kind, b))
     return sorted(found)
 
