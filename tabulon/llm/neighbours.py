@@ -98,14 +98,18 @@ def fit(sample: np.ndarray, norm: float, k: int, seed: int = 5) -> Probing:
 
 
 def _clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """`id`, `vec` of the rows that take part."""
+    """`id`, `vec` of the rows that take part, staged; one vector for each id."""
     v = F.col("vec")
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists(v, lambda x: x != 0.0))
-    rows = rows.select("id", F.transform(v, lambda x: x + 0.0).alias("vec"))  # −0 is 0
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0]["n"] if sizes else 0))
+    rows = staged(rows.select("id", F.transform(v, lambda x: x + 0.0).alias("vec")), "near-rows")  # −0 is 0
+    twice = rows.groupBy("id").count().where("count > 1").select("id")
+    if twice.isEmpty():
+        return rows
+    twice = staged(twice, "near-twice")
+    one = rows.join(twice, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec"))
+    return staged(rows.join(twice, "id", "left_anti").unionByName(one), "near-rows")
 
 
 def _stacked(column: pd.Series) -> np.ndarray:
@@ -117,8 +121,10 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
 
     Queries are the rows for which `queries` holds (of `id`; by default ids divisible by 20), candidates all rows with
     another id. Ties go to the smaller id; scores are inner products of the given vectors in double precision. Rows
-    without id or vector, with a zero vector, with a null or non-finite component, or of another length than most take
-    no part; fewer candidates than k give fewer rows; an empty table gives none. Other columns are ignored.
+    without id or vector, with a zero vector, with a null or non-finite component take no part. An id stands for one
+    vector: rows that repeat it count once, and of different vectors the first in order asks and is found. Vectors of
+    different lengths have no inner product: each length is searched by itself. Fewer candidates than k give fewer rows;
+    an empty table gives none. Other columns are ignored.
 
     Equal vectors are one class, of which the k + 1 smallest ids are kept, so no group of copies meets in a task. All
     classes are hashed into TABLES tables of buckets. A query visits buckets in the order of their estimated success
@@ -128,8 +134,16 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     in a shard exactly and hands on k + 1 classes for each query. The list of buckets has at most
     (2 · EDGE / CELL + 3) ^ HASHES entries a table, whatever the data.
     """
-    spark = vectors.sparkSession
-    rows = staged(_clean(vectors, id_column, vector_column), "near-rows")
+    rows = _clean(vectors, id_column, vector_column)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.select(F.size("vec").alias("n")).distinct().orderBy("n").collect():  # a row per length
+        found = found.unionByName(_nearest(rows.where(F.size("vec") == r["n"]), k, queries, seed))
+    return found
+
+
+def _nearest(rows: DataFrame, k: int, queries: Column | None, seed: int) -> DataFrame:
+    """The same for staged `id`, `vec` of one length."""
+    spark = rows.sparkSession
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = staged(first.groupBy("vec").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids")), "near-classes")
     asked = (F.col("id") % 20 == 0) if queries is None else queries
@@ -141,9 +155,6 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     low = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 2 * SAMPLE / max(total, 1))))
     low = low.orderBy(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)), "cls").select("vec").limit(SAMPLE)
     sample = _stacked(pd.Series([r["vec"] for r in low.collect()], dtype=object))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not total:
-        return empty
     probing = fit(sample, float(norm) * (1 + 1e-12), k + 1, seed)
 
     def hashed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +212,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
                 visits = visits.drop_duplicates().groupby(["q", "shard"])["slot"].agg(list).reset_index()
                 cls = p["cls"].to_numpy()[visits["q"]]
                 yield pd.DataFrame({"shard": visits["shard"], "block": ((cls.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(33)).astype(np.int64) % blocks,
-                                    "cls": cls, "vec": [p["vec"][i] for i in visits["q"]], "slots": visits["slot"]})
+                                    "cls": cls, "vec": pd.Series([p["vec"][i] for i in visits["q"]], dtype=object), "slots": visits["slot"].astype(object)})
 
     def scored(key: tuple, stored: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "classes": [], "scores": []}
@@ -227,7 +238,8 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
                         b = b[np.sort(np.unique(cls[b], return_index=True)[1])][: k + 1]  # a class is there once for each table
                         exact = (mat[b] * part["vec"].iloc[i]).sum(1)
                         out["query"].append(q), out["classes"].append(cls[b]), out["scores"].append(exact)
-        return pd.DataFrame(out)
+        # Lists stay objects, also where there are none.
+        return pd.DataFrame({"query": pd.Series(out["query"], dtype="int64"), "classes": pd.Series(out["classes"], dtype=object), "scores": pd.Series(out["scores"], dtype=object)})
 
     stored = placed.mapInPandas(dealt, "shard long, block long, cls long, vec array<double>, slot long")
     spread = ask.repartition(spark.sparkContext.defaultParallelism * 2, "cls")
