@@ -113,8 +113,8 @@ def words(text: Column) -> Column:
 def text_vectors(df: DataFrame, text: str, dims: int = 256, out: str = "embedding", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """RAG-03: unit vectors of TF-IDF weights over hashed words; an empty text has the zero vector.
 
-    `bucket` maps a word to its place 0…dims-1 and replaces the built-in hash. Without shuffle but for the
-    document counts of the IDF, which are `dims` numbers.
+    `bucket` maps a word to its place 0…dims-1 and replaces the built-in hash. A text is cut into words and counted
+    once; the counts are staged, and the document frequencies, `dims` numbers, and the weights come from them. No shuffle.
     """
     if bucket is None:
         held = spread(df).withColumn("_w", words(F.coalesce(col(text), F.lit(""))))
@@ -123,9 +123,10 @@ def text_vectors(df: DataFrame, text: str, dims: int = 256, out: str = "embeddin
         held = spread(df).withColumn("_w", F.transform(words(F.coalesce(col(text), F.lit(""))), lambda w: bucket(w).cast("string")))
         places = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], inputCol="_w", outputCol="_tf")
         counted = places.transform(held)
-    weighted = IDF(inputCol="_tf", outputCol="_ti").fit(counted).transform(counted)
+    counted = staged(counted.drop("_w"), "word-counts")
+    weighted = IDF(inputCol="_tf", outputCol="_ti").fit(counted.select("_tf")).transform(counted)
     unit = Normalizer(p=2.0, inputCol="_ti", outputCol="_u").transform(weighted)
-    return unit.withColumn(out, vector_to_array("_u")).drop("_w", "_tf", "_ti", "_u")
+    return unit.withColumn(out, vector_to_array("_u")).drop("_tf", "_ti", "_u")
 
 
 # --- nearest neighbours ---------------------------------------------------------------------------------------------
@@ -449,10 +450,12 @@ def keyword_search(docs: DataFrame, queries: Sequence[str], k: int = 3, *, id_co
 def add_documents(collection: DataFrame, new: DataFrame, *, id_col: str = "id", text: str = "content", least: int = 10) -> DataFrame:
     """RAG-02: append documents whose id is new and whose text has at least `least` characters between white space.
 
-    Of new documents with one id, the one whose text comes first in order is added.
+    Of new documents with one id, the one whose text comes first in order is added, then whose other columns do.
     """
     long = new.filter(F.length(F.btrim(col(text), F.lit(" \t\n\r\f\v"))) >= least)
-    fresh = long.groupBy(col(id_col).alias("_id")).agg(F.min_by(F.struct(*[col(c) for c in new.columns]), col(text)).alias("_first")).select("_first.*")
+    # Columns without an order, such as maps, come in as text.
+    order = F.struct(col(text), *[F.to_json(col(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else col(f.name) for f in new.schema if f.name not in (id_col, text)])
+    fresh = long.groupBy(col(id_col).alias("_id")).agg(F.min_by(F.struct(*[col(c) for c in new.columns]), order).alias("_first")).select("_first.*")
     fresh = fresh.join(collection.select(col(id_col)), id_col, "left_anti")
     return collection.unionByName(fresh.select(*[col(c) for c in fresh.columns]), allowMissingColumns=True)
 

@@ -17,7 +17,7 @@ from ..functions import ordered
 from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, q, replace_columns, require, s
 from ..functions.distributions import f_p_value, t_p_value
 from ..functions.quantiles import mode_values, quantile_values, quantiles, slot_sql, value_counts
-from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, largest_group, spread
+from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, spread
 from ..session import staged
 from .impute import fill_mean
 
@@ -96,14 +96,23 @@ def _square(pairs: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFr
     return flipped.unionByName(unit.select(*by, "variable1", F.col("variable1").alias("variable2"), F.lit(1.0).alias("correlation")))
 
 
-def corr_sql(a: str, b: str) -> str:
-    """Pearson r over complete pairs; null for a column that is constant there, whatever rounding makes of its spread."""
+def corr_sql(a: str, b: str, whole: bool = False) -> str:
+    """Pearson r over complete pairs; null for a column that is constant there, whatever rounding makes of its spread.
+
+    Where both columns are known to be `whole`, the smallest and largest value of each serve all its pairs.
+    """
     x, y = (f"CAST({q(c)} AS DOUBLE)" for c in (a, b))
-    known = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+    known = "" if whole else f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
     varies = " AND ".join(f"min({v}) {known} < max({v}) {known}" for v in (x, y))
     return f"CASE WHEN {varies} THEN try_divide(regr_sxy({x}, {y}), sqrt(regr_sxx({x}, {y}) * regr_syy({x}, {y}))) END"
 
 
+def with_nulls(df: DataFrame, names: Sequence[str]) -> set[str]:
+    """The columns that have a null."""
+    row = df.agg(*[F.max(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    return {c for i, c in enumerate(names) if row[i]}
+
+
 def pearson(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), *, full: bool = False) -> DataFrame:
     """ST-03: pairwise-complete Pearson r, all pairs in one pass; (variable1, variable2, correlation) with i < j.
 
@@ -117,7 +126,8 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[st
     if len(pairs) > WIDE_PAIRS and not by:
         out = _pearson_matrices(df, names)
     else:
-        wide = df.groupBy(*by).agg(*[F.expr(f"{corr_sql(a, b)} AS r{i}") for i, (a, b) in enumerate(pairs)])
+        holes = with_nulls(df, names)
+        wide = df.groupBy(*by).agg(*[F.expr(f"{corr_sql(a, b, not holes & {a, b})} AS r{i}") for i, (a, b) in enumerate(pairs)])
         rows = ", ".join(f"named_struct('variable1', {s(a)}, 'variable2', {s(b)}, 'correlation', r{i})" for i, (a, b) in enumerate(pairs))
         out = wide.selectExpr(*[q(b) for b in by], f"inline(array({rows}))")
     return _square(out, names, by) if full else out
@@ -179,12 +189,12 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
     """ST-04: pairwise-complete Spearman rho with average ranks.
 
     A pair of columns without nulls shares ranks that are computed once per column. A pair with a null in either
-    column is ranked anew over its complete rows, as the definition asks.
+    column is ranked over its complete rows, as the definition asks: values are counted by the pattern of nulls of their
+    rows, and the counts of all patterns in which the other column is known give the ranks of that pair.
     """
     df = nan_to_null(df)
     names = list(columns or numeric_columns(df))
-    row = df.agg(*[F.max(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    holes = {c for i, c in enumerate(names) if row[i]}
+    holes = with_nulls(df, names)
     whole = [c for c in names if c not in holes]
     parts = []
     if len(whole) > 1:
@@ -202,26 +212,7 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
         parts.append(pearson(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(whole)]), whole))
     pairs = [(a, b) for a, b in combinations(names, 2) if a in holes or b in holes]
     if pairs:
-        cells = F.array(*[
-            F.struct(F.lit(f"{i}").alias("pair"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
-            for i, (a, b) in enumerate(pairs)
-        ])
-        kept = F.filter(cells, lambda s: s["x"].isNotNull() & s["y"].isNotNull())
-        joint = df.select(F.explode(kept).alias("_e")).select("_e.*").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-        cut = chunks or (1 if largest_group(joint, ["pair"]) <= ROWS_PER_TASK else None)
-        for side in ("x", "y"):
-            counts = joint.groupBy(F.col("pair").alias("column"), F.col(side).alias("value")).agg(F.sum("n").alias("n"))
-            r = rank_table(counts, cut).select(F.col("column").alias(f"_p{side}"), F.col("value").alias(f"_v{side}"), F.col("rank").alias(f"r{side}"))
-            joint = joint.join(r, (F.col("pair") == F.col(f"_p{side}")) & (F.col(side) == F.col(f"_v{side}")), "left").drop(f"_p{side}", f"_v{side}")
-        # weighted r over distinct value pairs; centred ranks keep the sums small
-        stats = joint.groupBy("pair").agg(F.sum("n").alias("m"), *[F.sum(F.col("n") * e).alias(a) for a, e in {
-            "sx": F.col("rx"), "sy": F.col("ry"), "sxx": F.col("rx") * F.col("rx"), "syy": F.col("ry") * F.col("ry"), "sxy": F.col("rx") * F.col("ry")}.items()])
-        m = F.col("m")
-        cov = F.col("sxy") / m - F.col("sx") / m * (F.col("sy") / m)
-        var = (F.col("sxx") / m - (F.col("sx") / m) ** 2) * (F.col("syy") / m - (F.col("sy") / m) ** 2)
-        label = F.element_at(F.array(*[F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2")) for a, b in pairs]), F.col("pair").cast("int") + 1)
-        parts.append(stats.select(label.alias("_l"), F.when(var > 0, cov / F.sqrt(var)).alias("correlation"))
-                     .select("_l.variable1", "_l.variable2", "correlation"))
+        parts += _spearman_patterns(df, names, pairs, chunks)
     if not parts:
         raise ValueError("rank correlation needs two numeric columns")
     out = parts[0]
@@ -230,6 +221,40 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, full: bool
     return _square(out, names, []) if full else out
 
 
+def _spearman_patterns(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]], chunks: int | None) -> list[DataFrame]:
+    """Pairs whose rows differ. A row adds one count for each column, whatever the number of pairs."""
+    place = {c: i for i, c in enumerate(names)}
+    partners = {c: sorted({place[b if a == c else a] for a, b in pairs if c in (a, b)}) for c in names}
+    held = spread(df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]))
+    pattern = F.concat(*[F.when(F.col(f"c{i}").isNull(), "0").otherwise("1") for i in range(len(names))])
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"c{i}").alias("value")) for i in range(len(names))])
+    long = held.select(pattern.alias("known"), F.explode(cells).alias("e")).select("e.column", "e.value", "known").where("value IS NOT NULL")
+    counts = long.groupBy("column", "value", "known").agg(F.count("*").alias("n")).groupBy("column", "value").agg(
+        *[F.sum(F.when(F.substring("known", j + 1, 1) == "1", F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(len(names))])
+    counts = staged(counts, "rank-patterns")
+    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+    cut = chunks or (1 if max(sizes.values(), default=0) <= ROWS_PER_TASK else None)
+    ranks = counts
+    for j in range(len(names)):
+        ranks = ordered.running_total(ranks, ["column"], "value", f"n{j}", f"u{j}", cut)
+    rank = F.array(*[F.col(f"u{j}") - (F.col(f"n{j}") - 1) / F.lit(2.0) for j in range(len(names))])
+    ranks = staged(ranks.select("column", "value", rank.alias("rank")), "rank-patterns")
+    for i, c in enumerate(names):
+        if partners[c]:
+            side = ranks.where(F.col("column") == i).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+            side = F.broadcast(side) if sizes.get(i, 0) * len(names) <= BROADCAST_ROWS * 4 else side
+            held = held.join(side, F.col(f"c{i}") == F.col(f"v{i}"), "left").drop(f"v{i}")
+    both = lambda a, b: F.when(F.col(f"c{a}").isNotNull() & F.col(f"c{b}").isNotNull(), F.element_at(f"r{a}", b + 1))
+    out = []
+    for at in range(0, len(pairs), WIDE_PAIRS):
+        own = [(place[a], place[b]) for a, b in pairs[at:at + WIDE_PAIRS]]
+        ranked = held.select(*[x for k, (a, b) in enumerate(own) for x in (both(a, b).alias(f"x{k}"), both(b, a).alias(f"y{k}"))])
+        wide = ranked.agg(*[F.expr(f"{corr_sql(f'x{k}', f'y{k}')} AS r{k}") for k in range(len(own))])
+        rows = ", ".join(f"named_struct('variable1', {s(names[a])}, 'variable2', {s(names[b])}, 'correlation', r{k})" for k, (a, b) in enumerate(own))
+        out.append(wide.selectExpr(f"inline(array({rows}))"))
+    return out
+
+
 def high_correlations(matrix: DataFrame, threshold: float = 0.7) -> DataFrame:
     """ST-05: pairs with |r| at or above the threshold, labelled by strength."""
     r = F.abs("correlation")

@@ -33,6 +33,15 @@ def _(spark, sf):
     return R.chunk_documents(docs(spark, sf), metadata={"kind": "document"}).select("id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("digest"), "chunk_size")
 
 
+@query("RAG-01-whole", r"""SELECT doc_id AS id, md5(regexp_replace(text, '\s+', '', 'g')) AS digest, true AS inside, true AS short FROM documents WHERE regexp_matches(text, '\S')""")
+def _(spark, sf):
+    # without overlap the chunks are the text, but for white space at their ends
+    chunks = R.chunk_documents(docs(spark, sf), overlap=0).join(docs(spark, sf).select("id", F.col("content").alias("text")), "id")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))  # the chunks of one text
+    whole = F.regexp_replace(F.array_join(F.transform(ordered, lambda c: c["content"]), ""), r"\s+", "")
+    return chunks.groupBy("id").agg(F.md5(whole.cast("binary")).alias("digest"), F.bool_and(F.col("text").contains(F.col("content"))).alias("inside"), F.bool_and(F.col("chunk_size") <= 1000).alias("short"))
+
+
 # The collection: the labelled documents. Offered: all documents, cut to a few characters where the source ends in 5.
 _OFFER = "o AS (SELECT doc_id AS id, CASE WHEN source LIKE '%5' THEN substr(text, 1, 6) ELSE text END AS content, lang, source FROM documents)"
 _COLL = "c AS (SELECT doc_id AS id, text AS content, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
@@ -81,6 +90,12 @@ def _(spark, sf):
                     F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("moment"))
 
 
+@query("RAG-03-values", f"WITH {tfidf_sql('documents', 'doc_id', 'text')} SELECT k AS id, CAST(p AS INTEGER) AS place, round(v, 6) AS weight FROM vec WHERE round(v, 6) <> 0")
+def _(spark, sf):
+    v = R.text_vectors(docs(spark, sf), "content", DIMS, bucket=place).select("id", F.posexplode("embedding").alias("place", "weight"))
+    return v.select("id", "place", F.round("weight", 6).alias("weight")).where("weight <> 0")
+
+
 @query("RAG-03-hashing", "SELECT doc_id AS id, CASE WHEN regexp_matches(text, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS squared_norm FROM documents")
 def _(spark, sf):
     v = R.text_vectors(docs(spark, sf), "content", 256).select("id", "embedding")

@@ -114,6 +114,33 @@ def _(spark, sf):
     return rounded(S.spearman(table(spark, sf, "lineitem"), _L))
 
 
+# Nulls in four columns, each where another remainder falls, and one column without.
+_GAPS = {"l_quantity": 3, "l_extendedprice": 5, "l_discount": 7, "l_tax": 11}
+_GAP_ROWS = "SELECT l_orderkey, " + ", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % {k} = 1 THEN NULL ELSE {c} END AS {c}" for c, k in _GAPS.items()) + " FROM lineitem"
+
+
+def _gap_sql():
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS r{1}".format
+    names = ["l_orderkey", *_GAPS]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    return f"WITH t AS ({_GAP_ROWS}) " + " UNION ALL ".join(
+        f"SELECT '{a}' AS variable1, '{b}' AS variable2, round(corr(r1, r2), 6) AS correlation FROM (SELECT {rank(a, 1)}, {rank(b, 2)} FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in pairs)
+
+
+@query("ST-04-nulls", _gap_sql())
+def _(spark, sf):
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    df = table(spark, sf, "lineitem").select("l_orderkey", *[F.when(n % k != 1, F.col(c)).alias(c) for c, k in _GAPS.items()])
+    return rounded(S.spearman(df))
+
+
+@query("ST-04-nulls-chunks", _gap_sql())
+def _(spark, sf):
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    df = table(spark, sf, "lineitem").select("l_orderkey", *[F.when(n % k != 1, F.col(c)).alias(c) for c, k in _GAPS.items()])
+    return rounded(S.spearman(df, chunks=5))
+
+
 _TEN = ["years_at_company", "years_in_current_role", "age", "n_orders"]
 
 
