@@ -21,6 +21,20 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     second scan digests whole texts, but only of rows that a filter of fixed size lets through. What is grouped and
     joined is digests; counts of copies are combined before each shuffle.
     """
+    rows, groups = _grouped(docs, id_column, text_column, carry, prefix)
+    carried = ["_carried"] if carry is not None else []
+    extra = [F.col("_carried").alias("carried")] if carried else []
+    alone = rows.where("_full IS NULL").select(F.col("_id").alias(id_column), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *extra)
+    joined = rows.where("_full IS NOT NULL").join(groups, "_full", "left")
+    joined = joined.select(
+        F.col("_id").alias(id_column), F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
+        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), (F.col("_size").isNull() | (F.col("_row") == F.col("_keep_row"))).alias("kept"), *extra,
+    )
+    return alone.unionByName(joined)
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str, carry: Column | None, prefix: int) -> tuple[DataFrame, DataFrame]:
+    """The staged rows, with the digest of those whose length and beginning are shared; and the digests of several rows."""
     norm = normalised(F.col(text_column))
     length, start = F.length(norm).cast("long"), F.xxhash64(F.substring(norm, 1, prefix))
     seen = docs.select(length.alias("_n"), start.alias("_start"))
@@ -36,18 +50,19 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     first = F.min(F.struct(F.isnull("_id").alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = rows.where("_full IS NOT NULL").groupBy("_full").agg(first.alias("_first"), F.count("*").alias("_size")).where("_size > 1")
     groups = staged(groups.select("_full", F.col("_first.id").alias("_keep"), F.col("_first.row").alias("_keep_row"), "_size"), "exact-groups")
-
-    extra = [F.col("_carried").alias("carried")] if carried else []
-    alone = rows.where("_full IS NULL").select(F.col("_id").alias(id_column), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *extra)
-    joined = rows.where("_full IS NOT NULL").join(groups, "_full", "left")
-    joined = joined.select(
-        F.col("_id").alias(id_column), F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), (F.col("_size").isNull() | (F.col("_row") == F.col("_keep_row"))).alias("kept"), *extra,
-    )
-    return alone.unionByName(joined)
+    return rows, groups
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, without those that repeat an earlier text."""
-    groups = exact_groups(docs, id_column, text_column, carry=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return groups.where("kept").select("carried.*")
+    """The rows of `docs`, all columns, without those that repeat an earlier text.
+
+    What is joined is digests and row numbers. The rows to drop then pass a filter of fixed size over the staged rows; of
+    what it lets through, the rows that stay are told by their numbers, so no text is shuffled while the filter has room.
+    """
+    rows, groups = _grouped(docs, id_column, text_column, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), PREFIX)
+    gone = rows.where("_full IS NOT NULL").select("_full", "_row").join(groups, "_full").where("_row <> _keep_row").select("_row")
+    gone = staged(gone, "exact-gone")
+    marked = with_filter(rows.select("_row", "_carried"), F.xxhash64("_row"), key_filter(gone, F.xxhash64("_row")), "_hit")
+    hits = marked.where("_hit")
+    spared = staged(hits.select("_row").join(gone, "_row", "left_anti"), "exact-spared")
+    return marked.where("NOT _hit").unionByName(hits.join(spared, "_row", "left_semi").select(*marked.columns)).select("_carried.*")
