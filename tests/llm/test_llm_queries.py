@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 
-NAMES = ["op1_exact_dedup", "op2_html_extraction", "op3_substring_dedup", "op4_language_id", "op5_ngram_jaccard", "op6_license_scan", "op7_secret_scan", "op8_mixing", "op9_ann", "op10_sentencepiece", "pipeline"]
+NAMES = ["op1_exact_dedup", "op2_html_extraction", "op3_substring_dedup", "op4_language_id", "op5_ngram_jaccard", "op6_license_scan", "op7_secret_scan", "op8_mixing", "op9_ann", "op10_sentencepiece", "op11_filter_audit", "op12_merkle_manifest", "op13_lm_scoring", "pipeline"]
 
 
 def test_all_are_registered():
