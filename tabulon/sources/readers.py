@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.columns import col
+from ..session import staged
 
 SOURCE, COLLECTED = "_source_file", "_collection_timestamp"
 
@@ -93,17 +95,92 @@ def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
     return df.select(*[c for f in df.schema for c in leaves(f"`{f.name}`", f.name, f.dataType)])
 
 
+def _depth(text):
+    """Brackets opened in a text without strings, less `]`; each `}` ends a piece and is counted there."""
+    return F.length(F.translate(text, "]", "")) - F.length(F.translate(text, "[{", ""))
+
+
+def json_elements(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The objects of JSON files, one a row: `f` the file, `b` its block, `k` the place in it, `value` the text.
+
+    A file is read in pieces that end at a `}`, so that several tasks share it, line breaks or not. A piece never begins
+    behind a backslash; whether it begins within a string, and how deep, follows from the quotes and brackets before it:
+    sums within the block, and one row per block to carry them across the file. An object ends where the depth is back at
+    that of the file's array, or at zero. Pieces of one object meet in their block; only the first and the last object of
+    a block may go on in others. An object that the file breaks off, and array elements that are no objects, give no row.
+    """
+    raw = spark.read.option("lineSep", "}").text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.col("_metadata.file_size").alias("_size"), F.monotonically_increasing_id().alias("_i"))
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    string = r'"[^"]*+("|\z)'
+    rest = F.regexp_replace(plain, r'\A[^"]*+("|\z)', "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"')))
+    pieces = raw.withColumn("_q", quotes).select(
+        "*", (F.octet_length("value") + 1).cast("long").alias("_bytes"),
+        (_depth(F.regexp_replace(plain, string, "")) - F.when(F.col("_q") % 2 == 0, 1).otherwise(0)).alias("_out"),
+        (_depth(F.regexp_replace(rest, string, "")) - F.when(F.col("_q") % 2 == 1, 1).otherwise(0)).alias("_in"))
+
+    upto = W.partitionBy("f", "b").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy("f", "b").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
+    past = F.coalesce(F.sum("_q").over(earlier), F.lit(0)) % 2
+    blocks = pieces.select("f", "b", "_size", "_i", "_q", "_bytes", "_out", "_in", past.alias("_past"), F.substring(F.ltrim("value"), 1, 1).alias("_sign")).groupBy("f", "b").agg(
+        F.sum("_q").alias("q"), F.sum("_bytes").alias("bytes"), F.max("_size").alias("size"), F.min_by("_sign", "_i").alias("sign"),
+        F.sum(F.when(F.col("_past") == 0, F.col("_out")).otherwise(F.col("_in"))).alias("d0"),
+        F.sum(F.when(F.col("_past") == 1, F.col("_out")).otherwise(F.col("_in"))).alias("d1"))
+    over = W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_s", F.coalesce(F.sum("q").over(over), F.lit(0)) % 2)
+    blocks = blocks.withColumn("_d", F.when(F.col("_s") == 0, F.col("d0")).otherwise(F.col("d1")))
+    whole = W.partitionBy("f")
+    entries = blocks.select(
+        "f", "b", "_s", F.coalesce(F.sum("_d").over(over), F.lit(0)).alias("_d"), F.coalesce(F.sum("bytes").over(over), F.lit(0)).alias("_at"),
+        F.when(F.min_by("sign", "b").over(whole) == "[", 1).otherwise(0).alias("_base"),
+        # the bytes read tell whether the last piece ends at a bracket or at the end of the file
+        F.when(F.sum("bytes").over(whole) == F.max("size").over(whole) + 1, F.sum("bytes").over(whole)).alias("_open"))
+
+    placed = pieces.join(entries, ["f", "b"]).withColumn("_past", (F.col("_s") + F.coalesce(F.sum("_q").over(earlier), F.lit(0))) % 2)
+    placed = placed.withColumn("_deep", F.col("_d") + F.sum(F.when(F.col("_past") == 0, F.col("_out")).otherwise(F.col("_in"))).over(upto))
+    ends = ((F.col("_past") + F.col("_q")) % 2 == 0) & (F.col("_deep") <= F.col("_base")) & ~F.coalesce(F.col("_at") + F.sum("_bytes").over(upto) == F.col("_open"), F.lit(False))
+    placed = placed.withColumn("_ends", ends).withColumn("k", F.coalesce(F.count_if("_ends").over(earlier), F.lit(0)))
+    together = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "value"))), lambda p: F.concat(p["value"], F.lit("}"))), "")
+    parts = staged(placed.groupBy("f", "b", "k").agg(together.alias("value"), F.max("_ends").alias("_ends")), "json-elements")
+
+    edges = parts.where("k = 0 OR NOT _ends")
+    run = F.coalesce(F.count_if("_ends").over(W.partitionBy("f").orderBy("b", "k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    joined = edges.withColumn("_e", run).groupBy("f", "_e").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "k", "value"))), lambda p: p["value"]), "").alias("value"),
+        F.max("_ends").alias("_ends"), F.min(F.struct("b", "k")).alias("_first"))
+    out = parts.where("k > 0 AND _ends").select("f", "b", "k", "value").unionByName(joined.where("_ends").select("f", "_first.b", "_first.k", "value"))
+    before = r'(?s)\A[^{"]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^{"]*+)*+'
+    return out.withColumn("value", F.regexp_replace("value", before, "")).where(F.col("value").startswith("{"))
+
+
+def _merged_schema(values: DataFrame, column: str) -> str:
+    """The merged type of JSON texts as a struct; text where types differ or all are null."""
+    merged = values.agg(F.schema_of_variant_agg(F.try_parse_json(column))).first()[0] or "VOID"
+    if not merged.startswith("OBJECT<"):
+        return "struct<>"
+    names = merged.split("`")  # every other part is a quoted key
+    for i in range(0, len(names), 2):
+        kind = re.sub(r"OBJECT<", "STRUCT<", names[i])
+        kind = re.sub(r"\b(VARIANT|VOID)\b(?!:)", "STRING", kind)
+        names[i] = re.sub(r"\bDECIMAL\(\d+,\s*(\d+)\)", lambda m: m[0] if m[1] == "0" else "DOUBLE", kind)
+    return "`".join(names)
+
+
 def read_json(spark: SparkSession, paths: Sequence[str], *, schema: T.StructType | str | None = None, lineage: bool = True) -> DataFrame:
-    """SRC-02: a file holds an array (a row per element) or an object (one row); nested objects are flattened."""
+    """SRC-02: a file holds an array (a row per element), an object (one row) or objects one after another; nested
+    objects are flattened. Large files are shared by tasks. Without `schema` one aggregate merges the elements' types.
+    An element that is no valid JSON gives nulls; see `json_elements` for what gives no row.
+    """
     found = existing(spark, paths)
     if not found:
         raise ValueError("none of the paths exists")
-    reader = spark.read.option("multiLine", True)
-    df = (reader.schema(schema) if schema is not None else reader).json(found)
-    if not lineage:
-        return flatten(df)
-    lined = with_lineage(df)
-    return flatten(lined)
+    elements = json_elements(spark, found)
+    if schema is None:
+        schema = _merged_schema(elements, "value")
+    extra = [F.col("f").alias(SOURCE), F.current_timestamp().alias(COLLECTED)] if lineage else []
+    return flatten(elements.select(F.from_json("value", schema).alias("_r"), *extra).select("_r.*", *[c for c in (SOURCE, COLLECTED) if lineage]))
 
 
 def normalise_payloads(df: DataFrame, endpoint: str, body: str, schema: T.DataType | str | None = None, max_columns: int | None = None) -> DataFrame:
