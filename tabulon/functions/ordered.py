@@ -6,6 +6,7 @@ a chunk border is one summary row per (key, chunk), and only those summaries are
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -31,12 +32,37 @@ def as_number(df: DataFrame, order_by: str) -> Column:
     raise ValueError(f"order column {order_by} must be a number, a date or a timestamp")
 
 
-def with_chunks(df: DataFrame, order_by: str, by: Sequence[str], chunks: int | None, least: int = 1) -> tuple[DataFrame, int]:
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _exact(kind: T.DataType, value: float) -> bool:
+    """Whether no two order values share this double."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision <= 15
+    return isinstance(kind, (T.FloatType, T.DoubleType)) or abs(value) < 2.0**53
+
+
+def with_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The rows with `_tie`, a hash that orders rows of one order value alike in every plan, and the key as one column
+    `_g` that is never null, so that windows and joins share one partitioning."""
+    tie = F.xxhash64(*[col(f.name) for f in df.schema if _hashable(f.dataType)])
+    df = df.withColumn("_tie", F.shiftrightunsigned(tie, 1))
+    return (df.withColumn("_g", F.struct(*[col(c) for c in by])), ["_g"]) if by else (df, [])
+
+
+def with_chunks(df: DataFrame, order_by: str, by: Sequence[str], chunks: int | None, least: int = 1, tie: str | None = None) -> tuple[DataFrame, int]:
     """Append the chunk number of each row as `_chunk`; returns the frame and the number of chunks.
 
     With `chunks=None` a table without a big group keeps one chunk per key, "not needed". With one, there are so many
     that a chunk of all keys together, and so of any key, is one task's work; at least `least`. Rows without an order
-    value come first, as in a plain window, and so belong to the first chunk; NaN comes last.
+    value come first, as in a plain window, and so belong to the first chunk; NaN comes last. With `tie`, a column of
+    hashes from 0 to 2^63 - 1 by which rows of one order value are sorted, rows of a value that would fill several
+    chunks, or of none, are cut along it.
     """
     name = "_chunk"
     if chunks is None:
@@ -48,17 +74,33 @@ def with_chunks(df: DataFrame, order_by: str, by: Sequence[str], chunks: int | N
         chunks = max(chunks, least)
     if chunks <= 1:
         return df.withColumn(name, F.lit(0)), 1
-    at = as_number(df, order_by)
+    at, kind = as_number(df, order_by), df.schema[order_by].dataType
     probs = [i / chunks for i in range(1, chunks)]
-    cuts = df.select(at.alias("_at")).agg(F.percentile_approx("_at", probs, max(10_000, 4 * chunks))).first()[0] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
+    found, rows, known = df.select(at.alias("_at")).agg(F.percentile_approx("_at", probs, max(10_000, 4 * chunks)), F.count(F.lit(1)), F.count("_at")).first()
+    times = Counter("nan" if c != c else c for c in found or [])
+    cuts = sorted(c for c in times if c != "nan" and abs(c) != float("inf"))
+    # The buckets: below the first cut, from each cut on, NaN. A bucket's first `parts` chunks hold its lowest value.
+    parts = [0, *[times[c] if tie and times[c] > 1 and _exact(kind, c) else 0 for c in cuts], times["nan"] if tie else 0]
+    absent = 1 + chunks * (rows - known) // rows if tie and known < rows else 0
+    starts = [absent]
+    for p in parts:
+        starts.append(starts[-1] + p + 1)
+    if starts[-1] <= 2:  # one bucket and an empty one
         return df.withColumn(name, F.lit(0)), 1
-    cutter = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep"
-    )
-    cut = cutter.transform(df.withColumn("_at", at))
-    return cut.withColumn(name, F.coalesce(F.col("_cut").cast("int"), F.lit(0))).drop("_at", "_cut"), len(cuts) + 1
+    cut = df.withColumn("_at", at)
+    if cuts:
+        splits = [float("-inf"), *cuts, float("inf")]
+        cut = Bucketizer(splits=splits, inputCol="_at", outputCol="_cut", handleInvalid="keep").transform(cut).withColumn("_cut", F.col("_cut").cast("int"))
+    else:
+        cut = cut.withColumn("_cut", F.when(F.isnan("_at"), 1).otherwise(0))
+    bucket = F.when(F.col("_at").isNull(), 0).otherwise(F.col("_cut"))
+    number = F.array(*map(F.lit, starts))[bucket]
+    if tie:
+        share = F.col(tie) / F.lit(2.0**63)
+        lowest, many = F.array(*map(F.lit, [float("-inf"), *cuts, float("nan")]))[bucket], F.array(*map(F.lit, parts))[bucket]
+        number = number + F.when(many == 0, 0).when(F.col("_at") == lowest, F.floor(share * many)).otherwise(many).cast("int")
+        number = F.when(F.col("_at").isNull(), F.floor(share * max(absent, 1)).cast("int")).otherwise(number)
+    return cut.withColumn(name, number).drop("_at", "_cut"), starts[-1]
 
 
 def running_total(df: DataFrame, by: Sequence[str], order_by: str, amount: str, out: str,
@@ -93,6 +135,13 @@ def _join_chunks(detail: DataFrame, offsets: DataFrame, by: Sequence[str], n: in
     return detail.join(off, on, "left").drop(*[f"_o_{k}" for k in keys])
 
 
+def _meet(detail: DataFrame, offsets: DataFrame, key: Sequence[str], n: int) -> DataFrame:
+    """Rows and the row of their chunk, on the partitioning that the windows of `detail` have."""
+    if not key and n <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return detail.join(offsets, [*key, "_chunk"], "left")
+
+
 def carry_forward(df: DataFrame, values: Sequence[str], order_by: str, by: Sequence[str] = (), *,
                   include_current: bool = True, backfill: bool = False, chunks: int | None = None) -> DataFrame:
     """Replace each of `values` by its last non-null value so far within the key.
@@ -100,8 +149,9 @@ def carry_forward(df: DataFrame, values: Sequence[str], order_by: str, by: Seque
     `include_current=False` looks strictly before the row. `backfill=True` gives the rows ahead of the first
     non-null value that first value, which is forward fill followed by backward fill.
     """
-    cut, n = with_chunks(df, order_by, by, chunks, 1 if by else MIN_GLOBAL_CHUNKS)
-    inside = W.partitionBy(*by, "_chunk").orderBy(order_by).rowsBetween(
+    keyed, by = with_key(df, by)
+    cut, n = with_chunks(keyed, order_by, by, chunks, 1 if by else MIN_GLOBAL_CHUNKS, "_tie")
+    inside = W.partitionBy(*by, "_chunk").orderBy(col(order_by), "_tie").rowsBetween(
         W.unboundedPreceding, 0 if include_current else -1
     )
     seen = {v: F.last(col(v), ignorenulls=True).over(inside) for v in values}
@@ -109,7 +159,7 @@ def carry_forward(df: DataFrame, values: Sequence[str], order_by: str, by: Seque
         if backfill:
             whole = W.partitionBy(*by, "_chunk")
             seen = {v: F.coalesce(e, _first(v, order_by).over(whole)) for v, e in seen.items()}
-        return replace_columns(cut, seen).drop("_chunk")
+        return replace_columns(cut, seen).select(*[col(c) for c in df.columns])
     edges = cut.groupBy(*by, "_chunk").agg(
         *[_last(v, order_by).alias(f"_last_{i}") for i, v in enumerate(values)],
         *[_first(v, order_by).alias(f"_first_{i}") for i, v in enumerate(values)],
@@ -122,7 +172,7 @@ def carry_forward(df: DataFrame, values: Sequence[str], order_by: str, by: Seque
         *[F.min_by(f"_first_{i}", F.when(F.col(f"_first_{i}").isNotNull(), F.col("_chunk"))).over(whole).alias(f"_head_{i}")
           for i in range(len(values))],
     )
-    joined = _join_chunks(replace_columns(cut, seen), offsets, by, n)
+    joined = _meet(replace_columns(cut, seen), offsets, by, n)
     filled = {
         v: F.coalesce(col(v), F.col(f"_in_{i}"), *([F.col(f"_head_{i}")] if backfill else []))
         for i, v in enumerate(values)
@@ -132,19 +182,20 @@ def carry_forward(df: DataFrame, values: Sequence[str], order_by: str, by: Seque
 
 def _last(v: str, order_by: str) -> Column:
     # A struct, so that a null order value is the smallest one and not ignored.
-    return F.max_by(col(v), F.when(col(v).isNotNull(), F.struct(col(order_by))))
+    return F.max_by(col(v), F.when(col(v).isNotNull(), F.struct(col(order_by), F.col("_tie"))))
 
 
 def _first(v: str, order_by: str) -> Column:
-    return F.min_by(col(v), F.when(col(v).isNotNull(), F.struct(col(order_by))))
+    return F.min_by(col(v), F.when(col(v).isNotNull(), F.struct(col(order_by), F.col("_tie"))))
 
 
 def interpolate(df: DataFrame, values: Sequence[str], order_by: str, by: Sequence[str] = (), *,
                 chunks: int | None = None) -> DataFrame:
     """Linear interpolation on row positions. Leading nulls stay, trailing ones take the last value."""
-    cut, n = with_chunks(df, order_by, by, chunks, 1 if by else MIN_GLOBAL_CHUNKS)
+    keyed, by = with_key(df, by)
+    cut, n = with_chunks(keyed, order_by, by, chunks, 1 if by else MIN_GLOBAL_CHUNKS, "_tie")
     key = [*by, "_chunk"]
-    asc = W.partitionBy(*key).orderBy(order_by)
+    asc = W.partitionBy(*key).orderBy(col(order_by), "_tie")
     # Both ways by position, so that rows of one order value keep one order. A descending running frame: an
     # unbounded-following frame would be evaluated anew for every row.
     up = W.partitionBy(*key).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
@@ -156,7 +207,7 @@ def interpolate(df: DataFrame, values: Sequence[str], order_by: str, by: Sequenc
             cut.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
             .select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
         )
-        placed = _join_chunks(placed, sizes, by, n).withColumn("_pos", F.col("_pos") + F.col("_before")).drop("_before")
+        placed = _meet(placed, sizes, by, n).withColumn("_pos", F.col("_pos") + F.col("_before")).drop("_before")
     for i, v in enumerate(values):
         placed = placed.withColumn(f"_k_{i}", F.when(col(v).isNotNull(), F.struct(F.col("_pos").alias("p"), col(v).cast("double").alias("x"))))
     known = range(len(values))
@@ -177,7 +228,7 @@ def interpolate(df: DataFrame, values: Sequence[str], order_by: str, by: Sequenc
             *[F.last(f"_last_{i}", ignorenulls=True).over(before).alias(f"_in_{i}") for i in known],
             *[F.last(f"_first_{i}", ignorenulls=True).over(after).alias(f"_out_{i}") for i in known],
         )
-        near = _join_chunks(near, offsets, by, n)
+        near = _meet(near, offsets, by, n)
         near = replace_columns(near, {
             **{f"_prev_{i}": F.coalesce(F.col(f"_prev_{i}"), F.col(f"_in_{i}")) for i in known},
             **{f"_next_{i}": F.coalesce(F.col(f"_next_{i}"), F.col(f"_out_{i}")) for i in known},
