@@ -68,10 +68,10 @@ def _(spark, sf):
     return I.fill_forward_backward(_gaps(spark, sf), "ts", ["value"], ["user_id"], chunks=16).select("event_id", "value")
 
 
-@query("IMP-07-ties", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, CASE WHEN day(ts) % 3 != 1 THEN CAST(day(ts) AS DOUBLE) END AS v FROM events),
+@query("IMP-07-ties", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, CASE WHEN extract(day FROM CAST(ts AS DATE)) % 3 != 1 THEN CAST(extract(day FROM CAST(ts AS DATE)) AS DOUBLE) END AS v FROM events),
      f AS (SELECT day, COALESCE(v, last_value(v IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING),
        first_value(v IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM d)
-     SELECT event_id, value FROM events JOIN f ON f.day = CAST(ts AS DATE)""")
+     SELECT event_id, f.value AS value FROM events JOIN f ON f.day = CAST(ts AS DATE)""")
 def _(spark, sf):
     """Days as order values, some of them without any known value: every day is cut into several chunks."""
     day = F.to_date("ts")
