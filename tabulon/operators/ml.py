@@ -120,17 +120,17 @@ def settings(grid: Mapping[str, Sequence]) -> list[dict]:
 
 
 def tune(df: DataFrame, model_type: str, features: Sequence[str], unique: Sequence[str], *, folds: int = 5, seed: int = 42,
-         grid: Mapping[str, Sequence] | None = None, parallelism: int = 4) -> tuple[PipelineModel, dict, DataFrame]:
+         grid: Mapping[str, Sequence] | None = None, parallelism: int = 4, fold: Column | None = None) -> tuple[PipelineModel, dict, DataFrame]:
     """ML-07: grid search by F1 of class 1 over hash folds; returns (model, best setting, scores per setting).
 
-    Preparation is fitted once and its output is what the folds read.
+    `fold` replaces the hash by a number from 0 to `folds` - 1 of the caller's. Preparation is fitted once and its output is what the folds read.
     """
     if not 3 <= folds <= 10:
         raise ValueError("folds must be 3 to 10")
     tried = settings(grid or GRIDS[model_type])
     prep = Pipeline(stages=preparation(features)).fit(df)
-    fold = F.pmod(F.xxhash64(*[col(u) for u in unique], F.lit(seed)), F.lit(folds)).cast("int")
-    ready = prep.transform(df).select("scaled", "label", fold.alias("fold")).persist()
+    fold = F.pmod(F.xxhash64(*[col(u) for u in unique], F.lit(seed)), F.lit(folds)) if fold is None else fold
+    ready = prep.transform(df).select("scaled", "label", fold.cast("int").alias("fold")).persist()
     try:
         n = ready.count()
         first = classifier(model_type, n, **tried[0])
@@ -303,13 +303,13 @@ def evaluate_stored(root: str, model_id: str, df: DataFrame, target: str) -> Dat
 
 def train_and_register(df: DataFrame, root: str, model_id: str, *, target: str | None = None, model_type: str = "random_forest",
                        unique: Sequence[str], features: Sequence[str] | None = None, test_size: float = 0.2, search: bool = False,
-                       setting: Mapping | None = None, folds: int = 5, grid: Mapping | None = None) -> DataFrame:
-    """ML-11: split, train or tune, evaluate, save; returns the registry row."""
+                       setting: Mapping | None = None, folds: int = 5, grid: Mapping | None = None, key: Column | None = None) -> DataFrame:
+    """ML-11: split, train or tune, evaluate, save; returns the registry row. `key` orders the split, see `with_split`."""
     target = find_target(df, target)
     coded = encode_target(nan_to_null(df), target)
     names = list(features or feature_names(coded, target, unique))
     coded = coded.select(*[col(u) for u in unique], *[col(c).cast("double").alias(c) for c in names], col(target).cast("double").alias("label")).dropna(subset=["label"])
-    train_df, test_df = stratified_split(coded, "label", unique, test_size)
+    train_df, test_df = stratified_split(coded, "label", unique, test_size, key=key)
     train_df = train_df.persist()
     try:
         n_train = train_df.count()

@@ -279,6 +279,45 @@ def _(spark, sf):
     return out.select("model_id", "model_type", "training_rows", "test_rows")
 
 
+# Folds by employee number. Without a penalty the model says each group's share of the other folds; under a crushing one
+# their overall share.
+@query("ML-07-saturated", _PLANTED + """, fo AS (SELECT unnest(range(5)) AS f),
+  sh AS (SELECT f, o, AVG(y) AS r FROM pl, fo WHERE employee_id % 5 <> f GROUP BY f, o), al AS (SELECT f, AVG(y) AS r FROM pl, fo WHERE employee_id % 5 <> f GROUP BY f),
+  pr AS (SELECT sh.f, y, CAST(sh.r > 0.5 AS INTEGER) AS free, CAST(al.r > 0.5 AS INTEGER) AS tied FROM pl JOIN sh ON sh.f = employee_id % 5 AND sh.o = pl.o JOIN al ON al.f = sh.f),
+  k AS (SELECT unnest([1e-9, 1e9]) AS c, unnest(['1e-09', '1000000000.0']) AS said), pe AS (SELECT unnest(['l1', 'l2']) AS penalty),
+  sc AS (SELECT said, penalty, f, SUM(y * CASE WHEN c < 1 THEN tied ELSE free END) AS tp, SUM(CASE WHEN c < 1 THEN tied ELSE free END) AS found, SUM(y) AS pos FROM pr, k, pe GROUP BY ALL)
+  SELECT replace('{~C~: ' || said || ', ~penalty~: ~' || penalty || '~}', '~', chr(39)) AS setting, round(AVG(COALESCE(2 * tp / nullif(found + pos, 0), 0)), 6) AS f1 FROM sc GROUP BY 1""")
+def _(spark, sf):
+    out = M.tune(planted(spark, sf), "logistic_regression", ["overtime_yes"], ["employee_id"], fold=F.col("employee_id") % 5, grid={"C": [1e-9, 1e9], "penalty": ["l1", "l2"]})
+    return rounded(out[2])
+
+
+def _metrics_sql(model_id: str, label: str) -> str:
+    return _PLANTED + f""", z AS (SELECT employee_id, o, {label} AS y FROM pl), t AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY employee_id) <= floor(COUNT(*) OVER (PARTITION BY y) * 0.2 + 0.5) AS test FROM z),
+  s AS (SELECT o, AVG(y) AS r FROM t WHERE NOT test GROUP BY o), pr AS (SELECT y AS label, CAST(r > 0.5 AS INTEGER) AS a, r AS p FROM t JOIN s USING (o) WHERE test)""" + _EVAL + f"""
+  SELECT '{model_id}' AS model_id, (SELECT COUNT(*) FROM t WHERE NOT test) AS training_rows, (SELECT COUNT(*) FROM t WHERE test) AS test_rows, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy,
+  round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(roc_auc, 6)::DOUBLE AS roc_auc FROM q, auc"""
+
+
+def registered_planted(spark, sf):
+    root = scratch(spark, "models")
+    return root, M.train_and_register(planted(spark, sf), root, "first", target="label", model_type="logistic_regression", unique=["employee_id"],
+                                      features=["overtime_yes"], setting={"C": 1e9}, key=F.col("employee_id"))
+
+
+@query("ML-11-metrics", _metrics_sql("first", "y"))
+def _(spark, sf):
+    return rounded(registered_planted(spark, sf)[1].select("model_id", "training_rows", "test_rows", *M.METRICS))
+
+
+@query("ML-12-metrics", _metrics_sql("second", "1 - y"))
+def _(spark, sf):
+    """On new labels, the opposite of those that the first model was trained on."""
+    df = planted(spark, sf).withColumn("label", 1 - F.col("label"))
+    out = M.retrain(df, registered_planted(spark, sf)[0], "first", "second", target="label", unique=["employee_id"], setting={"C": 1e9}, key=F.col("employee_id"))
+    return rounded(out.select("model_id", "training_rows", "test_rows", *M.METRICS))
+
+
 @query("ML-14-planted", _PLANTED + """, b AS (SELECT MAX(r) > MIN(r) AS splits FROM g), f AS (SELECT unnest(['age', 'monthly_income', 'performance_rating', 'satisfaction_score', 'years_at_company', 'overtime_yes']) AS feature)
   SELECT feature, CASE WHEN feature = 'overtime_yes' AND splits THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM f, b""")
 def _(spark, sf):
