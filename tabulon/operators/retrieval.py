@@ -461,10 +461,21 @@ def add_documents(collection: DataFrame, new: DataFrame, *, id_col: str = "id",
 
 
 def collection_totals(collection: DataFrame, kind: Column, text: str = "content") -> DataFrame:
-    """RAG-02 totals: documents, characters and their types."""
-    # collect_set holds one entry per document type
-    return collection.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length(col(text))).alias("characters"),
-                          F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("types"))
+    """RAG-02 totals: documents, characters and their types; one value lists all types, see `collection_types`."""
+    return _with_types(collection, kind, [F.count(F.lit(1)).alias("documents"), F.sum(F.length(col(text))).alias("characters")], [F.sum("documents"), F.sum("characters")])
+
+
+def _with_types(collection: DataFrame, kind: Column, per_type: Sequence[Column], whole: Sequence[Column]) -> DataFrame:
+    """One row from a row per type: the totals, and the types that are not null in order."""
+    counted = collection.groupBy(kind.alias("_type")).agg(*per_type)
+    names = counted.columns[1:]
+    return counted.agg(*[w.alias(n) for w, n in zip(whole, names)], F.array_join(F.sort_array(F.collect_list("_type")), ",").alias("types")).withColumn(
+        "documents", F.coalesce("documents", F.lit(0)))
+
+
+def collection_types(collection: DataFrame, kind: Column, updated: Column) -> DataFrame:
+    """RAG-11: a row per type, null included, in order: `type`, `documents`, `last_updated`. For any number of types."""
+    return collection.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("documents"), F.max(updated).alias("last_updated")).orderBy("type")
 
 
 def update_documents(collection: DataFrame, updates: DataFrame, *, id_col: str = "id", text: str = "content", vector: str | None = None,
@@ -491,9 +502,8 @@ def clear(collection: DataFrame) -> DataFrame:
 
 
 def collection_info(collection: DataFrame, kind: Column, updated: Column) -> DataFrame:
-    """RAG-11"""
-    return collection.agg(F.count(F.lit(1)).alias("documents"), F.max(updated).alias("last_updated"),
-                          F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("types"))
+    """RAG-11: one row; its `types` lists all of them in one value, see `collection_types`."""
+    return _with_types(collection, kind, [F.count(F.lit(1)).alias("documents"), F.max(updated).alias("last_updated")], [F.sum("documents"), F.max("last_updated")])
 
 
 # --- query log and context ------------------------------------------------------------------------------------------
@@ -516,7 +526,17 @@ def context_strings(results: DataFrame, n: int = 3, *, query_id: str = "query_id
     return first.groupBy(col(query_id)).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n").alias("context"))
 
 
+def _line() -> Column:
+    return F.concat_ws(": ", "label", F.coalesce(col("value"), F.lit("N/A")))
+
+
+def fact_rows(facts: DataFrame, order_by: str = "position", by: Sequence[str] = ()) -> DataFrame:
+    """RAG-14: "label: value" lines, a row each, sorted by range over the cluster. For tables of any length."""
+    return facts.select(*[col(c) for c in (*by, order_by)], _line().alias("line")).orderBy(*by, order_by, "line")
+
+
 def fact_lines(facts: DataFrame, order_by: str = "position", by: Sequence[str] = ()) -> DataFrame:
-    """RAG-14: "label: value" lines of a result table (label, value, position), joined by line breaks."""
-    lines = F.array_sort(F.collect_list(F.struct(col(order_by).alias("o"), F.concat_ws(": ", "label", F.coalesce(col("value"), F.lit("N/A"))).alias("t"))))
+    """RAG-14: the lines of a result table (label, value, position) joined by line breaks. A group, or without `by` the
+    table, becomes one value; `fact_rows` keeps lines as rows."""
+    lines = F.array_sort(F.collect_list(F.struct(col(order_by).alias("o"), _line().alias("t"))))
     return facts.groupBy(*by).agg(F.array_join(F.transform(lines, lambda s: s["t"]), "\n").alias("context"))

@@ -203,6 +203,11 @@ def _(spark, sf):
     return R.collection_info(docs(spark, sf), F.col("lang"), F.col("id"))
 
 
+@query("RAG-11-types", "SELECT source AS type, COUNT(*) AS documents, MAX(doc_id) AS last_updated FROM documents GROUP BY source")
+def _(spark, sf):
+    return R.collection_types(docs(spark, sf), F.col("source"), F.col("id"))
+
+
 @query("RAG-13", "SELECT event_type, COUNT(*) AS queries, round(SUM(value), 4) AS total_seconds, round(AVG(value), 6) AS mean_seconds FROM events GROUP BY event_type")
 def _(spark, sf):
     out = R.query_statistics(table(spark, sf, "events"), "value", ["event_type"])
@@ -221,6 +226,11 @@ def _(spark, sf):
     return R.context_strings(hits.withColumn("content", F.format_string("vector %d of label %d", "id", "label")), 3)
 
 
+@query("RAG-14-rows", "SELECT doc_id AS position, 'Document ' || doc_id || ': ' || COALESCE(lang, 'N/A') AS line FROM documents")
+def _(spark, sf):
+    return R.fact_rows(docs(spark, sf).select(F.col("id").alias("position"), F.concat(F.lit("Document "), F.col("id")).alias("label"), F.col("lang").alias("value")))
+
+
 @query("RAG-14-facts", """SELECT 'Total Records: ' || COUNT(*) || chr(10) || 'Languages: ' || COUNT(DISTINCT lang) || chr(10) || 'Oldest: N/A' AS context FROM documents""")
 def _(spark, sf):
     row = docs(spark, sf).agg(F.count(F.lit(1)).cast("string").alias("a"), F.count_distinct("lang").cast("string").alias("b"))
