@@ -33,16 +33,45 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], limit: int) -> Data
     return t.withColumn("_level", level).select(*sizes.columns, F.least(F.col("_cap").cast("double"), F.col("_weight") * F.col("_level")).alias("_target"))
 
 
+def _rounded(measure: Column) -> Column:
+    m = F.greatest(F.coalesce(F.nanvl(measure, F.lit(None)), F.lit(0.0)), F.lit(0.0))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(m)) - 11)
+    checked = F.when(m == float("inf"), F.raise_error(F.lit("a measure is infinite"))).otherwise(F.rint(m / unit) * unit)
+    return F.when(m > 0, checked.cast("double")).otherwise(0.0)
+
+
+def copy_levels(classes: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """`_source`, `_level`: documents of measure m have least(limit, m × `_level`) expected copies, which adds up to the target.
+
+    `classes` holds the words per source and measure (`_m`, `_words`). The largest measures reach the limit first; with k
+    of them there, the level is (target − limit × their words) / (the others' words, each times its measure), and the
+    largest of these over k is the one that holds, as for the sources. A source without a measured word has level 0.
+    """
+    down = Window.partitionBy("_source").orderBy(F.col("_m").desc())
+    at = classes.withColumn("_above", F.coalesce(F.sum("_words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = at.withColumn("_rest", F.sum(F.col("_m") * F.col("_words")).over(down.rowsBetween(0, Window.unboundedFollowing)))
+    at = at.join(targets.select(F.col("_source").alias("_s"), "_target"), F.col("_source").eqNullSafe(F.col("_s")))
+    level = F.max(F.when(F.col("_rest") > 0, (F.col("_target") - F.col("_above") * limit) / F.col("_rest")))
+    return at.groupBy("_source").agg(F.coalesce(level, F.lit(0.0)).alias("_level"))
+
+
+def digits(text: Column) -> Column:
+    """A measure for `mix`: the binary digits of a text's number of words, so that longer documents are repeated more often."""
+    return F.length(F.bin(word_count(text))).cast("double")
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[int] = (5, 2, 1),
         limit: int = 3, seed: int = 17, measure: Column | None = None, carry: Column | None = None) -> DataFrame:
     """One row per document: id, `source`, `size` (words), `source_size`, `target`, `copies`, `taken` (size × copies), `carried`.
 
-    Each document has an expected number of copies: target / source size, times its `measure` over the source's mean if
-    one is given, at most `limit`. The whole part is certain. The fraction p is an inclusion probability: documents are
-    ranked by u/(1−u) over p/(1−p), u a keyed hash of the id, and taken from the front until the source's words are
-    nearest its target. Reruns agree; the words of a source miss its target by half a document at most (with a measure
-    that runs into the limit, by more). Null text has size 0, null source is a source of its own, rows that share an id
-    are ranked by size; a source without words has target 0; an empty table gives no rows.
+    Each document has an expected number of copies, in proportion to its `measure` (1 for all, if none is given; null and
+    negative count as 0) and at most `limit`; within a source they add up to the target. The whole part is certain. The
+    fraction p is an inclusion probability: documents are ranked by u/(1−u) over p/(1−p), u a keyed hash of the id, and
+    taken from the front until the source's words are nearest its target. Reruns agree; the words of a source miss its
+    target by half a document at most (by more only where documents of measure 0, which are never taken, are needed).
+    Measures are rounded to 12 binary digits, so that a source has few of them; infinite ones are an error. Null text has
+    size 0, null source is a source of its own, rows that share an id are ranked by size; a source without words has
+    target 0; an empty table gives no rows.
 
     A source may hold most rows: no window sees a source whole. The border of each source is found by adding up words
     per slice of the rank, twice, and only the slice that holds the border is sorted.
@@ -51,19 +80,18 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     u = (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     kept = [carry.alias("carried")] if carry is not None else []
     rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), word_count(F.col(text_column)).alias("_size"), u.alias("_u"),
-                       (F.lit(1.0) if measure is None else F.greatest(F.coalesce(measure.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_m"), *kept)
+                       (F.lit(1.0) if measure is None else _rounded(measure.cast("double"))).alias("_m"), *kept)
     rows = staged(rows, "mix-rows")
-    sizes = rows.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.sum(F.col("_m") * F.col("_size")).alias("_mass"))
-    sizes = staged(source_targets(sizes, weights, limit), "mix-sources")
+    classes = staged(rows.groupBy("_source", "_m").agg(F.sum("_size").alias("_words")), "mix-classes")
+    sizes = staged(source_targets(classes.groupBy("_source").agg(F.sum("_words").alias("_source_size")), weights, limit), "mix-sources")
+    levels = staged(copy_levels(classes, sizes, limit), "mix-levels")
 
     def per_source(left: DataFrame, right: DataFrame) -> DataFrame:
         right = broadcast_if_small(right.withColumnRenamed("_source", "_s"))
         return left.join(right, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    ratio = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    if measure is not None:
-        ratio = F.when(F.col("_mass") > 0, ratio * F.col("_m") * F.col("_source_size") / F.col("_mass")).otherwise(ratio)
-    rows = per_source(rows, sizes).withColumn("_e", F.least(F.lit(float(limit)), ratio)).withColumn("_whole", F.floor("_e"))
+    rows = per_source(per_source(rows, sizes), levels).withColumn("_e", F.least(F.lit(float(limit)), F.col("_m") * F.col("_level")))
+    rows = rows.withColumn("_whole", F.floor("_e"))
     rows = rows.withColumn("_p", F.col("_e") - F.col("_whole"))
     odds = (F.col("_u") / (1.0 - F.col("_u"))) / (F.col("_p") / (1.0 - F.col("_p")))
     rows = rows.withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_v", F.col("_q") / (1.0 + F.col("_q")))
@@ -88,7 +116,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     b2 = border(inside, b1.select("_source", "_quota", "_from"), "_d2", "mix-border2").select("_source", "_b2", F.col("_from").alias("_before"))
     total = drawn.groupBy("_source").agg(F.sum("_size").alias("_all"))
     cut = per_source(per_source(per_source(quota.select("_source", "_quota"), total), b1.select("_source", "_b1")), b2)
-    # Where all fractions together don't reach the quota (a measure that met the limit), every fraction is taken.
+    # Where all fractions together don't reach the quota (it needs documents of measure 0), every fraction is taken.
     short = (F.col("_quota") > 0) & (F.col("_all") < F.col("_quota"))
     cut = staged(cut.select("_source", "_quota", F.when(short, SLICES).otherwise(F.col("_b1")).alias("_b1"), "_b2", "_before"), "mix-cut")
 

@@ -103,13 +103,18 @@ def _(spark, sf):
   c AS (SELECT *, source_size * 3 AS cap, sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER b, 0) AS words, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS share FROM s
     WINDOW b AS (ORDER BY source_size * 3 / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * max(CAST(words AS DOUBLE) / share) OVER ()) AS target FROM c),
-  r AS (SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  g AS (SELECT source, CAST(length(bin(size)) AS DOUBLE) AS m, sum(size) AS words FROM d GROUP BY ALL),
+  a AS (SELECT source, coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(m * words) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+    FROM g WINDOW w AS (PARTITION BY source ORDER BY m DESC)),
+  l AS (SELECT a.source, coalesce(max(CASE WHEN rest > 0 THEN (target - above * 3) / rest END), 0.0) AS level FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source GROUP BY a.source),
+  r AS (SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, least(3.0::DOUBLE, length(bin(d.size)) * l.level) AS e
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN l ON d.source IS NOT DISTINCT FROM l.source),
   p AS (SELECT *, floor(e) AS whole, e - floor(e) AS p FROM r),
   v AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0 - u)) / (p / (1.0 - p)) END AS q, target - sum(whole * size) OVER (PARTITION BY source) AS quota FROM p),
   o AS (SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q / (1.0 + q) NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM v)
   SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN p > 0 AND upto - size / 2.0 <= quota THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o""")
 def _(spark, sf):
-    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf, "documents"), measure=mixing.digits(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op9_ann")

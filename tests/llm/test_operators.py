@@ -486,6 +486,47 @@ def test_mixture_with_unequal_probabilities(spark):
     out = mixing.mix(docs_frame(spark, rows), weights=(1, 5), measure=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0))
     got = {(r["source"], r["odd"]): r["n"] for r in out.groupBy("source", (F.col("doc_id") % 2).alias("odd")).agg(F.sum("copies").alias("n")).collect()}
     assert abs(got["s", 0] + got["s", 1] - 1000) <= 1 and 2.4 < got["s", 0] / got["s", 1] < 3.8
+    # t has 2.5 copies a document: those of measure 3 stop at 3, the others make up for it
+    assert got["t", 0] == 3000 and abs(got["t", 1] - 2000) <= 1
+
+
+def test_expected_copies_against_bisection(spark):
+    """The level of each source by bisection, the words of each measure near what it asks, and the ranking in plain Python."""
+    r = random.Random(12)
+    rows = [(k, " ".join(["w"] * r.choice([0, 1, 2, 5, 9, 30, 70, 300])), "", r.choice(["a", "b", "b", "b", "b", "c"])) for k in range(3000)]
+    df = docs_frame(spark, rows)
+    out = mixing.mix(df, measure=mixing.digits(F.col("text"))).collect()
+    u = lambda i: (int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+    for s in "abc":
+        mine = sorted((x for x in out if x["source"] == s), key=lambda x: x["doc_id"])
+        m = {x["doc_id"]: len(f"{x['size']:b}") for x in mine}
+        target, low, high = mine[0]["target"], 0.0, 4.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(min(3, mid * m[x["doc_id"]]) * x["size"] for x in mine) > target else (mid, high)
+        e = {x["doc_id"]: min(3.0, low * m[x["doc_id"]]) for x in mine}
+        if abs(target - 3 * mine[0]["source_size"]) < 1e-6:
+            assert all(x["copies"] == 3 for x in mine if x["size"])
+            continue
+        q = {i: u(i) / (1 - u(i)) / ((p % 1) / (1 - p % 1)) for i, p in e.items() if p % 1 > 1e-9}
+        quota, run, want = target - sum(int(e[x["doc_id"]] + 1e-9) * x["size"] for x in mine), 0, {}
+        size = {x["doc_id"]: x["size"] for x in mine}
+        for i in sorted(q, key=q.get):
+            run += size[i]
+            want[i] = run - size[i] / 2 <= quota
+        assert {x["doc_id"]: x["copies"] for x in mine} == {i: int(e[i] + 1e-9) + want.get(i, False) for i in e}
+        assert len({x["copies"] for x in mine if x["size"]}) > 1 and abs(sum(x["taken"] for x in mine) - target) <= 150
+
+
+def test_measures_null_zero_and_infinite(spark):
+    rows = [(k, "a b c d", "", "s") for k in range(300)] + [(1000 + k, "a b", "", "z") for k in range(10)]
+    measure = F.when(F.col("doc_id") >= 1000, F.lit(0.0)).when(F.col("doc_id") % 3 == 0, F.lit(-1.0)).when(F.col("doc_id") % 3 == 1, F.lit(float("nan"))).otherwise(F.lit(2.0))
+    out = mixing.mix(docs_frame(spark, rows), measure=measure).collect()
+    able = [r for r in out if r["doc_id"] < 1000 and r["doc_id"] % 3 == 2]
+    assert len(able) == 100 and {r["copies"] for r in able} == {2, 3} and abs(sum(r["taken"] for r in able) - able[0]["target"]) <= 2
+    assert all(r["copies"] == 0 for r in out if r["doc_id"] >= 1000 or r["doc_id"] % 3 < 2)
+    with pytest.raises(Exception, match="infinite"):
+        mixing.mix(docs_frame(spark, rows), measure=F.lit(float("inf"))).collect()
 
 
 def test_mixture_of_nothing(none, spark):
