@@ -106,25 +106,21 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     key = [*by, "column"]
     before = W.partitionBy(*key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     slices = (
-        values.groupBy(*key, "slice").agg(F.count(F.lit(1)).alias("_m"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        values.groupBy(*key, "slice").agg(F.count(F.lit(1)).alias("_m"))
         .withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
         .withColumn("n", F.sum("_m").over(W.partitionBy(*key)))
         .withColumn("_ranks", F.array(*[r(F.col("n")).cast("long") for r in ranks]))
         .withColumn("_here", F.filter(F.array_distinct("_ranks"), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_m"))))
         .filter(F.size("_here") > 0)
     )
-    side = slices.select(*[col(k).alias(f"_s_{k}") for k in [*key, "slice"]], "_lo", "_hi", "_start", "n", "_ranks", "_here")
+    side = slices.select(*[col(k).alias(f"_s_{k}") for k in [*key, "slice"]], "_start", "n", "_ranks", "_here")
     if not by:
         side = F.broadcast(side)  # at most len(cols) * len(ranks) rows
     on = [col(k).eqNullSafe(col(f"_s_{k}")) for k in [*key, "slice"]]
-    width = F.col("_hi") - F.col("_lo")
-    counted = (
-        values.join(side, on, "inner")
-        .withColumn("_sub", F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * _SUB_SLICES)).otherwise(F.lit(0)))
-        .groupBy(*key, "slice", "_sub", "value", "_start", "n", "_ranks", "_here").agg(F.count(F.lit(1)).alias("_m"))
-    )
+    counted = staged(values.join(side, on, "inner").groupBy(*key, "slice", "value", "_start", "n", "_ranks", "_here").agg(F.count(F.lit(1)).alias("_m")), "slices")
     # Two-level running count, so that no task sorts more than one sub-slice.
     sub_key = [*key, "slice"]
+    counted = sub_slices(counted, sub_key)
     sub_before = W.partitionBy(*sub_key).orderBy("_sub").rowsBetween(W.unboundedPreceding, -1)
     subs = (
         counted.groupBy(*sub_key, "_sub").agg(F.sum("_m").alias("_sm"))
@@ -147,6 +143,16 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     )
 
 
+def sub_slices(counted: DataFrame, sub_key: Sequence[str]) -> DataFrame:
+    """`_sub`: which part of its slice a distinct value is in. A sketch cuts the parts, so that they hold equal numbers of
+    rows of `counted` wherever the values lie; parts rise with the value."""
+    cuts = counted.groupBy(*sub_key).agg(F.array_distinct(F.percentile_approx("value", [j / _SUB_SLICES for j in range(1, _SUB_SLICES)], 10_000)).alias("_cuts"))
+    side = broadcast_if_small(staged(cuts.select(*[col(k).alias(f"_u_{k}") for k in sub_key], "_cuts"), "sub-cuts"))
+    joined = counted.join(side, [col(k).eqNullSafe(col(f"_u_{k}")) for k in sub_key], "inner")
+    sub = F.size(F.filter("_cuts", lambda c: c < F.col("value")))
+    return joined.withColumn("_sub", sub).drop("_cuts", *[f"_u_{k}" for k in sub_key])
+
+
 def slot_sql(cuts: Sequence[str], column: str) -> str:
     """Number of cut points below the value, which numbers right-closed bins from 0. A sum of comparisons compiles; a
     higher-order function over an array would not."""

@@ -132,3 +132,17 @@ def test_distributions():
     assert float(beta_cdf(2, 3, 0.5)) == pytest.approx(0.6875)  # a polynomial for whole parameters
     assert float(f_tail(4.0, 2, 10)) == pytest.approx((10 / (10 + 8)) ** 5)
     assert np.isnan(f_tail(np.nan, 1, 5)) and float(f_tail(np.inf, 1, 5)) == 0.0
+
+
+def test_sub_slices_are_even_with_far_values(spark):
+    """One value far from the rest must not send the rest into one part of its slice."""
+    df = spark.range(20000).select(F.lit("x").alias("column"), F.lit(0).alias("slice"), F.when(F.col("id") == 7, F.lit(1e200)).otherwise(F.col("id").cast("double")).alias("value"))
+    parts = QU.sub_slices(df, ["column", "slice"]).groupBy("_sub").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("_sub").collect()
+    assert sum(p["n"] for p in parts) == 20000 and max(p["n"] for p in parts) < 400
+    assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
+    found = QU.quantiles(df, ["value"], [0.25, 0.5, 1.0], sliced=True).first()
+    values = sorted(r["value"] for r in df.select("value").collect())
+    # interpolated as 0-based ranks 4999.75, 9999.5, 19999
+    assert found["n"] == 20000 and list(found["q"]) == [values[4999] + 0.75 * (values[5000] - values[4999]), (values[9999] + values[10000]) / 2, 1e200]
+    by = QU.quantiles(df.withColumn("g", F.when(F.col("value") < 1e199, F.lit("a"))), ["value"], [0.5], ["g"], sliced=True).collect()
+    assert {(r["g"], r["n"]): list(r["q"]) for r in by} == {(None, 1): [1e200], ("a", 19999): [sorted(values[:-1])[9999]]}
