@@ -25,6 +25,8 @@ MASS = 64.0
 FREQUENT_WORDS = 1 << 17
 # N-grams that a task gathers before it hands on their counts, and that meet in one shard, at most about.
 GATHERED, PER_SHARD = 1 << 21, 1 << 22
+# Bytes of the texts that ask together for the counts which the filter has no room for, about.
+ASK_TOGETHER = 1 << 23
 LEAST_SHARD_BITS, MOST_SHARD_BITS = 10, 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _START, _END = np.uint64(0x5D1E0C6B9A3F2471), np.uint64(0xB37A94D2E81F605C)
@@ -223,8 +225,8 @@ def build_filter(grams: DataFrame, shard_bits: int, base: float = BASE) -> LogFr
     """The filter of all counted n-grams; 32 MB at most, whatever the corpus.
 
     Where the entries of the lowest levels would leave fewer than five bits to each, the filter begins at the first level
-    with room: rarer n-grams then count as unseen and their words are scored by the shorter context. The level follows
-    from the histogram of all counts.
+    with room, which follows from the histogram of all counts. What it leaves out is looked up in the counts themselves,
+    see `_looked_up`.
     """
     least = levels_of(base)
     sums = [F.sum(F.element_at("levels", q + 1)).alias(f"q{q}") for q in range(len(least) + 1)]
@@ -240,45 +242,118 @@ def build_filter(grams: DataFrame, shard_bits: int, base: float = BASE) -> LogFr
     return LogFrequencyFilter(marks, shard_bits, block, hashes, cutoff, base)
 
 
-def log_probabilities(filt: LogFrequencyFilter, tokens: np.ndarray, begin: np.ndarray, order: int, total: int, distinct: int, mass: float = MASS) -> np.ndarray:
+ONLY_FIRST = np.empty(0, np.uint64), np.uint8(1)
+
+
+def _read(filt: LogFrequencyFilter, tokens: np.ndarray, begin: np.ndarray, order: int, rest: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length: keys of the runs, whether they lie in one text, and levels; `rest` tells those that the filter lacks, or
+    without keys the level that they all have.
+
+    A run is asked for only if both runs it is made of were seen, and counts no more than either.
+    """
+    context = None
+    for o, (keys, whole) in enumerate(_grams(tokens, begin, order)):
+        most = np.full(len(tokens), np.iinfo(np.int16).max, np.int16) if o == 0 else np.where(whole, np.minimum(np.concatenate(([0], context[:-1])), context), 0)
+        ask = np.flatnonzero(most >= filt.cutoff)
+        unique, first, back = np.unique(keys[ask], return_index=True, return_inverse=True)
+        level = np.zeros(len(tokens), np.int16)
+        level[ask] = (filt.level(unique) if o == 0 else filt.level(unique, most[ask][first]))[back]
+        if rest is not None:
+            low = np.flatnonzero(whole & (most > 0) & (level == 0))
+            level[low] = rest[1][np.searchsorted(rest[0], keys[low])] if len(rest[0]) else rest[1]
+        yield keys, whole, level
+        context = level
+
+
+def _left_out(filt: LogFrequencyFilter, tokens: np.ndarray, begin: np.ndarray, order: int) -> np.ndarray:
+    """The different runs, of all lengths, that the filter doesn't hold."""
+    return np.unique(np.concatenate([keys[whole & (level == 0)] for keys, whole, level in _read(filt, tokens, begin, order)]))
+
+
+def log_probabilities(filt: LogFrequencyFilter, tokens: np.ndarray, begin: np.ndarray, order: int, total: int, distinct: int, mass: float = MASS, rest: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """log₁₀ probability of each token given those before it in its text; 0 at starts.
 
     A word alone has (count + 1) / (total + distinct + 1); with a context, (count of both + mass × the probability with
-    the shorter context) / (count of the context + mass). Counts are what the filter tells. A run is asked for only if
-    both runs it is made of were seen, and counts no more than either.
+    the shorter context) / (count of the context + mass). Counts are what the filter tells, or else `rest`: sorted keys
+    and levels of the runs that it doesn't hold.
     """
     value = _level_counts(levels_of(filt.base))
     out, context = np.zeros(len(tokens)), None
-    level = np.zeros(len(tokens), np.int16)
-    for o, (keys, whole) in enumerate(_grams(tokens, begin, order)):
+    for o, (_, whole, level) in enumerate(_read(filt, tokens, begin, order, rest)):
         if o == 0:
-            unique, back = np.unique(keys, return_inverse=True)
-            level = filt.level(unique)[back]
             probability = (value[level] + 1.0) / (total + distinct + 1.0)
-            context = level
         else:
-            before = np.concatenate(([0], context[:-1]))
-            most = np.where(whole, np.minimum(before, context), 0)
-            ask = np.flatnonzero(most >= filt.cutoff)
-            unique, first, back = np.unique(keys[ask], return_index=True, return_inverse=True)
-            level = np.zeros(len(tokens), np.int16)
-            level[ask] = filt.level(unique, most[ask][first])[back]
-            seen = np.where(whole, value[before], 0.0)
+            seen = np.where(whole, value[np.concatenate(([0], context[:-1]))], 0.0)
             # Two counts are told by intervals; together they are no more than the context's.
             probability = (np.minimum(value[level], seen) + mass * probability) / (seen + mass)
-            context = level
+        context = level
     np.log10(probability, out=out)
     out[begin[:-1]] = 0.0
     return out
 
 
-def _scored(order: int, shared, mass: float, fields: list[str]):
+def _lacking(grams: DataFrame, least: np.ndarray, cutoff: int) -> DataFrame:
+    """`shard`, `keys`, `levels` (a byte each) of the n-grams below the level at which the filter begins."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, level = np.frombuffer(keys, np.uint64), np.searchsorted(least, np.frombuffer(counts, np.int64), "right").astype(np.uint8)
+                own = level < cutoff
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([level[own].tobytes()], pa.binary())], ["shard", "keys", "levels"])
+    return grams.select("shard", "keys", "counts").mapInArrow(rows, "shard int, keys binary, levels binary")
+
+
+def _answered(held: pa.Table, asked: pa.Table) -> pa.Table:
+    """Of one shard: the levels of the n-grams that each block asked for, in the same order; 0 for the unseen."""
+    keys = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in held["keys"].to_pylist()]])
+    levels = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(x, np.uint8) for x in held["levels"].to_pylist()]])
+    order = np.argsort(keys)
+    keys, levels, found = keys[order], levels[order], []
+    for raw in asked["keys"].to_pylist():
+        wanted = np.frombuffer(raw, np.uint64)
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        found.append(np.where(keys[at] == wanted, levels[at], np.uint8(0)).tobytes() if len(keys) else bytes(len(wanted)))
+    return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()), "levels": pa.array(found, pa.binary())})
+
+
+def _looked_up(rows: DataFrame, lacking: DataFrame, shared, order: int, bits: int, mass: float, fields: list[str], schema: str) -> DataFrame:
+    """What `_scored` gives, for a filter that has no room for the rarest n-grams: their levels come from a join.
+
+    Texts of some megabytes are a block, which asks each shard of `lacking` once for the different n-grams that the
+    filter doesn't hold, and gets a byte for each. A block's texts are then scored with both.
+    """
+    rows = staged(rows, "lm-asking")  # row numbers stay
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ASK_TOGETHER))
+    texts = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+
+    def left_out(own: pa.Table) -> np.ndarray:
+        found = [_left_out(shared.value[0], *_tokens(t), order) for _, t in pieces(own.to_batches(), "text")]
+        return np.unique(np.concatenate(found))
+
+    def ask(own: pa.Table) -> pa.Table:
+        keys = left_out(own)
+        shard = (keys >> np.uint64(64 - bits)).astype(np.int32)
+        first = np.flatnonzero(np.diff(shard, prepend=-1))
+        block = pa.array(np.full(len(first), own["block"][0].as_py(), np.int64))
+        return pa.table({"block": block, "shard": pa.array(shard[first]), "keys": _cut(keys, np.append(first, len(keys)))})
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        # Shards are the first bits of the keys, so the answers of all shards are in the order of the keys.
+        rest = left_out(own), np.frombuffer(b"".join(told.sort_by("shard")["levels"].to_pylist()), np.uint8)
+        return pa.Table.from_batches(list(_scored(order, shared, mass, fields, rest)(own.to_batches())))
+
+    asks = texts.groupBy("block").applyInArrow(ask, "block long, shard int, keys binary")
+    answers = lacking.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(_answered, "block long, shard int, levels binary")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+
+
+def _scored(order: int, shared, mass: float, fields: list[str], low: tuple[np.ndarray, np.ndarray] | None = None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt, words, counts, total, distinct = shared.value
         weight = np.log10(counts + 1.0)
         for batch, texts in pieces(batches, "text"):
             tokens, begin = _tokens(texts)
-            logs = log_probabilities(filt, tokens, begin, order, total, distinct, mass)
+            logs = log_probabilities(filt, tokens, begin, order, total, distinct, mass, low)
             scores = np.add.reduceat(logs, begin[:-1])
             inner = np.ones(len(tokens), bool)
             inner[begin[:-1]] = False
@@ -340,7 +415,8 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     The model learns from the rows where `learn` holds (default: all but those of `held_out`). Tokens are the words between
     ASCII white space with A-Z in lower case, and one end per text; null and empty texts are an end alone. `score` is the
-    log₁₀ probability that the filter's smoothed n-gram model gives the text. `base_score` adds one to each exact word
+    log₁₀ probability that the filter's smoothed n-gram model gives the text; a filter without room for the rarest n-grams
+    leaves their counts to a join. `base_score` adds one to each exact word
     count, log₁₀((c + 1) / (N + V + 1)) per token, and needs no filter: frequent words are looked up in the tasks, the
     others meet their counts in a join. `n_known` counts tokens that occur in what was learnt from. Words are told apart
     by 64-bit hashes. Nothing learnt leaves every token at probability one word of none, log₁₀ 1 = 0; an empty table
@@ -358,11 +434,22 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # The first level from which on the words are few enough; the start of texts is one more, so at most this many.
     often = int(least[int(np.argmax(from_level <= FREQUENT_WORDS))])
     keys, counts = _frequent(grams, often)
-    shared = docs.sparkSession.sparkContext.broadcast((build_filter(grams, bits, base), keys, counts, total, distinct))
+    filt = build_filter(grams, bits, base)
+    shared = docs.sparkSession.sparkContext.broadcast((filt, keys, counts, total, distinct))
 
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "learn", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(_scored(order, shared, mass, ["row", "id", "learn"]), f"row long, id {kind}, learn boolean, n_tokens long, known long, base double, score double, word long, times long")
+    fields, schema = ["row", "id", "learn"], f"row long, id {kind}, learn boolean, n_tokens long, known long, base double, score double, word long, times long"
+    within = lambda r, rest=None: r.mapInArrow(_scored(order, shared, mass, fields, rest), schema)
+    beyond = lambda r: _looked_up(r, _lacking(grams, least, filt.cutoff), shared, order, bits, mass, fields, schema)
+    if filt.cutoff == 1:
+        scored = within(rows)
+    elif filt.cutoff == 2:
+        # What was learnt from has no unseen run: those that the filter lacks are of the first level.
+        others = rows.where("NOT learn").withColumn("row", -1 - F.col("row"))  # another scan, so other numbers
+        scored = within(rows.where("learn"), ONLY_FIRST).unionByName(beyond(others))
+    else:
+        scored = beyond(rows)
     scored = staged(scored, "lm-scored")
     asked = scored.where("word IS NOT NULL").select("row", "word", "times")
     more = asked.join(_rare(grams, often), "word").groupBy("row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("_base"))

@@ -202,6 +202,25 @@ def test_scores_against_plain_counts(spark, monkeypatch, order):
         assert r["score"] == pytest.approx(plain_score(text, grams, level, sum(told.values()), len(told), order, lm.MASS), abs=1e-6)
 
 
+@pytest.mark.parametrize("order, room, cutoff", [(1, 60, 6), (2, 150, 5), (3, 150, 5), (2, 1900, 2)])
+def test_scores_of_a_filter_without_room_for_rare_runs(spark, monkeypatch, order, room, cutoff):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 200) for _ in range(80)]
+    rows = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate([*texts, None, "w1 never heard w1", "", texts[0]])]).repartition(3)
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 60)  # so roomy that nothing is hit by chance
+    monkeypatch.setattr(lm, "MOST_HASHES", 20)
+    ask = lambda: {r["doc_id"]: r.asDict() for r in lm.score_texts(rows, order=order).collect()}
+    want = ask()
+    monkeypatch.setattr(lm, "LEAST_BITS_PER_ENTRY", lm.MOST_BITS // room)
+    monkeypatch.setattr(lm, "ASK_TOGETHER", 3000)
+    grams, bits = lm.gram_counts(rows.where(~lm.held_out()), order)
+    assert lm.build_filter(grams, bits).cutoff == cutoff
+    got = ask()
+    assert got.keys() == want.keys() and len(got) == 84
+    for k, r in got.items():
+        assert r == pytest.approx(want[k], abs=1e-9)
+
+
 def test_filter_never_tells_less_and_keeps_its_size(spark, monkeypatch):
     monkeypatch.setattr(lm, "MOST_BITS", 1 << 16)
     rows = spark.createDataFrame([(" ".join(f"w{k * 7 % n}" for k in range(20000)),) for n in (50, 9000, 19000)], "text string")
