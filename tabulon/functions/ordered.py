@@ -7,7 +7,7 @@ a chunk border is one summary row per (key, chunk), and only those summaries are
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -109,17 +109,21 @@ def running_total(df: DataFrame, by: Sequence[str], order_by: str, amount: str,
 
     `order_by` must be unique within a key (value counts are), so that the total is well defined.
     """
+    return running_totals(df, by, order_by, {amount: out}, chunks)
+
+
+def running_totals(df: DataFrame, by: Sequence[str], order_by: str, amounts: Mapping[str, str], chunks: int | None = None) -> DataFrame:
+    """`running_total` of several amounts, given with the names of their totals: rows are cut and sorted once."""
     cut, n = with_chunks(df, order_by, by, chunks)
     inside = W.partitionBy(*by, "_chunk").orderBy(order_by).rowsBetween(W.unboundedPreceding, 0)
-    detail = cut.withColumn(out, F.sum(amount).over(inside))
+    detail = cut.withColumns({out: F.sum(amount).over(inside) for amount, out in amounts.items()})
     if n == 1:
         return detail.drop("_chunk")
     before = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*by, "_chunk").agg(F.sum(amount).alias("_sum"))
-        .select(*by, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    )
-    return _join_chunks(detail, offsets, by, n).withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_chunk")
+    sums = cut.groupBy(*by, "_chunk").agg(*[F.sum(amount).alias(f"_sum_{out}") for amount, out in amounts.items()])
+    offsets = sums.select(*by, "_chunk", *[F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}") for out in amounts.values()])
+    joined = _join_chunks(detail, offsets, by, n).withColumns({out: F.col(out) + F.col(f"_before_{out}") for out in amounts.values()})
+    return joined.drop("_chunk", *[f"_before_{out}" for out in amounts.values()])
 
 
 def _join_chunks(detail: DataFrame, offsets: DataFrame, by: Sequence[str], n: int) -> DataFrame:

@@ -234,9 +234,7 @@ def _spearman_patterns(df: DataFrame, names: Sequence[str], pairs: Sequence[tupl
     counts = staged(counts, "rank-patterns")
     sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
     cut = chunks or (1 if max(sizes.values(), default=0) <= ROWS_PER_TASK else None)
-    ranks = counts
-    for j in range(len(names)):
-        ranks = ordered.running_total(ranks, ["column"], "value", f"n{j}", f"u{j}", cut)
+    ranks = ordered.running_totals(counts, ["column"], "value", {f"n{j}": f"u{j}" for j in range(len(names))}, cut)
     rank = F.array(*[F.col(f"u{j}") - (F.col(f"n{j}") - 1) / F.lit(2.0) for j in range(len(names))])
     ranks = staged(ranks.select("column", "value", rank.alias("rank")), "rank-patterns")
     for i, c in enumerate(names):

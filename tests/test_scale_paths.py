@@ -146,3 +146,19 @@ def test_sub_slices_are_even_with_far_values(spark):
     assert found["n"] == 20000 and list(found["q"]) == [values[4999] + 0.75 * (values[5000] - values[4999]), (values[9999] + values[10000]) / 2, 1e200]
     by = QU.quantiles(df.withColumn("g", F.when(F.col("value") < 1e199, F.lit("a"))), ["value"], [0.5], ["g"], sliced=True).collect()
     assert {(r["g"], r["n"]): list(r["q"]) for r in by} == {(None, 1): [1e200], ("a", 19999): [sorted(values[:-1])[9999]]}
+
+
+@pytest.mark.parametrize("chunks", [None, 3])
+def test_rank_patterns_cut_and_sort_counts_once(spark, monkeypatch, chunks):
+    from tabulon.functions import ordered
+    from tabulon.operators import stats
+
+    made, cut = [], ordered.with_chunks
+    monkeypatch.setattr(ordered, "with_chunks", lambda *a, **kw: made.append(1) or cut(*a, **kw))
+    rows = [(float(k * 7 % 11), None if k % 3 == 1 else float(k * 5 % 13), None if k % 4 == 2 else float(k % 6)) for k in range(60)]
+    got = {(r[0], r[1]): r[2] for r in stats.spearman(spark.createDataFrame(rows, "a double, b double, c double"), chunks=chunks).collect()}
+    assert len(made) == 1
+    frame = pd.DataFrame(rows, columns=["a", "b", "c"])
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        both = frame[[x, y]].dropna().rank()
+        assert got[x, y] == pytest.approx(both[x].corr(both[y]))
