@@ -21,6 +21,8 @@ from .clean import encode_target
 from .impute import fill_for_model
 from .stats import find_target
 
+# Rows of one part of what a model is fitted on.
+FIT_ROWS = 30_000
 MODEL_TYPES = ("random_forest", "gradient_boosting", "logistic_regression", "svm")
 
 # The search grids, without the one axis that Spark's forest doesn't have. `None` depth means as deep as
@@ -110,9 +112,18 @@ def preparation(features: Sequence[str]) -> list:
 
 
 def train(df: DataFrame, model_type: str, features: Sequence[str], rows: int | None = None, **params) -> PipelineModel:
-    """Fit preparation and classifier on (features…, label)."""
-    n = rows if rows is not None else (df.count() if model_type in ("logistic_regression", "svm") else 0)
-    return Pipeline(stages=[*preparation(features), classifier(model_type, n, **params)]).fit(df)
+    """Fit preparation and classifier on (features…, label).
+
+    Every pass of a fit reads the staged rows, in parts whose number follows the rows: a forest keeps a weight per row
+    and tree, so a part is what one task holds of them.
+    """
+    held = staged(df.select(*[col(f) for f in features], "label"), "training")
+    n = held.count()
+    held = held.repartition(-(-n // FIT_ROWS)).persist() if n > FIT_ROWS else held
+    try:
+        return Pipeline(stages=[*preparation(features), classifier(model_type, n if rows is None else rows, **params)]).fit(held)
+    finally:
+        held.unpersist()
 
 
 def settings(grid: Mapping[str, Sequence]) -> list[dict]:

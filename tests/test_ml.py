@@ -86,3 +86,15 @@ def test_scoring_a_stream(spark, table):
 def test_importances_are_sorted(spark, table):
     rows = M.importances(M.train(table, "random_forest", FEATURES, n_estimators=5, max_depth=4), FEATURES, spark).collect()
     assert [r["feature"] for r in rows] == ["a", "b"] and sum(r["importance"] for r in rows) == pytest.approx(1.0)
+
+
+def test_fit_reads_staged_rows_in_parts_that_follow_their_number(spark, monkeypatch):
+    seen, fit = [], M.Pipeline.fit
+    monkeypatch.setattr(M, "FIT_ROWS", 50)
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, df, *a: seen.append(df) or fit(self, df, *a))
+    for rows in (40, 200, 400):
+        computed = spark.range(0, rows, 1, 1).selectExpr("id", "cast(id % 10 as double) AS x", "cast(id % 10 > 4 as double) AS label")
+        model = M.train(computed, "random_forest", ["x"], n_estimators=3, max_depth=2)
+        right = M.score(model, computed, ["label"]).where("label = prediction").count()
+        assert right == rows and seen[-1].inputFiles()
+    assert [df.rdd.getNumPartitions() for df in seen[1:]] == [4, 8]
