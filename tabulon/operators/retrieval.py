@@ -23,13 +23,15 @@ from ..session import staged
 SEPARATORS = ("\n\n", "\n", " ", "")
 # Query vectors that travel to every task; more than these take the block join.
 QUERY_BLOCK = 2_000
-# Numbers in a block of documents (32 MB), and queries that are compared with it at a time.
-BLOCK_NUMBERS, STRIP = 1 << 22, 64
+# Numbers in a block of documents or queries (32 MB); queries and documents of a block that meet in one product.
+BLOCK_NUMBERS, STRIP, SLICE = 1 << 22, 256, 4_096
 # Cells into which documents are sorted by their nearest pivot, and documents of a cell on average at least; pivots whose
 # distances each cell knows the least and the largest of.
 CELLS, CELL_ROWS, MARKS = 1024, 2_048, 16
 # Below so many pairs of a block of documents and a block of queries nothing is gained by skipping some.
 FEW_BLOCKS = 16
+# Largest share of the documents that queries may have to visit for cells to be worth their shuffles.
+CELL_SHARE = 0.1
 METRICS = ("l2sq", "cosine")
 
 
@@ -189,7 +191,7 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, *, metric: str = "l
     elif len(rows) <= QUERY_BLOCK:
         found = _scan(side, rows, k, metric, schema)
     else:
-        found = _many_queries(side, asked, k, metric, schema, len(rows[0]["v"]))
+        found = _many_queries(side, asked, k, metric, schema, rows)
     order = W.partitionBy("query_id").orderBy("distance", "id")
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     top = top.withColumn("score", 1.0 - F.col("distance"))
@@ -225,15 +227,31 @@ def _scan(side: DataFrame, rows: list, k: int, metric: str, schema: T.StructType
     return spread(side).mapInArrow(top, schema)
 
 
-def _many_queries(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, dims: int) -> DataFrame:
-    """More queries than every task can hold: blocks against blocks, all of them if they are few."""
-    n_doc, n_ask = side.count(), asked.count()
-    parts, chunks = -(-n_doc // max(1, BLOCK_NUMBERS // max(dims, 1))), -(-n_ask // QUERY_BLOCK)
-    if parts * chunks <= FEW_BLOCKS:
-        left = side.select(F.pmod(F.xxhash64("id"), F.lit(max(parts, 1))).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v")
-        right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(parts, 1) - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "v")
-        return left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInPandas(_compared(k, metric, dims), schema)
-    return search_cells(side, asked, k, metric, schema, dims, min(CELLS, max(1, n_doc // CELL_ROWS)))
+def _block_counts(n_doc: int, n_ask: int, dims: int, cores: int) -> tuple[int, int]:
+    """Blocks of documents and of queries: as few as a task can hold, since a row is sent once for each block of the other
+    side, but several pairs of them for each core."""
+    rows = max(1, BLOCK_NUMBERS // max(dims, 1))
+    parts, chunks = max(1, -(-n_doc // rows)), max(1, -(-n_ask // rows))
+    while parts * chunks < 4 * cores and max(n_doc / parts, n_ask / chunks) > QUERY_BLOCK:
+        parts, chunks = (parts + 1, chunks) if n_doc / parts > n_ask / chunks else (parts, chunks + 1)
+    return parts, chunks
+
+
+def _many_queries(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, some: list) -> DataFrame:
+    """More queries than every task can hold: blocks against blocks, all of them if they are few or few could be skipped."""
+    dims, n_doc, n_ask = len(some[0]["v"]), side.count(), asked.count()
+    rows = max(1, BLOCK_NUMBERS // max(dims, 1))
+    if -(-n_doc // rows) * -(-n_ask // rows) > FEW_BLOCKS:
+        sorted_cells = _cells_of(side, metric, dims, min(CELLS, max(1, n_doc // CELL_ROWS)))
+        if _visited_share(sorted_cells, some[:STRIP], k, metric, schema, dims) <= CELL_SHARE:
+            return search_cells(side, asked, k, metric, schema, dims, 0, sorted_cells)
+    parts, chunks = _block_counts(n_doc, n_ask, dims, side.sparkSession.sparkContext.defaultParallelism)
+    left = side.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "v")
+    by = ["part", "chunk"]
+    # A number of partitions of our own, which small rows don't merge into a few long tasks.
+    left, right = (d.repartition(parts * chunks, *by).groupBy(*by) for d in (left, right))
+    return left.cogroup(right).applyInPandas(_compared(k, metric, dims), schema)
 
 
 def _compared(k: int, metric: str, dims: int):
@@ -243,15 +261,84 @@ def _compared(k: int, metric: str, dims: int):
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         ids = docs["id"].to_numpy(dtype=object)
         x, q = _matrix(docs["v"].tolist(), ids, dims), _matrix(qs["v"].tolist(), qs["query_id"], dims)
-        flat = []
-        for at in range(0, len(q), STRIP):
-            d = _distances(x, q[at:at + STRIP], metric)
-            flat += [(qid, i, x_) for j, qid in enumerate(qs["query_id"].iloc[at:at + STRIP]) for x_, i in _best(ids, d[:, j], k)]
-        return pd.DataFrame(flat, columns=["query_id", "id", "distance"])
+        asks, found, d = _nearest_pairs(x, q, pd.factorize(ids, sort=True)[0], k, metric)
+        return pd.DataFrame({"query_id": qs["query_id"].to_numpy(dtype=object)[asks], "id": ids[found], "distance": d})
 
     return block
 
 
+def _nearest_pairs(x: np.ndarray, q: np.ndarray, place: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, document, distance), the k nearest documents of each query, ties by `place`; `_distances`, but for few pairs.
+
+    Strips of queries meet slices of documents in one product, for the cosine in single precision. Only what comes within
+    the rounding error of the k-th largest product so far is measured in double precision, so the answer is exact. Vectors
+    that aren't finite are near nothing.
+    """
+    order, copies = [], {}
+    for i in np.argsort(place, kind="stable"):
+        if np.isfinite(x[i]).all():
+            n = copies[key] = copies.get(key := x[i].tobytes(), 0) + 1
+            if n <= k:  # of equal vectors the first k are enough
+                order.append(i)
+    order, whole = np.array(order, np.int64), np.flatnonzero(np.isfinite(q).all(1))
+    x, q, dims = x[order], q[whole], x.shape[1]
+    nx, nq = (x * x).sum(1), (q * q).sum(1)
+    if metric == "l2sq":
+        xs, qs = np.hstack((2.0 * x, -nx[:, None])), np.hstack((q, np.ones((len(q), 1))))
+        slack = 4e-12 + 8.0 * (dims + 4) * np.finfo(float).eps * (nq + nx.max(initial=0.0))
+    else:
+        xs, qs = (_points(v, metric)[0].astype(np.float32) for v in (x, q))
+        slack = np.full(len(q), 4e-12 + 2.0 * (dims + 4) * 2.0 ** -24)
+
+    def measured(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        d = np.empty(len(row))
+        for i in range(0, len(row), 1 << 14):
+            r, a = row[i:i + (1 << 14)], at[i:i + (1 << 14)]
+            dot = np.einsum("ij,ij->i", x[a], q[r])
+            if metric == "l2sq":
+                d[i:i + (1 << 14)] = np.maximum(nx[a] + nq[r] - 2.0 * dot, 0.0)
+            else:
+                norm = np.sqrt(nx[a]) * np.sqrt(nq[r])
+                d[i:i + (1 << 14)] = 1.0 - np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+        return np.round(d, 12)
+
+    def first_k(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are the k nearest of their query, in order, and all distances."""
+        d = measured(row, at)
+        by = np.lexsort((at, d, row))
+        return by[_rank(row[by]) < k], d
+
+    out = []
+    for begin in range(0, len(q), STRIP):
+        strip, tolerance = qs[begin:begin + STRIP], slack[begin:begin + STRIP]
+        row, at, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, xs.dtype)
+        edge = np.full(len(strip), -np.inf)
+        for since in range(0, len(x), SLICE):
+            s = strip @ xs[since:since + SLICE].T
+            if not since and s.shape[1] > k:
+                edge = np.partition(s, -k, axis=1)[:, -k].astype(float)
+            r, a = np.nonzero(s >= (edge - tolerance).astype(s.dtype)[:, None])
+            row, at, near = np.concatenate((row, r)), np.concatenate((at, a + since)), np.concatenate((near, s[r, a]))
+            if len(row) > 16 * (k + 1) * len(strip):  # many near ties: settle them
+                kept = first_k(row + begin, at)[0]
+                row, at, near = row[kept], at[kept], near[kept]
+            by = np.lexsort((-near, row))
+            last = by[_rank(row[by]) == k - 1]
+            edge[row[last]] = np.maximum(edge[row[last]], near[last])
+            kept = near >= (edge - tolerance).astype(near.dtype)[row]
+            row, at, near = row[kept], at[kept], near[kept]
+        row = row + begin
+        kept, d = first_k(row, at)
+        out.append((whole[row[kept]], order[at[kept]], d[kept]))
+    empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return tuple(np.concatenate(c) for c in zip(empty, *out))
+
+
+def _rank(row: np.ndarray) -> np.ndarray:
+    """Of sorted numbers, how many equal ones come before each."""
+    return np.arange(len(row)) - np.searchsorted(row, row, side="left")
+
+
 def _points(vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as points of a metric space, and which have no place there (of no length, with the cosine).
 
@@ -362,7 +449,29 @@ def _sides(held: DataFrame, visits: DataFrame, cells: Cells, dims: int) -> tuple
     return left, right
 
 
-def search_cells(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, dims: int, n_cells: int) -> DataFrame:
+def _cells_of(side: DataFrame, metric: str, dims: int, n_cells: int) -> tuple[DataFrame, Cells]:
+    """Documents sorted into cells, and what is known of the cells."""
+    drawn = side.select("v").where(F.size("v") == dims).orderBy(F.xxhash64("id"), "id").limit(n_cells).collect()
+    pivots, lost = _points(_matrix([r["v"] for r in drawn], [None] * len(drawn), dims), metric)
+    pivots = np.unique(pivots[~lost], axis=0) if not lost.all() else np.zeros((1, dims))
+    held = _sorted_into_cells(side, pivots, metric, dims)
+    return held, _described_cells(held, pivots, metric, dims)
+
+
+def _visited_share(sorted_cells: tuple[DataFrame, Cells], some: list, k: int, metric: str, schema: T.StructType, dims: int) -> float:
+    """Share of the documents that some queries have to visit; it chooses the plan, not the answer."""
+    held, cells = sorted_cells
+    edge = dict.fromkeys((r["query_id"] for r in some), np.inf)
+    order = W.partitionBy("query_id").orderBy("distance")
+    hits = _scan(held.select("id", "v"), some, k, metric, schema).withColumn("_r", F.row_number().over(order))
+    edge.update({r["query_id"]: r["distance"] for r in hits.where(F.col("_r") == k).collect()})
+    bounds = cells.bounds(_matrix([r["v"] for r in some], [r["query_id"] for r in some], dims))
+    go = bounds <= np.array([edge[r["query_id"]] for r in some])[:, None]
+    return float((go * cells.counts).sum() / max(1, len(some) * cells.counts.sum()))
+
+
+def search_cells(side: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType, dims: int, n_cells: int,
+                 sorted_cells: tuple[DataFrame, Cells] | None = None) -> DataFrame:
     """Exact search that skips: (query_id, id, distance) with each query's k nearest among what it visited.
 
     Documents are sorted into cells by their nearest pivot, once. Of each cell the least and largest distances to some
@@ -371,11 +480,7 @@ def search_cells(side: DataFrame, asked: DataFrame, k: int, metric: str, schema:
     whose bound is within the edge. So a document is sent once for each chunk of queries that visits its cell, not for
     each chunk of all queries; where vectors have no clusters, few cells are skipped.
     """
-    drawn = side.select("v").where(F.size("v") == dims).orderBy(F.xxhash64("id"), "id").limit(n_cells).collect()
-    pivots, lost = _points(_matrix([r["v"] for r in drawn], [None] * len(drawn), dims), metric)
-    pivots = np.unique(pivots[~lost], axis=0) if not lost.all() else np.zeros((1, dims))
-    held = _sorted_into_cells(side, pivots, metric, dims)
-    cells = _described_cells(held, pivots, metric, dims)
+    held, cells = sorted_cells or _cells_of(side, metric, dims, n_cells)
     unknown = asked.select("query_id", "v", F.lit(None).cast("double").alias("edge"))
 
     def compared(visits: DataFrame) -> DataFrame:

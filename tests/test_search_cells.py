@@ -71,3 +71,32 @@ def test_nearest_takes_the_cells(spark, monkeypatch):
     monkeypatch.setattr(R, "FEW_BLOCKS", 0)
     monkeypatch.setattr(R, "CELL_ROWS", 25)
     assert {(r["query_id"], r["rank"], r["id"], round(r["distance"], 9)) for r in R.nearest(docs, asked, 4).collect()} == plain
+
+
+def test_blocks_where_cells_skip_little(spark, monkeypatch):
+    """Vectors without clusters aren't sent to cell after cell; clustered ones still are."""
+    monkeypatch.setattr(R, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(R, "FEW_BLOCKS", 0)
+    monkeypatch.setattr(R, "CELL_ROWS", 25)
+    taken = []
+    search = R.search_cells
+    monkeypatch.setattr(R, "search_cells", lambda *a: taken.append(1) or search(*a))
+    rng = np.random.default_rng(11)
+    v = rng.normal(0, 1, (600, 24))
+    v[500:] = v[:100] * 3.0  # as near as their originals, but for rounding
+    v[400:450] = v[0]
+    loose = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<double>")
+    asked = loose.where("id < 300").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = R.nearest(loose, asked, 5, metric="cosine").collect()
+    d = R._distances(v, v[:300], "cosine")
+    want = {(j, r + 1, int(i)) for j in range(300) for r, i in enumerate(np.lexsort((np.arange(600), d[:, j]))[:5])}
+    assert {(r["query_id"], r["rank"], r["id"]) for r in found} == want and not taken
+    R.nearest(clustered(spark, 1500, 3).withColumnRenamed("v", "embedding"), clustered(spark, 200, 4).selectExpr("id AS query_id", "v AS query_vector"), 5).count()
+    assert taken
+
+
+def test_a_row_is_sent_once_for_each_block_of_the_other_side():
+    for n in (13_000, 69_000, 830_000):
+        parts, chunks = R._block_counts(n, n, 64, 12)
+        assert n / parts <= R.BLOCK_NUMBERS / 64 >= n / chunks and parts + chunks <= max(15, 2 + n * 64 * 2 // R.BLOCK_NUMBERS)
+        assert parts * chunks >= 36
