@@ -21,6 +21,8 @@ from ..functions.sizes import spread
 from ..session import staged
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+# Characters of text whose chunks a task hands on at a time.
+PART_CHARS = 1 << 20
 # Query vectors that travel to every task; more than these take the block join.
 QUERY_BLOCK = 2_000
 # Numbers in a block of documents or queries (32 MB); queries and documents of a block that meet in one product.
@@ -88,22 +90,45 @@ def chunk_documents(docs: DataFrame, id_col: str = "id", text: str = "content",
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
+    held = spread(docs.select(id_col, text))
     if by_separator:
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def cut(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: split_text(t, size, overlap) if t else [])
-
-        chunks = cut(col(text))
+        schema = T.StructType([held.schema[id_col], T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
+        cut = held.select(col(id_col), col(text).cast("string")).mapInArrow(_chunk_rows(size, overlap, schema), schema)
     else:
         n, step = F.length(col(text)), size - overlap
         starts = F.sequence(F.lit(1), F.greatest(n - overlap, F.lit(1)), F.lit(step))
         chunks = F.when(n > 0, F.transform(starts, lambda s: F.substr(col(text), s, F.lit(size))))
+        cut = held.select(col(id_col), F.posexplode(chunks).alias("chunk_index", "content"))
     extra = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]) if metadata else F.create_map().cast("map<string,string>")
-    return (
-        spread(docs.select(id_col, text)).select(col(id_col), F.posexplode(chunks).alias("chunk_index", "content"))
-        .select(F.concat_ws("_", F.lit("chunk"), col(id_col).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
-                col(id_col), "chunk_index", "content", F.length("content").alias("chunk_size"), extra.alias("metadata"))
-    )
+    return cut.select(F.concat_ws("_", F.lit("chunk"), col(id_col).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
+                      col(id_col), "chunk_index", "content", F.length("content").alias("chunk_size"), extra.alias("metadata"))
+
+
+def _chunk_rows(size: int, overlap: int, schema: T.StructType):
+    """A row per chunk, handed on by PART_CHARS; texts leave Arrow one at a time, so that a task holds few of a batch."""
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches):
+        for b in batches:
+            owner, index, content, held = [], [], [], 0
+
+            def part() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(index, pa.int32()), pa.array(content, arrow.field(2).type)], names=arrow.names)
+
+            for i in range(b.num_rows):
+                t = b.column(1)[i].as_py()
+                chunks = split_text(t, size, overlap) if t else []
+                owner += [i] * len(chunks)
+                index += range(len(chunks))
+                content += chunks
+                held += len(t or "")
+                if held >= PART_CHARS:
+                    yield part()
+                    owner, index, content, held = [], [], [], 0
+            if content:
+                yield part()
+
+    return rows
 
 
 # --- vectors --------------------------------------------------------------------------------------------------------

@@ -3,9 +3,10 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from conftest import column
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tabulon import presets
 from tabulon.operators import conversation as V, retrieval as R
@@ -201,3 +202,14 @@ def test_export_rules(spark, tmp_path):
 def test_kept_tables_are_released(spark):
     df = readers.keep(spark.range(3))
     assert df.is_cached and readers.release(df, spark.range(2)) == 1
+
+
+def test_chunks_leave_a_batch_in_parts():
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
+    texts = ["one two three " * (R.PART_CHARS // 10), None, "", "short", " x\n\ny " * (R.PART_CHARS // 5), "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    parts = list(R._chunk_rows(1000, 200, kind)([batch, batch.slice(0, 0)]))
+    assert [sorted(set(p.column(0).to_pylist())) for p in parts] == [[0], [3, 4], [5]]
+    for i, t in enumerate(texts):
+        got = [(n, c) for p in parts for j, n, c in zip(*(x.to_pylist() for x in p.columns)) if j == i]
+        assert got == list(enumerate(R.split_text(t, 1000, 200) if t else []))
