@@ -88,8 +88,9 @@ def classifier(model_type: str, rows: int, **p):
     """ML-03 … ML-06: the estimator for one setting, in the reference grid's vocabulary."""
     common = {"featuresCol": "scaled", "labelCol": "label"}
     if model_type == "random_forest":
+        # a row's node in each tree is kept from level to level, instead of its way from the root being taken again
         return RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth") or 30,
-                                      minInstancesPerNode=p.get("min_samples_leaf", 1), seed=42, **common)
+                                      minInstancesPerNode=p.get("min_samples_leaf", 1), seed=42, cacheNodeIds=True, **common)
     if model_type == "gradient_boosting":
         return GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
                              maxDepth=p.get("max_depth", 3), seed=42, **common)

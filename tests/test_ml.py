@@ -98,3 +98,11 @@ def test_fit_reads_staged_rows_in_parts_that_follow_their_number(spark, monkeypa
         right = M.score(model, computed, ["label"]).where("label = prediction").count()
         assert right == rows and seen[-1].inputFiles()
     assert [df.rdd.getNumPartitions() for df in seen[1:]] == [4, 8]
+
+
+def test_a_forest_keeps_the_nodes_of_its_rows_and_scores_alike(table):
+    made = M.classifier("random_forest", 600, n_estimators=5, max_depth=6)
+    assert made.getCacheNodeIds()
+    ready = M.Pipeline(stages=M.preparation(FEATURES)).fit(table).transform(table).select("id", "scaled", "label").cache()
+    kept, walked = (sorted((r["id"], r["probability"].toArray().tolist()) for r in m.fit(ready).transform(ready).collect()) for m in (made, made.copy().setCacheNodeIds(False)))
+    assert kept == walked
