@@ -21,8 +21,9 @@ from .clean import encode_target
 from .impute import fill_for_model
 from .stats import find_target
 
-# Rows of one part of what a model is fitted on.
-FIT_ROWS = 30_000
+# Rows of one part of what a model is fitted on: of a forest, which keeps a weight per row and tree, and how many times as
+# many of the other kinds, whose hundreds of short passes cost a task for each part.
+FIT_ROWS, PASS_PARTS = 30_000, 5
 MODEL_TYPES = ("random_forest", "gradient_boosting", "logistic_regression", "svm")
 
 # The search grids, without the one axis that Spark's forest doesn't have. `None` depth means as deep as
@@ -112,15 +113,20 @@ def preparation(features: Sequence[str]) -> list:
     ]
 
 
+def _fit_parts(rows: int, model_type: str, cores: int) -> int:
+    """Parts of FIT_ROWS, for other models than forests larger ones, but no fewer than keep the cores busy."""
+    parts = -(-rows // FIT_ROWS)
+    return parts if model_type == "random_forest" else max(-(-parts // PASS_PARTS), min(parts, cores))
+
+
 def train(df: DataFrame, model_type: str, features: Sequence[str], rows: int | None = None, **params) -> PipelineModel:
     """Fit preparation and classifier on (features…, label).
 
-    Every pass of a fit reads the staged rows, in parts whose number follows the rows: a forest keeps a weight per row
-    and tree, so a part is what one task holds of them.
+    Every pass of a fit reads the staged rows, in parts whose number follows the rows.
     """
     held = staged(df.select(*[col(f) for f in features], "label"), "training")
     n = held.count()
-    held = held.repartition(-(-n // FIT_ROWS)).persist() if n > FIT_ROWS else held
+    held = held.repartition(_fit_parts(n, model_type, df.sparkSession.sparkContext.defaultParallelism)).persist() if n > FIT_ROWS else held
     try:
         return Pipeline(stages=[*preparation(features), classifier(model_type, n if rows is None else rows, **params)]).fit(held)
     finally:

@@ -106,3 +106,14 @@ def test_a_forest_keeps_the_nodes_of_its_rows_and_scores_alike(table):
     ready = M.Pipeline(stages=M.preparation(FEATURES)).fit(table).transform(table).select("id", "scaled", "label").cache()
     kept, walked = (sorted((r["id"], r["probability"].toArray().tolist()) for r in m.fit(ready).transform(ready).collect()) for m in (made, made.copy().setCacheNodeIds(False)))
     assert kept == walked
+
+
+def test_passes_of_other_models_take_fewer_larger_parts(spark, monkeypatch):
+    seen, fit = [], M.Pipeline.fit
+    monkeypatch.setattr(M, "FIT_ROWS", 10)
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, df, *a: seen.append(df) or fit(self, df, *a))
+    rows = spark.range(0, 600, 1, 1).selectExpr("cast(id % 10 as double) AS x", "cast(id % 10 > 4 as double) AS label")
+    for kind, setting in (("logistic_regression", {}), ("gradient_boosting", {"n_estimators": 2}), ("random_forest", {"n_estimators": 2, "max_depth": 2})):
+        M.train(rows, kind, ["x"], **setting)
+    assert [df.rdd.getNumPartitions() for df in seen] == [12, 12, 60]
+    assert M._fit_parts(5_400_000, "svm", 12) == 108_000 and M._fit_parts(50, "svm", 8) == 5 and M._fit_parts(200, "svm", 8) == 8
