@@ -45,12 +45,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+def staged(df: DataFrame, label: str = "stage", rows: int | None = None) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     Later steps then start from columnar files instead of repeating the work, with a plan that is short, a size that
-    Catalyst knows, and nothing to recompute when an executor is lost.
+    Catalyst knows, and nothing to recompute when an executor is lost. Columnar files are small for the work that their
+    rows may be; with `rows`, a file holds no more of them, so that all cores get some whatever their bytes.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", rows) if rows else df.write).parquet(path)
     return df.sparkSession.read.parquet(path)

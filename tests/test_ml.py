@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import ml as M
 from tabulon.streaming import rowwise
-from tabulon.session import scratch
+from tabulon.session import scratch, staged
 
 FEATURES = ["a", "b"]
 
@@ -117,3 +117,8 @@ def test_passes_of_other_models_take_fewer_larger_parts(spark, monkeypatch):
         M.train(rows, kind, ["x"], **setting)
     assert [df.rdd.getNumPartitions() for df in seen] == [12, 12, 60]
     assert M._fit_parts(5_400_000, "svm", 12) == 108_000 and M._fit_parts(50, "svm", 8) == 5 and M._fit_parts(200, "svm", 8) == 8
+
+
+def test_staged_rows_are_cut_into_files(spark):
+    held = staged(spark.range(0, 100, 1, 1), "cut", 30)
+    assert len(held.inputFiles()) == 4 and held.count() == 100 and len(staged(spark.range(0, 100, 1, 1), "whole").inputFiles()) == 1
