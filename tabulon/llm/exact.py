@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import staged
+from ..session import few_parts, staged
 from .common import key_filter, normalised, with_filter
 
 PREFIX = 256
@@ -49,7 +49,7 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str, carry: Column |
 
     first = F.min(F.struct(F.isnull("_id").alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = rows.where("_full IS NOT NULL").groupBy("_full").agg(first.alias("_first"), F.count("*").alias("_size")).where("_size > 1")
-    groups = staged(groups.select("_full", F.col("_first.id").alias("_keep"), F.col("_first.row").alias("_keep_row"), "_size"), "exact-groups")
+    groups = staged(groups.select("_full", F.col("_first.id").alias("_keep"), F.col("_first.row").alias("_keep_row"), "_size"), "exact-groups", per_core=1)
     return rows, groups
 
 
@@ -61,8 +61,8 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     rows, groups = _grouped(docs, id_column, text_column, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), PREFIX)
     gone = rows.where("_full IS NOT NULL").select("_full", "_row").join(groups, "_full").where("_row <> _keep_row").select("_row")
-    gone = staged(gone, "exact-gone")
+    gone = staged(gone, "exact-gone", per_core=1)
     marked = with_filter(rows.select("_row", "_carried"), F.xxhash64("_row"), key_filter(gone, F.xxhash64("_row")), "_hit")
     hits = marked.where("_hit")
-    spared = staged(hits.select("_row").join(gone, "_row", "left_anti"), "exact-spared")
-    return marked.where("NOT _hit").unionByName(hits.join(spared, "_row", "left_semi").select(*marked.columns)).select("_carried.*")
+    spared = staged(hits.select("_row").join(gone, "_row", "left_anti"), "exact-spared", per_core=1)
+    return marked.where("NOT _hit").unionByName(few_parts(hits.join(spared, "_row", "left_semi").select(*marked.columns), 4)).select("_carried.*")

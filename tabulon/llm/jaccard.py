@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import staged
+from ..session import few_parts, staged
 from .common import key_filter, tidy, with_filter
 from .components import components
 from .shingles import hash_words, mixed, pieces, runs
@@ -252,9 +252,9 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """The rows of `docs`, all columns, with one document of each class of similar ones."""
     options = {"words": WORDS, "threshold": THRESHOLD, "tolerance": TOLERANCE} | options
     said, classed = _described_and_classed(docs, id_column, text_column, **options, carry=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    gone = staged(classed.where("NOT kept").select("_row"), "similar-gone")
+    gone = staged(classed.where("NOT kept").select("_row"), "similar-gone", per_core=1)
     rows = with_filter(said.select("_row", "_carried"), F.xxhash64("_row"), key_filter(gone, F.xxhash64("_row")), "_hit")
-    stay = rows.where("NOT _hit").unionByName(rows.where("_hit").join(gone, "_row", "left_anti").select(*rows.columns))
+    stay = rows.where("NOT _hit").unionByName(few_parts(rows.where("_hit").join(gone, "_row", "left_anti").select(*rows.columns), 4))
     return stay.select("_carried.*")
 
 
@@ -270,10 +270,10 @@ def _described_and_classed(docs: DataFrame, id_column: str, text_column: str, wo
 
     first = F.min(F.struct(F.isnull("_id").alias("no"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_key").alias("key")))
     same = said.where("_n > 0").groupBy("_d1", "_d2").agg(first.alias("_first"), F.count("*").alias("m"), F.first("_sig").alias("sig"), F.first("_bands").alias("_bands"))
-    reps = staged(same.select(F.col("_first.row").alias("rep"), "_first", "_d1", "_d2", "m", "sig", "_bands"), "similar-reps")
+    reps = staged(same.select(F.col("_first.row").alias("rep"), "_first", "_d1", "_d2", "m", "sig", "_bands"), "similar-reps", per_core=1)
 
     bands = reps.select("rep", "sig", F.posexplode("_bands").alias("band", "value"))
-    buckets = staged(bands.groupBy("band", "value").agg(F.count("*").alias("_c")).where("_c > 1"), "similar-buckets")
+    buckets = staged(bands.groupBy("band", "value").agg(F.count("*").alias("_c")).where("_c > 1"), "similar-buckets", per_core=1)
     value = F.xxhash64("band", "value")
     near = with_filter(bands, value, key_filter(buckets, value), "_hit").where("_hit").drop("_hit").join(buckets, ["band", "value"])
     near = _block_pairs(near, F.col("_c"), BUCKET_BLOCK).select("band", "value", "i", "j", "block", "rep", "sig")
@@ -282,20 +282,20 @@ def _described_and_classed(docs: DataFrame, id_column: str, text_column: str, wo
 
     sizes = likely.groupBy("label").agg(F.count("*").alias("_c"))
     found = likely.join(sizes, "label").withColumnRenamed("node", "rep").join(reps.select("rep", F.col("_first.key").alias("_key"), "m"), "rep")
-    found = staged(found, "similar-found")
+    found = staged(found, "similar-found", per_core=1)
     texts = with_filter(rows.drop("_row"), F.col("_key"), key_filter(found, F.col("_key")), "_hit").where("_hit").select("_key", "_text")
     texts = texts.join(found, "_key").dropDuplicates(["rep"]).select("label", "_c", "rep", "m", F.col("_text").alias("text"))
     blocks = _block_pairs(texts, F.col("_c"), BLOCK).select("label", "i", "j", "block", "rep", "m", "text")
     blocks = blocks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "block", "rep")
-    links = staged(blocks.mapInPandas(_verify_blocks(words, threshold, need), "a long, b long, links long"), "similar-links")
+    links = staged(blocks.mapInPandas(_verify_blocks(words, threshold, need), "a long, b long, links long"), "similar-links", per_core=4)
 
     classes = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_links"))
     reps = reps.select("rep", "_first", "_d1", "_d2", "m").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    reps = staged(reps.withColumn("label", F.coalesce("label", "rep")), "similar-labelled")
+    reps = staged(reps.withColumn("label", F.coalesce("label", "rep")), "similar-labelled", per_core=1)
     heads = reps.groupBy("label").agg(F.min("_first").alias("_head"), F.sum("m").alias("_size"))
     named = reps.join(heads, "label").select("_d1", "_d2", F.col("_head.id").alias("_class"), F.col("_head.row").alias("_kept"), "_size", (F.coalesce("_links", F.lit(0)) + F.col("m") - 1).alias("_links"))
-    named = staged(named, "similar-named")
+    named = staged(named, "similar-named", per_core=1)
 
     out = said.where("_n > 0").select("_row", "_id", "_d1", "_d2").join(named, ["_d1", "_d2"]).select(
         "_row", F.col("_id").alias(id_column), F.col("_class").alias("class_id"), F.col("_size").cast("long").alias("class_size"),

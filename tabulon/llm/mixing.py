@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sizes import broadcast_if_small
-from ..session import staged
+from ..session import few_parts, staged
 from .common import word_count
 
 # Slices of the rank per level of the search for the border; two levels, so one slice in 2^24 is sorted.
@@ -82,9 +82,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), word_count(F.col(text_column)).alias("_size"), u.alias("_u"),
                        (F.lit(1.0) if measure is None else _rounded(measure.cast("double"))).alias("_m"), *kept)
     rows = staged(rows, "mix-rows")
-    classes = staged(rows.groupBy("_source", "_m").agg(F.sum("_size").alias("_words")), "mix-classes")
-    sizes = staged(source_targets(classes.groupBy("_source").agg(F.sum("_words").alias("_source_size")), weights, limit), "mix-sources")
-    levels = staged(copy_levels(classes, sizes, limit), "mix-levels")
+    classes = staged(rows.groupBy("_source", "_m").agg(F.sum("_size").alias("_words")), "mix-classes", per_core=1)
+    sizes = staged(source_targets(classes.groupBy("_source").agg(F.sum("_words").alias("_source_size")), weights, limit), "mix-sources", per_core=1)
+    levels = staged(copy_levels(classes, sizes, limit), "mix-levels", per_core=1)
 
     def per_source(left: DataFrame, right: DataFrame) -> DataFrame:
         right = broadcast_if_small(right.withColumnRenamed("_source", "_s"))
@@ -101,14 +101,14 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     certain = rows.groupBy("_source").agg(F.sum(F.col("_whole") * F.col("_size")).alias("_certain"))
     quota = sizes.select("_source", "_target").join(certain.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    quota = staged(quota.select("_source", (F.col("_target") - F.col("_certain")).alias("_quota"), F.lit(0).cast("long").alias("_from")), "mix-quota")
+    quota = staged(quota.select("_source", (F.col("_target") - F.col("_certain")).alias("_quota"), F.lit(0).cast("long").alias("_from")), "mix-quota", per_core=1)
 
     def border(among: DataFrame, at: DataFrame, digit: str, label: str) -> DataFrame:
         """The slice of each source in which its words reach the quota, and the words before that slice."""
         sums = per_source(among.groupBy("_source", digit).agg(F.sum("_size").alias("_sum")), at)
         upto = F.sum("_sum").over(Window.partitionBy("_source").orderBy(digit).rowsBetween(Window.unboundedPreceding, 0))
         sums = sums.withColumn("_end", F.col("_from") + upto).withColumn("_begin", F.col("_end") - F.col("_sum"))
-        return staged(sums.where("_begin < _quota AND _quota <= _end").select("_source", "_quota", F.col("_begin").alias("_from"), F.col(digit).alias(f"_b{digit[2:]}")), label)
+        return staged(sums.where("_begin < _quota AND _quota <= _end").select("_source", "_quota", F.col("_begin").alias("_from"), F.col(digit).alias(f"_b{digit[2:]}")), label, per_core=1)
 
     drawn = rows.where("_p > 0")
     b1 = border(drawn, quota, "_d1", "mix-border1")
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     cut = per_source(per_source(per_source(quota.select("_source", "_quota"), total), b1.select("_source", "_b1")), b2)
     # Where all fractions together don't reach the quota (it needs documents of measure 0), every fraction is taken.
     short = (F.col("_quota") > 0) & (F.col("_all") < F.col("_quota"))
-    cut = staged(cut.select("_source", "_quota", F.when(short, SLICES).otherwise(F.col("_b1")).alias("_b1"), "_b2", "_before"), "mix-cut")
+    cut = staged(cut.select("_source", "_quota", F.when(short, SLICES).otherwise(F.col("_b1")).alias("_b1"), "_b2", "_before"), "mix-cut", per_core=1)
 
     rows = per_source(rows, cut)
     edge = F.coalesce((F.col("_d1") == F.col("_b1")) & (F.col("_d2") == F.col("_b2")), F.lit(False))
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     clear, close = rows.where(~edge).withColumn("_take", F.coalesce(ahead, F.lit(False))), rows.where(edge)
     running = F.sum("_size").over(Window.partitionBy("_source").orderBy("_v", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0))
     close = close.withColumn("_take", F.col("_before") + running - F.col("_size") / 2.0 <= F.col("_quota"))
-    out = clear.unionByName(close)
+    out = clear.unionByName(few_parts(close, 4))
     copies = (F.col("_whole") + F.col("_take").cast("long")).cast("long")
     return out.select(F.col("_id").alias(id_column), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                       F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"), *(["carried"] if kept else []))

@@ -45,13 +45,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str = "stage", rows: int | None = None) -> DataFrame:
+# Partitions of a shuffle that go to one file.
+FILE_PARTS = 32
+
+
+def few_parts(df: DataFrame, per_core: int) -> DataFrame:
+    """A frame that comes from a shuffle, in at most `per_core` parts a core, or as many for FILE_PARTS partitions."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(per_core * spark.sparkContext.defaultParallelism, -(-parts * per_core // FILE_PARTS)))
+
+
+def staged(df: DataFrame, label: str = "stage", rows: int | None = None, per_core: int | None = None) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     Later steps then start from columnar files instead of repeating the work, with a plan that is short, a size that
     Catalyst knows, and nothing to recompute when an executor is lost. Columnar files are small for the work that their
-    rows may be; with `rows`, a file holds no more of them, so that all cores get some whatever their bytes.
+    rows may be; with `rows`, a file holds no more of them, so that all cores get some whatever their bytes. A frame that
+    comes from a shuffle may have far more partitions than its bytes are worth; with `per_core`, tasks write several of
+    them to one file (`few_parts`). On a local file system each file costs processes (chmod) forked by the executor.
     """
     path = scratch(df.sparkSession, label)
+    df = few_parts(df, per_core) if per_core else df
     (df.write.option("maxRecordsPerFile", rows) if rows else df.write).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -634,3 +634,24 @@ def test_batches_do_not_matter(monkeypatch):
     monkeypatch.setattr(pieces, "TOGETHER", 7)
     for k, t in enumerate(texts):
         assert own.encode_long(t, k - 4).tolist() == ids[at[k]:at[k + 1]].tolist()
+
+
+def test_few_files_come_of_many_shuffle_partitions(spark, monkeypatch):
+    """The pipeline's stages wrote a file for each shuffle partition, round by round."""
+    from pathlib import Path
+
+    from tabulon import session
+
+    made, fresh = [], session.scratch
+    monkeypatch.setattr(session, "scratch", lambda *a: made.append(fresh(*a)) or made[-1])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(600).select((F.col("id") - F.col("id") % 3).alias("a"), F.col("id").alias("b"))
+        got = {r.node: r.label for r in components.components(edges).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 3 * 3 for i in range(600)}
+    assert len(made) > 2 and max(sum(1 for _ in Path(m).glob("part-*")) for m in made) <= 8
