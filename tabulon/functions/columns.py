@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+# Fields of an aggregate's buffers and keys up to which Spark compiles it as one stage (spark.sql.codegen.maxFields is 100); beyond
+# them a row costs tens of times as much.
+COMPILED_FIELDS = 90
+
+
 def col(name: str) -> Column:
     """Column by its literal name, so that dots and blanks in names are safe."""
     return F.col(q(name))
@@ -74,6 +80,16 @@ def long_form(df: DataFrame, by: Sequence[str], names: Sequence[str], as_type: s
     return df.selectExpr(*[q(b) for b in by], f"inline(array({cells}))").filter("value IS NOT NULL")
 
 
+def column_groups(names: Sequence[str], fields: int) -> list[list[str]]:
+    """The columns in groups whose aggregates, of `fields` buffer fields a column, still compile. A group reads its own columns only."""
+    size = max(1, COMPILED_FIELDS // fields)
+    return [list(names[i:i + size]) for i in range(0, len(names), size)] or [[]]
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def right_closed_bin(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Label of the interval (edges[i], edges[i+1]] holding `c`; null outside all of them."""
     if len(labels) != len(edges) - 1 or list(edges) != sorted(set(edges)):

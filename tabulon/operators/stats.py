@@ -14,7 +14,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import ordered
-from ..functions.columns import col, melt_aggregates, nan_to_null, numeric_columns, q, replace_columns, require, s
+from ..functions.columns import col, column_groups, melt_aggregates, nan_to_null, numeric_columns, q, replace_columns, require, s, union_all
 from ..functions.distributions import f_p_value, t_p_value
 from ..functions.quantiles import mode_values, quantile_values, quantiles, slot_sql, value_counts
 from ..functions.sizes import BROADCAST_ROWS, ROWS_PER_TASK, spread
@@ -54,13 +54,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     functions = {"count": "count", "avg": "mean", "stddev_samp": "std", "min": "min", "max": "max"}
     if shape:
         functions |= {"skewness": "skewness", "kurtosis": "kurtosis"}
-    aggs: list[Column] = []
-    for i, c in enumerate(names):
-        x = f"CAST({q(c)} AS DOUBLE)"
-        aggs += [F.expr(f"{f}({x}) AS {f}{i}") for f in functions]
+
+    def aggregates(columns: Sequence[str]) -> list[Column]:
+        return [F.expr(f"{f}(CAST({q(c)} AS DOUBLE)) AS {f}{i}") for i, c in enumerate(columns) for f in functions]
+
     # zero variance gives NaN where pandas gives none
     fields = {n: (lambda i, f=f: f"nullif({f}{i}, double('NaN'))" if f in ("skewness", "kurtosis") else f"{f}{i}") for f, n in functions.items()}
-    out = melt_aggregates(df.groupBy(*by).agg(*aggs), by, names, fields, key="variable").filter(F.col("count") > 0)
+    # buffer fields of a column: 8, and 4 and 5 for its shape
+    out = union_all([melt_aggregates(df.groupBy(*by).agg(*aggregates(own)), by, own, fields, key="variable")
+                     for own in column_groups(names, 17 if shape else 8)]).filter(F.col("count") > 0)
     cuts = quantiles(df, names, [0.25, 0.5, 0.75], by, sliced=sliced).select(
         *[col(b).alias(f"_b_{b}") for b in by], F.col("column").alias("_v"), F.col("q").alias("_q"))
     cuts = cuts if by else F.broadcast(cuts)  # without segments: one row per column
@@ -150,7 +152,11 @@ def _pearson_matrices(df: DataFrame, names: Sequence[str]) -> DataFrame:
                     shift = np.where(known.any(0), np.nansum(x, 0) / np.maximum(known.sum(0), 1), 0.0)
                 total = np.zeros((5, k, k))
             # Smallest and largest value of each pair's complete rows: a constant is told by them, not by its spread.
-            low, high = (np.stack([np.where(known & known[:, j:j + 1], y, -np.inf).max(0) for j in range(k)], 1) for y in (-x, x))
+            # Of a column without gaps the other's own extremes serve.
+            gaps = np.flatnonzero(~known.all(0))
+            low, high = (np.repeat(np.where(known, y, -np.inf).max(0)[:, None], k, 1) for y in (-x, x))
+            for j in gaps:
+                low[:, j], high[:, j] = (np.where(known & known[:, j:j + 1], y, -np.inf).max(0) for y in (-x, x))
             new = np.stack([low, low.T, high, high.T])
             ends = new if ends is None else np.maximum(ends, new)
             x = np.where(known, x - shift, 0.0)
@@ -273,13 +279,16 @@ def t_tests(df: DataFrame, target: str, columns: Sequence[str] | None = None, by
     df = nan_to_null(df)
     by = list(by)
     names = list(columns or numeric_columns(df, exclude=[target, *by]))
-    aggs = []
-    for i, c in enumerate(names):
-        for g in (1, 0):
-            x = f"CASE WHEN {q(target)} = {g} THEN CAST({q(c)} AS DOUBLE) END"
-            aggs += [F.expr(f"{f}({x}) AS {k}{g}_{i}") for k, f in (("n", "count"), ("m", "avg"), ("v", "var_samp"))]
-    rows = melt_aggregates(df.groupBy(*by).agg(*aggs), by, names, {
-        f"{k}{g}": (lambda i, k=k, g=g: f"{k}{g}_{i}") for k in "nmv" for g in (1, 0)}, key="variable")
+    parts = []
+    for own in column_groups(names, 12):
+        aggs = []
+        for i, c in enumerate(own):
+            for g in (1, 0):
+                x = f"CASE WHEN {q(target)} = {g} THEN CAST({q(c)} AS DOUBLE) END"
+                aggs += [F.expr(f"{f}({x}) AS {k}{g}_{i}") for k, f in (("n", "count"), ("m", "avg"), ("v", "var_samp"))]
+        parts.append(melt_aggregates(df.groupBy(*by).agg(*aggs), by, own, {
+            f"{k}{g}": (lambda i, k=k, g=g: f"{k}{g}_{i}") for k in "nmv" for g in (1, 0)}, key="variable"))
+    rows = union_all(parts)
     n1, n0 = F.col("n1"), F.col("n0")
     dof = n1 + n0 - 2
     ss = lambda n, v: (n - 1) * F.coalesce(v, F.lit(0.0))  # noqa: E731  one value has no variance
@@ -305,19 +314,22 @@ def _known_target(df: DataFrame, target: str) -> DataFrame:
 def anova(df: DataFrame, target: str, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """ST-08: one-way F and p of each numeric column over the classes of the target; missing values count as the mean.
 
-    One aggregate per (segment, class); mean filling is done algebraically on those rows, so there is no second scan.
+    Aggregates per (segment, class); mean filling is done algebraically on those rows, so no column is scanned twice.
     """
     df = nan_to_null(df)
     by = list(by)
     names = list(columns or numeric_columns(df, exclude=[target, *by]))
     df = _known_target(df, target)
-    aggs = [F.count(F.lit(1)).alias("_all")]
-    for i, c in enumerate(names):
-        x = f"CAST({q(c)} AS DOUBLE)"
-        aggs += [F.expr(f"{f}({x}) AS {k}{i}") for k, f in (("n", "count"), ("m", "avg"), ("v", "var_pop"))]
-    per_class = df.groupBy(*by, col(target).alias("_y")).agg(*aggs)
-    rows = melt_aggregates(per_class, [*by, "_y"], names, {
-        "all": lambda i: "_all", "n": lambda i: f"n{i}", "m": lambda i: f"coalesce(m{i}, 0D)", "v": lambda i: f"coalesce(v{i}, 0D)"}, key="variable")
+    parts = []
+    for own in column_groups(names, 6):
+        aggs = [F.count(F.lit(1)).alias("_all")]
+        for i, c in enumerate(own):
+            x = f"CAST({q(c)} AS DOUBLE)"
+            aggs += [F.expr(f"{f}({x}) AS {k}{i}") for k, f in (("n", "count"), ("m", "avg"), ("v", "var_pop"))]
+        per_class = df.groupBy(*by, col(target).alias("_y")).agg(*aggs)
+        parts.append(melt_aggregates(per_class, [*by, "_y"], own, {
+            "all": lambda i: "_all", "n": lambda i: f"n{i}", "m": lambda i: f"coalesce(m{i}, 0D)", "v": lambda i: f"coalesce(v{i}, 0D)"}, key="variable"))
+    rows = union_all(parts)
     seg = W.partitionBy(*by, "variable")  # one row per class
     rows = rows.withColumn("_mean", F.try_divide(F.sum(F.col("n") * F.col("m")).over(seg), F.sum("n").over(seg)))
     rows = rows.withColumn("_cm", (F.col("n") * F.col("m") + (F.col("all") - F.col("n")) * F.col("_mean")) / F.col("all"))
@@ -341,11 +353,12 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str] | None
     names = list(columns or numeric_columns(df, exclude=[target]))
     df = fill_mean(df, names)
     cuts = {c: sorted(set(q)) if q else [] for c, q in quantile_values(df, names, [i / bins for i in range(1, bins)]).items()}
-    cells = F.array(*[
-        F.expr(f"named_struct('variable', {s(c)}, 'bin', {slot_sql([f'{v!r}D' for v in cuts[c]], c)})")
-        for c in names
-    ])
-    joint = df.select(col(target).alias("_y"), F.explode(cells).alias("_e")).groupBy("_e.variable", "_e.bin", "_y").agg(F.count(F.lit(1)).alias("n"))
+    parts = []
+    for own in column_groups(names, 2 * bins):  # the comparisons with the cuts must compile, too
+        cells = F.array(*[F.expr(f"named_struct('i', {i}, 'bin', {slot_sql([f'{v!r}D' for v in cuts[c]], c)})") for i, c in enumerate(own)])
+        counts = df.select(col(target).alias("_y"), F.explode(cells).alias("_e")).groupBy("_e.i", "_e.bin", "_y").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counts.select(F.expr(f"array({', '.join(map(s, own))})[i]").alias("variable"), "bin", "_y", "n"))
+    joint = union_all(parts)
     # at most bins x classes rows per variable from here on
     total = F.sum("n").over(W.partitionBy("variable"))
     pb = F.sum("n").over(W.partitionBy("variable", "bin"))
