@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from .columns import col, replace_columns
 from .sizes import BROADCAST_ROWS, ROWS_PER_TASK, group_sizes, is_small
 
-MIN_GLOBAL_CHUNKS = 8
+# Chunks of a table without a key: at least so many, and so many for each core, since a hash deals them out unevenly.
+MIN_GLOBAL_CHUNKS, CORE_CHUNKS = 8, 4
 
 
 def as_number(df: DataFrame, order_by: str) -> Column:
@@ -47,6 +48,10 @@ def _exact(kind: T.DataType, value: float) -> bool:
     return isinstance(kind, (T.FloatType, T.DoubleType)) or abs(value) < 2.0**53
 
 
+def _global_chunks(df: DataFrame) -> int:
+    return max(MIN_GLOBAL_CHUNKS, CORE_CHUNKS * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def with_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """The rows with `_tie`, a hash that orders rows of one order value alike in every plan, and the key as one column
     `_g` that is never null, so that windows and joins share one partitioning."""
@@ -154,7 +159,7 @@ def carry_forward(df: DataFrame, values: Sequence[str], order_by: str, by: Seque
     non-null value that first value, which is forward fill followed by backward fill.
     """
     keyed, by = with_key(df, by)
-    cut, n = with_chunks(keyed, order_by, by, chunks, 1 if by else MIN_GLOBAL_CHUNKS, "_tie")
+    cut, n = with_chunks(keyed, order_by, by, chunks, 1 if by else _global_chunks(df), "_tie")
     inside = W.partitionBy(*by, "_chunk").orderBy(col(order_by), "_tie").rowsBetween(
         W.unboundedPreceding, 0 if include_current else -1
     )
@@ -197,7 +202,7 @@ def interpolate(df: DataFrame, values: Sequence[str], order_by: str, by: Sequenc
                 chunks: int | None = None) -> DataFrame:
     """Linear interpolation on row positions. Leading nulls stay, trailing ones take the last value."""
     keyed, by = with_key(df, by)
-    cut, n = with_chunks(keyed, order_by, by, chunks, 1 if by else MIN_GLOBAL_CHUNKS, "_tie")
+    cut, n = with_chunks(keyed, order_by, by, chunks, 1 if by else _global_chunks(df), "_tie")
     key = [*by, "_chunk"]
     asc = W.partitionBy(*key).orderBy(col(order_by), "_tie")
     # Both ways by position, so that rows of one order value keep one order. A descending running frame: an

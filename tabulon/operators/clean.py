@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -41,9 +41,13 @@ def clean_column_names(df: DataFrame) -> DataFrame:
 def drop_empty(df: DataFrame) -> DataFrame:
     """CLN-03: drop columns that are wholly null, then rows that are wholly null."""
     df = nan_to_null(df)
-    filled = df.agg(*[F.max(col(c).isNotNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    kept = [c for i, c in enumerate(df.columns) if filled[i]]
-    return df.select(*[col(c) for c in kept]).dropna(how="all") if kept else df.select().limit(0)
+    found = df.agg(*[f.alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, f in (("v", F.max(col(c).isNotNull())), ("g", F.max(col(c).isNull())))]).first()
+    kept = [c for i, c in enumerate(df.columns) if found[f"v{i}"]]
+    if not kept:
+        return df.select().limit(0)
+    # A column without gaps leaves no row wholly null; a filter would make every later scan read all columns.
+    whole = any(not found[f"g{i}"] for i in range(len(df.columns)))
+    return df.select(*[col(c) for c in kept]) if whole else df.select(*[col(c) for c in kept]).dropna(how="all")
 
 
 def binary_label(c: Column, positive: Sequence[str] = presets.POSITIVE_LABELS,
@@ -73,9 +77,10 @@ def to_category(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def clean(df: DataFrame, target: str | None = "attrition", numeric: Sequence[str] = presets.NUMERIC_COLUMNS,
-          categories: Sequence[str] = presets.CATEGORY_COLUMNS) -> DataFrame:
-    """CLN-07: the whole chain."""
-    out = drop_empty(clean_column_names(drop_internal_columns(df)))
+          categories: Sequence[str] = presets.CATEGORY_COLUMNS, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """CLN-07: the whole chain. `hold` is what the renamed table goes through before it is read, `staged` for example."""
+    out = clean_column_names(drop_internal_columns(df))
+    out = drop_empty(hold(out) if hold else out)
     if target and target in out.columns:
         out = encode_target(out, target)
     return out.transform(to_number, numeric).transform(to_category, categories)

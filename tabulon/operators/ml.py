@@ -72,9 +72,14 @@ def with_split(df: DataFrame, label: str, unique: Sequence[str], test_size: floa
     if sliced is None:
         sliced = use_sketch(keyed, ["_key"], [label])
     if not sliced:
-        w = W.partitionBy(label)
+        # only labels and keys are sorted; the struct compares a key that is null, too
+        w = W.partitionBy("_l")
         place = F.count(F.lit(1)).over(w.orderBy("_key").rangeBetween(W.unboundedPreceding, W.currentRow))
-        return keyed.withColumn("is_test", place <= border(F.count(F.lit(1)).over(w))).drop("_key")
+        fits = keyed.select(col(label).alias("_l"), "_key").withColumn("_fits", place <= border(F.count(F.lit(1)).over(w))).where("_fits")
+        cut = F.broadcast(fits.groupBy("_l").agg(F.max(F.struct("_key")).alias("_cut")))
+        # one row per label
+        return (keyed.join(cut, col(label).eqNullSafe(F.col("_l")), "left")
+                .withColumn("is_test", F.coalesce(F.struct("_key") <= F.col("_cut"), F.lit(False))).drop("_key", "_l", "_cut"))
     cut = order_statistics(keyed, ["_key"], [border], [test_size], [label]).select(col(label).alias("_l"), F.col("v")[0].alias("_cut"))
     # one row per label
     return keyed.join(cut, col(label).eqNullSafe(F.col("_l")), "left").withColumn("is_test", F.col("_key") < F.col("_cut")).drop("_key", "_l", "_cut")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from .. import presets
 from ..functions.columns import col, numeric_columns
@@ -14,6 +14,8 @@ from ..operators import clean as C, features as FE, impute as I, insights as N,
 from ..session import staged
 
 LEVELS = ("basic", "predictive", "comprehensive")
+# Rows of a staged file: tasks get equal shares of the files, whatever the partitions that wrote them held.
+FILE_ROWS = 100_000
 
 
 @dataclass
@@ -29,15 +31,21 @@ def preprocess(df: DataFrame, target: str, order_by: str, *, identifiers: Sequen
                ranges=presets.RANGES, allowed=presets.ALLOWED) -> DataFrame:
     """Clean, impute, treat outliers, validate. Identifiers and the target are left alone by the numeric steps.
 
-    The imputed table is staged: the outlier step scans it twice, and imputing is the one step that shuffles.
+    The given table is staged, because cleaning and imputing scan it several times and it may be costly to compute. The
+    imputed table is staged: the outlier step scans it twice, and imputing is the one step that shuffles.
     """
-    out = C.clean(df, target)
+    out = C.clean(df, target, hold=_given)
     keep_out = [target, *identifiers]
-    out = staged(I.fill_auto(out, order_by, exclude=keep_out), "imputed")
+    out = staged(I.fill_auto(out, order_by, exclude=keep_out), "imputed", FILE_ROWS)
     out = O.treat_outliers(out, outliers, exclude=keep_out)
     return V.filter_sets(V.filter_ranges(out, ranges), allowed)
 
 
+def _given(df: DataFrame) -> DataFrame:
+    """Columns without a type are wholly null, and no file holds them."""
+    return staged(df.drop(*[f.name for f in df.schema if isinstance(f.dataType, T.NullType)]), "given", FILE_ROWS)
+
+
 def run(df: DataFrame, target: str, order_by: str, level: str = "comprehensive", *, identifiers: Sequence[str] = (), model_type: str = "logistic_regression",
         search: bool = False, **options) -> Analysis:
     """basic: preprocess, statistics, insights. predictive: preprocess, features, model, insights. comprehensive: all.
@@ -50,7 +58,7 @@ def run(df: DataFrame, target: str, order_by: str, level: str = "comprehensive",
     table = preprocess(df, target, order_by, identifiers=ids, **options)
     if level != "basic":
         table = FE.interaction_features(FE.temporal_features(table))
-    done = Analysis(staged(table, "preprocessed"))
+    done = Analysis(staged(table, "preprocessed", FILE_ROWS))
     numeric = numeric_columns(done.table, exclude=[target, *ids])
     if level != "predictive":
         done.results = S.analyse(done.table, target, "basic" if level == "basic" else "comprehensive", numeric)
