@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import col, long_form, q, s as text
+from .columns import col, column_groups, long_form, q, s as text, union_all
 from ..session import staged
 from .sizes import ROWS_PER_TASK, broadcast_if_small, is_small, largest_group, spread
 
@@ -99,9 +99,10 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Sequence[Callabl
     else:
         cut, row = df, sketch.first()
         names = [[f"{v!r}D" for v in sorted(set(row[i] or []))] for i in range(len(cols))]
-    cells = ", ".join(f"named_struct('column', {text(c)}, 'value', CAST({q(c)} AS DOUBLE), 'slice', {slot_sql(names[i], c)})"
-                      for i, c in enumerate(cols))
-    values = cut.selectExpr(*[q(b) for b in by], f"inline(array({cells}))").filter("value IS NOT NULL")
+    cells = {c: f"named_struct('column', {text(c)}, 'value', CAST({q(c)} AS DOUBLE), 'slice', {slot_sql(names[i], c)})" for i, c in enumerate(cols)}
+    # The comparisons of one projection must compile, so many columns are taken in groups.
+    values = union_all([cut.selectExpr(*[q(b) for b in by], f"inline(array({', '.join(cells[c] for c in own)}))")
+                        for own in column_groups(cols, 2 * len(wanted))]).filter("value IS NOT NULL")
     # Exact counts per slice: at most 2 * len(near) + 1 slices per group and column.
     key = [*by, "column"]
     before = W.partitionBy(*key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)

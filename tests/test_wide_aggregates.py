@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tabulon.functions import quantiles as QU
 from tabulon.functions.columns import COMPILED_FIELDS, column_groups
 from tabulon.operators import stats as S
 
@@ -50,3 +51,13 @@ def test_many_columns_are_described_like_pandas(wide):
     found = {r["variable"]: r["mutual_information"] for r in S.mutual_information(df, "y", names).collect()}
     alone = {c: S.mutual_information(df, "y", [c]).first()["mutual_information"] for c in ("c0", "c5", "c17")}
     assert len(found) == 18 and all(found[c] == pytest.approx(v) for c, v in alone.items())
+
+
+def test_sliced_quantiles_of_many_columns_take_them_in_groups(wide, monkeypatch):
+    pdf, df, names = wide
+    asked, groups = [], QU.column_groups
+    monkeypatch.setattr(QU, "column_groups", lambda cols, fields: asked.append(groups(cols, fields)) or asked[-1])
+    got = {r["column"]: r for r in QU.quantiles(df, names, [0.25, 0.5, 0.75], sliced=True).collect()}
+    assert len(asked) == 1 and len(asked[0]) > 1 and set(got) == set(names)
+    for c in names:
+        np.testing.assert_allclose(got[c]["q"], np.quantile(pdf[c], [0.25, 0.5, 0.75]), rtol=1e-12)
